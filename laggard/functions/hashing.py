@@ -26,7 +26,7 @@ def hash32_sql(*parts: str, engine: str = "spark") -> str:
 
 def uniform_sql(*parts: str, engine: str = "spark") -> str:
     """Uniform draw in [0, 1) from the hash of the parts."""
-    return f"({hash32_sql(*parts, engine=engine)} / {TWO_32!r})"
+    return f"({hash32_sql(*parts, engine=engine)} / CAST({int(TWO_32)} AS DOUBLE))"
 
 
 def hash32(*parts: str) -> Column:

@@ -77,7 +77,7 @@ def phi_inv_sql(p: str) -> str:
     """SQL text for the standard normal quantile; 0 -> -inf, 1 -> +inf, outside -> NULL."""
     q = f"({p} - 0.5)"
     r0 = f"(0.180625 - {q}*{q})"
-    central = f"({q} * {_horner(AS241_A, r0)} / {_horner(AS241_B, r0)})"
+    central = f"({q} * {_horner(AS241_A, r0)} / {_horner(AS241_B, r0)} + 0.0)"  # -0.0 -> 0.0
     rr = f"sqrt(-ln(CASE WHEN {q} < 0 THEN {p} ELSE 1.0 - {p} END))"
     mid = f"({_horner(AS241_C, f'({rr} - 1.6)')} / {_horner(AS241_D, f'({rr} - 1.6)')})"
     far = f"({_horner(AS241_E, f'({rr} - 5.0)')} / {_horner(AS241_F, f'({rr} - 5.0)')})"

@@ -64,7 +64,8 @@ def mask_cells(cells: DataFrame, fraction: float, seed: int, keys=("stream_id",)
         wc = Window.partitionBy(*keys).orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("_cum", F.sum("_hn").over(wc))
         cut = (hist.join(pending, keys).where(F.col("_cum") >= F.col("_k"))
-               .groupBy(*keys).agg(F.min_by(F.struct("_hb", "_cum", "_hn"), "_hb").alias("_cut"))
+               .groupBy(*keys).agg(F.min_by(F.struct("_hb", "_cum", "_hn"), "_hb").alias("_cut"),
+                                   F.max("_k").alias("_k"))
                .select(*keys, F.col("_cut._hb").alias("_cb"),
                        (F.col("_cut._hn") - (F.col("_cut._cum") - F.col("_k"))).alias("_need")))
         c = c.join(cut, keys, "left")

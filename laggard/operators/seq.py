@@ -120,3 +120,29 @@ def framed(df: DataFrame, keys: Sequence[str], k: str, lo: int, hi: int,
     for name, fn in aggs.items():
         d = d.withColumn(name, fn(w))
     return d.where(F.col("_hb") == F.col("_own")).drop("_own", "_hb")
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], v: str, buckets: int = 1 << 16) -> DataFrame:
+    """Per distinct (keys, v): ``n_eq`` rows equal to v, ``n_below`` rows strictly below,
+    ``n`` rows in the group -- the ECDF of v, without a per-group window over rows.
+
+    Values are pre-aggregated to distinct (key, value) counts, bucketed by their
+    position between the group's min and max, and the prefix count is a window
+    over the bucket totals plus an in-bucket window.
+    """
+    keys = _cols(keys)
+    s = df.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count(F.lit(1)).alias("n_eq"))
+    st = s.groupBy(*keys).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"),
+                              F.sum("n_eq").alias("n"))
+    span = F.col("_mx") - F.col("_mn")
+    b = F.when(span > 0, F.least(F.floor((F.col(v) - F.col("_mn")) / span * buckets),
+                                 F.lit(buckets - 1))).otherwise(F.lit(0))
+    s = s.join(st, keys).withColumn("_b", b.cast("long"))
+    tot = s.groupBy(*keys, "_b").agg(F.sum("n_eq").alias("_bn"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*keys, "_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
+    wi = Window.partitionBy(*keys, "_b").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    s = (s.withColumn("_in", F.coalesce(F.sum("n_eq").over(wi), F.lit(0)))
+         .join(tot, [*keys, "_b"])
+         .withColumn("n_below", F.col("_off") + F.col("_in")))
+    return s.select(*keys, v, "n_eq", "n_below", "n")

@@ -40,3 +40,36 @@ SELECT stream_id, n, tp, fp, fn, round(recall, 6) AS recall, round(precision, 6)
        round(2 * (precision * recall) / (precision + recall + 1e-10), 6) AS f1 FROM m"""
 
 _ = (F2_SQL, F3_SQL, F4_SQL, F5_SQL)
+
+from laggard.oracle import m1_sql  # noqa: E402
+
+ORACLES.update(m1_sql.ORACLES)
+
+
+def _fix_neg_zero(sql: str) -> str:
+    """Wrap every ``round(expr, 6)`` as ``(round(expr, 6) + 0)``: DuckDB keeps -0.0 for tiny
+    negatives, Spark's decimal rounding does not."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 0, j + len(key) - 1
+        while True:
+            ch = sql[k]
+            depth += ch == "("
+            depth -= ch == ")"
+            if depth == 0:
+                break
+            k += 1
+        inner = _fix_neg_zero(sql[j + len(key):k])
+        out.append(sql[i:j] + "(round(" + inner + ") + CAST(0 AS DOUBLE))")
+        i = k + 1
+
+
+ORACLES = {k: _fix_neg_zero(v) for k, v in ORACLES.items()}

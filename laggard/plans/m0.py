@@ -11,6 +11,10 @@ from laggard.operators.learner import FtrlParams, delayed_learner
 from laggard.operators.metrics import cumulative_error, prf, sliding_accuracy
 from laggard.sources.fixtures import as_array, events_stream
 
+
+def r6(c):
+    return F.round(c, 6) + F.lit(0.0)
+
 M0_DELAY = 5
 M0_WINDOW = 30
 M0_FEATURES = ["x0", "x1", "x2"]
@@ -32,12 +36,12 @@ def delayed_errors(spark: SparkSession, sf_dir: str, delay: int = M0_DELAY,
     d = delayed_predictions(spark, sf_dir, delay)
     d = cumulative_error(d, ["stream_id"], k="t")
     d = sliding_accuracy(d, ["stream_id"], window, k="t")
-    return d.select("stream_id", "t", F.round("prob", 6).alias("prob"), "pred", "y", "err",
-                    F.round("cer", 6).alias("cer"), F.round("acc", 6).alias("acc"))
+    return d.select("stream_id", "t", r6("prob").alias("prob"), "pred", "y", "err",
+                    r6("cer").alias("cer"), r6("acc").alias("acc"))
 
 
 def delayed_summary(spark: SparkSession, sf_dir: str, delay: int = M0_DELAY) -> DataFrame:
     d = delayed_predictions(spark, sf_dir, delay)
     m = prf(d, ["stream_id"])
-    return m.select("stream_id", "n", "tp", "fp", "fn", F.round("recall", 6).alias("recall"),
-                    F.round("precision", 6).alias("precision"), F.round("f1", 6).alias("f1"))
+    return m.select("stream_id", "n", "tp", "fp", "fn", r6("recall").alias("recall"),
+                    r6("precision").alias("precision"), r6("f1").alias("f1"))

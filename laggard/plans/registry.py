@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from laggard.plans import m0
+import inspect
+
+from laggard.plans import m0, m1
+
+
+def _collect(mod) -> dict:
+    """Every public query function of a plan module whose name starts with an operator ID."""
+    out = {}
+    for name, fn in inspect.getmembers(mod, inspect.isfunction):
+        if (fn.__module__ == mod.__name__ and name[:1].isalpha() and len(name) > 4
+                and name[1:3].isdigit() and name[3] == '_'):
+            out[name] = fn
+    return out
+
 
 QUERIES = {
     "m0_delayed_errors": m0.delayed_errors,
     "m0_delayed_summary": m0.delayed_summary,
+    **_collect(m1),
 }
+
 FLAGSHIP = m0.delayed_errors
