@@ -166,7 +166,7 @@ def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
         buf: dict[int, list] = {}
         for pdf in batches:
             out = {k: [] for k in keys}
-            out.update(kind=[], t=[], t_ref=[], prob=[], loss=[], decay=[], level=[])
+            out.update(kind=[], t=[], t_ref=[], prob=[], margin=[], loss=[], decay=[], level=[])
             kcols = [pdf[k].to_numpy() for k in keys]
             times = pdf["_time"].to_numpy()
             kinds = pdf["_kind"].to_numpy()
@@ -192,6 +192,7 @@ def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
                         continue
                     if st is None:
                         st = FtrlState(len(xb), prm)
+                    marg = st.margin(xb, prm)[0]
                     p, loss = (st.fit_soft(xb, float(y), prm, wt) if soft
                                else st.fit(xb, float(y), prm, wt))
                     if not emit_updates:
@@ -202,11 +203,12 @@ def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
                     x = [] if x is None else [0.0 if v is None else float(v) for v in x]
                     if st is None:
                         st = FtrlState(len(x), prm)
+                    marg = st.margin(x, prm)[0]
                     if kind == FIT and has_y:
                         prob, loss = (st.fit_soft(x, float(y), prm, wt) if soft
                                       else st.fit(x, float(y), prm, wt))
                     else:
-                        prob, loss = st.predict(x, prm), None
+                        prob, loss = sigmoid_py(marg), None
                         if kind == FEATURE:
                             buf[tm] = x
                             if max_delay is not None:
@@ -219,6 +221,7 @@ def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
                 out["t"].append(tm)
                 out["t_ref"].append(tr)
                 out["prob"].append(prob)
+                out["margin"].append(marg)
                 out["loss"].append(loss)
                 out["decay"].append(st.decay)
                 out["level"].append(st.level if (kind != FEATURE) else None)
@@ -234,12 +237,13 @@ def scan_events(events: DataFrame, keys: Sequence[str], prm: FtrlParams = FtrlPa
     """Fold an event table ``(keys, _time, _kind, _tref, x array<double>, y [, w])`` per stream.
 
     Returns one row per FEATURE/FIT event (and per applied LABEL event when
-    ``emit_updates``): ``keys, kind, t, t_ref, prob, loss, decay, level``.
+    ``emit_updates``): ``keys, kind, t, t_ref, prob, margin, loss, decay, level``
+    (``margin`` = w.x with the weights before any update of that event).
     """
     keys = list(keys)
     kschema = schema_of(events, keys)
-    schema = (f"{kschema}, kind int, t bigint, t_ref bigint, prob double, loss double, "
-              f"decay double, level int")
+    schema = (f"{kschema}, kind int, t bigint, t_ref bigint, prob double, margin double, "
+              f"loss double, decay double, level int")
     cols = [*keys, "_time", "_kind", "_tref", "x", "y"] + (["w"] if "w" in events.columns else [])
     ev = (events.select(*cols)
           .repartition(*keys)
@@ -265,7 +269,7 @@ def online_learner(rows: DataFrame, keys: Sequence[str] = ("stream_id",), t: str
     ev = _feature_events(rows, keys, t, x, FIT, y)
     out = scan_events(ev, keys, prm, soft=soft)
     return out.select(*keys, "t", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"),
-                      "loss", "decay", "level")
+                      "margin", "loss", "decay", "level")
 
 
 def delayed_learner(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str] = ("stream_id",),

@@ -167,3 +167,12 @@ def window_ord_interval(cells: DataFrame, w: int, group: Sequence[str] = GROUP,
 
 def phi_col(c: str):
     return F.expr(phi_sql(c))
+
+
+def group_quantile(cells: DataFrame, group: Sequence[str], q: float, v: str = "v",
+                   out: str = "quantile", t: str = "t") -> DataFrame:
+    """numpy-linear quantile per group (median at q = 0.5) through sorted positions;
+    unlike an exact percentile aggregate it never holds a group in one buffer."""
+    group = list(group)
+    qs = cells.select(*group).distinct().withColumn("_q", F.lit(float(q)))
+    return quantile_lookup(qs, cells.select(*group, t, v), "_q", group, v, out).drop("_q")

@@ -292,8 +292,12 @@ LEFT JOIN pos_c p ON p.stream_id = x.stream_id AND p.col = x.col AND p.pos = x._
 
 ORACLES["a13_inverse_ecdf"] = PRE + ", " + _MQ + ", " + POS.format(src="mc WHERE col >= 2") + _INV
 
-ORACLES["w08_impute_missing"] = (PRE + ", " + _MQ + ", " + POS.format(src="mc") + """
-SELECT stream_id, t, col, round(v, 6) AS x_imp FROM mc UNION ALL
-SELECT stream_id, t, col, round(x_imp, 6) AS x_imp FROM (""" + _lerp_quantile(
-    "pos_c", "stream_id, col", "(SELECT * FROM mq WHERE col < 2)", "q", "x_imp") + ") UNION ALL"
-    + _INV.replace("SELECT x.stream_id", "SELECT x.stream_id", 1))
+IMP_SELECT = ("""
+SELECT stream_id, t, col, v AS x_imp FROM mc UNION ALL
+SELECT stream_id, t, col, x_imp FROM (""" + _lerp_quantile(
+    "pos_c", "stream_id, col", "(SELECT * FROM mq WHERE col < 2)", "q", "x_imp") + ") UNION ALL "
+    + _INV.replace("round(p.v, 6) AS x_imp", "p.v AS x_imp"))
+IMP_CTES = ", " + _MQ + ", " + POS.format(src="mc")
+
+ORACLES["w08_impute_missing"] = (PRE + IMP_CTES + f"""
+SELECT stream_id, t, col, round(x_imp, 6) AS x_imp FROM ({IMP_SELECT})""")

@@ -45,6 +45,10 @@ from laggard.oracle import m1_sql  # noqa: E402
 
 ORACLES.update(m1_sql.ORACLES)
 
+from laggard.oracle import m2_sql  # noqa: E402
+
+ORACLES.update(m2_sql.ORACLES)
+
 
 def _fix_neg_zero(sql: str) -> str:
     """Wrap every ``round(expr, 6)`` as ``(round(expr, 6) + 0)``: DuckDB keeps -0.0 for tiny

@@ -67,7 +67,8 @@ def _w(i: int, prm: FtrlParams, z: str = "z", r: str = "r") -> str:
 
 
 def ftrl_recursive_sql(rows: str, p: int, prm: FtrlParams, delay: int | None,
-                       label_col: str = "y") -> str:
+                       label_col: str = "y", name: str = "st", soft: bool = False,
+                       weight_col: str | None = None) -> str:
     """Recursive CTE ``ftrl(stream_id, t, prob, ...)`` reproducing the learner fold.
 
     ``rows`` is a relation with ``stream_id, t (dense from 0), x0..x{p-1}, <label_col>``.
@@ -82,17 +83,21 @@ def ftrl_recursive_sql(rows: str, p: int, prm: FtrlParams, delay: int | None,
     fit_x = "d" if delay is not None else "c"
     join_fit = (f"LEFT JOIN {rows} d ON d.stream_id = st.stream_id AND d.t = st.t + 1 - {delay}"
                 if delay is not None else "")
+    wsql = f"CAST({fit_x}.{weight_col} AS DOUBLE)" if weight_col else "CAST(1 AS DOUBLE)"
     s1 = (f"SELECT st.*, c.t AS nt, " + ", ".join(f"c.x{i} AS cx{i}" for i in xs) + ", "
           + ", ".join(f"{fit_x}.x{i} AS fx{i}" for i in xs)
-          + f", CAST({fit_x}.{label_col} AS DOUBLE) AS fy "
+          + f", CAST({fit_x}.{label_col} AS DOUBLE) AS fy, {wsql} AS fw8 "
           f"FROM st JOIN {rows} c ON c.stream_id = st.stream_id AND c.t = st.t + 1 {join_fit}")
     s2 = f"SELECT *, " + ", ".join(f"{_w(i, prm)} AS w{i}" for i in xs) + f" FROM ({s1})"
     s3 = f"SELECT *, ({' + '.join(f'w{i} * fx{i}' for i in xs)}) AS m FROM ({s2})"
     s4 = (f"SELECT *, {sigmoid_sql('m')} AS fp, times + 1 AS times1 FROM ({s3})")
-    s5 = (f"SELECT *, CASE WHEN abs(fy - fp) > 0.5 THEN 1 ELSE 0 END AS ferr, "
-          f"{decay_sql('CAST(times1 AS DOUBLE)', prm.decay_choice)} AS dec1 FROM ({s4})")
+    errx = ("CASE WHEN (CASE WHEN fy >= 0.5 THEN 1 ELSE 0 END) <> (CASE WHEN fp >= 0.5 THEN 1 ELSE 0 END) "
+            "THEN 1 ELSE 0 END" if soft else "CASE WHEN abs(fy - fp) > 0.5 THEN 1 ELSE 0 END")
+    dec1 = decay_sql('CAST(times1 AS DOUBLE)', prm.decay_choice) if prm.adaptive else "dec"
+    s5 = (f"SELECT *, {errx} AS ferr, {dec1} AS dec1 FROM ({s4})")
     s6 = (f"SELECT *, fails + ferr AS fails1, CAST(fails + ferr AS DOUBLE) / times1 AS pi FROM ({s5})")
-    s7 = (f"SELECT *, sqrt(pi * (1 - pi) / times1) AS si, times1 > {prm.warmup} AS act FROM ({s6})")
+    s7 = (f"SELECT *, sqrt(pi * (1 - pi) / times1) AS si, "
+          f"{'times1 > ' + str(prm.warmup) if prm.adaptive else 'false'} AS act FROM ({s6})")
     s8 = (f"SELECT *, pi + si AS ps, CASE WHEN act THEN dec1 * (1.0 - {c!r}) + {c!r} * pi ELSE dec1 END AS dec2 "
           f"FROM ({s7})")
     s9 = (f"SELECT *, CASE WHEN act AND ps < pmin + smin THEN pi ELSE pmin END AS pmin1, "
@@ -102,35 +107,41 @@ def ftrl_recursive_sql(rows: str, p: int, prm: FtrlParams, delay: int | None,
            f"CASE WHEN warn THEN fw + ferr WHEN act THEN 0 ELSE fw END AS fw1, "
            f"warn AND ps > pmin1 + 3 * smin1 AS drift FROM ({s10})")
     new = {
-        **{f"v{i}": f"v{i} + (fp - fy) * fx{i}" for i in xs},
+        **{f"v{i}": f"v{i} + (fw8 * (fp - fy)) * fx{i}" for i in xs},
         **{f"h{i}": f"dec2 * h{i} + w{i}" for i in xs},
-        **{f"z{i}": f"(v{i} + (fp - fy) * fx{i}) - {prm.lp!r} * (dec2 * h{i} + w{i})" for i in xs},
+        **{f"z{i}": f"(v{i} + (fw8 * (fp - fy)) * fx{i}) - {prm.lp!r} * (dec2 * h{i} + w{i})" for i in xs},
         "r": "1.0 + dec2 * r", "dec": "dec2",
-        "times": "CASE WHEN drift THEN tw1 ELSE times1 END",
-        "fails": "CASE WHEN drift THEN fw1 ELSE fails1 END",
+        "times": ("CASE WHEN drift THEN tw1 ELSE times1 END" if prm.adaptive else "times"),
+        "fails": ("CASE WHEN drift THEN fw1 ELSE fails1 END" if prm.adaptive else "fails"),
         "tw": "tw1", "fw": "fw1",
         "pmin": "CASE WHEN drift THEN CAST(1 AS DOUBLE) ELSE pmin1 END",
         "smin": "CASE WHEN drift THEN CAST(10 AS DOUBLE) ELSE smin1 END",
     }
     upd = "fy IS NOT NULL"
-    s12 = (f"SELECT stream_id, nt AS t, fp, {upd} AS did_fit, "
+    loss = ("(fy0 * greatest(m, 0) + fy * greatest(-m, 0) + ln(1 + exp(-abs(m))))".replace("fy0", "(1 - fy)")
+            if soft else "(greatest(m, 0) - fy * m + ln(1 + exp(-abs(m))))")
+    s12 = (f"SELECT stream_id, nt AS t, fp, m AS fm, {loss} AS floss, {upd} AS did_fit, "
            + ", ".join(f"cx{i}" for i in xs) + ", "
            + ", ".join(f"CASE WHEN {upd} THEN {new[k]} ELSE {k} END AS {k}" for k in state_cols)
            + f" FROM ({s11})")
     pred_w = " + ".join(f"{_w(i, prm)} * cx{i}" for i in xs)
     if delay is not None:
         prob = sigmoid_sql(f"({pred_w})")
-        s13 = f"SELECT stream_id, t, {prob} AS prob, " + ", ".join(state_cols) + f" FROM ({s12})"
+        s13 = (f"SELECT stream_id, t, {prob} AS prob, ({pred_w}) AS pm, fm, floss, did_fit, "
+               + ", ".join(state_cols) + f" FROM ({s12})")
     else:
         # predict-then-fit: the emitted probability is the one computed before the update
         s13 = (f"SELECT stream_id, t, CASE WHEN did_fit THEN fp ELSE "
-               f"{sigmoid_sql('(' + pred_w + ')')} END AS prob, " + ", ".join(state_cols)
-               + f" FROM ({s12})")
+               f"{sigmoid_sql('(' + pred_w + ')')} END AS prob, ({pred_w}) AS pm, fm, floss, did_fit, "
+               + ", ".join(state_cols) + f" FROM ({s12})")
     z0 = "CAST(0 AS DOUBLE)"
     base = (f"SELECT stream_id, CAST(-1 AS BIGINT) AS t, CAST(NULL AS DOUBLE) AS prob, "
+            f"CAST(NULL AS DOUBLE) AS pm, CAST(NULL AS DOUBLE) AS fm, CAST(NULL AS DOUBLE) AS floss, "
+            f"false AS did_fit, "
             f"{', '.join(f'{z0} AS v{i}' for i in xs)}, {', '.join(f'{z0} AS h{i}' for i in xs)}, "
             f"{', '.join(f'{z0} AS z{i}' for i in xs)}, CAST(1 AS DOUBLE) AS r, "
             f"CAST({prm.init_decay!r} AS DOUBLE) AS dec, "
             f"0 AS times, 0 AS fails, 0 AS tw, 0 AS fw, CAST(1 AS DOUBLE) AS pmin, "
             f"CAST(10 AS DOUBLE) AS smin FROM {rows} GROUP BY stream_id")
-    return f"st AS ({base} UNION ALL {s13})"
+    return f"{name} AS ({base} UNION ALL {s13})".replace("FROM st ", f"FROM {name} st ").replace(
+        "JOIN st ", f"JOIN {name} st ")

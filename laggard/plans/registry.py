@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import inspect
 
-from laggard.plans import m0, m1
+from laggard.plans import m0, m1, m2
 
 
 def _collect(mod) -> dict:
@@ -21,6 +21,7 @@ QUERIES = {
     "m0_delayed_errors": m0.delayed_errors,
     "m0_delayed_summary": m0.delayed_summary,
     **_collect(m1),
+    **_collect(m2),
 }
 
 FLAGSHIP = m0.delayed_errors
