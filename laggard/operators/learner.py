@@ -251,22 +251,25 @@ def scan_events(events: DataFrame, keys: Sequence[str], prm: FtrlParams = FtrlPa
     return ev.mapInPandas(_scan_partition(keys, prm, max_delay, soft, emit_updates), schema)
 
 
-def _feature_events(rows: DataFrame, keys, t: str, x: str, kind: int, y: str | None) -> DataFrame:
+def _feature_events(rows: DataFrame, keys, t: str, x: str, kind: int, y: str | None,
+                    weight: str | None = None) -> DataFrame:
+    extra = [F.col(weight).cast("double").alias("w")] if weight else []
     return rows.select(*keys, F.col(t).cast("bigint").alias("_time"), F.lit(kind).alias("_kind"),
                        F.col(t).cast("bigint").alias("_tref"),
                        F.col(x).cast("array<double>").alias("x"),
-                       (F.col(y).cast("double") if y else F.lit(None).cast("double")).alias("y"))
+                       (F.col(y).cast("double") if y else F.lit(None).cast("double")).alias("y"),
+                       *extra)
 
 
 def online_learner(rows: DataFrame, keys: Sequence[str] = ("stream_id",), t: str = "t",
                    x: str = "x", y: str = "y", prm: FtrlParams = FtrlParams(),
-                   soft: bool = False) -> DataFrame:
+                   soft: bool = False, weight: str | None = None) -> DataFrame:
     """ST01/ST02/ST04/ST13: immediate-label learner. Output ``keys, t, prob, pred, loss, decay, level``.
 
     NULL label rows are predicted without learning (ST04, ST09 hidden labels).
     """
     keys = list(keys)
-    ev = _feature_events(rows, keys, t, x, FIT, y)
+    ev = _feature_events(rows, keys, t, x, FIT, y, weight)
     out = scan_events(ev, keys, prm, soft=soft)
     return out.select(*keys, "t", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"),
                       "margin", "loss", "decay", "level")
@@ -317,3 +320,35 @@ def drift_levels(errs: DataFrame, keys: Sequence[str] = ("stream_id",), t: str =
     return (errs.select(*keys, t, F.col(err).cast("int").alias(err))
             .repartition(*keys).sortWithinPartitions(*keys, t)
             .mapInPandas(run, f"{kschema}, level int, p_min double, s_min double"))
+
+
+def hedge_ensemble(rows: DataFrame, keys: Sequence[str] = ("stream_id",), t: str = "t",
+                   x: str = "x", z: str = "z", y: str = "y", prm: FtrlParams = FtrlParams(),
+                   eta: float = 0.001) -> DataFrame:
+    """ST06 + W13: one learner per view; p = sigmoid(lam m_x + (1 - lam) m_z) with
+    lam = softmax(-eta * cumulative loss) of the rows *before* t, m = w.x with the
+    pre-update weights.  The two learners are independent scans; lam is a prefix sum.
+    Output ``keys, t, lam, prob, pred, loss_x, loss_z``.
+    """
+    from laggard.functions.logistic import sigmoid
+    from laggard.operators.seq import running_sums
+    keys = list(keys)
+    ox = online_learner(rows.select(*keys, t, F.col(x).alias("x"), y), keys, t, "x", y, prm)
+    oz = online_learner(rows.select(*keys, t, F.col(z).alias("x"), y), keys, t, "x", y, prm)
+    d = (ox.select(*keys, t, F.col("margin").alias("mx"), F.col("loss").alias("loss_x"))
+         .join(oz.select(*keys, t, F.col("margin").alias("mz"), F.col("loss").alias("loss_z")),
+               [*keys, t]))
+    d = running_sums(d, keys, t, {"_cx": "loss_x", "_cz": "loss_z"})
+    gap = (F.col("_cz") - F.col("loss_z")) - (F.col("_cx") - F.col("loss_x"))
+    d = d.withColumn("lam", 1.0 / (1.0 + F.exp(-eta * gap)))
+    d = d.withColumn("prob", sigmoid(F.col("lam") * F.col("mx") + (1 - F.col("lam")) * F.col("mz")))
+    return d.select(*keys, t, "lam", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"),
+                    "loss_x", "loss_z")
+
+
+def fill_labels(df: DataFrame, y: str = "y_obs", pseudo: str = "pseudo",
+                out: str = "y_fill") -> DataFrame:
+    """Prefer the real label, else the pseudo-label, else none; ``label_source``."""
+    return (df.withColumn(out, F.coalesce(F.col(y).cast("double"), F.col(pseudo).cast("double")))
+            .withColumn("label_source", F.when(F.col(y).isNotNull(), "real")
+                        .when(F.col(pseudo).isNotNull(), "pseudo").otherwise("none")))

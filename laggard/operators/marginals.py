@@ -176,3 +176,19 @@ def group_quantile(cells: DataFrame, group: Sequence[str], q: float, v: str = "v
     group = list(group)
     qs = cells.select(*group).distinct().withColumn("_q", F.lit(float(q)))
     return quantile_lookup(qs, cells.select(*group, t, v), "_q", group, v, out).drop("_q")
+
+
+def latent_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str = "z_",
+                   latent_sd: float = 1.0) -> DataFrame:
+    """W04 on a wide table: for every column, z = Phi^-1(n/(n+1) F(v)) with the offline
+    ECDF of its stream (n = rows of the stream).  One pre-aggregated ECDF per column."""
+    keys = list(keys)
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
+    out = df.join(n, keys)
+    for c in cols:
+        r = value_ranks(df.select(*keys, c), keys, c).select(
+            *keys, c, (F.col("n_below") + F.col("n_eq")).alias("_le"), F.col("n").alias("_no"))
+        out = out.join(r, [*keys, c], "left")
+        q = "(CAST(_nr AS DOUBLE) / (_nr + 1)) * (_le / CAST(_no AS DOUBLE))"
+        out = out.withColumn(f"{prefix}{c}", F.expr(phi_inv_sql(q)) * latent_sd).drop("_le", "_no")
+    return out.drop("_nr")

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import inspect
+import re
 
-from laggard.plans import m0, m1, m2
+from laggard.plans import m0, m1, m2, m3
 
 
 def _collect(mod) -> dict:
     """Every public query function of a plan module whose name starts with an operator ID."""
     out = {}
     for name, fn in inspect.getmembers(mod, inspect.isfunction):
-        if (fn.__module__ == mod.__name__ and name[:1].isalpha() and len(name) > 4
-                and name[1:3].isdigit() and name[3] == '_'):
+        if fn.__module__ == mod.__name__ and re.match(r"^[a-z]{1,2}\d{2}_", name):
             out[name] = fn
     return out
 
@@ -22,6 +22,7 @@ QUERIES = {
     "m0_delayed_summary": m0.delayed_summary,
     **_collect(m1),
     **_collect(m2),
+    **_collect(m3),
 }
 
 FLAGSHIP = m0.delayed_errors
