@@ -57,6 +57,10 @@ from laggard.oracle import m5_sql  # noqa: E402
 
 ORACLES.update(m5_sql.ORACLES)
 
+from laggard.oracle import m4_sql  # noqa: E402
+
+ORACLES.update(m4_sql.ORACLES)
+
 
 def _fix_neg_zero(sql: str) -> str:
     """Wrap every ``round(expr, 6)`` as ``(round(expr, 6) + 0)``: DuckDB keeps -0.0 for tiny

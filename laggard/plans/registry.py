@@ -5,7 +5,7 @@ from __future__ import annotations
 import inspect
 import re
 
-from laggard.plans import m0, m1, m2, m3, m5
+from laggard.plans import m0, m1, m2, m3, m4, m5
 
 
 def _collect(mod) -> dict:
@@ -23,6 +23,7 @@ QUERIES = {
     **_collect(m1),
     **_collect(m2),
     **_collect(m3),
+    **_collect(m4),
     **_collect(m5),
 }
 
