@@ -42,51 +42,56 @@ def pair_mask(df: DataFrame, cols: Sequence[str], mask_num: int, seed: int,
 
 
 def mask_cells(cells: DataFrame, fraction: float, seed: int, keys=("stream_id",), t: str = "t",
-               col: str = "col", max_retries: int = 50) -> DataFrame:
+               col: str = "col", max_retries: int = 50, seeds_per_pass: int = 4) -> DataFrame:
     """Per stream hide exactly ``int(fraction * observed cells)`` cells, chosen by the
     smallest hash; if a row would lose all its cells the stream is redrawn with seed+1
     (at most ``max_retries`` times).  Output: ``cells`` plus ``masked`` BOOLEAN and ``seed``.
 
     The per-stream top-k is exact without a per-stream window: hashes are
-    histogrammed on their top 16 bits per (stream, bucket), the cut bucket is
-    found on the (small) histogram, and only that bucket is ranked.
+    histogrammed on their top 16 bits per (stream, seed, bucket), the cut bucket is
+    found on that small histogram, and only the cut bucket is ranked.  Each pass
+    evaluates ``seeds_per_pass`` consecutive seeds at once, so a second pass only
+    touches the few streams for which all of them left an empty row.
     """
     keys = _k(keys)
     n_obs = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nobs"))
-    streams = n_obs.select(*keys, F.floor(F.col("_nobs") * fraction).cast("long").alias("_k"))
+    pending = n_obs.select(*keys, F.floor(F.col("_nobs") * fraction).cast("long").alias("_k"))
+    g = [*keys, "_s"]
     result = None
-    pending = streams
-    for attempt in range(max_retries + 1):
-        s = seed + attempt
-        c = cells.join(pending, keys).withColumn("_h", hash32(str(s), *keys, t, col))
-        c = c.withColumn("_hb", F.shiftright("_h", 16))
-        hist = c.groupBy(*keys, "_hb").agg(F.count(F.lit(1)).alias("_hn"))
-        wc = Window.partitionBy(*keys).orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
+    for first in range(seed, seed + max_retries + 1, seeds_per_pass):
+        seeds = [s for s in range(first, first + seeds_per_pass) if s <= seed + max_retries]
+        c = (cells.join(pending, keys)
+             .withColumn("_s", F.explode(F.array(*[F.lit(s) for s in seeds])))
+             .withColumn("_h", hash32("_s", *keys, t, col))
+             .withColumn("_hb", F.shiftright("_h", 16)))
+        hist = c.groupBy(*g, "_hb").agg(F.count(F.lit(1)).alias("_hn"), F.max("_k").alias("_k"))
+        wc = Window.partitionBy(*g).orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("_cum", F.sum("_hn").over(wc))
-        cut = (hist.join(pending, keys).where(F.col("_cum") >= F.col("_k"))
-               .groupBy(*keys).agg(F.min_by(F.struct("_hb", "_cum", "_hn"), "_hb").alias("_cut"),
-                                   F.max("_k").alias("_k"))
-               .select(*keys, F.col("_cut._hb").alias("_cb"),
-                       (F.col("_cut._hn") - (F.col("_cut._cum") - F.col("_k"))).alias("_need")))
-        c = c.join(cut, keys, "left")
-        inb = c.where(F.col("_hb") == F.col("_cb"))
-        wr = Window.partitionBy(*keys, "_hb").orderBy("_h", t, col)
-        ranked = inb.withColumn("_r", F.row_number().over(wr)).select(*keys, t, col, "_r")
-        c = c.join(ranked, [*keys, t, col], "left")
-        c = c.withColumn("masked", F.coalesce(
-            (F.col("_hb") < F.col("_cb")) | ((F.col("_hb") == F.col("_cb")) & (F.col("_r") <= F.col("_need"))),
-            F.lit(False))).withColumn("seed", F.lit(s))
-        c = c.select(*cells.columns, "masked", "seed")
-        empty = (c.groupBy(*keys, t).agg(F.bool_and("masked").alias("_all"))
-                 .where("_all").select(*keys).distinct())
-        good = c.join(empty, keys, "left_anti")
+        cut = (hist.where(F.col("_cum") >= F.col("_k"))
+               .groupBy(*g).agg(F.min_by(F.struct("_hb", "_cum", "_hn", "_k"), "_hb").alias("_c"))
+               .select(*g, F.col("_c._hb").alias("_cb"),
+                       (F.col("_c._hn") - (F.col("_c._cum") - F.col("_c._k"))).alias("_need")))
+        c = c.join(cut, g, "left")
+        wr = Window.partitionBy(*g, "_hb").orderBy("_h", t, col)
+        ranked = (c.where(F.col("_hb") == F.col("_cb"))
+                  .withColumn("_r", F.row_number().over(wr)).select(*g, t, col, "_r"))
+        m = c.join(ranked, [*g, t, col], "left").select(
+            *cells.columns, "_s",
+            F.coalesce((F.col("_hb") < F.col("_cb"))
+                       | ((F.col("_hb") == F.col("_cb")) & (F.col("_r") <= F.col("_need"))),
+                       F.lit(False)).alias("masked")).checkpoint()
+        empty = (m.groupBy(*g, t).agg(F.bool_and("masked").alias("_all"))
+                 .where("_all").select(*g).distinct())
+        chosen = (m.select(*g).distinct().join(empty, g, "left_anti")
+                  .groupBy(*keys).agg(F.min("_s").alias("_s")))
+        good = m.join(chosen, g).withColumnRenamed("_s", "seed")
         result = good if result is None else result.unionByName(good)
-        pending = pending.join(empty, keys, "left_semi").checkpoint()
+        pending = pending.join(chosen, keys, "left_anti").checkpoint()
         if pending.isEmpty():
             break
     else:
         raise ValueError("masking left an empty row after the maximum number of retries")
-    return result
+    return result.select(*cells.columns, "masked", F.col("seed").cast("bigint").alias("seed"))
 
 
 def mask_per_row(df: DataFrame, cols: Sequence[str], seed: int, size: int = 1,
