@@ -338,6 +338,8 @@ def hedge_ensemble(rows: DataFrame, keys: Sequence[str] = ("stream_id",), t: str
     d = (ox.select(*keys, t, F.col("margin").alias("mx"), F.col("loss").alias("loss_x"))
          .join(oz.select(*keys, t, F.col("margin").alias("mz"), F.col("loss").alias("loss_z")),
                [*keys, t]))
+    d = (d.withColumn("loss_x", F.coalesce("loss_x", F.lit(0.0)))
+         .withColumn("loss_z", F.coalesce("loss_z", F.lit(0.0))))
     d = running_sums(d, keys, t, {"_cx": "loss_x", "_cz": "loss_z"})
     gap = (F.col("_cz") - F.col("loss_z")) - (F.col("_cx") - F.col("loss_x"))
     d = d.withColumn("lam", 1.0 / (1.0 + F.exp(-eta * gap)))
@@ -352,3 +354,32 @@ def fill_labels(df: DataFrame, y: str = "y_obs", pseudo: str = "pseudo",
     return (df.withColumn(out, F.coalesce(F.col(y).cast("double"), F.col(pseudo).cast("double")))
             .withColumn("label_source", F.when(F.col(y).isNotNull(), "real")
                         .when(F.col(pseudo).isNotNull(), "pseudo").otherwise("none")))
+
+
+def delayed_hedge_ensemble(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str] = ("stream_id",),
+                           t: str = "t", x: str = "x", z: str = "z", prm: FtrlParams = FtrlParams(),
+                           eta: float = 0.001, max_delay: int | None = None) -> DataFrame:
+    """ST08: two delayed learners (ST07 per view); lam at time t uses the losses of all
+    label updates applied up to and including t (labels are applied before the
+    prediction of t); p = sigmoid(lam m_x + (1 - lam) m_z) with the current weights."""
+    from laggard.functions.logistic import sigmoid
+    from laggard.operators.seq import running_sums
+    keys = list(keys)
+
+    def view(col: str, tag: str) -> DataFrame:
+        fe = _feature_events(rows.select(*keys, t, F.col(col).alias("x")), keys, t, "x", FEATURE, None)
+        le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"),
+                             F.lit(LABEL).alias("_kind"), F.col("t_orig").cast("bigint").alias("_tref"),
+                             F.lit(None).cast("array<double>").alias("x"),
+                             F.col("y").cast("double").alias("y"))
+        out = scan_events(fe.unionByName(le), keys, prm, max_delay=max_delay, emit_updates=True)
+        upd = (out.where(F.col("kind") == LABEL).groupBy(*keys, F.col("t").alias(t))
+               .agg(F.sum("loss").alias(f"l{tag}")))
+        pred = out.where(F.col("kind") == FEATURE).select(*keys, t, F.col("margin").alias(f"m{tag}"))
+        return pred.join(upd, [*keys, t], "left").withColumn(f"l{tag}", F.coalesce(f"l{tag}", F.lit(0.0)))
+
+    d = view(x, "x").join(view(z, "z"), [*keys, t])
+    d = running_sums(d, keys, t, {"_cx": "lx", "_cz": "lz"})
+    d = d.withColumn("lam", 1.0 / (1.0 + F.exp(-eta * (F.col("_cz") - F.col("_cx")))))
+    d = d.withColumn("prob", sigmoid(F.col("lam") * F.col("mx") + (1 - F.col("lam")) * F.col("mz")))
+    return d.select(*keys, t, "lam", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"))

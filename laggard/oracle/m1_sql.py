@@ -71,7 +71,7 @@ FROM wu GROUP BY stream_id, col"""
 ORACLES["p02_mixed_table"] = PRE + """,
 c AS (SELECT stream_id, col, (max(CASE WHEN v IS NULL OR v % 1 <> 0 THEN 1 ELSE 0 END) = 1)
              OR count(DISTINCT v) >= 14 AS is_cont FROM wu GROUP BY stream_id, col)
-SELECT stream_id, sum(CAST(is_cont AS INTEGER)) AS n_cont, count(*) AS n_cols,
+SELECT stream_id, CAST(sum(CAST(is_cont AS INTEGER)) AS BIGINT) AS n_cont, count(*) AS n_cols,
        bool_or(is_cont) AND NOT bool_and(is_cont) AS is_mixed FROM c GROUP BY stream_id"""
 
 _DISC = """disc AS (SELECT stream_id, col, (count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END))

@@ -34,9 +34,9 @@ FROM p"""
 
 ORACLES["a01_a02_a27_method_metrics"] = PRED + """,
 c AS (SELECT stream_id, method, count(*) AS n,
-        sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
-        sum(CASE WHEN y = 0 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
-        sum(CASE WHEN y = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn, avg(err) AS cer
+        CAST(sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+        CAST(sum(CASE WHEN y = 0 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+        CAST(sum(CASE WHEN y = 1 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn, avg(err) AS cer
       FROM p GROUP BY stream_id, method),
 m AS (SELECT *, tp / (tp + fn + 1e-10) AS recall, tp / (tp + fp + 1e-10) AS precision FROM c),
 v AS (SELECT stream_id, method, prob, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos,

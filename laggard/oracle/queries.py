@@ -32,9 +32,9 @@ FROM e"""
 
 ORACLES["m0_delayed_summary"] = _m0_preds(m0.M0_DELAY) + """,
 c AS (SELECT stream_id, count(*) AS n,
-        sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
-        sum(CASE WHEN y = 0 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
-        sum(CASE WHEN y = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn FROM e GROUP BY stream_id),
+        CAST(sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+        CAST(sum(CASE WHEN y = 0 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+        CAST(sum(CASE WHEN y = 1 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM e GROUP BY stream_id),
 m AS (SELECT *, tp / (tp + fn + 1e-10) AS recall, tp / (tp + fp + 1e-10) AS precision FROM c)
 SELECT stream_id, n, tp, fp, fn, round(recall, 6) AS recall, round(precision, 6) AS precision,
        round(2 * (precision * recall) / (precision + recall + 1e-10), 6) AS f1 FROM m"""
@@ -61,6 +61,10 @@ from laggard.oracle import m4_sql  # noqa: E402
 
 ORACLES.update(m4_sql.ORACLES)
 
+from laggard.oracle import m6_sql  # noqa: E402
+
+ORACLES.update(m6_sql.ORACLES)
+
 
 def _fix_neg_zero(sql: str) -> str:
     """Wrap every ``round(expr, 6)`` as ``(round(expr, 6) + 0)``: DuckDB keeps -0.0 for tiny
