@@ -383,3 +383,98 @@ def delayed_hedge_ensemble(rows: DataFrame, arrivals: DataFrame, keys: Sequence[
     d = d.withColumn("lam", 1.0 / (1.0 + F.exp(-eta * (F.col("_cz") - F.col("_cx")))))
     d = d.withColumn("prob", sigmoid(F.col("lam") * F.col("mx") + (1 - F.col("lam")) * F.col("mz")))
     return d.select(*keys, t, "lam", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"))
+
+
+def _copy_state(st: FtrlState, prm: FtrlParams) -> FtrlState:
+    c = FtrlState(st.p, prm)
+    for k in FtrlState.__slots__:
+        v = getattr(st, k)
+        setattr(c, k, list(v) if isinstance(v, list) else v)
+    return c
+
+
+def speculative_learner(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str] = ("stream_id",),
+                        t: str = "t", x: str = "x", pseudo: str = "pseudo",
+                        prm: FtrlParams = FtrlParams(), max_delay: int = 5) -> DataFrame:
+    """ST14/ST15: delayed learner (ST07) plus, at every t, a throw-away copy of the committed
+    state trained on the pseudo-labels of the still-unlabelled buffered rows, used to
+    predict t (``prob_spec``); ``prob_blend`` uses the 50/50 average of committed and
+    speculative weights.  The copy never writes back; cost O(D p) per row."""
+    keys = list(keys)
+    fe = rows.select(*keys, F.col(t).cast("bigint").alias("_time"), F.lit(FEATURE).alias("_kind"),
+                     F.col(t).cast("bigint").alias("_tref"), F.col(x).cast("array<double>").alias("x"),
+                     F.col(pseudo).cast("double").alias("y"))
+    le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"),
+                         F.lit(LABEL).alias("_kind"), F.col("t_orig").cast("bigint").alias("_tref"),
+                         F.lit(None).cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"))
+    ev = fe.unionByName(le).repartition(*keys).sortWithinPartitions(*keys, "_time", "_kind")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur, st, buf = None, None, {}
+        for pdf in batches:
+            out = {k: [] for k in keys}
+            out.update(t=[], prob=[], prob_spec=[], prob_blend=[])
+            kc = [pdf[k].to_numpy() for k in keys]
+            for i, (tm, kind, tref, xv, yv) in enumerate(zip(pdf["_time"], pdf["_kind"], pdf["_tref"],
+                                                              pdf["x"], pdf["y"])):
+                key = tuple(c[i] for c in kc)
+                if key != cur:
+                    cur, st, buf = key, None, {}
+                has_y = yv is not None and not (isinstance(yv, float) and math.isnan(yv))
+                if kind == LABEL:
+                    b = buf.pop(int(tref), None)
+                    if b is not None and has_y:
+                        if st is None:
+                            st = FtrlState(len(b[0]), prm)
+                        st.fit(b[0], float(yv), prm)
+                    continue
+                xl = [float(v) for v in xv]
+                if st is None:
+                    st = FtrlState(len(xl), prm)
+                spec = _copy_state(st, prm)
+                for k in sorted(buf):
+                    bx, by = buf[k]
+                    if by is not None:
+                        spec.fit(bx, by, prm)
+                wc = st.weights(len(xl), prm)
+                ws = spec.weights(len(xl), prm)
+                for kk, kv in zip(keys, key):
+                    out[kk].append(kv)
+                out["t"].append(int(tm))
+                out["prob"].append(sigmoid_py(sum(a * b for a, b in zip(wc, xl))))
+                out["prob_spec"].append(sigmoid_py(sum(a * b for a, b in zip(ws, xl))))
+                out["prob_blend"].append(sigmoid_py(sum((0.5 * a + 0.5 * c) * b
+                                                        for a, c, b in zip(wc, ws, xl))))
+                buf[int(tm)] = (xl, float(yv) if has_y else None)
+                for old in [k for k in buf if k < int(tm) - max_delay]:
+                    del buf[old]
+            if out["t"]:
+                yield pd.DataFrame(out)
+
+    schema = f"{schema_of(rows, keys)}, t bigint, prob double, prob_spec double, prob_blend double"
+    return ev.mapInPandas(run, schema)
+
+
+def carried_class_matrix(s_table: DataFrame, keys: Sequence[str] = ("stream_id",), win: str = "win",
+                         k: int = 2) -> DataFrame:
+    """ST22: M_w = row-normalise(M_{w-1} + S_w) when window w had a correctly classified
+    labelled row (``n_ok`` > 0), else M_{w-1}; M starts at 1/K.  ``s_table``: keys, win,
+    n_ok, s (flattened K x K sums of probability rows per true class)."""
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur, m = None, None
+        for pdf in batches:
+            res = []
+            for r in pdf.itertuples(index=False):
+                key = tuple(getattr(r, kk) for kk in keys)
+                if key != cur:
+                    cur, m = key, np.full((k, k), 1.0 / k)
+                if r.n_ok and r.n_ok > 0:
+                    m = m + np.asarray(r.s, dtype=float).reshape(k, k)
+                    m = m / m.sum(axis=1, keepdims=True)
+                res.append((*key, getattr(r, win), m.ravel().tolist()))
+            yield pd.DataFrame(res, columns=[*keys, win, "m"])
+
+    return (s_table.repartition(*keys).sortWithinPartitions(*keys, win)
+            .mapInPandas(run, f"{schema_of(s_table, [*keys, win])}, m array<double>"))

@@ -65,6 +65,10 @@ from laggard.oracle import m6_sql  # noqa: E402
 
 ORACLES.update(m6_sql.ORACLES)
 
+from laggard.oracle import m7_sql  # noqa: E402
+
+ORACLES.update(m7_sql.ORACLES)
+
 
 def _fix_neg_zero(sql: str) -> str:
     """Wrap every ``round(expr, 6)`` as ``(round(expr, 6) + 0)``: DuckDB keeps -0.0 for tiny

@@ -213,7 +213,7 @@ def w05_ord_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w10_window_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = marginals.window_values(masked_cells(spark, sf_dir), WIN)
-    return d.select("stream_id", "t", "col", F.size("win").alias("win_n"),
+    return d.select("stream_id", "t", "col", F.size("win").cast("bigint").alias("win_n"),
                     r6(F.aggregate("win", F.lit(0.0), lambda a, b: a + b)).alias("win_sum"),
                     r6(F.array_min("win")).alias("win_min"), r6(F.array_max("win")).alias("win_max"))
 

@@ -83,7 +83,8 @@ def a23_a25_w11_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t01_rank_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = drift.rank_methods(_scorecard(spark, sf_dir), ["stream_id"])
-    return r.select(*G, "rank_dpaa", "rank_recovery")
+    return r.select(*G, F.col("rank_dpaa").cast("bigint").alias("rank_dpaa"),
+                    F.col("rank_recovery").cast("bigint").alias("rank_recovery"))
 
 
 def w12_region(spark: SparkSession, sf_dir: str) -> DataFrame:

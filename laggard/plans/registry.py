@@ -5,7 +5,7 @@ from __future__ import annotations
 import inspect
 import re
 
-from laggard.plans import m0, m1, m2, m3, m4, m5, m6
+from laggard.plans import m0, m1, m2, m3, m4, m5, m6, m7
 
 
 def _collect(mod) -> dict:
@@ -26,6 +26,7 @@ QUERIES = {
     **_collect(m4),
     **_collect(m5),
     **_collect(m6),
+    **_collect(m7),
 }
 
 FLAGSHIP = m0.delayed_errors
