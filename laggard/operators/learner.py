@@ -327,25 +327,54 @@ def hedge_ensemble(rows: DataFrame, keys: Sequence[str] = ("stream_id",), t: str
                    eta: float = 0.001) -> DataFrame:
     """ST06 + W13: one learner per view; p = sigmoid(lam m_x + (1 - lam) m_z) with
     lam = softmax(-eta * cumulative loss) of the rows *before* t, m = w.x with the
-    pre-update weights.  The two learners are independent scans; lam is a prefix sum.
+    pre-update weights.  Both views are folded in one keyed ordered scan (two states
+    per stream), so the upstream plan is read once and no join is needed.
     Output ``keys, t, lam, prob, pred, loss_x, loss_z``.
     """
-    from laggard.functions.logistic import sigmoid
-    from laggard.operators.seq import running_sums
     keys = list(keys)
-    ox = online_learner(rows.select(*keys, t, F.col(x).alias("x"), y), keys, t, "x", y, prm)
-    oz = online_learner(rows.select(*keys, t, F.col(z).alias("x"), y), keys, t, "x", y, prm)
-    d = (ox.select(*keys, t, F.col("margin").alias("mx"), F.col("loss").alias("loss_x"))
-         .join(oz.select(*keys, t, F.col("margin").alias("mz"), F.col("loss").alias("loss_z")),
-               [*keys, t]))
-    d = (d.withColumn("loss_x", F.coalesce("loss_x", F.lit(0.0)))
-         .withColumn("loss_z", F.coalesce("loss_z", F.lit(0.0))))
-    d = running_sums(d, keys, t, {"_cx": "loss_x", "_cz": "loss_z"})
-    gap = (F.col("_cz") - F.col("loss_z")) - (F.col("_cx") - F.col("loss_x"))
-    d = d.withColumn("lam", 1.0 / (1.0 + F.exp(-eta * gap)))
-    d = d.withColumn("prob", sigmoid(F.col("lam") * F.col("mx") + (1 - F.col("lam")) * F.col("mz")))
-    return d.select(*keys, t, "lam", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"),
-                    "loss_x", "loss_z")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur = None
+        sx = sz = None
+        lx = lz = 0.0
+        for pdf in batches:
+            kc = [pdf[k].to_numpy() for k in keys]
+            out = {k: [] for k in keys}
+            out.update({t: [], "lam": [], "prob": [], "loss_x": [], "loss_z": []})
+            for i, (tm, xv, zv, yv) in enumerate(zip(pdf[t], pdf["_x"], pdf["_z"], pdf["_y"])):
+                key = tuple(c[i] for c in kc)
+                if key != cur:
+                    cur, sx, sz, lx, lz = key, None, None, 0.0, 0.0
+                xl = [0.0 if v is None else float(v) for v in xv]
+                zl = [0.0 if v is None else float(v) for v in zv]
+                if sx is None:
+                    sx, sz = FtrlState(len(xl), prm), FtrlState(len(zl), prm)
+                lam = 1.0 / (1.0 + math.exp(-eta * (lz - lx)))
+                mx, mz = sx.margin(xl, prm)[0], sz.margin(zl, prm)[0]
+                has_y = yv is not None and not (isinstance(yv, float) and math.isnan(yv))
+                if has_y:
+                    _, lox = sx.fit(xl, float(yv), prm)
+                    _, loz = sz.fit(zl, float(yv), prm)
+                    lx, lz = lx + lox, lz + loz
+                else:
+                    lox = loz = None
+                for kk, kv in zip(keys, key):
+                    out[kk].append(kv)
+                out[t].append(int(tm))
+                out["lam"].append(lam)
+                out["prob"].append(sigmoid_py(lam * mx + (1 - lam) * mz))
+                out["loss_x"].append(lox)
+                out["loss_z"].append(loz)
+            if out[t]:
+                yield pd.DataFrame(out)
+
+    ev = (rows.select(*keys, F.col(t).cast("bigint").alias(t), F.col(x).cast("array<double>").alias("_x"),
+                      F.col(z).cast("array<double>").alias("_z"), F.col(y).cast("double").alias("_y"))
+          .repartition(*keys).sortWithinPartitions(*keys, t))
+    out = ev.mapInPandas(run, f"{schema_of(rows, keys)}, {t} bigint, lam double, prob double, "
+                              f"loss_x double, loss_z double")
+    return out.select(*keys, t, "lam", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"),
+                      "loss_x", "loss_z")
 
 
 def fill_labels(df: DataFrame, y: str = "y_obs", pseudo: str = "pseudo",
