@@ -181,4 +181,5 @@ def window_graph(df: DataFrame, keys: Sequence[str] = ("stream_id",), win: str =
               f"dc double, is_root boolean")
     if y:
         schema += ", round int, pseudo double, p1 double"
-    return df.select(*cols).groupBy(*g).applyInPandas(run, schema)
+    from laggard.operators.learner import by_key
+    return by_key(df.select(*cols), g).groupBy(*g).applyInPandas(run, schema)

@@ -34,6 +34,19 @@ from laggard.functions.logistic import (decay_py, ftrl_weight_py, logistic_loss_
 LABEL, FEATURE, FIT = 0, 1, 2
 
 
+def keyed_partitions(df: DataFrame) -> int:
+    """Partition count for CPU-bound per-key Python stages.  An explicit count keeps AQE
+    from coalescing the (byte-small, CPU-heavy) shuffle output into a few tasks."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(n, spark.sparkContext.defaultParallelism)
+
+
+def by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by the stream keys with ``keyed_partitions`` tasks."""
+    return df.repartition(keyed_partitions(df), *keys)
+
+
 def schema_of(df: DataFrame, names: Sequence[str]) -> str:
     """DDL fragment for the named columns of ``df``, in the given order."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -245,9 +258,7 @@ def scan_events(events: DataFrame, keys: Sequence[str], prm: FtrlParams = FtrlPa
     schema = (f"{kschema}, kind int, t bigint, t_ref bigint, prob double, margin double, "
               f"loss double, decay double, level int")
     cols = [*keys, "_time", "_kind", "_tref", "x", "y"] + (["w"] if "w" in events.columns else [])
-    ev = (events.select(*cols)
-          .repartition(*keys)
-          .sortWithinPartitions(*keys, "_time", "_kind"))
+    ev = by_key(events.select(*cols), keys).sortWithinPartitions(*keys, "_time", "_kind")
     return ev.mapInPandas(_scan_partition(keys, prm, max_delay, soft, emit_updates), schema)
 
 
@@ -317,8 +328,8 @@ def drift_levels(errs: DataFrame, keys: Sequence[str] = ("stream_id",), t: str =
             yield res
 
     kschema = schema_of(errs, [*keys, t])
-    return (errs.select(*keys, t, F.col(err).cast("int").alias(err))
-            .repartition(*keys).sortWithinPartitions(*keys, t)
+    return (by_key(errs.select(*keys, t, F.col(err).cast("int").alias(err)), keys)
+            .sortWithinPartitions(*keys, t)
             .mapInPandas(run, f"{kschema}, level int, p_min double, s_min double"))
 
 
@@ -370,7 +381,8 @@ def hedge_ensemble(rows: DataFrame, keys: Sequence[str] = ("stream_id",), t: str
 
     ev = (rows.select(*keys, F.col(t).cast("bigint").alias(t), F.col(x).cast("array<double>").alias("_x"),
                       F.col(z).cast("array<double>").alias("_z"), F.col(y).cast("double").alias("_y"))
-          .repartition(*keys).sortWithinPartitions(*keys, t))
+          )
+    ev = by_key(ev, keys).sortWithinPartitions(*keys, t)
     out = ev.mapInPandas(run, f"{schema_of(rows, keys)}, {t} bigint, lam double, prob double, "
                               f"loss_x double, loss_z double")
     return out.select(*keys, t, "lam", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"),
@@ -436,7 +448,7 @@ def speculative_learner(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str
     le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"),
                          F.lit(LABEL).alias("_kind"), F.col("t_orig").cast("bigint").alias("_tref"),
                          F.lit(None).cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"))
-    ev = fe.unionByName(le).repartition(*keys).sortWithinPartitions(*keys, "_time", "_kind")
+    ev = by_key(fe.unionByName(le), keys).sortWithinPartitions(*keys, "_time", "_kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, st, buf = None, None, {}
@@ -505,5 +517,5 @@ def carried_class_matrix(s_table: DataFrame, keys: Sequence[str] = ("stream_id",
                 res.append((*key, getattr(r, win), m.ravel().tolist()))
             yield pd.DataFrame(res, columns=[*keys, win, "m"])
 
-    return (s_table.repartition(*keys).sortWithinPartitions(*keys, win)
+    return (by_key(s_table, keys).sortWithinPartitions(*keys, win)
             .mapInPandas(run, f"{schema_of(s_table, [*keys, win])}, m array<double>"))

@@ -55,6 +55,6 @@ def kernel_summaries(df: DataFrame, keys: Sequence[str], win: str = "win", t: st
         out["rbf_sum"], out["rbf_max"] = np.nansum(rbf, axis=1), np.nanmax(rbf, axis=1) if len(a) > 1 else np.nan
         return out
 
-    from laggard.operators.learner import schema_of
-    return df.select(*g, t, x).groupBy(*g).applyInPandas(
+    from laggard.operators.learner import by_key, schema_of
+    return by_key(df.select(*g, t, x), g).groupBy(*g).applyInPandas(
         run, f"{schema_of(df, [*g, t])}, lin_sum double, lin_max double, rbf_sum double, rbf_max double")

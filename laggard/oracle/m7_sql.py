@@ -60,3 +60,21 @@ SELECT stream_id, t, round(CASE WHEN nv > 2 THEN c2 ELSE 0.0 END, 6) AS first_or
         + CASE WHEN nv > 2 THEN {_W[2]!r} * c2 ELSE 0 END + CASE WHEN nv > 3 THEN {_W[3]!r} * c3 ELSE 0 END
         + CASE WHEN nv > 4 THEN {_W[4]!r} * c4 ELSE 0 END, 6) AS prefix_dot
 FROM v"""
+
+ORACLES["s10_hyper_params"] = PRE + """,
+n AS (SELECT stream_id, count(*) AS n FROM f1 GROUP BY stream_id),
+prof AS (SELECT * FROM (VALUES ('RandomRBF_10_5k_abrupt_2500drift', 4, CAST(0.01 AS DOUBLE), 10, 20),
+                               ('wbc', 2, CAST(0.05 AS DOUBLE), 8, 10))
+         AS p(dataset, decay_choice, contribute_error_rate, window_den, batch_den))
+SELECT stream_id, dataset, n, decay_choice, contribute_error_rate,
+       CAST(ceil(n / batch_den) AS BIGINT) AS batch_size, CAST(ceil(n / window_den) AS BIGINT) AS window_size
+FROM n, prof"""
+
+ORACLES["a18_neighbour_summary"] = _graph(None) + """,
+soft AS (SELECT stream_id, win, t, coalesce(CAST(y_obs AS DOUBLE), 0.5) AS s1 FROM wm),
+pa AS (SELECT g.stream_id, g.win, g.t, s.s1 AS ps1 FROM g JOIN soft s
+       ON s.stream_id = g.stream_id AND s.win = g.win AND s.t = g.parent_t WHERE NOT g.is_root),
+ch AS (SELECT g.stream_id, g.win, g.parent_t AS t, sum(exp(-g.delta) * s.s1) / sum(exp(-g.delta)) AS cs1
+       FROM g JOIN soft s USING (stream_id, win, t) WHERE NOT g.is_root GROUP BY 1, 2, 3)
+SELECT g.stream_id, g.win, g.t, round(pa.ps1, 6) AS parent_p1, round(ch.cs1, 6) AS child_p1
+FROM g LEFT JOIN pa USING (stream_id, win, t) LEFT JOIN ch USING (stream_id, win, t)"""

@@ -123,3 +123,36 @@ def st22_carried_class_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b13_t04_svm_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events_stream(spark, sf_dir)
     return svm_error(spark, ev, ["x0", "x1", "x2"])
+
+
+def s10_hyper_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per stream, the profile of each registered dataset and the batch / window sizes
+    it implies for that stream's length (small registry, broadcast join)."""
+    from laggard.sources.params import FIELDS, PROFILES
+    n = events_stream(spark, sf_dir).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"))
+    profs = F.array(*[F.struct(F.lit(k).alias("dataset"),
+                               *[F.lit(v).alias(f) for f, v in zip(FIELDS, vals)])
+                      for k, vals in PROFILES.items()])
+    d = n.withColumn("p", F.explode(profs)).select("stream_id", "n", "p.*")
+    return d.select("stream_id", "dataset", "n", "decay_choice", "contribute_error_rate",
+                    F.ceil(F.col("n") / F.col("batch_den")).alias("batch_size"),
+                    F.ceil(F.col("n") / F.col("window_den")).alias("window_size"))
+
+
+def a18_neighbour_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per node, the parent summary (its parent's soft label) and the child summary
+    sum(e^-d soft) / sum(e^-d) over its children; soft label = one-hot of an arrived label,
+    else [0.5, 0.5].  NULL when there is no parent (root) or no child."""
+    w = _windows(spark, sf_dir)
+    g = window_graph(w, y=None, pct=PCT).select("stream_id", "win", "t", "parent_t", "delta", "is_root")
+    soft = w.select("stream_id", "win", "t", F.coalesce(F.col("y_obs").cast("double"), F.lit(0.5)).alias("s1"))
+    par = (g.where(~F.col("is_root"))
+           .join(soft.withColumnRenamed("t", "parent_t").withColumnRenamed("s1", "ps1"),
+                 ["stream_id", "win", "parent_t"])
+           .select("stream_id", "win", "t", "ps1"))
+    ch = (g.where(~F.col("is_root")).join(soft, ["stream_id", "win", "t"])
+          .groupBy("stream_id", "win", F.col("parent_t").alias("t"))
+          .agg((F.sum(F.exp(-F.col("delta")) * F.col("s1")) / F.sum(F.exp(-F.col("delta")))).alias("cs1")))
+    out = g.select("stream_id", "win", "t").join(par, ["stream_id", "win", "t"], "left") \
+        .join(ch, ["stream_id", "win", "t"], "left")
+    return out.select("stream_id", "win", "t", r6("ps1").alias("parent_p1"), r6("cs1").alias("child_p1"))
