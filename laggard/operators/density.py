@@ -183,3 +183,120 @@ def window_graph(df: DataFrame, keys: Sequence[str] = ("stream_id",), win: str =
         schema += ", round int, pseudo double, p1 double"
     from laggard.operators.learner import by_key
     return by_key(df.select(*cols), g).groupBy(*g).applyInPandas(run, schema)
+
+
+def _logistic_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, iters: int = 25) -> np.ndarray:
+    """L2-regularised logistic regression (intercept unpenalised) by Newton steps:
+    minimise 0.5 ||w||^2 + C sum log-loss; the small per-window classifier of B08/B11."""
+    a = np.hstack([np.ones((len(x), 1)), x])
+    w = np.zeros(a.shape[1])
+    reg = np.eye(a.shape[1]) / c
+    reg[0, 0] = 0.0
+    for _ in range(iters):
+        p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -35, 35)))
+        g = a.T @ (p - y) + reg @ w
+        h = (a * (p * (1 - p))[:, None]).T @ a + reg + 1e-9 * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w -= step
+        if np.max(np.abs(step)) < 1e-10:
+            break
+    return w
+
+
+def _proba(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(np.hstack([np.ones((len(x), 1)), x]) @ w, -35, 35)))
+
+
+def _entropy_clip(v: np.ndarray) -> float:
+    q = np.clip(v, 1e-10, 1.0)
+    return float(-np.sum(q * np.log(q)))
+
+
+def propagate_soft(x: np.ndarray, dist: np.ndarray, parent: np.ndarray, rnd: np.ndarray,
+                   y: np.ndarray, c: float = 1.0, temperature: float = 2.0) -> np.ndarray:
+    """B11 for one window: rows labelled in round order.  Per row of round r: the classifier
+    probability (self), the class row of the soft-label matrix for its arg-max (F16, A17:
+    prior 1/K plus probability rows of correctly classified labelled rows), and the
+    summary of already-labelled neighbours (A18, parent and children weighted by e^-d);
+    fused by F15 (weights proportional to exp(-T H)).  The classifier is refitted on true +
+    pseudo labels after every round; the final soft label of every row is the classifier's.
+    Returns p1 per row (NaN when the window has a single class among arrived labels)."""
+    n = len(rnd)
+    lab = np.where(rnd == 0, y, np.nan)
+    if n == 0 or len(np.unique(lab[~np.isnan(lab)])) < 2:
+        return np.full(n, np.nan)
+    known = ~np.isnan(lab)
+    w = _logistic_fit(x[known], lab[known], c)
+    p_k = _proba(w, x[known])
+    m = np.full((2, 2), 0.5)
+    for pk, yk in zip(p_k, lab[known]):
+        if int(pk > 0.5) == int(yk):
+            m[int(yk)] += [1 - pk, pk]
+    m = m / m.sum(axis=1, keepdims=True)
+    soft = np.full((n, 2), np.nan)
+    soft[known] = np.stack([1 - lab[known], lab[known]], axis=1)
+    for r in range(1, int(rnd.max()) + 1 if rnd.max() > 0 else 1):
+        rows = np.where(rnd == r)[0]
+        for i in rows:
+            ps = _proba(w, x[i:i + 1])[0]
+            selfv = np.array([1 - ps, ps])
+            cls = m[int(ps > 0.5)]
+            nb = [j for j in ([int(parent[i])] if parent[i] != i else []) + list(np.where(parent == i)[0])
+                  if not np.isnan(soft[j, 0])]
+            vecs = [selfv, cls]
+            if nb:
+                we = np.exp(-dist[i, nb])
+                vecs.append((we[:, None] * soft[nb]).sum(axis=0) / we.sum())
+            raw = np.exp(-np.array([_entropy_clip(v) for v in vecs]) * temperature)
+            fused = sum(wi * v for wi, v in zip(raw / raw.sum(), vecs))
+            soft[i] = fused / fused.sum()
+        done = ~np.isnan(soft[:, 0])
+        yy = (soft[done, 1] > 0.5).astype(float)
+        if len(np.unique(yy)) == 2:
+            w = _logistic_fit(x[done], yy, c)
+    return _proba(w, x)
+
+
+def two_view_propagation(df: DataFrame, split: int, keys: Sequence[str] = ("stream_id",),
+                         win: str = "win", t: str = "t", x: str = "x", y: str = "y_obs",
+                         pct: float = 2.0) -> DataFrame:
+    """B12 (+ J07, F11): the window's rows seen as two views (x[:split], x[split:]); each view
+    gets its own density graph, propagation order and B11 soft labels; per node both views
+    -> confidence fusion (F11), one view -> kept; hard label = arg-max.  Also B11 per view.
+    Output ``p1_view1, p1_view2, p1_fused, hard``."""
+    keys = list(keys)
+    g = [*keys, win]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t).reset_index(drop=True)
+        xs = np.array([np.asarray(v, dtype=float) for v in pdf[x]])
+        yy = pdf[y].to_numpy(dtype=float, na_value=np.nan)
+        out = pdf[[*g, t]].copy()
+        ps = []
+        for view in (xs[:, :split], xs[:, split:]):
+            res = peaks(view, pct)
+            rnd = propagation_rounds(res["parent"], ~np.isnan(yy))
+            ps.append(propagate_soft(view, res["dist"], res["parent"], rnd, np.nan_to_num(yy, nan=-1)))
+        p1, p2 = ps
+        c1, c2 = np.maximum(p1, 1 - p1), np.maximum(p2, 1 - p2)
+        both = ~np.isnan(p1) & ~np.isnan(p2)
+        fused = np.where(both, (c1 * p1 + c2 * p2) / (c1 + c2), np.where(np.isnan(p1), p2, p1))
+        out["p1_view1"], out["p1_view2"], out["p1_fused"] = p1, p2, fused
+        out["hard"] = np.where(np.isnan(fused), np.nan, (fused > 0.5).astype(float))
+        return out
+
+    from laggard.operators.learner import by_key
+    schema = (f"{schema_of(df, [*g, t])}, p1_view1 double, p1_view2 double, p1_fused double, "
+              f"hard double")
+    return by_key(df.select(*g, t, x, y), g).groupBy(*g).applyInPandas(run, schema)
+
+
+def list_groups(df: DataFrame, k: int, keys: Sequence[str] = ("stream_id",), win: str = "win",
+                t: str = "t") -> DataFrame:
+    """The window's members in time order grouped into rows of k (last one short);
+    the window is a bounded group (W09 size), so the list never grows with the data."""
+    g = [*list(keys), win]
+    lst = df.groupBy(*g).agg(F.array_sort(F.collect_list(t)).alias("_l"))
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_l") / k).cast("int") - 1),
+                         lambda i: F.slice("_l", i * k + 1, k))
+    return lst.select(*g, F.posexplode(chunks).alias("chunk", "members"))

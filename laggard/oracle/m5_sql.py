@@ -155,3 +155,7 @@ cls AS (SELECT DISTINCT stream_id, c.y FROM v, (SELECT 0 AS y UNION ALL SELECT 1
 m AS (SELECT cls.stream_id, cls.y, 0.5 + coalesce(ok.s0, 0.0) AS m0, 0.5 + coalesce(ok.s1, 0.0) AS m1
       FROM cls LEFT JOIN ok USING (stream_id, y))
 SELECT stream_id, y AS class, round(m0 / (m0 + m1), 6) AS p0, round(m1 / (m0 + m1), 6) AS p1 FROM m"""
+
+ORACLES["u05_list_groups"] = _graph(None).split(",\npr AS")[0] + """
+SELECT stream_id, win, CAST((idx) // 4 AS INTEGER) AS chunk, count(*) AS size, min(t) AS first_t, max(t) AS last_t
+FROM wm GROUP BY stream_id, win, idx // 4"""

@@ -109,3 +109,18 @@ def a17_class_soft_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tot = F.col("m0") + F.col("m1")
     return m.select("stream_id", F.col("y").alias("class"), r6(F.col("m0") / tot).alias("p0"),
                     r6(F.col("m1") / tot).alias("p1"))
+
+
+def b11_b12_two_view_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B11 per view and B12 fusion on the F3 windows; views = the two halves of the embedding."""
+    from laggard.operators.density import two_view_propagation
+    r = two_view_propagation(_windows(spark, sf_dir), 32)
+    return r.select("stream_id", "win", "t", r6("p1_view1").alias("p1_view1"),
+                    r6("p1_view2").alias("p1_view2"), r6("p1_fused").alias("p1_fused"), "hard")
+
+
+def u05_list_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from laggard.operators.density import list_groups
+    g = list_groups(_windows(spark, sf_dir), 4)
+    return g.select("stream_id", "win", "chunk", F.size("members").cast("bigint").alias("size"),
+                    F.element_at("members", 1).alias("first_t"), F.element_at("members", -1).alias("last_t"))
