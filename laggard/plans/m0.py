@@ -27,8 +27,10 @@ def delayed_predictions(spark: SparkSession, sf_dir: str, delay: int = M0_DELAY,
     rows = as_array(ev, M0_FEATURES, intercept=True).select("stream_id", "t", "x", "y")
     arrivals = delayed_labels(ev, delay)
     preds = delayed_learner(rows, arrivals, prm=prm, max_delay=delay)
+    # the predictions table is read by several metric branches: write it once (reliable
+    # checkpoint) so the Python scan runs exactly once
     return (preds.join(ev.select("stream_id", "t", "y"), ["stream_id", "t"])
-            .withColumn("err", (F.abs(F.col("y") - F.col("pred")) > 0.5).cast("int")))
+            .withColumn("err", (F.abs(F.col("y") - F.col("pred")) > 0.5).cast("int"))).checkpoint()
 
 
 def delayed_errors(spark: SparkSession, sf_dir: str, delay: int = M0_DELAY,

@@ -42,7 +42,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.coalesce("y_old", F.lit(0)).cast("int").alias("pred"))
     p = d1.unionByName(d2).unionByName(d3)
     return (p.join(ev.select("stream_id", "t", "y"), ["stream_id", "t"])
-            .withColumn("err", (F.abs(F.col("y") - F.col("pred")) > 0.5).cast("int")))
+            .withColumn("err", (F.abs(F.col("y") - F.col("pred")) > 0.5).cast("int"))).checkpoint()
 
 
 G = ["stream_id", "method"]
@@ -129,7 +129,7 @@ def _imputed_vs_truth(spark, sf_dir):
     truth = wide_cells(lineitem_mixed(spark, sf_dir)).withColumnRenamed("v", "v_true")
     masked = wide_cells(corrupt.pair_mask(lineitem_mixed(spark, sf_dir), F2_C, 1, 7)) \
         .select("stream_id", "t", "col", F.col("v").isNull().alias("hidden"))
-    return imp.join(truth, ["stream_id", "t", "col"]).join(masked, ["stream_id", "t", "col"])
+    return imp.join(truth, ["stream_id", "t", "col"]).join(masked, ["stream_id", "t", "col"]).checkpoint()
 
 
 def a03_a07_imputation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
