@@ -40,3 +40,66 @@ def svm_error(spark: SparkSession, df: DataFrame, features: Sequence[str], y: st
     first_best = next(r[0] for r in rows if r[1] == max(a for _, a in rows)) if rows else None
     return (res.withColumn("is_best", F.col("C") == F.lit(first_best))
             .withColumn("error", 1.0 - F.col("accuracy")))
+
+
+LAMBDA_U_SCHEDULE = [0.0, 1e-6, 1e-4, 0.01, 0.1, 0.5, 1.0]   # fixed values: annealing of the unlabelled weight
+
+
+def transductive_svm(df: DataFrame, features: Sequence[str], y: str = "y_obs", lam: float = 1e-3,
+                     steps: int = 8, schedule: Sequence[float] = LAMBDA_U_SCHEDULE) -> DataFrame:
+    """B14 (re-aimed from the quasi-Newton S3VM solver as a distributed job): linear model
+    f = w.(x - mu_u) + b, b = mean label (+-1) of the labelled rows, minimising
+    (1/(20 n_l)) sum_L log(1 + e^{20 (1 - y f)}) + (lam_U / n_u) sum_U e^{-3 f^2} + lam ||w||^2
+    with lam_U annealed over ``schedule``; every gradient step is one aggregation over the
+    table (JVM-side), the driver holds only w.  Probabilities by Platt scaling (Spark ML
+    logistic regression on f over the labelled rows).  Output: input rows + f, prob."""
+    from pyspark.ml.classification import LogisticRegression
+    feats = list(features)
+    d = df.withColumn("_lab", F.col(y).isNotNull()).withColumn("_y", F.when(F.col(y) == 1, 1.0).otherwise(-1.0))
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    st = d.agg(*[F.avg(F.when(~F.col("_lab"), F.col(c))).alias(f"mu{i}") for i, c in enumerate(feats)],
+               F.sum(F.col("_lab").cast("int")).alias("nl"), F.sum((~F.col("_lab")).cast("int")).alias("nu"),
+               F.avg(F.when(F.col("_lab"), F.col("_y"))).alias("b")).first()
+    mu = [st[f"mu{i}"] or 0.0 for i in range(len(feats))]
+    nl, nu, b = max(st["nl"], 1), max(st["nu"], 1), st["b"] or 0.0
+    xc = [F.col(c) - m for c, m in zip(feats, mu)]
+    w = [0.0] * len(feats)
+
+    def loss_grad(wv, lam_u):
+        f = sum((wi * x for wi, x in zip(wv, xc)), F.lit(b))
+        u = 20 * (1 - F.col("_y") * f)
+        softplus = F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))
+        sig = 1 / (1 + F.exp(-u))
+        lab, unl = F.col("_lab"), ~F.col("_lab")
+        aggs = [F.sum(F.when(lab, softplus / (20.0 * nl)).when(unl, lam_u / nu * F.exp(-3 * f * f)))
+                .alias("L")]
+        for j, x in enumerate(xc):
+            aggs.append(F.sum(F.when(lab, -F.col("_y") * sig * x / nl)
+                              .when(unl, lam_u / nu * F.exp(-3 * f * f) * (-6 * f) * x)).alias(f"g{j}"))
+        r = d.agg(*aggs).first()
+        loss = (r["L"] or 0.0) + lam * sum(wi * wi for wi in wv)
+        return loss, [(r[f"g{j}"] or 0.0) + 2 * lam * wv[j] for j in range(len(wv))]
+
+    for lam_u in schedule:
+        step = 1.0
+        loss, g = loss_grad(w, lam_u)
+        for _ in range(steps):
+            for _ in range(8):                     # Armijo backtracking
+                cand = [wi - step * gi for wi, gi in zip(w, g)]
+                l2, g2 = loss_grad(cand, lam_u)
+                if l2 <= loss - 1e-4 * step * sum(gi * gi for gi in g):
+                    w, loss, g = cand, l2, g2
+                    step *= 2.0
+                    break
+                step /= 4.0
+    f = sum((wi * x for wi, x in zip(w, xc)), F.lit(b))
+    scored = d.withColumn("f", f)
+    platt = LogisticRegression(featuresCol="_fv", labelCol="_yl", regParam=0.0, maxIter=50).fit(
+        VectorAssembler(inputCols=["f"], outputCol="_fv").transform(
+            scored.where("_lab").withColumn("_yl", (F.col("_y") > 0).cast("double"))))
+    from pyspark.ml.functions import vector_to_array
+    out = platt.transform(VectorAssembler(inputCols=["f"], outputCol="_fv").transform(scored))
+    res = out.withColumn("prob", vector_to_array("probability")[1]) \
+        .drop("_fv", "rawPrediction", "probability", "prediction", "_lab", "_y")
+    d.unpersist()
+    return res

@@ -156,3 +156,11 @@ def a18_neighbour_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = g.select("stream_id", "win", "t").join(par, ["stream_id", "win", "t"], "left") \
         .join(ch, ["stream_id", "win", "t"], "left")
     return out.select("stream_id", "win", "t", r6("ps1").alias("parent_p1"), r6("cs1").alias("child_p1"))
+
+
+def b14_transductive_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B14 on F1 with K05 hidden labels (30 %): transductive linear SVM, Platt probabilities."""
+    from laggard.operators.baselines import transductive_svm
+    ev = corrupt.missing_labels(events_stream(spark, sf_dir), 0.3, seed=2000)
+    r = transductive_svm(ev, ["x0", "x1", "x2"], steps=4)
+    return r.select("stream_id", "t", r6("f").alias("f"), r6("prob").alias("prob"))
