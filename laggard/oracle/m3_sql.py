@@ -106,3 +106,15 @@ SELECT stream_id, t, round({sigmoid_sql(_m)}, 6) AS sigmoid,
   CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS onehot1,
   CASE WHEN {sigmoid_sql(_m)} > 0.3 THEN 1 ELSE 0 END AS pred03
 FROM f1"""
+
+ORACLES["st09_st13_growing_width"] = R + """,
+sc AS (SELECT stream_id, t, y, c0 / CAST(100000 AS DOUBLE) AS c0, c1 / CAST(50 AS DOUBLE) AS c1, c2, c3,
+              c4 / CAST(7 AS DOUBLE) AS c4 FROM f2),
+tv AS (SELECT sc.*, CAST(least(5, floor(sc.t / ceil(n.n_rows / 5)) + 1) AS INTEGER) AS nv
+       FROM sc JOIN nrows n USING (stream_id)),
+r_g AS (SELECT stream_id, t, y, CAST(1 AS DOUBLE) AS x0, c0 AS x1,
+               CASE WHEN nv > 1 THEN c1 ELSE 0.0 END AS x2, CASE WHEN nv > 2 THEN c2 ELSE 0.0 END AS x3,
+               CASE WHEN nv > 3 THEN c3 ELSE 0.0 END AS x4, CASE WHEN nv > 4 THEN c4 ELSE 0.0 END AS x5 FROM tv), """ + \
+    ftrl_recursive_sql("r_g", 6, FtrlParams(), None, name="sg") + """
+SELECT stream_id, t, round(prob, 6) AS prob, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred,
+       round(floss, 6) AS loss FROM sg WHERE t >= 0"""

@@ -113,3 +113,17 @@ def f03_f21_scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(lg.one_hot(F.col("y")), 2).alias("onehot1"),
         lg.threshold(lg.sigmoid(m), 0.3).alias("pred03"))
     return d
+
+
+def st09_st13_growing_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST13 (growing form, P15): the learner on the K04 trapezoidal rows of F2, whose visible
+    prefix grows; new features start with zero weight."""
+    from laggard.plans.m1 import F2_C
+    from laggard.sources.fixtures import lineitem_mixed
+    li = lineitem_mixed(spark, sf_dir)
+    scaled = li.select("stream_id", "t", "y", (F.col("c0") / 100000.0).alias("c0"), (F.col("c1") / 50.0).alias("c1"),
+                       "c2", "c3", (F.col("c4") / 7.0).alias("c4"))
+    d = corrupt.trapezoid(scaled, F2_C)
+    d = d.withColumn("x", F.concat(F.array(F.lit(1.0)), F.col("x_jag")))
+    o = online_learner(d.select("stream_id", "t", "x", "y"))
+    return o.select("stream_id", "t", r6("prob").alias("prob"), "pred", r6("loss").alias("loss"))
