@@ -170,7 +170,7 @@ class FtrlState:
 
 
 def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
-                    soft: bool, emit_updates: bool):
+                    soft: bool, emit_updates: bool, self_train: float | None = None):
     """Build the mapInPandas function: a fold over (keys, _time, _kind)-sorted events."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +217,11 @@ def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
                     if st is None:
                         st = FtrlState(len(x), prm)
                     marg = st.margin(x, prm)[0]
-                    if kind == FIT and has_y:
+                    if kind == FIT and not has_y and self_train is not None:
+                        # self-training: fit on the thresholded own prediction
+                        y_self = 0.0 if sigmoid_py(marg) < self_train else 1.0
+                        prob, loss = st.fit(x, y_self, prm, wt)
+                    elif kind == FIT and has_y:
                         prob, loss = (st.fit_soft(x, float(y), prm, wt) if soft
                                       else st.fit(x, float(y), prm, wt))
                     else:
@@ -227,7 +231,7 @@ def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
                             if max_delay is not None:
                                 for old in [k for k in buf if k < tm - max_delay]:
                                     del buf[old]
-                    tr = tm
+                    tr = int(trefs[i])
                 for k, kv in zip(keys, key):
                     out[k].append(kv)
                 out["kind"].append(kind)
@@ -246,7 +250,7 @@ def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
 
 def scan_events(events: DataFrame, keys: Sequence[str], prm: FtrlParams = FtrlParams(),
                 max_delay: int | None = None, soft: bool = False,
-                emit_updates: bool = False) -> DataFrame:
+                emit_updates: bool = False, self_train: float | None = None) -> DataFrame:
     """Fold an event table ``(keys, _time, _kind, _tref, x array<double>, y [, w])`` per stream.
 
     Returns one row per FEATURE/FIT event (and per applied LABEL event when
@@ -259,7 +263,7 @@ def scan_events(events: DataFrame, keys: Sequence[str], prm: FtrlParams = FtrlPa
               f"loss double, decay double, level int")
     cols = [*keys, "_time", "_kind", "_tref", "x", "y"] + (["w"] if "w" in events.columns else [])
     ev = by_key(events.select(*cols), keys).sortWithinPartitions(*keys, "_time", "_kind")
-    return ev.mapInPandas(_scan_partition(keys, prm, max_delay, soft, emit_updates), schema)
+    return ev.mapInPandas(_scan_partition(keys, prm, max_delay, soft, emit_updates, self_train), schema)
 
 
 def _feature_events(rows: DataFrame, keys, t: str, x: str, kind: int, y: str | None,

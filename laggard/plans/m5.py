@@ -124,3 +124,22 @@ def u05_list_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = list_groups(_windows(spark, sf_dir), 4)
     return g.select("stream_id", "win", "chunk", F.size("members").cast("bigint").alias("size"),
                     F.element_at("members", 1).alias("first_t"), F.element_at("members", -1).alias("last_t"))
+
+
+def b10_ssc_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per window, rows in structure order (B06 round, then t); an FTRL learner keyed by
+    (stream, window) fits arrived labels and self-trains on its own prediction elsewhere
+    (class 0 when p < 0.3, P17)."""
+    from laggard.operators.learner import FIT, FtrlParams, scan_events
+    w = _windows(spark, sf_dir)
+    g = window_graph(w, y="y_obs", pct=PCT).where(F.col("round") >= 0)
+    d = g.select("stream_id", "win", "t", "round").join(w.select("stream_id", "win", "t", "x", "y_obs"),
+                                                         ["stream_id", "win", "t"])
+    order = F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window
+                                .partitionBy("stream_id", "win").orderBy("round", "t"))
+    ev = d.select("stream_id", "win", order.cast("bigint").alias("_time"), F.lit(FIT).alias("_kind"),
+                  F.col("t").cast("bigint").alias("_tref"), F.col("x").cast("array<double>").alias("x"),
+                  F.col("y_obs").cast("double").alias("y"))
+    out = scan_events(ev, ["stream_id", "win"], FtrlParams(threshold=0.3), self_train=0.3)
+    return out.select("stream_id", "win", F.col("t_ref").alias("t"), r6("prob").alias("prob"),
+                      F.when(F.col("prob") < 0.3, 0).otherwise(1).alias("pred"))

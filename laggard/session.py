@@ -21,7 +21,6 @@ def get_spark(master: str | None = None, app: str = "laggard", cores: int | None
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
-         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", os.environ.get("LAGGARD_DRIVER_MEMORY", "16g")))
     spark = b.getOrCreate()
