@@ -49,17 +49,22 @@ def mask_cells(cells: DataFrame, fraction: float, seed: int, keys=("stream_id",)
 
     The per-stream top-k is exact without a per-stream window: hashes are
     histogrammed on their top 16 bits per (stream, seed, bucket), the cut bucket is
-    found on that small histogram, and only the cut bucket is ranked.  Each pass
-    evaluates ``seeds_per_pass`` consecutive seeds at once, so a second pass only
-    touches the few streams for which all of them left an empty row.
+    found on that small histogram, and only the cut bucket is ranked.  The first pass
+    draws one seed for all streams; each later pass evaluates ``seeds_per_pass``
+    consecutive seeds at once for the streams still pending.
     """
     keys = _k(keys)
     n_obs = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nobs"))
     pending = n_obs.select(*keys, F.floor(F.col("_nobs") * fraction).cast("long").alias("_k"))
     g = [*keys, "_s"]
     result = None
-    for first in range(seed, seed + max_retries + 1, seeds_per_pass):
-        seeds = [s for s in range(first, first + seeds_per_pass) if s <= seed + max_retries]
+    # first pass: one seed for every stream; later passes: several seeds at once, but only for
+    # the few streams whose draw left an empty row
+    schedule, nxt = [[seed]], seed + 1
+    while nxt <= seed + max_retries:
+        schedule.append(list(range(nxt, min(nxt + seeds_per_pass, seed + max_retries + 1))))
+        nxt += seeds_per_pass
+    for seeds in schedule:
         c = (cells.join(pending, keys)
              .withColumn("_s", F.explode(F.array(*[F.lit(s) for s in seeds])))
              .withColumn("_h", hash32("_s", *keys, t, col))
