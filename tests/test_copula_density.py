@@ -35,3 +35,24 @@ def test_window_graph_runs_on_embeddings(spark):
     from tests.conftest import SF
     g = m5.b06_propagation_rounds(spark, SF)
     assert g.count() > 0 and g.where("round < 0").count() <= g.count()
+
+
+def test_estep_block_equals_rows():
+    from laggard.operators.copula import estep_block
+    rng = np.random.default_rng(4)
+    p = 4
+    a = rng.normal(size=(200, p))
+    sig = project_to_correlation(np.cov(a, rowvar=False))
+    z = rng.normal(size=(40, p))
+    z[rng.random(z.shape) < 0.3] = np.nan
+    is_ord = np.array([False, True, False, True])
+    lo = np.where(is_ord, -0.5, -np.inf) * np.ones((40, p))
+    hi = np.where(is_ord, 0.7, np.inf) * np.ones((40, p))
+    C, zi, zn, cd = estep_block(z, lo, hi, is_ord, sig)
+    C2 = np.zeros((p, p))
+    for r in range(len(z)):
+        c_r, zi_r, zn_r = estep_row(z[r], lo[r], hi[r], is_ord, sig)
+        C2 += c_r
+        assert np.allclose(zi_r, zi[r]) and np.allclose(np.nan_to_num(zn_r), np.nan_to_num(zn[r]))
+        assert np.allclose(np.diag(c_r), cd[r])
+    assert np.allclose(C, C2)
