@@ -79,3 +79,49 @@ def test_learner_is_partitioning_invariant(spark):
         "stream_id", "t", F.col("prob").alias("p2"))
     j = a.join(b, ["stream_id", "t"])
     assert j.count() == a.count() and j.where("prob != p2").count() == 0
+
+
+def test_st14_speculation_matches_python_loop(spark):
+    from laggard.operators.learner import _copy_state, speculative_learner
+    from laggard.functions.logistic import sigmoid_py
+    rng = np.random.default_rng(9)
+    n, d = 40, 3
+    xs = rng.normal(size=(n, 2))
+    ys = (xs[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(int)
+    pseudo = [None] * d + [int(v) for v in ys[:-d]]
+    rows = spark.createDataFrame([(3, i, [1.0, float(a), float(b)], None if pseudo[i] is None else float(pseudo[i]))
+                                  for i, (a, b) in enumerate(xs)],
+                                 "stream_id long, t long, x array<double>, pseudo double")
+    arr = spark.createDataFrame([(3, i + d, i, int(ys[i])) for i in range(n - d)],
+                                "stream_id long, t_arrive long, t_orig long, y int")
+    got = {r.t: r for r in speculative_learner(rows, arr, max_delay=d).collect()}
+    prm = FtrlParams()
+    st = FtrlState(3, prm)
+    buf = {}
+    for t in range(n):
+        if t >= d and (t - d) in buf:
+            st.fit(buf.pop(t - d)[0], float(ys[t - d]), prm)
+        x = [1.0, *xs[t]]
+        spec = _copy_state(st, prm)
+        for k in sorted(buf):
+            if buf[k][1] is not None:
+                spec.fit(buf[k][0], buf[k][1], prm)
+        wc, ws = st.weights(3, prm), spec.weights(3, prm)
+        assert abs(got[t].prob - sigmoid_py(sum(a * b for a, b in zip(wc, x)))) < 1e-12
+        assert abs(got[t].prob_spec - sigmoid_py(sum(a * b for a, b in zip(ws, x)))) < 1e-12
+        buf[t] = (x, None if pseudo[t] is None else float(pseudo[t]))
+        for old in [k for k in buf if k < t - d]:
+            del buf[old]
+
+
+def test_st21_first_minibatch_step(spark):
+    """One batch from the zero state: p = 0.5 for every row, g = sum (0.5 - y) x,
+    z = g after the update (decay 1, h = 0), next weights = -g / 2."""
+    from laggard.streaming.live import STATE_SCHEMA, minibatch_step
+    rows = [(1, i, [1.0, float(i % 3)], float(i % 2)) for i in range(10)]
+    batch = spark.createDataFrame(rows, "stream_id long, t long, x array<double>, y double")
+    preds, state = minibatch_step(batch, spark.createDataFrame([], STATE_SCHEMA), 2)
+    assert all(abs(r.prob - 0.5) < 1e-12 for r in preds.collect())
+    g = [sum((0.5 - y) * x[j] for _, _, x, y in rows) for j in range(2)]
+    s = state.first()
+    assert np.allclose(s.z, g) and abs(s.r - 2.0) < 1e-12
