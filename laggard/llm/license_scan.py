@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laggard.llm.common import ASCII_LOWER, ascii_lower, table
+from laggard.llm.common import ASCII_LOWER, ascii_lower, cut, table
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
@@ -73,21 +73,44 @@ def words_array(words) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
-def blocks(docs: DataFrame, vocabulary: list[str], least: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """Blocks with at least ``least`` words of the vocabulary: _id, _h, words, in the order of
-    ``vocabulary``."""
+def stands(tokens: list[str]):
+    """Whether the tokens stand in _words from place i on."""
+    def at(i):
+        hit = F.lit(True)
+        for k, t in enumerate(tokens):
+            hit = hit & (F.get("_words", i + F.lit(k)) == t)
+        return hit
+    return at
+
+
+def digest(docs: DataFrame, vocabulary: list[str], least: int, phrases=PHRASES, id_col="doc_id",
+           text_col="text") -> DataFrame:
+    """The one pass over the texts: _id, _h, n_words, places and labels of the base phrases, the
+    template words of every block as numbers of the vocabulary, blocks after one another (seen),
+    and those of at least ``least`` words each by itself (blocks)."""
     vocab = words_array(vocabulary)
-    kept = F.transform(line_words(F.col(text_col)), lambda x: F.array_intersect(vocab, x))
-    kept = F.filter(kept, lambda x: F.size(x) >= least)
-    return docs.select(*row_key(id_col, text_col), F.explode(kept).alias("words"))
+    lines = docs.select(*row_key(id_col, text_col), line_words(F.col(text_col)).alias("_lines"))
+    kept = F.transform("_lines", lambda x: F.array_intersect(x, vocab))
+    df = lines.select("_id", "_h", F.flatten("_lines").alias("_words"), kept.alias("_kept"))
+    df = df.withColumn("_line", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
+    all_places, labels = [], []
+    for phrase, label in phrases:
+        tokens = phrase.split()
+        starts = F.when(F.size("_words") >= len(tokens), F.sequence(F.lit(0), F.size("_words") - F.lit(len(tokens))))
+        has = F.contains("_line", F.lit(f" {phrase} "))
+        all_places.append(F.when(has, F.filter(starts, stands(tokens))).otherwise(F.array().cast("array<int>")))
+        labels.append(F.when(has, F.lit(label)))
+    numbers = F.transform(F.flatten("_kept"), lambda w: F.array_position(vocab, w).cast("short"))
+    return df.select("_id", "_h", F.size("_words").cast("long").alias("n_words"), F.concat(*all_places).alias("_places"),
+                     F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("_base"),
+                     numbers.alias("seen"), F.filter("_kept", lambda x: F.size(x) >= least).alias("blocks"))
 
 
-def frequency_order(docs: DataFrame, sets, id_col="doc_id", text_col="text") -> list[str]:
+def frequency_order(digested: DataFrame, vocabulary: list[str]) -> list[str]:
     """The templates' words, those of the fewest blocks first.  The table that comes to the
     driver has one row per word of a template, whatever the size of the corpus."""
-    vocabulary = sorted({w for _, words in sets for w in words})
-    seen = {r["w"]: r["n"] for r in blocks(docs, vocabulary, 1, id_col, text_col)
-            .select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    seen = {vocabulary[r["i"] - 1]: r["n"] for r in digested.select(F.explode("seen").alias("i"))
+            .groupBy("i").agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
 
@@ -103,50 +126,29 @@ def template_prefixes(spark: SparkSession, sets, order: list[str], threshold: fl
     return spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(word, i, n, need, label, tokens)")
 
 
-def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col="doc_id",
-                   text_col="text") -> DataFrame:
+def similar_blocks(digested: DataFrame, sets, order: list[str], threshold: float) -> DataFrame:
     """_id, _h, label, containment: every (block, template) at the threshold, found once for each
     prefix word that they share."""
-    spark, sets = docs.sparkSession, template_sets(templates)
-    order = frequency_order(docs, sets, id_col, text_col)
     least = min(needed(len(words), threshold) for _, words in sets)
-    found = blocks(docs, order, least, id_col, text_col)
+    found = digested.select("_id", "_h", F.explode("blocks").alias("block")) \
+        .select("_id", "_h", F.array_intersect(words_array(order), "block").alias("words"))
     found = found.select("*", F.size("words").alias("m"), F.posexplode(F.expr(f"slice(words, 1, size(words) - {least} + 1)"))
                          .alias("j", "word"))
-    pairs = found.join(template_prefixes(spark, sets, order, threshold), "word") \
+    pairs = found.join(template_prefixes(digested.sparkSession, sets, order, threshold), "word") \
         .where("m >= need AND j <= m - need AND least(n - i, m - j) >= need")  # length, prefix and positional filters
     overlap = F.size(F.array_intersect("words", "tokens"))
     return pairs.where(overlap >= F.col("need")).select("_id", "_h", "label", (overlap / F.col("n")).alias("containment"))
 
 
-def stands(tokens: list[str]):
-    """Whether the tokens stand in _words from place i on."""
-    def at(i):
-        hit = F.lit(True)
-        for k, t in enumerate(tokens):
-            hit = hit & (F.get("_words", i + F.lit(k)) == t)
-        return hit
-    return at
-
-
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, id_col="doc_id",
          text_col="text") -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    base = docs.select(*row_key(id_col, text_col), F.flatten(line_words(F.col(text_col))).alias("_words"))
-    base = base.withColumn("_line", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
-    all_places, labels = [], []
-    for phrase, label in phrases:
-        tokens = phrase.split()
-        starts = F.when(F.size("_words") >= len(tokens), F.sequence(F.lit(0), F.size("_words") - F.lit(len(tokens))))
-        has = F.contains("_line", F.lit(f" {phrase} "))
-        all_places.append(F.when(has, F.filter(starts, stands(tokens))).otherwise(F.array().cast("array<int>")))
-        labels.append(F.when(has, F.lit(label)))
-    base = base.select("_id", "_h", F.size("_words").cast("long").alias("n_words"),
-                       F.concat(*all_places).alias("_places"),
-                       F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("_base"))
-    found = similar_blocks(docs, templates, threshold, id_col, text_col) \
+    sets = template_sets(templates)
+    vocabulary = sorted({w for _, words in sets for w in words})
+    base = cut(digest(docs, vocabulary, min(needed(len(w), threshold) for _, w in sets), phrases, id_col, text_col))
+    found = similar_blocks(base, sets, frequency_order(base, vocabulary), threshold) \
         .groupBy("_id", "_h").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("score"))
-    a, b = base.alias("a"), found.alias("b")
+    a, b = base.drop("seen", "blocks").alias("a"), found.alias("b")
     more = F.coalesce(F.col("_more"), F.array().cast("array<string>"))
     return a.join(b, F.expr("a._id <=> b._id AND a._h = b._h"), "left") \
         .select(F.col("a._id").alias(id_col), "n_words", F.size("_places").cast("long").alias("n_base"),
