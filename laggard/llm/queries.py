@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from laggard.llm import bpe, fertility, html_extract, license_scan, mixing, simhash, toxicity, url_filter
+from laggard.llm import bpe, fertility, html_extract, license_scan, mixing, pii, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_byte_bpe": bpe.query,
     "op3_toxicity": toxicity.query,
+    "op4_pii_surrogates": pii.query,
     "op5_tokenizer_fertility": fertility.query,
     "op6_simhash": simhash.query,
     "op7_source_mixing": mixing.query,
