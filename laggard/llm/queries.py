@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from laggard.llm import bpe, fertility, html_extract, license_scan, mixing, pii, simhash, toxicity, url_filter
+from laggard.llm import bpe, fertility, html_extract, jaccard_join, license_scan, mixing, pii, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_source_mixing": mixing.query,
     "op8_license_scan": license_scan.query,
     "op9_html_extraction": html_extract.query,
+    "op10_ngram_jaccard": jaccard_join.query,
 }
 ORACLES = {
     "op7_source_mixing": mixing.ORACLE,
