@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from laggard.llm.common import hash_key, table
 
@@ -155,26 +155,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     return {"features": kept.tolist(), "weights": w.tolist(), "intercept": b, "prior": prior}
 
 
-def score(docs: DataFrame, model: dict, id_col="doc_id", text_col="text", keep: list[str] | None = None) -> DataFrame:
-    """id, the columns ``keep``, score (0 to 1) and predicted (0, 1) of every text."""
+def score(docs: DataFrame, model: dict, id_col="doc_id", text_col="text", keep: list[str] | None = None,
+          score_col="score", predicted_col="predicted") -> DataFrame:
+    """The columns ``keep`` (the id alone, if none are named), score (0 to 1) and predicted (0, 1) of
+    every text."""
     weights, intercept = dict(zip(model["features"], model["weights"], strict=True)), model["intercept"]
-    cols = [id_col] + [c for c in keep or [] if c != id_col]
-    own = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias("_text"))
-    schema = own.drop("_text").schema.add("score", DoubleType()).add("predicted", IntegerType())
+    cols = keep or [id_col]
+    sent = cols if text_col in cols else [*cols, text_col]
+    at = sent.index(text_col)
+    own = docs.select(*[F.col(f"`{c}`") for c in sent])
+    schema = StructType([*own.schema.fields[:len(cols)], StructField(score_col, DoubleType()), StructField(predicted_col, IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory()
         known = weights.keys()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                texts = part.column(part.num_columns - 1).to_pylist()
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                texts = part.column(at).to_pylist()
                 if intercept is None:
                     s = np.zeros(len(texts))
                 else:
                     s = sigmoid(np.array([intercept + sum(weights[f] for f in sorted(known & features(t, memory)))
                                           for t in texts]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64()),
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(cols)], pa.array(s, pa.float64()),
                                                   pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=schema.names)
 
     return own.mapInArrow(run, schema)
