@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from laggard.llm.common import ASCII_LOWER, ascii_lower, cut, table
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-THRESHOLD = 0.8
+#: Of the template's words; short notices must stand there whole, or one license's would pass for another's.
+THRESHOLD = 0.9
 #: Base phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Short notices in our own words and their labels; a label may have several.
@@ -93,7 +94,7 @@ def digest(docs: DataFrame, vocabulary: list[str], least: int, phrases=PHRASES,
     kept = F.transform("_lines", lambda x: F.array_intersect(x, vocab))
     df = lines.select("_id", "_h", F.flatten("_lines").alias("_words"), kept.alias("_kept"))
     df = df.withColumn("_line", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
-    all_places, labels = [], []
+    all_places, labels = [F.array().cast("array<int>")], [F.lit(None).cast("string")]
     for phrase, label in phrases:
         tokens = phrase.split()
         starts = F.when(F.size("_words") >= len(tokens), F.sequence(F.lit(0), F.size("_words") - F.lit(len(tokens))))

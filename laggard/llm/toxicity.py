@@ -11,7 +11,8 @@ It is trained in numpy from at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` text
 order of a hash of their ids; every text is scored, whole, on the executors.
 
 Defined results: null and empty texts have no words and get the score of the intercept; with
-no confirmed example or no unlabelled text there is nothing to learn and every score is 0;
+no confirmed example, no unlabelled text or no word that tells them apart there is nothing to
+learn and every score is 0;
 a null id counts as its text '' in the fold; repeated label rows of an id count once (toxic if
 any says so); repeated documents are scored alike.  Only id and text are read.
 """
@@ -151,6 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     if not p or not u or not 0 < prior < 1:
         return {"features": [], "weights": [], "intercept": None, "prior": prior}
     kept = screen(p, u)
+    if not len(kept):
+        return {"features": [], "weights": [], "intercept": None, "prior": prior}
     w, b = fit_nnpu(rows_of(p, kept), rows_of(u, kept), prior, len(kept))
     return {"features": kept.tolist(), "weights": w.tolist(), "intercept": b, "prior": prior}
 
