@@ -26,17 +26,20 @@ def sliding_windows(df: DataFrame, size: int, hop: int, keys: Sequence[str] = ("
                     pos: str = "pos", out: str = "win") -> DataFrame:
     """Window ``e`` holds positions [max(0, e - size + 1), e]; windows end at the
     positions e of the stream with (e + 1) % hop == 0 (hop = 1 is the reference's
-    batch at every step).  Each row is exploded into the at most ceil(size/hop)
-    windows that contain it; ends past the stream's last row are dropped."""
+    batch at every step) and at its last position, so that every row is in a window
+    (hop must not exceed size).  Each row is exploded into the at most
+    ceil(size / hop) + 1 windows that contain it."""
+    if hop > size:
+        raise ValueError("hop > size leaves rows without a window")
     keys = list(keys)
     n = df.groupBy(*keys).agg(F.max(pos).alias("_last"))
     p = F.col(pos)
     first = F.ceil((p + 1) / hop) * hop - 1
-    last = F.least(p + size - 1, F.col("_last"))
-    d = df.join(n, keys).where(first <= last)
-    d = d.withColumn(out, F.explode(F.sequence(first.cast("long"), last.cast("long"),
-                                               F.lit(hop).cast("long"))))
-    return d.drop("_last")
+    upto = F.least(p + size - 1, F.col("_last"))
+    ends = F.when(first <= upto, F.sequence(first.cast("long"), upto.cast("long"), F.lit(hop).cast("long"))) \
+        .otherwise(F.array().cast("array<bigint>"))
+    tail = F.when(F.col("_last") <= p + size - 1, F.array(F.col("_last").cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return df.join(n, keys).withColumn(out, F.explode(F.array_union(ends, tail))).drop("_last")
 
 
 def _pair_dist(x: np.ndarray) -> np.ndarray:

@@ -66,11 +66,41 @@ class FtrlParams:
     threshold: float = 0.5    # P17
 
 
+NO_BEST = (1.0, 10.0)
+
+
+def drift_step(rows: int, errors: int, counts: tuple, warned: tuple, best: tuple, warmup: int) -> tuple:
+    """ST16 as a transition: (rate or None, level, counts, warned, best) after ``rows`` more rows with
+    ``errors`` errors.  The error rate's upper end, rate + spread, is compared with the least one so
+    far: two spreads above its rate are a warning, more than three a drift.  Rows are counted anew
+    from the start of a warning; a drift makes that count the only one and forgets the least rate."""
+    counts = (counts[0] + rows, counts[1] + errors)
+    if counts[0] <= warmup:
+        return None, 0, counts, warned, best
+    rate = counts[1] / counts[0]
+    top = rate + math.sqrt(rate * (1 - rate) / counts[0])
+    if top < best[0] + best[1]:
+        best = (rate, math.sqrt(rate * (1 - rate) / counts[0]))
+    level = int(top >= best[0] + 2 * best[1]) + int(top > best[0] + 3 * best[1])
+    warned = (warned[0] + rows, warned[1] + errors) if level else (0, 0)
+    return (rate, level, warned, warned, NO_BEST) if level == 2 else (rate, level, counts, warned, best)
+
+
+def observe(rows: int, errors: int, counts: tuple, warned: tuple, best: tuple, prm: FtrlParams) -> tuple:
+    """(decay, level, counts, warned, best) after ``rows`` rows: the schedule's decay at the number of rows,
+    blended with the error rate by ``contribute_error_rate`` once the detector is active."""
+    decay = decay_py(counts[0] + rows, prm.decay_choice)
+    rate, level, *state = drift_step(rows, errors, counts, warned, best, prm.warmup)
+    if rate is not None:
+        share = prm.contribute_error_rate
+        decay = decay * (1.0 - share) + share * rate
+    return decay, level, *state
+
+
 class FtrlState:
     """Learner state; ``fit`` is ST01 (hard label) and ``fit_soft`` ST02."""
 
-    __slots__ = ("p", "v", "h", "z", "r", "decay", "times", "fails", "times_warn",
-                 "fails_warn", "p_min", "s_min", "level")
+    __slots__ = ("p", "v", "h", "z", "r", "decay", "counts", "warned", "best", "level")
 
     def __init__(self, p: int, prm: FtrlParams):
         self.p = p
@@ -79,12 +109,9 @@ class FtrlState:
         self.z = [0.0] * p
         self.r = 1.0
         self.decay = prm.init_decay
-        self.times = 0
-        self.fails = 0
-        self.times_warn = 0
-        self.fails_warn = 0
-        self.p_min = 1.0
-        self.s_min = 10.0
+        self.counts = (0, 0)     # rows seen, errors among them
+        self.warned = (0, 0)     # the same since the warning began
+        self.best = NO_BEST      # least error rate and its spread
         self.level = 0           # ST16 output: 0 stable, 1 warning, 2 drift
 
     def grow(self, p: int) -> None:
@@ -112,31 +139,10 @@ class FtrlState:
     def predict(self, x: Sequence[float], prm: FtrlParams) -> float:
         return sigmoid_py(self.margin(x, prm)[0])
 
-    def _detector(self, err: int, prm: FtrlParams) -> None:
-        """F08 decay + ST16 drift detector on the running error rate."""
-        self.times += 1
-        self.fails += err
-        self.decay = decay_py(self.times, prm.decay_choice)
-        self.level = 0
-        if self.times > prm.warmup:
-            p_i = float(self.fails) / self.times
-            s_i = math.sqrt(p_i * (1 - p_i) / self.times)
-            ps = p_i + s_i
-            c = prm.contribute_error_rate
-            self.decay = self.decay * (1.0 - c) + c * p_i
-            if ps < self.p_min + self.s_min:
-                self.p_min, self.s_min = p_i, s_i
-            if ps < self.p_min + 2 * self.s_min:
-                self.times_warn = 0
-                self.fails_warn = 0
-            else:
-                self.level = 1
-                self.times_warn += 1
-                self.fails_warn += err
-                if ps > self.p_min + 3 * self.s_min:
-                    self.level = 2
-                    self.times, self.fails = self.times_warn, self.fails_warn
-                    self.p_min, self.s_min = 1.0, 10.0
+    def observe(self, err: int, prm: FtrlParams) -> None:
+        """F08 decay, blended with the error rate once the detector is active, and ST16."""
+        self.decay, self.level, self.counts, self.warned, self.best = observe(
+            1, err, self.counts, self.warned, self.best, prm)
 
     def _update(self, x, w, g_scale: float, prm: FtrlParams) -> None:
         d = self.decay
@@ -153,7 +159,7 @@ class FtrlState:
         p = sigmoid_py(m)
         loss = logistic_loss_py(y, m)
         if prm.adaptive:
-            self._detector(int(abs(y - p) > 0.5), prm)
+            self.observe(int(abs(y - p) > 0.5), prm)
         self._update(x, w, weight * (p - y) * grad_factor, prm)
         return p, loss
 
@@ -164,11 +170,17 @@ class FtrlState:
         p = sigmoid_py(m)
         loss = soft_cross_entropy_py(1.0 - y1, y1, m)
         if prm.adaptive:
-            self._detector(int((1 if y1 >= 0.5 else 0) != (1 if p >= 0.5 else 0)), prm)
+            self.observe(int((1 if y1 >= 0.5 else 0) != (1 if p >= 0.5 else 0)), prm)
         self._update(x, w, weight * (p - y1) * grad_factor, prm)
         return p, loss
 
 
+def evict(buf: dict, before: int) -> None:
+    """Drop buffered rows older than ``before``; the buffer is filled in time order."""
+    while buf and (old := next(iter(buf))) < before:
+        del buf[old]
+
+
 def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
                     soft: bool, emit_updates: bool, self_train: float | None = None):
     """Build the mapInPandas function: a fold over (keys, _time, _kind)-sorted events."""
@@ -229,8 +241,7 @@ def _scan_partition(keys: list[str], prm: FtrlParams, max_delay: int | None,
                         if kind == FEATURE:
                             buf[tm] = x
                             if max_delay is not None:
-                                for old in [k for k in buf if k < tm - max_delay]:
-                                    del buf[old]
+                                evict(buf, tm - max_delay)
                     tr = int(trefs[i])
                 for k, kv in zip(keys, key):
                     out[k].append(kv)
@@ -262,7 +273,7 @@ def scan_events(events: DataFrame, keys: Sequence[str], prm: FtrlParams = FtrlPa
     schema = (f"{kschema}, kind int, t bigint, t_ref bigint, prob double, margin double, "
               f"loss double, decay double, level int")
     cols = [*keys, "_time", "_kind", "_tref", "x", "y"] + (["w"] if "w" in events.columns else [])
-    ev = by_key(events.select(*cols), keys).sortWithinPartitions(*keys, "_time", "_kind")
+    ev = by_key(events.select(*cols), keys).sortWithinPartitions(*keys, "_time", "_kind", "_tref")
     return ev.mapInPandas(_scan_partition(keys, prm, max_delay, soft, emit_updates, self_train), schema)
 
 
@@ -325,8 +336,8 @@ def drift_levels(errs: DataFrame, keys: Sequence[str] = ("stream_id",), t: str =
                 key = tuple(c[i] for c in kc)
                 if key != cur:
                     cur, st = key, FtrlState(0, prm)
-                st._detector(int(es[i]), prm)
-                lv[i], pm[i], sm[i] = st.level, st.p_min, st.s_min
+                st.observe(int(es[i]), prm)
+                lv[i], (pm[i], sm[i]) = st.level, st.best
             res = pdf[[*keys, t]].copy()
             res["level"], res["p_min"], res["s_min"] = lv, pm, sm
             yield res
@@ -452,7 +463,7 @@ def speculative_learner(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str
     le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"),
                          F.lit(LABEL).alias("_kind"), F.col("t_orig").cast("bigint").alias("_tref"),
                          F.lit(None).cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"))
-    ev = by_key(fe.unionByName(le), keys).sortWithinPartitions(*keys, "_time", "_kind")
+    ev = by_key(fe.unionByName(le), keys).sortWithinPartitions(*keys, "_time", "_kind", "_tref")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, st, buf = None, None, {}
@@ -477,9 +488,8 @@ def speculative_learner(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str
                 if st is None:
                     st = FtrlState(len(xl), prm)
                 spec = _copy_state(st, prm)
-                for k in sorted(buf):
-                    bx, by = buf[k]
-                    if by is not None:
+                for k, (bx, by) in buf.items():
+                    if by is not None and k > int(tm) - max_delay:
                         spec.fit(bx, by, prm)
                 wc = st.weights(len(xl), prm)
                 ws = spec.weights(len(xl), prm)
@@ -491,8 +501,7 @@ def speculative_learner(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str
                 out["prob_blend"].append(sigmoid_py(sum((0.5 * a + 0.5 * c) * b
                                                         for a, c, b in zip(wc, ws, xl))))
                 buf[int(tm)] = (xl, float(yv) if has_y else None)
-                for old in [k for k in buf if k < int(tm) - max_delay]:
-                    del buf[old]
+                evict(buf, int(tm) - max_delay)
             if out["t"]:
                 yield pd.DataFrame(out)
 

@@ -20,7 +20,8 @@ pts AS (SELECT vec_id % 10 AS stream_id, vec_id AS t, CAST(embedding AS DOUBLE[]
                CASE WHEN label < 5 THEN 1 ELSE 0 END AS y,
                row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) - 1 AS pos FROM embeddings),
 pl AS (SELECT *, CASE WHEN {u(77, 'stream_id', 't')} > 0.6 THEN y END AS y_obs FROM pts),
-ends AS (SELECT stream_id, pos AS win FROM pts WHERE (pos + 1) % {HP} = 0),
+ends AS (SELECT stream_id, pos AS win FROM pts p WHERE (pos + 1) % {HP} = 0
+         OR pos = (SELECT max(pos) FROM pts l WHERE l.stream_id = p.stream_id)),
 wm0 AS (SELECT e.win, p.* FROM pl p JOIN ends e ON e.stream_id = p.stream_id
         AND p.pos BETWEEN e.win - {SZ - 1} AND e.win),
 wm AS (SELECT *, row_number() OVER (PARTITION BY stream_id, win ORDER BY t) - 1 AS idx,

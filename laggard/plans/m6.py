@@ -86,7 +86,7 @@ def st21_minibatch_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST21: mini-batch FTRL (batches of 20 rows per stream); per-row batch probabilities."""
     _, rows = _f1_rows(spark, sf_dir)
     preds, _ = live.minibatch_ftrl(spark, rows, 4, 20)
-    return preds.select("stream_id", "t", "batch", r6("prob").alias("prob"))
+    return preds.select("stream_id", "t", F.col("batch").cast("int").alias("batch"), r6("prob").alias("prob"))
 
 
 def _ens_out(d: DataFrame) -> DataFrame:

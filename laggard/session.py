@@ -30,10 +30,12 @@ def get_spark(master: str | None = None, app: str = "laggard", cores: int | None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; only when it is unset (tests,
-    local runs) point it at a fresh scratch folder."""
+    """Return the cluster's ``spark.checkpoint.dir``; only on a local master (tests, local runs)
+    is it pointed at a fresh scratch folder when unset, as a cluster's machines share no such folder."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         d = tempfile.mkdtemp(prefix="laggard-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

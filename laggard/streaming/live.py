@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from laggard.functions.logistic import decay_py, ftrl_weight_py
-from laggard.operators.learner import FEATURE, LABEL, FtrlParams, FtrlState
+from laggard.functions.logistic import ftrl_weight_py
+from laggard.operators.learner import FEATURE, LABEL, NO_BEST, FtrlParams, FtrlState, evict, observe
+from laggard.session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = ("stream_id bigint, _time bigint, _kind int, _tref bigint, x array<double>, "
                 "y double, _bucket bigint")
@@ -84,7 +86,7 @@ def _state_from_json(s: str, prm: FtrlParams) -> tuple[FtrlState | None, dict]:
         return None, buf
     st = FtrlState(d["p"], prm)
     for k, v in d.items():
-        setattr(st, k, v)
+        setattr(st, k, tuple(v) if k in ("counts", "warned", "best") else v)
     return st, buf
 
 
@@ -94,7 +96,7 @@ def live_delayed_learner(events: DataFrame, prm: FtrlParams = FtrlParams(),
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         st, buf = (_state_from_json(state.get[0], prm) if state.exists else (None, {}))
-        pdf = pd.concat(list(pdfs)).sort_values(["_time", "_kind"])
+        pdf = pd.concat(list(pdfs)).sort_values(["_time", "_kind", "_tref"])
         out_t, out_p = [], []
         for tm, kind, tref, x, y in zip(pdf["_time"], pdf["_kind"], pdf["_tref"], pdf["x"], pdf["y"]):
             if kind == LABEL:
@@ -112,8 +114,7 @@ def live_delayed_learner(events: DataFrame, prm: FtrlParams = FtrlParams(),
                 out_p.append(st.predict(xv, prm))
                 buf[int(tm)] = xv
                 if max_delay is not None:
-                    for old in [k for k in buf if k < int(tm) - max_delay]:
-                        del buf[old]
+                    evict(buf, int(tm) - max_delay)
         state.update((_state_to_json(st, buf),))
         yield pd.DataFrame({"stream_id": [key[0]] * len(out_t), "t": out_t, "prob": out_p})
 
@@ -138,35 +139,35 @@ def run_live_replay(spark: SparkSession, events: DataFrame, scratch: str,
 
 # ---- ST21 mini-batch FTRL ------------------------------------------------------------------
 
+STATE_SCHEMA = ("stream_id bigint, v array<double>, h array<double>, z array<double>, r double, "
+                "counts array<bigint>, warned array<bigint>, best array<double>")
+
+
 def _update_state(pdf: pd.DataFrame, p: int, prm: FtrlParams) -> pd.DataFrame:
-    """One FTRL update per (stream, batch) from the aggregated gradient."""
+    """One FTRL update per (stream, batch) from the aggregated gradient and error count; with one
+    row a batch it is ST01's step."""
     rows = []
     for r in pdf.itertuples(index=False):
-        v = list(r.v) if r.v is not None else [0.0] * p
-        h = list(r.h) if r.h is not None else [0.0] * p
-        z = list(r.z) if r.z is not None else [0.0] * p
-        rr = r.r if r.r is not None and not math.isnan(r.r) else 1.0
-        times = int(r.times) if r.times is not None and not math.isnan(r.times) else 0
+        new = r.z is None
+        v, h, z = ([0.0] * p if new else list(a) for a in (r.v, r.h, r.z))
+        rr = 1.0 if new else r.r
+        counts, warned, best = ((0, 0), (0, 0), NO_BEST) if new else (tuple(map(int, r.counts)), tuple(map(int, r.warned)), tuple(r.best))
         w = [ftrl_weight_py(z[i], rr, prm.l1, prm.l2, prm.lp) for i in range(p)]
-        times += 1
-        d = decay_py(times, prm.decay_choice) if prm.adaptive else prm.init_decay
-        g = list(r.g)
+        d = prm.init_decay
+        if prm.adaptive:
+            d, _, counts, warned, best = observe(int(r.n), int(r.errors), counts, warned, best, prm)
         for i in range(p):
-            v[i] += g[i]
+            v[i] += r.g[i]
             h[i] = d * h[i] + w[i]
             z[i] = v[i] - prm.lp * h[i]
-        rr = 1.0 + d * rr
-        rows.append((r.stream_id, v, h, z, rr, times))
-    return pd.DataFrame(rows, columns=["stream_id", "v", "h", "z", "r", "times"])
-
-
-STATE_SCHEMA = "stream_id bigint, v array<double>, h array<double>, z array<double>, r double, times int"
+        rows.append((r.stream_id, v, h, z, 1.0 + d * rr, list(counts), list(warned), list(best)))
+    return pd.DataFrame(rows, columns=["stream_id", "v", "h", "z", "r", "counts", "warned", "best"])
 
 
 def minibatch_step(batch: DataFrame, state: DataFrame, p: int,
                    prm: FtrlParams = FtrlParams()) -> tuple[DataFrame, DataFrame]:
     """One micro-batch: predictions of ``batch`` (stream_id, t, x, y) with the current state,
-    and the new state.  The gradient is a distributed aggregation per stream."""
+    and the new state.  The gradient and the error count are distributed aggregations per stream."""
     st = state.select("stream_id", "z", "r")
     j = batch.join(st, "stream_id", "left")
     w = F.transform(F.coalesce("z", F.array_repeat(F.lit(0.0), p)),
@@ -178,11 +179,10 @@ def minibatch_step(batch: DataFrame, state: DataFrame, p: int,
     m = F.aggregate(F.zip_with("_w", "x", lambda a, b: a * b), F.lit(0.0), lambda acc, e: acc + e)
     j = j.withColumn("prob", 1.0 / (1.0 + F.exp(-m)))
     preds = j.select("stream_id", "t", "prob")
-    grad = j.where(F.col("y").isNotNull()).select(
-        "stream_id", F.posexplode(F.transform("x", lambda xi: (F.col("prob") - F.col("y")) * xi)))
-    g = (grad.groupBy("stream_id", "pos").agg(F.sum("col").alias("gi"))
-         .groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("pos", "gi"))).alias("_g"))
-         .select("stream_id", F.col("_g.gi").alias("g")))
+    miss = F.col("prob") - F.col("y")
+    g = j.where(F.col("y").isNotNull()).groupBy("stream_id").agg(
+        F.array(*[F.sum(miss * F.element_at("x", i + 1)) for i in range(p)]).alias("g"),
+        F.count(F.lit(1)).alias("n"), F.sum((F.abs(miss) > 0.5).cast("long")).alias("errors"))
     cur = g.join(state, "stream_id", "left")
     new = cur.groupBy("stream_id").applyInPandas(lambda pdf: _update_state(pdf, p, prm), STATE_SCHEMA)
     untouched = state.join(g.select("stream_id"), "stream_id", "left_anti")
@@ -192,32 +192,32 @@ def minibatch_step(batch: DataFrame, state: DataFrame, p: int,
 def minibatch_ftrl(spark: SparkSession, rows: DataFrame, p: int, batch_rows: int,
                    prm: FtrlParams = FtrlParams()) -> tuple[DataFrame, DataFrame]:
     """ST21 over a table: batches are t // batch_rows; a driver loop over batch index runs
-    all streams in parallel per step; the state table is reliably checkpointed each step.
-    Returns (predictions, final state)."""
-    d = rows.withColumn("_b", F.floor(F.col("t") / batch_rows)).checkpoint()
-    nb = d.agg(F.max("_b")).first()[0]
+    all streams in parallel per step.  Rows are written by batch once, so that a step reads its own
+    only; predictions are appended to one folder, the state is written every step, all in the
+    shared checkpoint folder.  Returns (predictions, final state)."""
+    folder = f"{ensure_checkpoint_dir(spark)}/minibatch-{uuid.uuid4().hex}"
+    by_batch = F.floor(F.col("t") / batch_rows).cast("long")
+    rows.withColumn("batch", by_batch).write.partitionBy("batch").parquet(f"{folder}/rows")
+    d = spark.read.schema(rows.withColumn("batch", by_batch).schema).parquet(f"{folder}/rows")
+    last = d.agg(F.max("batch")).first()[0]
     state = spark.createDataFrame([], STATE_SCHEMA)
-    preds = None
-    for b in range(int(nb) + 1 if nb is not None else 0):
-        pr, state = minibatch_step(d.where(F.col("_b") == b), state, p, prm)
-        pr = pr.withColumn("batch", F.lit(b))
+    none = state.select("stream_id", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("prob"), F.lit(0).cast("long").alias("batch"))
+    none.write.parquet(f"{folder}/predictions")
+    for b in range(0 if last is None else int(last) + 1):
+        pr, state = minibatch_step(d.where(F.col("batch") == b).drop("batch"), state, p, prm)
+        pr.withColumn("batch", F.lit(b).cast("long")).write.mode("append").parquet(f"{folder}/predictions")
         state = state.checkpoint()
-        pr = pr.checkpoint()
-        preds = pr if preds is None else preds.unionByName(pr)
-    return preds, state
+    return spark.read.parquet(f"{folder}/predictions"), state
 
 
 def minibatch_foreach(prm: FtrlParams, p: int, state_path: str):
-    """``foreachBatch`` handler for a live stream: state table at ``state_path`` (parquet in
-    the shared checkpoint folder), read, updated and rewritten every micro-batch."""
+    """``foreachBatch`` handler for a live stream.  Epoch e reads the state that epoch e - 1 has written
+    under ``state_path`` (in the shared checkpoint folder) and writes its own, so an epoch that is run
+    again gives the same state; a state that cannot be read is an error."""
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            state = spark.read.parquet(f"{state_path}/current")
-        except Exception:  # noqa: BLE001 - first batch: no state yet
-            state = spark.createDataFrame([], STATE_SCHEMA)
+        state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/epoch={epoch - 1}") if epoch \
+            else spark.createDataFrame([], STATE_SCHEMA)
         _, new = minibatch_step(batch, state, p, prm)
         new.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
-        spark.read.parquet(f"{state_path}/epoch={epoch}").write.mode("overwrite") \
-            .parquet(f"{state_path}/current")
     return handle

@@ -124,4 +124,31 @@ def test_st21_first_minibatch_step(spark):
     assert all(abs(r.prob - 0.5) < 1e-12 for r in preds.collect())
     g = [sum((0.5 - y) * x[j] for _, _, x, y in rows) for j in range(2)]
     s = state.first()
-    assert np.allclose(s.z, g) and abs(s.r - 2.0) < 1e-12
+    from laggard.functions.logistic import decay_py
+    assert np.allclose(s.z, g) and abs(s.r - 1.0 - decay_py(10, FtrlParams().decay_choice)) < 1e-12
+    assert list(s.counts) == [10, 0]  # 0.5 is an error for neither class
+
+
+def test_st21_with_one_row_a_batch_is_st01():
+    """The state update from the aggregated gradient of one row equals the learner's step, through
+    warnings and drifts."""
+    import pandas as pd
+
+    from laggard.functions.logistic import ftrl_weight_py, sigmoid_py
+    from laggard.streaming.live import _update_state
+    rng = np.random.default_rng(8)
+    prm, p = FtrlParams(), 3
+    st, levels = FtrlState(p, prm), []
+    state = {"stream_id": 1, "v": None, "h": None, "z": None, "r": None, "counts": None, "warned": None, "best": None}
+    for i in range(400):
+        x = [1.0, *rng.normal(size=2).tolist()]
+        y = float((x[1] > 0) != (i >= 200))
+        r = 1.0 if state["r"] is None else state["r"]
+        z = state["z"] or [0.0] * p
+        prob = sigmoid_py(sum(ftrl_weight_py(z[j], r, prm.l1, prm.l2, prm.lp) * x[j] for j in range(p)))
+        want, _ = st.fit(x, y, prm)
+        assert abs(prob - want) < 1e-12
+        levels.append(st.level)
+        row = pd.DataFrame([{**state, "g": [(prob - y) * v for v in x], "n": 1, "errors": int(abs(prob - y) > 0.5)}])
+        state = _update_state(row, p, prm).iloc[0].to_dict()
+    assert {1, 2} & set(levels)
