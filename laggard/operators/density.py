@@ -22,15 +22,16 @@ from pyspark.sql import functions as F
 from laggard.operators.learner import schema_of
 
 
-def sliding_windows(df: DataFrame, size: int, hop: int, keys: Sequence[str] = ("stream_id",),
+def sliding_windows(df: DataFrame, size: int | str, hop: int, keys: Sequence[str] = ("stream_id",),
                     pos: str = "pos", out: str = "win") -> DataFrame:
     """Window ``e`` holds positions [max(0, e - size + 1), e]; windows end at the
     positions e of the stream with (e + 1) % hop == 0 (hop = 1 is the reference's
     batch at every step) and at its last position, so that every row is in a window
     (hop must not exceed size).  Each row is exploded into the at most
-    ceil(size / hop) + 1 windows that contain it."""
-    if hop > size:
+    ceil(size / hop) + 1 windows that contain it.  ``size`` may name a column of sizes by stream."""
+    if isinstance(size, int) and hop > size or isinstance(size, str) and hop > 1:
         raise ValueError("hop > size leaves rows without a window")
+    size = F.col(size) if isinstance(size, str) else F.lit(size)
     keys = list(keys)
     n = df.groupBy(*keys).agg(F.max(pos).alias("_last"))
     p = F.col(pos)
@@ -148,7 +149,7 @@ def knn_vote(dist: np.ndarray, rnd: np.ndarray, y: np.ndarray, k: int) -> tuple[
 
 
 def window_graph(df: DataFrame, keys: Sequence[str] = ("stream_id",), win: str = "win",
-                 t: str = "t", x: str = "x", y: str | None = "y_obs", pct: float = 2.0,
+                 t: str = "t", x: str = "x", y: str | None = "y_obs", pct: float = 5.0,
                  time_decay: float | None = None, knn: int = 3) -> DataFrame:
     """B04/B05 (+ B06, B07 when ``y`` is given) for every (stream, window).
 
@@ -188,26 +189,60 @@ def window_graph(df: DataFrame, keys: Sequence[str] = ("stream_id",), win: str =
     return by_key(df.select(*cols), g).groupBy(*g).applyInPandas(run, schema)
 
 
-def _logistic_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, iters: int = 25) -> np.ndarray:
-    """L2-regularised logistic regression (intercept unpenalised) by Newton steps:
-    minimise 0.5 ||w||^2 + C sum log-loss; the small per-window classifier of B08/B11."""
+def _logistic_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, iters: int = 200, tol: float = 1e-8) -> np.ndarray:
+    """L2-regularised logistic regression (intercept unpenalised): minimise 0.5 ||w||^2 + C sum
+    log-loss by Newton steps, halved while they do not lower the loss, until a step is below ``tol``."""
     a = np.hstack([np.ones((len(x), 1)), x])
+    ridge = np.eye(a.shape[1]) / c
+    ridge[0, 0] = 0.0
     w = np.zeros(a.shape[1])
-    reg = np.eye(a.shape[1]) / c
-    reg[0, 0] = 0.0
+
+    def loss(v):
+        m = a @ v
+        return np.sum(np.logaddexp(0.0, m) - y * m) + 0.5 * v @ ridge @ v
+
+    now = loss(w)
     for _ in range(iters):
         p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -35, 35)))
-        g = a.T @ (p - y) + reg @ w
-        h = (a * (p * (1 - p))[:, None]).T @ a + reg + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.max(np.abs(step)) < 1e-10:
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(w)), a.T @ (p - y) + ridge @ w)
+        while np.max(np.abs(step)) >= tol and (new := loss(w - step)) > now:
+            step = step / 2
+        if np.max(np.abs(step)) < tol:
             break
+        w, now = w - step, new
     return w
 
 
-def _proba(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(np.hstack([np.ones((len(x), 1)), x]) @ w, -35, 35)))
+def class_probability(x: np.ndarray, known: np.ndarray, y: np.ndarray, model: str = "logistic", c: float = 1.0) -> np.ndarray:
+    """p(class 1) of every row by a classifier fitted on the ``known`` rows (both classes present).
+    ``logistic``: L2 logistic regression; ``svc``: linear SVM with squared hinge loss, its margin
+    through a sigmoid; ``centroid``: sigmoid of the difference of squared distances to class means."""
+    a, labels = x[known], y[known]
+    if model == "centroid":
+        d0, d1 = (((x - a[labels == k].mean(axis=0)) ** 2).sum(axis=1) for k in (0, 1))
+        m = d0 - d1
+    elif model == "svc":
+        m = np.hstack([np.ones((len(x), 1)), x]) @ _svc_fit(a, labels, c)
+    else:
+        m = np.hstack([np.ones((len(x), 1)), x]) @ _logistic_fit(a, labels, c)
+    return 1.0 / (1.0 + np.exp(-np.clip(m, -35, 35)))
+
+
+def _svc_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, iters: int = 200) -> np.ndarray:
+    """Linear SVM, squared hinge loss, intercept unpenalised: Newton steps on the rows inside the
+    margin until that set stays the same."""
+    a, s = np.hstack([np.ones((len(x), 1)), x]), 2 * y - 1
+    ridge = np.eye(a.shape[1])
+    ridge[0, 0] = 1e-9
+    w, active = np.zeros(a.shape[1]), np.ones(len(x), dtype=bool)
+    for _ in range(iters):
+        b = a[active]
+        w = np.linalg.solve(ridge + 2 * c * b.T @ b, 2 * c * b.T @ s[active])
+        inside = s * (a @ w) < 1
+        if (inside == active).all():
+            break
+        active = inside
+    return w
 
 
 def _entropy_clip(v: np.ndarray) -> float:
@@ -215,83 +250,178 @@ def _entropy_clip(v: np.ndarray) -> float:
     return float(-np.sum(q * np.log(q)))
 
 
-def propagate_soft(x: np.ndarray, dist: np.ndarray, parent: np.ndarray, rnd: np.ndarray,
-                   y: np.ndarray, c: float = 1.0, temperature: float = 2.0) -> np.ndarray:
-    """B11 for one window: rows labelled in round order.  Per row of round r: the classifier
-    probability (self), the class row of the soft-label matrix for its arg-max (F16, A17:
-    prior 1/K plus probability rows of correctly classified labelled rows), and the
-    summary of already-labelled neighbours (A18, parent and children weighted by e^-d);
-    fused by F15 (weights proportional to exp(-T H)).  The classifier is refitted on true +
-    pseudo labels after every round; the final soft label of every row is the classifier's.
-    Returns p1 per row (NaN when the window has a single class among arrived labels)."""
+def guard(y: np.ndarray) -> bool:
+    """A26 on the labels that have arrived (NaN: not): both classes, in a batch of more than two rows."""
+    seen = y[~np.isnan(y)]
+    return len(y) > 2 and len(np.unique(seen)) == 2
+
+
+def propagate_soft(x: np.ndarray, dist: np.ndarray, parent: np.ndarray, rnd: np.ndarray, y: np.ndarray,
+                   class_rows: np.ndarray, c: float = 1.0, temperature: float = 2.0, model: str = "logistic") -> np.ndarray:
+    """B11 for one window: rows are labelled in round order.  A row of round r fuses the classifier's
+    probability (self), the row of the carried class matrix for its arg-max (F16), and the summary
+    of the neighbours labelled so far (A18, parent and children weighted by e^-d) by F15 (weights
+    proportional to exp(-T H)).  The classifier is refitted on true and pseudo labels after every
+    round; the soft label of every row is the last classifier's probability.  Returns p1 per row (NaN
+    where the guard A26 rejects the window)."""
     n = len(rnd)
-    lab = np.where(rnd == 0, y, np.nan)
-    if n == 0 or len(np.unique(lab[~np.isnan(lab)])) < 2:
+    if not guard(np.where(rnd == 0, y, np.nan)):
         return np.full(n, np.nan)
-    known = ~np.isnan(lab)
-    w = _logistic_fit(x[known], lab[known], c)
-    p_k = _proba(w, x[known])
-    m = np.full((2, 2), 0.5)
-    for pk, yk in zip(p_k, lab[known]):
-        if int(pk > 0.5) == int(yk):
-            m[int(yk)] += [1 - pk, pk]
-    m = m / m.sum(axis=1, keepdims=True)
+    known = rnd == 0
+    p1 = class_probability(x, known, y, model, c)
     soft = np.full((n, 2), np.nan)
-    soft[known] = np.stack([1 - lab[known], lab[known]], axis=1)
-    for r in range(1, int(rnd.max()) + 1 if rnd.max() > 0 else 1):
-        rows = np.where(rnd == r)[0]
-        for i in rows:
-            ps = _proba(w, x[i:i + 1])[0]
-            selfv = np.array([1 - ps, ps])
-            cls = m[int(ps > 0.5)]
-            nb = [j for j in ([int(parent[i])] if parent[i] != i else []) + list(np.where(parent == i)[0])
-                  if not np.isnan(soft[j, 0])]
-            vecs = [selfv, cls]
-            if nb:
-                we = np.exp(-dist[i, nb])
-                vecs.append((we[:, None] * soft[nb]).sum(axis=0) / we.sum())
-            raw = np.exp(-np.array([_entropy_clip(v) for v in vecs]) * temperature)
-            fused = sum(wi * v for wi, v in zip(raw / raw.sum(), vecs))
+    soft[known] = np.stack([1 - y[known], y[known]], axis=1)
+    for r in range(1, int(rnd.max()) + 1):
+        for i in np.flatnonzero(rnd == r):
+            vectors = [np.array([1 - p1[i], p1[i]]), class_rows[int(p1[i] > 0.5)]]
+            near = np.flatnonzero((parent == i) & (np.arange(n) != i)).tolist() + ([int(parent[i])] if parent[i] != i else [])
+            near = [j for j in near if not np.isnan(soft[j, 0])]
+            if near:
+                weight = np.exp(-dist[i, near])
+                vectors.append(weight @ soft[near] / weight.sum())
+            trust = np.exp(-temperature * np.array([_entropy_clip(v) for v in vectors]))
+            fused = trust @ np.array(vectors)
             soft[i] = fused / fused.sum()
         done = ~np.isnan(soft[:, 0])
-        yy = (soft[done, 1] > 0.5).astype(float)
-        if len(np.unique(yy)) == 2:
-            w = _logistic_fit(x[done], yy, c)
-    return _proba(w, x)
-
-
-def two_view_propagation(df: DataFrame, split: int, keys: Sequence[str] = ("stream_id",),
-                         win: str = "win", t: str = "t", x: str = "x", y: str = "y_obs",
-                         pct: float = 2.0) -> DataFrame:
-    """B12 (+ J07, F11): the window's rows seen as two views (x[:split], x[split:]); each view
-    gets its own density graph, propagation order and B11 soft labels; per node both views
-    -> confidence fusion (F11), one view -> kept; hard label = arg-max.  Also B11 per view.
-    Output ``p1_view1, p1_view2, p1_fused, hard``."""
+        labels = np.where(done, soft[:, 1] > 0.5, 0).astype(float)
+        if len(np.unique(labels[done])) == 2:
+            p1 = class_probability(x, done, labels, model, c)
+    return p1
+
+
+def fuse_views(p1: np.ndarray, p2: np.ndarray, method: str = "confidence", quality: tuple[float, float] = (0.5, 0.5),
+               weights: tuple[float, float] = (0.5, 0.5)) -> np.ndarray:
+    """J07 and F10-F14 on the probabilities of class 1; a row that one view alone has keeps its value."""
+    c1, c2 = np.maximum(p1, 1 - p1), np.maximum(p2, 1 - p2)
+    if method == "agreement":
+        both = np.where((p1 > 0.5) == (p2 > 0.5), (p1 + p2) / 2, np.where(c1 > c2, p1, p2))
+    else:
+        if method == "entropy":
+            h1, h2 = (-(q * np.log(q + 1e-10) + (1 - q) * np.log(1 - q + 1e-10)) for q in (p1, p2))
+            total = np.where(h1 + h2 > 0, h1 + h2, 1.0)
+            a, b = 1 - h1 / total, 1 - h2 / total
+        else:
+            a, b = {"confidence": (c1, c2), "fixed": weights, "view_quality": quality}[method]
+        a, b = np.broadcast_to(a, p1.shape), np.broadcast_to(b, p1.shape)
+        total = a + b
+        share = np.where(total > 0, a / np.where(total > 0, total, 1.0), 0.5)
+        both = share * p1 + (1 - share) * p2
+    return np.where(np.isnan(p1), p2, np.where(np.isnan(p2), p1, both))
+
+
+def arrived(df: DataFrame, delay: int, y: str = "y_obs", pos: str = "pos", win: str = "win") -> DataFrame:
+    """A window that ends at position ``win`` knows the labels of positions up to win - delay only."""
+    return df.withColumn(y, F.when(F.col(pos) <= F.col(win) - delay, F.col(y)))
+
+
+def _window_arrays(pdf: pd.DataFrame, t: str, x: str, y: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    pdf = pdf.sort_values(t).reset_index(drop=True)
+    return pdf, np.array([np.asarray(v, dtype=float) for v in pdf[x]]), pdf[y].to_numpy(dtype=float, na_value=np.nan)
+
+
+def window_class_sums(df: DataFrame, view_cols: Sequence[str], keys: Sequence[str] = ("stream_id",), win: str = "win",
+                      t: str = "t", y: str = "y_obs", model: str = "logistic") -> DataFrame:
+    """A17 per window and view: ``n_ok`` labelled rows that the window's classifier gets right and ``s``,
+    the K x K sums of their probability rows by class (flattened); the first stage of ST22.
+    Windows that the guard rejects have none."""
+    from laggard.operators.learner import by_key
     keys = list(keys)
     g = [*keys, win]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t).reset_index(drop=True)
-        xs = np.array([np.asarray(v, dtype=float) for v in pdf[x]])
-        yy = pdf[y].to_numpy(dtype=float, na_value=np.nan)
-        out = pdf[[*g, t]].copy()
-        ps = []
-        for view in (xs[:, :split], xs[:, split:]):
-            res = peaks(view, pct)
-            rnd = propagation_rounds(res["parent"], ~np.isnan(yy))
-            ps.append(propagate_soft(view, res["dist"], res["parent"], rnd, np.nan_to_num(yy, nan=-1)))
-        p1, p2 = ps
-        c1, c2 = np.maximum(p1, 1 - p1), np.maximum(p2, 1 - p2)
-        both = ~np.isnan(p1) & ~np.isnan(p2)
-        fused = np.where(both, (c1 * p1 + c2 * p2) / (c1 + c2), np.where(np.isnan(p1), p2, p1))
-        out["p1_view1"], out["p1_view2"], out["p1_fused"] = p1, p2, fused
+        out = []
+        for k, col in enumerate(view_cols):
+            sub, xs, ys = _window_arrays(pdf, t, col, y)
+            known, s, n_ok = ~np.isnan(ys), np.zeros((2, 2)), 0
+            if guard(ys):
+                p1 = class_probability(xs, known, np.nan_to_num(ys), model)[known]
+                right = (p1 > 0.5) == (ys[known] == 1)
+                n_ok = int(right.sum())
+                for cls in (0, 1):
+                    q = p1[right & (ys[known] == cls)]
+                    s[cls] = [(1 - q).sum(), q.sum()]
+            out.append((*sub[g].iloc[0], k, n_ok, s.ravel().tolist()))
+        return pd.DataFrame(out, columns=[*g, "view", "n_ok", "s"])
+
+    return by_key(df.select(*g, t, y, *view_cols), g).groupBy(*g).applyInPandas(
+        run, f"{schema_of(df, g)}, view int, n_ok bigint, s array<double>")
+
+
+def two_view_propagation(df: DataFrame, view_cols: Sequence[str] = ("x1", "x2"), keys: Sequence[str] = ("stream_id",),
+                         win: str = "win", t: str = "t", y: str = "y_obs", pct: float = 5.0, model: str = "logistic",
+                         fusion: str = "confidence") -> DataFrame:
+    """B12 in three stages: the windows' class sums (A17), their fold over a stream's windows (ST22,
+    one matrix per view), and, with the matrix of its window joined, B11 for every window and view:
+    density graph, propagation order, soft labels; both views' labels are fused per row (J07).
+    ``df`` holds a row for each (window, member).  Output ``p1_view1, p1_view2, p1_fused, hard``."""
+    from laggard.operators.learner import by_key, carried_class_matrix
+    keys = list(keys)
+    g = [*keys, win]
+    sums = window_class_sums(df, view_cols, keys, win, t, y, model)
+    carried = carried_class_matrix(sums, [*keys, "view"], win).groupBy(*g).agg(
+        *[F.max(F.when(F.col("view") == k, F.struct("m"))).getField("m").alias(f"m{k}") for k in range(2)])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ps, qualities = [], []
+        for k, col in enumerate(view_cols):
+            sub, xs, ys = _window_arrays(pdf, t, col, y)
+            res, known = peaks(xs, pct), ~np.isnan(ys)
+            p1 = propagate_soft(xs, res["dist"], res["parent"], propagation_rounds(res["parent"], known), np.nan_to_num(ys),
+                                np.asarray(sub[f"m{k}"].iloc[0], dtype=float).reshape(2, 2), model=model)
+            ps.append(p1)
+            qualities.append(float(((p1 > 0.5) == (ys == 1))[known].mean()) if known.any() else 0.5)
+        out = sub[[*g, t]].copy()
+        fused = fuse_views(*ps, fusion, tuple(qualities))
+        out["p1_view1"], out["p1_view2"], out["p1_fused"] = *ps, fused
         out["hard"] = np.where(np.isnan(fused), np.nan, (fused > 0.5).astype(float))
         return out
 
+    schema = f"{schema_of(df, [*g, t])}, p1_view1 double, p1_view2 double, p1_fused double, hard double"
+    return by_key(df.select(*g, t, y, *view_cols).join(carried, g), g).groupBy(*g).applyInPandas(run, schema)
+
+
+def linear_self_training(df: DataFrame, view_cols: Sequence[str] = ("x",), keys: Sequence[str] = ("stream_id",), win: str = "win",
+                         t: str = "t", y: str = "y_obs", pct: float = 5.0, model: str = "svc") -> DataFrame:
+    """B08 (one view) and B09 (two views): rows are labelled in the order of B06 by a linear
+    classifier that is refitted on true and pseudo labels after every round.  With two views a row
+    gets class 1 if either view's classifier says so, and each view goes on with that label in the
+    order of its own graph; a row that no round reaches is labelled by the last classifiers, as is
+    every row in ``p1`` (mean of the views).  Output ``round`` (of the first view), ``label, p1``; NaN where
+    the guard rejects the window."""
     from laggard.operators.learner import by_key
-    schema = (f"{schema_of(df, [*g, t])}, p1_view1 double, p1_view2 double, p1_fused double, "
-              f"hard double")
-    return by_key(df.select(*g, t, x, y), g).groupBy(*g).applyInPandas(run, schema)
+    keys = list(keys)
+    g = [*keys, win]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        views, rounds = [], []
+        for col in view_cols:
+            sub, xs, ys = _window_arrays(pdf, t, col, y)
+            views.append(xs)
+            rounds.append(propagation_rounds(peaks(xs, pct)["parent"], ~np.isnan(ys)))
+        out = sub[[*g, t]].copy()
+        label, p1 = structure_labels(views, rounds, ys, model)
+        out["round"], out["label"], out["p1"] = rounds[0], label, p1
+        return out
+
+    schema = f"{schema_of(df, [*g, t])}, round int, label double, p1 double"
+    return by_key(df.select(*g, t, y, *view_cols), g).groupBy(*g).applyInPandas(run, schema)
+
+
+def structure_labels(views: list[np.ndarray], rounds: list[np.ndarray], y: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, p1) of one window by B08 / B09."""
+    n = len(y)
+    if not guard(y):
+        return np.full(n, np.nan), np.full(n, np.nan)
+    label = y.copy()
+    for r in range(1, max(int(q.max()) for q in rounds) + 1):
+        known = ~np.isnan(label)
+        fits = [class_probability(x, known, np.nan_to_num(label), model) for x in views]
+        due = np.any([q == r for q in rounds], axis=0) & ~known
+        label[due] = np.any([p > 0.5 for p in fits], axis=0)[due]
+    known = ~np.isnan(label)
+    fits = [class_probability(x, known, np.nan_to_num(label), model) for x in views]
+    label = np.where(known, label, np.any([p > 0.5 for p in fits], axis=0))
+    return label, np.mean(fits, axis=0)
 
 
 def list_groups(df: DataFrame, k: int, keys: Sequence[str] = ("stream_id",), win: str = "win",

@@ -449,20 +449,23 @@ def _copy_state(st: FtrlState, prm: FtrlParams) -> FtrlState:
     return c
 
 
-def speculative_learner(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str] = ("stream_id",),
-                        t: str = "t", x: str = "x", pseudo: str = "pseudo",
-                        prm: FtrlParams = FtrlParams(), max_delay: int = 5) -> DataFrame:
-    """ST14/ST15: delayed learner (ST07) plus, at every t, a throw-away copy of the committed
-    state trained on the pseudo-labels of the still-unlabelled buffered rows, used to
-    predict t (``prob_spec``); ``prob_blend`` uses the 50/50 average of committed and
-    speculative weights.  The copy never writes back; cost O(D p) per row."""
+def speculative_learner(rows: DataFrame, arrivals: DataFrame, max_delay: int, keys: Sequence[str] = ("stream_id",),
+                        t: str = "t", x: str = "x", spec: str = "spec", prm: FtrlParams = FtrlParams()) -> DataFrame:
+    """ST14/ST15 for one view: delayed learner (ST07) plus, at every t, a throw-away copy of the
+    committed state, trained on the soft pseudo-labels that row t carries for its predecessors
+    (``spec``: array of struct(t, p), those of t - max_delay + 1 ... t - 1, nulls left out), which
+    predicts t (``prob_spec``); ``prob_blend`` is by the 50/50 average of committed and speculative
+    weights.  The copy never writes back; cost O(D p) per row.  Rows whose label is more than
+    ``max_delay`` late are forgotten."""
     keys = list(keys)
     fe = rows.select(*keys, F.col(t).cast("bigint").alias("_time"), F.lit(FEATURE).alias("_kind"),
                      F.col(t).cast("bigint").alias("_tref"), F.col(x).cast("array<double>").alias("x"),
-                     F.col(pseudo).cast("double").alias("y"))
-    le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"),
-                         F.lit(LABEL).alias("_kind"), F.col("t_orig").cast("bigint").alias("_tref"),
-                         F.lit(None).cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"))
+                     F.lit(None).cast("double").alias("y"),
+                     F.transform(spec, lambda s: s["t"].cast("bigint")).alias("st"), F.transform(spec, lambda s: s["p"].cast("double")).alias("sp"))
+    le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"), F.lit(LABEL).alias("_kind"),
+                         F.col("t_orig").cast("bigint").alias("_tref"), F.lit(None).cast("array<double>").alias("x"),
+                         F.col("y").cast("double").alias("y"), F.lit(None).cast("array<bigint>").alias("st"),
+                         F.lit(None).cast("array<double>").alias("sp"))
     ev = by_key(fe.unionByName(le), keys).sortWithinPartitions(*keys, "_time", "_kind", "_tref")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -471,36 +474,31 @@ def speculative_learner(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str
             out = {k: [] for k in keys}
             out.update(t=[], prob=[], prob_spec=[], prob_blend=[])
             kc = [pdf[k].to_numpy() for k in keys]
-            for i, (tm, kind, tref, xv, yv) in enumerate(zip(pdf["_time"], pdf["_kind"], pdf["_tref"],
-                                                              pdf["x"], pdf["y"])):
+            for i, (tm, kind, tref, xv, yv, at, ps) in enumerate(zip(pdf["_time"], pdf["_kind"], pdf["_tref"], pdf["x"], pdf["y"],
+                                                                     pdf["st"], pdf["sp"])):
                 key = tuple(c[i] for c in kc)
                 if key != cur:
                     cur, st, buf = key, None, {}
-                has_y = yv is not None and not (isinstance(yv, float) and math.isnan(yv))
                 if kind == LABEL:
                     b = buf.pop(int(tref), None)
-                    if b is not None and has_y:
-                        if st is None:
-                            st = FtrlState(len(b[0]), prm)
-                        st.fit(b[0], float(yv), prm)
+                    if b is not None and not pd.isna(yv):
+                        st.fit(b, float(yv), prm)
                     continue
                 xl = [float(v) for v in xv]
                 if st is None:
                     st = FtrlState(len(xl), prm)
-                spec = _copy_state(st, prm)
-                for k, (bx, by) in buf.items():
-                    if by is not None and k > int(tm) - max_delay:
-                        spec.fit(bx, by, prm)
-                wc = st.weights(len(xl), prm)
-                ws = spec.weights(len(xl), prm)
+                copy = _copy_state(st, prm)
+                for k, q in sorted(zip(at if at is not None else [], ps if ps is not None else [])):
+                    if not pd.isna(q) and int(tm) - max_delay < k < int(tm) and int(k) in buf:
+                        copy.fit_soft(buf[int(k)], float(q), prm)
+                wc, ws = st.weights(len(xl), prm), copy.weights(len(xl), prm)
                 for kk, kv in zip(keys, key):
                     out[kk].append(kv)
                 out["t"].append(int(tm))
                 out["prob"].append(sigmoid_py(sum(a * b for a, b in zip(wc, xl))))
                 out["prob_spec"].append(sigmoid_py(sum(a * b for a, b in zip(ws, xl))))
-                out["prob_blend"].append(sigmoid_py(sum((0.5 * a + 0.5 * c) * b
-                                                        for a, c, b in zip(wc, ws, xl))))
-                buf[int(tm)] = (xl, float(yv) if has_y else None)
+                out["prob_blend"].append(sigmoid_py(sum((0.5 * a + 0.5 * c) * b for a, c, b in zip(wc, ws, xl))))
+                buf[int(tm)] = xl
                 evict(buf, int(tm) - max_delay)
             if out["t"]:
                 yield pd.DataFrame(out)

@@ -8,7 +8,7 @@ from laggard.oracle.m1_sql import PRE, u
 from laggard.oracle.sql import sigmoid_sql
 from laggard.plans import m5
 
-SZ, HP, PCT = m5.SIZE, m5.HOP, m5.PCT
+SZ, HP, PCT, DL = m5.SIZE, m5.HOP, m5.PCT, m5.DELAY
 
 
 def _graph(time_decay: float | None) -> str:
@@ -22,7 +22,7 @@ pts AS (SELECT vec_id % 10 AS stream_id, vec_id AS t, CAST(embedding AS DOUBLE[]
 pl AS (SELECT *, CASE WHEN {u(77, 'stream_id', 't')} > 0.6 THEN y END AS y_obs FROM pts),
 ends AS (SELECT stream_id, pos AS win FROM pts p WHERE (pos + 1) % {HP} = 0
          OR pos = (SELECT max(pos) FROM pts l WHERE l.stream_id = p.stream_id)),
-wm0 AS (SELECT e.win, p.* FROM pl p JOIN ends e ON e.stream_id = p.stream_id
+wm0 AS (SELECT e.win, p.* REPLACE (CASE WHEN p.pos <= e.win - {DL} THEN y_obs END AS y_obs) FROM pl p JOIN ends e ON e.stream_id = p.stream_id
         AND p.pos BETWEEN e.win - {SZ - 1} AND e.win),
 wm AS (SELECT *, row_number() OVER (PARTITION BY stream_id, win ORDER BY t) - 1 AS idx,
               count(*) OVER (PARTITION BY stream_id, win) AS n FROM wm0),
@@ -160,3 +160,26 @@ SELECT stream_id, y AS class, round(m0 / (m0 + m1), 6) AS p0, round(m1 / (m0 + m
 ORACLES["u05_list_groups"] = _graph(None).split(",\npr AS")[0] + """
 SELECT stream_id, win, CAST((idx) // 4 AS INTEGER) AS chunk, count(*) AS size, min(t) AS first_t, max(t) AS last_t
 FROM wm GROUP BY stream_id, win, idx // 4"""
+
+_DIMS = range(1, 5)
+_D = {k: " + ".join(f"pow(w.x[{i}] - c.a{k}_{i}, 2)" for i in _DIMS) for k in (0, 1)}
+#: Per window the class centroids of the arrived labels, their probabilities, the sums of the rows
+#: that are right, and the fold over a stream's windows.
+ORACLES["st22_carried_class_matrix"] = _graph(None).split(",\npr AS")[0] + f""",
+c AS (SELECT stream_id, win, count(DISTINCT y_obs) = 2 AND count(*) > 2 AS ok,
+        {', '.join(f'avg(CASE WHEN y_obs = {k} THEN x[{i}] END) AS a{k}_{i}' for k in (0, 1) for i in _DIMS)}
+      FROM wm GROUP BY stream_id, win),
+q AS (SELECT w.stream_id, w.win, w.y_obs AS y, 1 / (1 + exp(-least(greatest(({_D[0]}) - ({_D[1]}), -35), 35))) AS p
+      FROM wm w JOIN c USING (stream_id, win) WHERE c.ok AND w.y_obs IS NOT NULL),
+s AS (SELECT stream_id, win, count(*) AS n_ok, {', '.join(f"coalesce(sum(CASE WHEN y = {k} THEN {'p' if j else '1 - p'} END), 0) AS s{k}{j}" for k in (0, 1) for j in (0, 1))}
+      FROM q WHERE (p > 0.5) = (y = 1) GROUP BY stream_id, win),
+o AS (SELECT c.stream_id, c.win, coalesce(n_ok, 0) AS n_ok, {', '.join(f'coalesce(s{k}{j}, 0) AS s{k}{j}' for k in (0, 1) for j in (0, 1))},
+        row_number() OVER (PARTITION BY c.stream_id ORDER BY c.win) AS k FROM c LEFT JOIN s USING (stream_id, win)),
+f AS (SELECT stream_id, CAST(NULL AS BIGINT) AS win, CAST(0 AS BIGINT) AS k, 0.5::DOUBLE AS m0, 0.5::DOUBLE AS m1, 0.5::DOUBLE AS m2, 0.5::DOUBLE AS m3
+      FROM o WHERE k = 1
+      UNION ALL
+      SELECT o.stream_id, o.win, o.k,
+        CASE WHEN n_ok > 0 THEN (m0 + s00) / (m0 + s00 + m1 + s01) ELSE m0 END, CASE WHEN n_ok > 0 THEN (m1 + s01) / (m0 + s00 + m1 + s01) ELSE m1 END,
+        CASE WHEN n_ok > 0 THEN (m2 + s10) / (m2 + s10 + m3 + s11) ELSE m2 END, CASE WHEN n_ok > 0 THEN (m3 + s11) / (m2 + s10 + m3 + s11) ELSE m3 END
+      FROM f JOIN o ON o.stream_id = f.stream_id AND o.k = f.k + 1)
+SELECT stream_id, win, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2, round(m3, 6) AS m3 FROM f WHERE k > 0"""

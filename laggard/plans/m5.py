@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from laggard.functions import fusion as fu
 from laggard.functions.logistic import sigmoid
 from laggard.operators import corrupt
-from laggard.operators.density import sliding_windows, window_graph
+from laggard.operators.density import (arrived, linear_self_training, sliding_windows, two_view_propagation,
+                                       window_class_sums, window_graph)
+from laggard.operators.learner import carried_class_matrix
 from laggard.operators.seq import number_rows
 from laggard.sources.fixtures import embedding_points, events_stream
 
-SIZE, HOP, PCT = 20, 10, 2.0
+#: A window that ends at position e knows the labels up to e - DELAY.
+SIZE, HOP, PCT, DELAY = 20, 10, 5.0, 3
 
 
 def r6(c):
@@ -23,7 +26,7 @@ def _windows(spark, sf_dir) -> DataFrame:
     pts = embedding_points(spark, sf_dir)
     pts = number_rows(pts, ["stream_id"], ["t"], out="pos", bucket=F.floor(F.col("t") / 65536))
     pts = corrupt.missing_labels(pts, 0.6, seed=77)
-    return sliding_windows(pts, SIZE, HOP)
+    return arrived(sliding_windows(pts, SIZE, HOP), DELAY)
 
 
 def _graph_out(g: DataFrame) -> DataFrame:
@@ -111,14 +114,38 @@ def a17_class_soft_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
                     r6(F.col("m1") / tot).alias("p1"))
 
 
+def _two_views(spark, sf_dir) -> DataFrame:
+    """F3 windows; the views are the two halves of the embedding."""
+    return _windows(spark, sf_dir).withColumns({"x1": F.slice("x", 1, 32), "x2": F.slice("x", 33, 32)})
+
+
 def b11_b12_two_view_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B11 per view and B12 fusion on the F3 windows; views = the two halves of the embedding."""
-    from laggard.operators.density import two_view_propagation
-    r = two_view_propagation(_windows(spark, sf_dir), 32)
+    """B11 per view and B12 fusion on the F3 windows, class matrices carried over windows (ST22)."""
+    r = two_view_propagation(_two_views(spark, sf_dir))
     return r.select("stream_id", "win", "t", r6("p1_view1").alias("p1_view1"),
                     r6("p1_view2").alias("p1_view2"), r6("p1_fused").alias("p1_fused"), "hard")
 
 
+def b08_ssc_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure-ordered self-training with a linear SVM, one view."""
+    r = linear_self_training(_windows(spark, sf_dir), ("x",))
+    return r.select("stream_id", "win", "t", "round", "label", r6("p1").alias("p1"))
+
+
+def b09_ssc_linear_two_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two views, either view's class 1 wins."""
+    r = linear_self_training(_two_views(spark, sf_dir), ("x1", "x2"))
+    return r.select("stream_id", "win", "t", "round", "label", r6("p1").alias("p1"))
+
+
+def st22_carried_class_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST22 over the sliding windows of F3: S_w from the labelled rows that the window's classifier
+    (class centroids of the first four values) gets right, folded over a stream's windows."""
+    w = _windows(spark, sf_dir).withColumn("x4", F.slice("x", 1, 4))
+    m = carried_class_matrix(window_class_sums(w, ("x4",), model="centroid"))
+    return m.select("stream_id", "win", *[r6(F.element_at("m", i + 1)).alias(f"m{i}") for i in range(4)])
+
+
 def u05_list_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from laggard.operators.density import list_groups
     g = list_groups(_windows(spark, sf_dir), 4)

@@ -10,8 +10,8 @@ from laggard.functions import fusion as fu
 from laggard.operators import corrupt, maps, prep
 from laggard.operators.baselines import svm_error
 from laggard.operators.density import window_graph
-from laggard.operators.learner import carried_class_matrix, speculative_learner
-from laggard.operators.seq import shift
+from laggard.functions.logistic import sigmoid
+from laggard.operators.learner import speculative_learner
 from laggard.plans.m1 import F2_C, lineitem_mixed, wide_cells
 from laggard.plans.m5 import PCT, _windows
 from laggard.sources.fixtures import as_array, events_stream, table
@@ -92,34 +92,18 @@ def p14_p15_reorder_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st14_st15_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST14/ST15 on F1: the soft label of each of the last four rows is a fixed function of its
+    features, sigmoid(4 x0 - 2)."""
     ev = events_stream(spark, sf_dir)
-    rows = as_array(ev, ["x0", "x1", "x2"], intercept=True)
-    rows = shift(rows, ["stream_id"], "t", 5, {"pseudo": "y"})
-    arr = corrupt.delayed_labels(ev, 5)
-    s = speculative_learner(rows.select("stream_id", "t", "x", "pseudo"), arr, max_delay=5)
+    rows = as_array(ev, ["x0", "x1", "x2"], intercept=True).withColumn("soft", sigmoid(4 * F.col("x0") - 2))
+    soft = rows.select("stream_id", F.col("t").alias("of"), "soft")
+    later = soft.withColumn("t", F.explode(F.sequence(F.col("of") + 1, F.col("of") + 4)))
+    spec = later.groupBy("stream_id", "t").agg(F.collect_list(F.struct(F.col("of").alias("t"), F.col("soft").alias("p"))).alias("spec"))
+    s = speculative_learner(rows.join(spec, ["stream_id", "t"], "left"), corrupt.delayed_labels(ev, 5), 5)
     return s.select("stream_id", "t", r6("prob").alias("prob"), r6("prob_spec").alias("prob_spec"),
                     r6("prob_blend").alias("prob_blend"))
 
 
-def st22_carried_class_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST22 over the sliding windows of F3: S_w from the window's correctly classified
-    labelled rows (K-NN vote probabilities of B07), folded over windows per stream."""
-    g = window_graph(_windows(spark, sf_dir), y="y_obs", pct=PCT)
-    w = _windows(spark, sf_dir).select("stream_id", "win", "t", "y_obs")
-    d = g.join(w, ["stream_id", "win", "t"]).where(F.col("y_obs").isNotNull() & (F.col("round") > 0))
-    d = d.withColumn("v", fu.binary(F.col("p1")))
-    ok = d.where(fu.argmax("v") == F.col("y_obs"))
-    s = ok.groupBy("stream_id", "win").agg(
-        F.count(F.lit(1)).alias("n_ok"),
-        *[F.sum(F.when(F.col("y_obs") == c, F.element_at("v", k + 1)).otherwise(0.0)).alias(f"s{c}{k}")
-          for c in range(2) for k in range(2)])
-    allw = w.select("stream_id", "win").distinct()
-    s = allw.join(s, ["stream_id", "win"], "left").fillna(0).withColumn(
-        "s", F.array(*[F.col(f"s{c}{k}") for c in range(2) for k in range(2)]))
-    m = carried_class_matrix(s.select("stream_id", "win", "n_ok", "s"))
-    return m.select("stream_id", "win", *[r6(F.element_at("m", i + 1)).alias(f"m{i}") for i in range(4)])
-
-
 def b13_t04_svm_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events_stream(spark, sf_dir)
     return svm_error(spark, ev, ["x0", "x1", "x2"])
