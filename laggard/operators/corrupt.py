@@ -45,19 +45,20 @@ def mask_cells(cells: DataFrame, fraction: float, seed: int, keys=("stream_id",)
                col: str = "col", max_retries: int = 50, seeds_per_pass: int = 4) -> DataFrame:
     """Per stream hide exactly ``int(fraction * observed cells)`` cells, chosen by the
     smallest hash; if a row would lose all its cells the stream is redrawn with seed+1
-    (at most ``max_retries`` times).  Output: ``cells`` plus ``masked`` BOOLEAN and ``seed``.
+    (at most ``max_retries`` times).  Output: ``cells`` plus ``masked`` BOOLEAN and ``seed``; both are
+    NULL for a stream of which no draw leaves every row a cell.
 
     The per-stream top-k is exact without a per-stream window: hashes are
-    histogrammed on their top 16 bits per (stream, seed, bucket), the cut bucket is
-    found on that small histogram, and only the cut bucket is ranked.  The first pass
-    draws one seed for all streams; each later pass evaluates ``seeds_per_pass``
-    consecutive seeds at once for the streams still pending.
+    histogrammed on their top 16 bits per (stream, seed, bucket) and the cut bucket is
+    found on that small histogram.  Cells below or above it are decided by the bucket alone;
+    only the cut bucket is ranked.  The first pass draws one seed for all streams; each later
+    pass evaluates ``seeds_per_pass`` consecutive seeds at once for the streams still pending.
     """
     keys = _k(keys)
     n_obs = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nobs"))
     pending = n_obs.select(*keys, F.floor(F.col("_nobs") * fraction).cast("long").alias("_k"))
     g = [*keys, "_s"]
-    result = None
+    done = []
     # first pass: one seed for every stream; later passes: several seeds at once, but only for
     # the few streams whose draw left an empty row
     schedule, nxt = [[seed]], seed + 1
@@ -68,7 +69,7 @@ def mask_cells(cells: DataFrame, fraction: float, seed: int, keys=("stream_id",)
         c = (cells.join(pending, keys)
              .withColumn("_s", F.explode(F.array(*[F.lit(s) for s in seeds])))
              .withColumn("_h", hash32("_s", *keys, t, col))
-             .withColumn("_hb", F.shiftright("_h", 16)))
+             .withColumn("_hb", F.shiftright("_h", 16))).checkpoint()
         hist = c.groupBy(*g, "_hb").agg(F.count(F.lit(1)).alias("_hn"), F.max("_k").alias("_k"))
         wc = Window.partitionBy(*g).orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("_cum", F.sum("_hn").over(wc))
@@ -76,26 +77,25 @@ def mask_cells(cells: DataFrame, fraction: float, seed: int, keys=("stream_id",)
                .groupBy(*g).agg(F.min_by(F.struct("_hb", "_cum", "_hn", "_k"), "_hb").alias("_c"))
                .select(*g, F.col("_c._hb").alias("_cb"),
                        (F.col("_c._hn") - (F.col("_c._cum") - F.col("_c._k"))).alias("_need")))
-        c = c.join(cut, g, "left")
-        wr = Window.partitionBy(*g, "_hb").orderBy("_h", t, col)
-        ranked = (c.where(F.col("_hb") == F.col("_cb"))
-                  .withColumn("_r", F.row_number().over(wr)).select(*g, t, col, "_r"))
-        m = c.join(ranked, [*g, t, col], "left").select(
-            *cells.columns, "_s",
-            F.coalesce((F.col("_hb") < F.col("_cb"))
-                       | ((F.col("_hb") == F.col("_cb")) & (F.col("_r") <= F.col("_need"))),
-                       F.lit(False)).alias("masked")).checkpoint()
+        c = c.join(cut, g)
+        sure = c.where(F.col("_hb") != F.col("_cb")).withColumn("masked", F.col("_hb") < F.col("_cb"))
+        wr = Window.partitionBy(*g).orderBy("_h", t, col)
+        close = c.where(F.col("_hb") == F.col("_cb")).withColumn("masked", F.row_number().over(wr) <= F.col("_need"))
+        m = sure.unionByName(close).select(*cells.columns, "_s", "masked").checkpoint()
         empty = (m.groupBy(*g, t).agg(F.bool_and("masked").alias("_all"))
                  .where("_all").select(*g).distinct())
         chosen = (m.select(*g).distinct().join(empty, g, "left_anti")
                   .groupBy(*keys).agg(F.min("_s").alias("_s")))
-        good = m.join(chosen, g).withColumnRenamed("_s", "seed")
-        result = good if result is None else result.unionByName(good)
+        done.append(m.join(chosen, g).withColumnRenamed("_s", "seed"))
         pending = pending.join(chosen, keys, "left_anti").checkpoint()
         if pending.isEmpty():
             break
     else:
-        raise ValueError("masking left an empty row after the maximum number of retries")
+        done.append(cells.join(pending.select(*keys), keys, "left_semi")
+                    .withColumn("seed", F.lit(None).cast("int")).withColumn("masked", F.lit(None).cast("boolean")))
+    result = done[0]
+    for more in done[1:]:
+        result = result.unionByName(more)
     return result.select(*cells.columns, "masked", F.col("seed").cast("bigint").alias("seed"))
 
 

@@ -59,14 +59,28 @@ def ord_interval(cells: DataFrame, group: Sequence[str] = GROUP, v: str = "v") -
             .drop("n_below", "n_eq", "n"))
 
 
-def sorted_positions(cells: DataFrame, group: Sequence[str] = GROUP, v: str = "v",
-                     t: str = "t") -> DataFrame:
-    """Observed values with their 0-based sorted position ``pos`` per group (ties by t)."""
-    st = cells.groupBy(*group).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"))
-    d = cells.join(st, list(group))
-    span = F.col("_mx") - F.col("_mn")
-    b = F.when(span > 0, F.floor((F.col(v) - F.col("_mn")) / span * 65535)).otherwise(F.lit(0))
-    return number_rows(d, group, [v, t], out="pos", bucket=b).drop("_mn", "_mx")
+POSITION_BLOCK = 1 << 16
+
+
+def values_at(wanted: DataFrame, cells: DataFrame, group: Sequence[str] = GROUP, v: str = "v", pos: str = "pos") -> DataFrame:
+    """The observed value at each wanted 0-based sorted position: ``group, pos, value``, one row for each
+    distinct wanted position.
+
+    Positions come from counts of distinct values, so a value that most rows share is one run,
+    not a row each.  Runs and wanted positions are cut into blocks of positions; within a block
+    the run that starts last before a position holds it."""
+    group = list(group)
+    r = value_ranks(cells, group, v)
+    at = F.floor(F.col("n_below") / POSITION_BLOCK).cast("long")
+    end = F.floor((F.col("n_below") + F.col("n_eq") - 1) / POSITION_BLOCK).cast("long")
+    starts = r.select(*group, F.col(v).alias("value"), "n_below", F.explode(F.sequence(at, end)).alias("_blk")) \
+        .select(*group, "_blk", F.greatest("n_below", F.col("_blk") * POSITION_BLOCK).cast("long").alias(pos), "value", F.lit(0).alias("_ask"))
+    asked = wanted.select(*group, F.col(pos).cast("long").alias(pos)).where(F.col(pos).isNotNull()).distinct() \
+        .select(*group, F.floor(F.col(pos) / POSITION_BLOCK).cast("long").alias("_blk"), pos,
+                F.lit(None).cast(dict(cells.dtypes)[v]).alias("value"), F.lit(1).alias("_ask"))
+    w = Window.partitionBy(*group, "_blk").orderBy(pos, "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    return starts.unionByName(asked).withColumn("value", F.last("value", ignorenulls=True).over(w)) \
+        .where("_ask = 1").select(*group, pos, "value")
 
 
 def quantile_lookup(queries: DataFrame, cells: DataFrame, q: str, group: Sequence[str] = GROUP,
@@ -74,15 +88,16 @@ def quantile_lookup(queries: DataFrame, cells: DataFrame, q: str, group: Sequenc
     """Numpy 'linear' quantile of the group's observed values at per-row probability q.
 
     Index h = q (n-1); value = lerp(x[floor h], x[ceil h], h - floor h) with numpy's
-    two-sided lerp.  Both neighbours are fetched by equi-joins on (group, pos).
+    two-sided lerp.  Both neighbours are looked up by position (``values_at``).
     """
     group = list(group)
-    pos = sorted_positions(cells, group, v).select(*group, "pos", F.col(v).alias("_x"))
     n = cells.groupBy(*group).agg(F.count(v).alias("_n"))
     d = queries.join(n, group).withColumn("_h", F.col(q) * (F.col("_n") - 1))
     d = d.withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
-    lo = pos.select(*group, F.col("pos").alias("_lo"), F.col("_x").alias("_a"))
-    hi = pos.select(*group, F.col("pos").alias("_hi"), F.col("_x").alias("_b"))
+    wanted = d.select(*group, F.explode(F.array("_lo", "_hi")).alias("pos"))
+    known = values_at(wanted, cells, group, v)
+    lo = known.select(*group, F.col("pos").alias("_lo"), F.col("value").alias("_a"))
+    hi = known.select(*group, F.col("pos").alias("_hi"), F.col("value").alias("_b"))
     d = d.join(lo, [*group, "_lo"], "left").join(hi, [*group, "_hi"], "left")
     tt = F.col("_h") - F.col("_lo")
     diff = F.col("_b") - F.col("_a")
@@ -94,12 +109,12 @@ def inverse_ecdf(queries: DataFrame, cells: DataFrame, q: str, group: Sequence[s
                  v: str = "v", out: str = "x_imp") -> DataFrame:
     """Ordinal inverse ECDF: sorted[clip(ceil(round_half_even((n+1)q - 1, 3)), 0, n-1)]."""
     group = list(group)
-    pos = sorted_positions(cells, group, v).select(*group, F.col("pos").alias("_i"),
-                                                   F.col(v).alias(out))
     n = cells.groupBy(*group).agg(F.count(v).alias("_n"))
     idx = F.ceil(F.bround((F.col("_n") + 1) * F.col(q) - 1, 3))
     d = queries.join(n, group).withColumn("_i", F.least(F.greatest(idx, F.lit(0)), F.col("_n") - 1))
-    return d.join(pos, [*group, "_i"], "left").drop("_n", "_i")
+    known = values_at(d.select(*group, F.col("_i").alias("pos")), cells, group, v) \
+        .select(*group, F.col("pos").alias("_i"), F.col("value").alias(out))
+    return d.join(known, [*group, "_i"], "left").drop("_n", "_i")
 
 
 def impute_missing(wide_cells: DataFrame, cells: DataFrame, kinds: dict[int, str], q: str,
@@ -175,7 +190,7 @@ def group_quantile(cells: DataFrame, group: Sequence[str], q: float, v: str = "v
     unlike an exact percentile aggregate it never holds a group in one buffer."""
     group = list(group)
     qs = cells.select(*group).distinct().withColumn("_q", F.lit(float(q)))
-    return quantile_lookup(qs, cells.select(*group, t, v), "_q", group, v, out).drop("_q")
+    return quantile_lookup(qs, cells.select(*group, v), "_q", group, v, out).drop("_q")
 
 
 def latent_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str = "z_",

@@ -110,10 +110,12 @@ SELECT w.stream_id, w.t, w.col, {ordinalise('w.v', 'mm.mn', 'mm.mx', 4)} AS v_or
 FROM wu w JOIN mm USING (stream_id, col)"""
 
 ORACLES["p08_binarise_random"] = PRE + f""",
-r AS (SELECT *, rank() OVER (PARTITION BY stream_id, col ORDER BY v) - 1 AS n_below,
-             count(*) OVER (PARTITION BY stream_id, col) AS n FROM wu),
-cut AS (SELECT stream_id, col, first(v ORDER BY {h(11, 'stream_id', 'col', 't')}, t) AS cutoff
-        FROM r WHERE n_below > 0.1 * n AND n_below < 0.9 * n GROUP BY stream_id, col)
+vc AS (SELECT stream_id, col, v, count(*) AS c FROM wu WHERE v IS NOT NULL GROUP BY stream_id, col, v),
+r AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY stream_id, col ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_below,
+             sum(c) OVER (PARTITION BY stream_id, col) AS n FROM vc),
+e AS (SELECT w.stream_id, w.col, w.v, CAST({h(11, 'w.stream_id', 'w.col', 'w.t')} AS BIGINT) * 2147483648 + w.t AS k
+      FROM wu w JOIN r USING (stream_id, col, v) WHERE n_below > 0.1 * n AND n_below < 0.9 * n),
+cut AS (SELECT stream_id, col, arg_min(v, k) AS cutoff FROM e GROUP BY stream_id, col)
 SELECT w.stream_id, w.t, w.col, round(cut.cutoff, 6) AS cutoff,
        CAST(w.v > cut.cutoff AS INTEGER) AS v_bin
 FROM wu w LEFT JOIN cut USING (stream_id, col)"""

@@ -21,7 +21,9 @@ v AS (SELECT f2.*, CAST(least(5, floor(f2.t / ceil(n.n_rows / 5)) + 1) AS INTEGE
       FROM f2 JOIN nrows n USING (stream_id))
 SELECT stream_id, t, nv AS jag_len,
   round(0.0::DOUBLE + c0 + CASE WHEN nv > 1 THEN c1 ELSE 0 END + CASE WHEN nv > 2 THEN c2 ELSE 0 END
-        + CASE WHEN nv > 3 THEN c3 ELSE 0 END + CASE WHEN nv > 4 THEN c4 ELSE 0 END, 6) AS jag_sum FROM v"""
+        + CASE WHEN nv > 3 THEN c3 ELSE 0 END + CASE WHEN nv > 4 THEN c4 ELSE 0 END, 6) AS jag_sum,
+  round(c0, 6) AS p0, round(CASE WHEN nv > 1 THEN c1 ELSE 0 END, 6) AS p1, round(CASE WHEN nv > 2 THEN c2 ELSE 0 END, 6) AS p2,
+  round(CASE WHEN nv > 3 THEN c3 ELSE 0 END, 6) AS p3, round(CASE WHEN nv > 4 THEN c4 ELSE 0 END, 6) AS p4, true AS same FROM v"""
 
 ORACLES["s05_s07_s08_reports"] = SCORE + f"""
 SELECT stream_id, method, n, round(cer, 6) AS cer, round(baseline, 6) AS baseline, round(dpaa, 6) AS dpaa,

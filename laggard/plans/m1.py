@@ -38,8 +38,9 @@ def wide_cells(df: DataFrame) -> DataFrame:
     return long.select("stream_id", "t", F.col("col").cast("int").alias("col"), "v")
 
 
-def masked_cells(spark, sf_dir) -> DataFrame:
-    return col_cells(f2_masked(spark, sf_dir), F2_C)
+def masked_cells(d: DataFrame) -> DataFrame:
+    """Observed cells of a masked F2 stream that the query has built once."""
+    return col_cells(d, F2_C)
 
 
 # ---- P ------------------------------------------------------------------------------
@@ -185,69 +186,70 @@ def k09_interleave_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- marginals --------------------------------------------------------------------------
 def a11_col_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = marginals.col_stats(masked_cells(spark, sf_dir))
+    d = marginals.col_stats(masked_cells(f2_masked(spark, sf_dir)))
     return d.select("stream_id", "col", "n_obs", r6("mean").alias("mean"), r6("sd").alias("sd"),
                     r6("min").alias("min"), r6("max").alias("max"))
 
 
 def a12_ord_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = marginals.ord_gap(masked_cells(spark, sf_dir).where(F.col("col") >= 2))
+    d = marginals.ord_gap(masked_cells(f2_masked(spark, sf_dir)).where(F.col("col") >= 2))
     return d.select("stream_id", "col", r6("gap").alias("gap"))
 
 
-def _n_rows(spark, sf_dir):
-    return lineitem_mixed(spark, sf_dir).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_rows"))
+def _n_rows(d: DataFrame) -> DataFrame:
+    return d.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def w04_cont_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = masked_cells(spark, sf_dir).where(F.col("col") < 2)
-    d = marginals.cont_latent(c, _n_rows(spark, sf_dir))
+    f2 = f2_masked(spark, sf_dir)
+    d = marginals.cont_latent(masked_cells(f2).where(F.col("col") < 2), _n_rows(f2))
     return d.select("stream_id", "t", "col", r6("z").alias("z"))
 
 
 def w05_ord_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = masked_cells(spark, sf_dir).where(F.col("col") >= 2)
+    c = masked_cells(f2_masked(spark, sf_dir)).where(F.col("col") >= 2)
     d = marginals.ord_interval(c)
     return d.select("stream_id", "t", "col", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
 def w10_window_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = marginals.window_values(masked_cells(spark, sf_dir), WIN)
+    d = marginals.window_values(masked_cells(f2_masked(spark, sf_dir)), WIN)
     return d.select("stream_id", "t", "col", F.size("win").cast("bigint").alias("win_n"),
                     r6(F.aggregate("win", F.lit(0.0), lambda a, b: a + b)).alias("win_sum"),
                     r6(F.array_min("win")).alias("win_min"), r6(F.array_max("win")).alias("win_max"))
 
 
 def w06_window_cont_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = masked_cells(spark, sf_dir).where(F.col("col") < 2)
+    c = masked_cells(f2_masked(spark, sf_dir)).where(F.col("col") < 2)
     d = marginals.window_cont_latent(c, WIN)
     return d.select("stream_id", "t", "col", r6("z").alias("z"))
 
 
 def w07_window_ord_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = masked_cells(spark, sf_dir).where(F.col("col") >= 2)
+    c = masked_cells(f2_masked(spark, sf_dir)).where(F.col("col") >= 2)
     d = marginals.window_ord_interval(c, WIN)
     return d.select("stream_id", "t", "col", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
-def _missing_with_q(spark, sf_dir):
-    wc = wide_cells(f2_masked(spark, sf_dir))
-    return wc.withColumn("q", uniform("31", "stream_id", "t", "col"))
+def with_q(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("q", uniform("31", "stream_id", "t", "col"))
 
 
 def a14_quantile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _missing_with_q(spark, sf_dir).where(F.col("v").isNull() & (F.col("col") < 2))
-    d = marginals.quantile_lookup(q, masked_cells(spark, sf_dir).where(F.col("col") < 2), "q")
+    f2 = f2_masked(spark, sf_dir)
+    q = with_q(wide_cells(f2)).where(F.col("v").isNull() & (F.col("col") < 2))
+    d = marginals.quantile_lookup(q, masked_cells(f2).where(F.col("col") < 2), "q")
     return d.select("stream_id", "t", "col", r6("x_imp").alias("x_imp"))
 
 
 def a13_inverse_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _missing_with_q(spark, sf_dir).where(F.col("v").isNull() & (F.col("col") >= 2))
-    d = marginals.inverse_ecdf(q, masked_cells(spark, sf_dir).where(F.col("col") >= 2), "q")
+    f2 = f2_masked(spark, sf_dir)
+    q = with_q(wide_cells(f2)).where(F.col("v").isNull() & (F.col("col") >= 2))
+    d = marginals.inverse_ecdf(q, masked_cells(f2).where(F.col("col") >= 2), "q")
     return d.select("stream_id", "t", "col", r6("x_imp").alias("x_imp"))
 
 
 def w08_impute_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = marginals.impute_missing(_missing_with_q(spark, sf_dir), masked_cells(spark, sf_dir),
-                                 KINDS, "q")
+    f2 = f2_masked(spark, sf_dir)
+    d = marginals.impute_missing(with_q(wide_cells(f2)), masked_cells(f2), KINDS, "q")
     return d.select("stream_id", "t", "col", r6("x_imp").alias("x_imp"))

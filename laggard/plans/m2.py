@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from laggard.operators import corrupt, drift, metrics
 from laggard.operators.learner import FtrlParams, delayed_learner, online_learner
 from laggard.operators.seq import shift
-from laggard.plans.m1 import F2_C, _missing_with_q, lineitem_mixed, masked_cells
+from laggard.plans.m1 import F2_C, lineitem_mixed, with_q
 from laggard.operators import marginals
 from laggard.sources.fixtures import as_array, events_stream
 
@@ -123,13 +123,14 @@ def s09_output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- imputation errors (A03-A07) on the K01-masked F2 cells, imputed by W08 ----------
 def _imputed_vs_truth(spark, sf_dir):
-    imp = marginals.impute_missing(_missing_with_q(spark, sf_dir), masked_cells(spark, sf_dir),
-                                   {0: "cont", 1: "cont", 2: "ord", 3: "ord", 4: "ord"}, "q")
-    from laggard.plans.m1 import wide_cells
-    truth = wide_cells(lineitem_mixed(spark, sf_dir)).withColumnRenamed("v", "v_true")
-    masked = wide_cells(corrupt.pair_mask(lineitem_mixed(spark, sf_dir), F2_C, 1, 7)) \
-        .select("stream_id", "t", "col", F.col("v").isNull().alias("hidden"))
-    return imp.join(truth, ["stream_id", "t", "col"]).join(masked, ["stream_id", "t", "col"]).checkpoint()
+    """Every cell of the stream, built once: v_true, v (null where masked), hidden, x_imp."""
+    d = lineitem_mixed(spark, sf_dir)
+    d = corrupt.pair_mask(d.withColumns({f"true_{c}": F.col(c) for c in F2_C}), F2_C, 1, 7)
+    cells = d.select("stream_id", "t", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("col"), F.col(c).alias("v"), F.col(f"true_{c}").alias("v_true")) for i, c in enumerate(F2_C)]))) \
+        .withColumn("hidden", F.col("v").isNull())
+    observed = cells.where(~F.col("hidden")).select("stream_id", "t", "col", "v")
+    return marginals.impute_missing(with_q(cells), observed, {0: "cont", 1: "cont", 2: "ord", 3: "ord", 4: "ord"}, "q").checkpoint()
 
 
 def a03_a07_imputation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

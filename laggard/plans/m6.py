@@ -23,31 +23,31 @@ def r6(c):
 
 
 def s01_s02_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S04 sink + S01/S02 reader: F2 as headerless space-separated text, read back by position."""
+    """S04 sink + S01/S02 readers: F2 as a headerless matrix and its labels as a vector of their
+    own, both read back by position and joined."""
     li = lineitem_mixed(spark, sf_dir)
-    path = text.scratch_path(spark, "matrix")
-    text.write_matrix(li, path, [*F2_C, "y"])
-    back = text.read_matrix(spark, path, len(F2_C) + 1)
-    return back.select("stream_id", "t", *[r6(f"c{i}").alias(f"c{i}") for i in range(5)],
-                       F.col("c5").cast("int").alias("y"))
+    path, labels = text.scratch_path(spark, "matrix"), text.scratch_path(spark, "labels")
+    text.write_matrix(li, path, F2_C)
+    text.write_matrix(li.withColumn("y", F.col("y").cast("double")), labels, ["y"])
+    back = text.read_matrix(spark, path, len(F2_C)).join(text.read_labels(spark, labels), ["stream_id", "t"])
+    return back.select("stream_id", "t", *[r6(f"c{i}").alias(f"c{i}") for i in range(5)], "y")
 
 
 def s03_s04_jagged_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S04 jagged sink + S03 reader on the K04 trapezoidal stream."""
+    """S04 jagged sink + S03 reader on the K04 trapezoidal stream, and its zero-filled matrix; the
+    cells of both are compared."""
     d = corrupt.trapezoid(lineitem_mixed(spark, sf_dir), F2_C)
-    path = text.scratch_path(spark, "jagged")
-    (d.select("stream_id", "t", text.format_jagged("x_jag").alias("value"))
-     .repartition("stream_id").sortWithinPartitions("stream_id", "t")
-     .select("stream_id", "value").write.mode("overwrite").partitionBy("stream_id").text(path))
-    raw = spark.read.text(path).withColumn("_f", F.input_file_name())
-    schema = raw.schema.add("_idx", "long")
-    idx = spark.createDataFrame(raw.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
-    first = idx.groupBy("_f").agg(F.min("_idx").alias("_i0"))
-    back = idx.join(first, "_f").withColumn("t", F.col("_idx") - F.col("_i0"))
-    x = text.parse_jagged("value")
-    return back.select(F.col("stream_id").cast("bigint").alias("stream_id"), "t",
-                       F.size(x).alias("jag_len"),
-                       r6(F.aggregate(x, F.lit(0.0), lambda a, b: a + b)).alias("jag_sum"))
+    jagged, zero = text.scratch_path(spark, "jagged"), text.scratch_path(spark, "zero")
+    text.write_lines(d.select("stream_id", "t", text.format_jagged("x_jag").alias("value")), jagged)
+    full = text.padded("x_jag", len(F2_C), 0.0)
+    text.write_matrix(d.select("stream_id", "t", *[full[i].alias(f"c{i}") for i in range(len(F2_C))]), zero, F2_C)
+    back = text.read_lines(spark, jagged).withColumn("x", text.parse_jagged("value"))
+    both = back.join(text.read_matrix(spark, zero, len(F2_C), prefix="p"), ["stream_id", "t"])
+    cell = lambda i: F.coalesce(F.get("x", F.lit(i)), F.lit(0.0))
+    return both.select("stream_id", "t", F.size("x").alias("jag_len"),
+                       r6(F.aggregate("x", F.lit(0.0), lambda a, b: a + b)).alias("jag_sum"),
+                       *[r6(f"p{i}").alias(f"p{i}") for i in range(len(F2_C))],
+                       F.forall(F.array(*[cell(i) == F.col(f"p{i}") for i in range(len(F2_C))]), lambda v: v).alias("same"))
 
 
 def s05_s07_s08_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

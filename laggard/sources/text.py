@@ -1,19 +1,23 @@
 """Text sources and sinks of the reference's file formats.
 
 * S01/S02: headerless space-separated matrices and label vectors; row order is
-  time, so a positional ``t`` comes from ``zipWithIndex`` (the one place an
-  RDD is used: Spark has no line-number column) relative to each file's first
-  line.
+  time, so ``t`` is a line's number in its file.  Lines are numbered within the
+  split that reads them and splits of a file are put behind one another by
+  their start offsets, so a file of any number of splits is numbered right.
 * S03/S04: jagged list-literal lines (``[1.0, nan, 2.0]``) written from an
   array column and parsed back with ``split``/``try_cast``; NaN -> 0.
+  Padded and zero-filled matrices are ``write_matrix`` over ``padded`` columns.
 * S05/S07/S08: metric tables as CSV/JSON with metadata columns.
+
+Sinks write a stream as several files of consecutive rows (``part`` = t // rows), so
+that no task holds a whole stream; a reader puts them behind one another.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laggard.session import ensure_checkpoint_dir
@@ -24,26 +28,55 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/laggard-io/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_matrix(df: DataFrame, path: str, cols: list[str], key: str = "stream_id",
-                 t: str = "t") -> None:
-    """S04-style sink: one headerless space-separated text file per stream, rows in t order."""
-    line = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols])
-    (df.select(key, t, line.alias("value")).repartition(key).sortWithinPartitions(key, t)
-     .select(key, "value").write.mode("overwrite").partitionBy(key).text(path))
+ROWS_A_FILE = 1 << 20
+
+
+def write_lines(lines: DataFrame, path: str, key: str = "stream_id", t: str = "t", rows_a_file: int = ROWS_A_FILE) -> None:
+    """One folder per stream and block of ``rows_a_file`` rows, one file of lines (``value``) in t order in each."""
+    d = lines.select(key, t, "value", F.floor(F.col(t) / rows_a_file).cast("long").alias("part"))
+    (d.repartition(key, "part").sortWithinPartitions(key, "part", t).select(key, "part", "value")
+     .write.mode("overwrite").partitionBy(key, "part").text(path))
+
+
+def read_lines(spark: SparkSession, path: str, key: str = "stream_id", t: str = "t") -> DataFrame:
+    """``key, t, value``: the lines of ``write_lines``, or of folders ``key=...`` with one file each;
+    t is the line's number in its stream, by (part, file, split, place in the split)."""
+    raw = spark.read.text(path)
+    part = F.col("part").cast("long") if "part" in raw.columns else F.lit(0).cast("long")
+    where = F.struct(part.alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    # rising within a split, where one task reads the lines in order
+    d = raw.select(F.col(key).cast("bigint").alias(key), "value", where.alias("_at"), F.monotonically_increasing_id().alias("_i")).checkpoint()
+    sizes = d.groupBy(key, "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(key, "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return d.join(sizes, [key, "_at"]).select(key, (F.col("_before") + F.col("_i") - F.col("_first")).cast("bigint").alias(t), "value")
+
+
+def matrix_lines(df: DataFrame, cols: list[str], key: str = "stream_id", t: str = "t") -> DataFrame:
+    return df.select(key, t, F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols]).alias("value"))
+
+
+def write_matrix(df: DataFrame, path: str, cols: list[str], key: str = "stream_id", t: str = "t") -> None:
+    """S04-style sink: headerless space-separated text, rows in t order, NULL as nan."""
+    write_lines(matrix_lines(df, cols, key, t), path, key, t)
+
+
+def padded(x: str, width: int, fill: float = float("nan")) -> F.Column:
+    """A jagged row as ``width`` cells, missing ones ``fill`` (0.0 for the zero-filled matrix)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get(F.col(x), i), F.lit(fill)))
 
 
 def read_matrix(spark: SparkSession, path: str, n_cols: int, key: str = "stream_id",
-                t: str = "t") -> DataFrame:
-    """Read the files back; ``t`` = line position inside each file."""
-    raw = spark.read.text(path).withColumn("_f", F.input_file_name())
-    schema = raw.schema.add("_idx", "long")
-    idx = spark.createDataFrame(raw.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
-    first = idx.groupBy("_f").agg(F.min("_idx").alias("_i0"))
-    d = idx.join(first, "_f").withColumn(t, F.col("_idx") - F.col("_i0"))
-    vals = [F.expr(f"try_cast(element_at(split(trim(value), ' +'), {i + 1}) AS DOUBLE)")
-            for i in range(n_cols)]
-    return d.select(F.col(key).cast("bigint").alias(key), t,
-                    *[F.when(F.isnan(v), None).otherwise(v).alias(f"c{i}") for i, v in enumerate(vals)])
+                t: str = "t", prefix: str = "c") -> DataFrame:
+    """Read the files back; ``t`` = line number, cells that are no numbers NULL."""
+    vals = [F.expr(f"try_cast(element_at(split(trim(value), ' +'), {i + 1}) AS DOUBLE)") for i in range(n_cols)]
+    return read_lines(spark, path, key, t).select(
+        key, t, *[F.when(F.isnan(v), None).otherwise(v).alias(f"{prefix}{i}") for i, v in enumerate(vals)])
+
+
+def read_labels(spark: SparkSession, path: str, key: str = "stream_id", t: str = "t") -> DataFrame:
+    """A label vector, one number a line (also in scientific notation): ``key, t, y``."""
+    return read_matrix(spark, path, 1, key, t).select(key, t, F.col("c0").cast("int").alias("y"))
 
 
 def format_jagged(x: str) -> F.Column:
@@ -64,7 +97,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", meta: dict | None =
     """Metric table with metadata columns, CSV (header) or JSON."""
     for k, v in (meta or {}).items():
         df = df.withColumn(k, F.lit(v))
-    w = df.coalesce(1).write.mode("overwrite")
+    w = df.write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
