@@ -110,17 +110,15 @@ def b13_t04_svm_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s10_hyper_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per stream, the profile of each registered dataset and the batch / window sizes
-    it implies for that stream's length (small registry, broadcast join)."""
-    from laggard.sources.params import FIELDS, PROFILES
+    """Per stream, the profile of each dataset of a profile table (written as a file and loaded
+    here) and the batch / window sizes it implies for that stream's length."""
+    from laggard.sources.params import load_profiles, profile_table, with_sizes
+    from laggard.sources.text import scratch_path
+    path = scratch_path(spark, "profiles")
+    profile_table(spark).write.option("header", True).csv(path)
     n = events_stream(spark, sf_dir).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"))
-    profs = F.array(*[F.struct(F.lit(k).alias("dataset"),
-                               *[F.lit(v).alias(f) for f, v in zip(FIELDS, vals)])
-                      for k, vals in PROFILES.items()])
-    d = n.withColumn("p", F.explode(profs)).select("stream_id", "n", "p.*")
-    return d.select("stream_id", "dataset", "n", "decay_choice", "contribute_error_rate",
-                    F.ceil(F.col("n") / F.col("batch_den")).alias("batch_size"),
-                    F.ceil(F.col("n") / F.col("window_den")).alias("window_size"))
+    return with_sizes(n, load_profiles(spark, path)).select(
+        "stream_id", "dataset", "n", "decay_choice", "contribute_error_rate", "batch_size", "window_size")
 
 
 def a18_neighbour_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,5 +144,5 @@ def b14_transductive_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B14 on F1 with K05 hidden labels (30 %): transductive linear SVM, Platt probabilities."""
     from laggard.operators.baselines import transductive_svm
     ev = corrupt.missing_labels(events_stream(spark, sf_dir), 0.3, seed=2000)
-    r = transductive_svm(ev, ["x0", "x1", "x2"], steps=4)
-    return r.select("stream_id", "t", r6("f").alias("f"), r6("prob").alias("prob"))
+    r = transductive_svm(ev, ["x0", "x1", "x2"])
+    return r.select("stream_id", "t", r6("f").alias("f"), r6("prob").alias("prob"), "converged")

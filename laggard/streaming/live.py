@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,26 +46,27 @@ def delayed_events(rows: DataFrame, arrivals: DataFrame, bucket_rows: int) -> Da
     return fe.unionByName(le).withColumn("_bucket", F.floor(F.col("_time") / bucket_rows))
 
 
-def write_replay_files(events: DataFrame, path: str, files_per_bucket: int = 4) -> list[str]:
-    """S11 (sink half): one folder per time bucket, written in time order so the file
-    source (which lists files oldest first) replays buckets in order.  Inside a bucket
-    each stream's events are in exactly one file (hash-partitioned by stream), so a
-    stream never sees its events split across files of the same bucket."""
-    ev = events.checkpoint()
-    buckets = [r[0] for r in ev.select("_bucket").distinct().orderBy("_bucket").collect()]
-    out = []
-    for b in buckets:
-        folder = f"{path}/bucket={int(b):010d}"
-        (ev.where(F.col("_bucket") == b).repartition(files_per_bucket, "stream_id")
-         .write.mode("overwrite").parquet(folder))
-        out.append(folder)
-    return out
+def write_replay_files(events: DataFrame, path: str, files_per_bucket: int = 4) -> None:
+    """S11 (sink half): one job writes a folder for each time bucket.  A stream's events of a bucket are
+    in one file, in order.  The file source reads the oldest files first, so the files then get
+    modification times in the order of their buckets (a metadata call for each file)."""
+    slot = F.pmod(F.hash("stream_id"), F.lit(files_per_bucket))
+    (events.withColumn("_slot", slot).repartition("_bucket", "_slot").sortWithinPartitions("_bucket", "stream_id", "_time", "_kind", "_tref")
+     .drop("_slot").write.mode("overwrite").partitionBy("_bucket").parquet(path))
+    spark = events.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [(int(f.getPath().getName().split("=")[1]), f.getPath()) for f in fs.listStatus(root) if "=" in f.getPath().getName()]
+    start = int(time.time() * 1000) - 1000 * (len(folders) + 1)
+    for k, (_, folder) in enumerate(sorted(folders, key=lambda x: x[0])):
+        for f in fs.listStatus(folder):
+            fs.setTimes(f.getPath(), start + 1000 * k, -1)
 
 
 def replay_stream(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA,
                   max_files_per_trigger: int = 4) -> DataFrame:
-    """Replay the bucket folders in time order (``max_files_per_trigger`` = files per
-    bucket keeps one bucket per micro-batch)."""
+    """Replay the bucket folders in time order; a micro-batch takes the next
+    ``max_files_per_trigger`` files."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
             .option("recursiveFileLookup", "true").parquet(path))
 
