@@ -303,18 +303,20 @@ def online_learner(rows: DataFrame, keys: Sequence[str] = ("stream_id",), t: str
 
 def delayed_learner(rows: DataFrame, arrivals: DataFrame, keys: Sequence[str] = ("stream_id",),
                     t: str = "t", x: str = "x", prm: FtrlParams = FtrlParams(),
-                    max_delay: int | None = None, soft: bool = False) -> DataFrame:
+                    max_delay: int | None = None, soft: bool = False,
+                    delay_compensation: float = 1.0) -> DataFrame:
     """ST07: at time t first apply labels arriving at t (J01: matched to the buffered
     features of ``t_orig``; dropped if that row is not buffered), then predict row t.
+    ``delay_compensation`` multiplies the gradients of these late labels (ST03).
 
     ``arrivals``: ``keys, t_arrive, t_orig, y``.  Output ``keys, t, prob, pred``.
     """
     keys = list(keys)
-    fe = _feature_events(rows, keys, t, x, FEATURE, None)
+    fe = _feature_events(rows, keys, t, x, FEATURE, None).withColumn("w", F.lit(None).cast("double"))
     le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"),
                          F.lit(LABEL).alias("_kind"), F.col("t_orig").cast("bigint").alias("_tref"),
                          F.lit(None).cast("array<double>").alias("x"),
-                         F.col("y").cast("double").alias("y"))
+                         F.col("y").cast("double").alias("y"), F.lit(float(delay_compensation)).alias("w"))
     out = scan_events(fe.unionByName(le), keys, prm, max_delay=max_delay, soft=soft)
     return out.select(*keys, "t", "prob",
                       (F.col("prob") > prm.threshold).cast("int").alias("pred"))

@@ -11,12 +11,12 @@ from laggard.plans import m5
 SZ, HP, PCT, DL = m5.SIZE, m5.HOP, m5.PCT, m5.DELAY
 
 
-def _graph(time_decay: float | None) -> str:
+def _graph(time_decay: float | None, x: str = "embedding") -> str:
     dist = "list_distance(a.x, b.x)"
     if time_decay is not None:
         dist = (f"{dist} * exp(({time_decay!r} / CAST(a.n AS DOUBLE)) * abs(a.idx - b.idx))")
     return f"""WITH RECURSIVE
-pts AS (SELECT vec_id % 10 AS stream_id, vec_id AS t, CAST(embedding AS DOUBLE[]) AS x,
+pts AS (SELECT vec_id % 10 AS stream_id, vec_id AS t, CAST({x} AS DOUBLE[]) AS x,
                CASE WHEN label < 5 THEN 1 ELSE 0 END AS y,
                row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) - 1 AS pos FROM embeddings),
 pl AS (SELECT *, CASE WHEN {u(77, 'stream_id', 't')} > 0.6 THEN y END AS y_obs FROM pts),
@@ -161,6 +161,10 @@ ORACLES["u05_list_groups"] = _graph(None).split(",\npr AS")[0] + """
 SELECT stream_id, win, CAST((idx) // 4 AS INTEGER) AS chunk, count(*) AS size, min(t) AS first_t, max(t) AS last_t
 FROM wm GROUP BY stream_id, win, idx // 4"""
 
+ORACLES["u03_nodes_of_views"] = " UNION ".join(
+    f"SELECT * FROM ({_graph(None, x)} SELECT stream_id, win, parent_t AS node FROM g) v{i}"
+    for i, x in enumerate(("embedding[1:32]", "embedding[33:64]")))
+
 _DIMS = range(1, 5)
 _D = {k: " + ".join(f"pow(w.x[{i}] - c.a{k}_{i}, 2)" for i in _DIMS) for k in (0, 1)}
 #: Per window the class centroids of the arrived labels, their probabilities, the sums of the rows

@@ -36,6 +36,10 @@ ORACLES["st07_live_replay"] = R + f", {RIN}, " + ftrl_recursive_sql(
     "r_in", 4, FtrlParams(), D, name="sd") + """
 SELECT stream_id, t, round(prob, 6) AS prob FROM sd WHERE t >= 0"""
 
+ORACLES["st03_delay_compensation"] = R + f", {RIN}, rw AS (SELECT *, 1.5 AS w FROM r_in), " + ftrl_recursive_sql(
+    "rw", 4, FtrlParams(), D, name="sd", weight_col="w") + """
+SELECT stream_id, t, round(prob, 6) AS prob FROM sd WHERE t >= 0"""
+
 _LAB = f"""lab AS (SELECT a.stream_id, a.t, CASE WHEN {u(2000, 'a.stream_id', 'a.t')} > 0.3 THEN a.y END AS y_obs,
                 b.y AS pseudo FROM f1 a LEFT JOIN f1 b ON b.stream_id = a.stream_id AND b.t = a.t - {D}),
 labf AS (SELECT *, CAST(coalesce(y_obs, pseudo) AS DOUBLE) AS y_fill FROM lab),

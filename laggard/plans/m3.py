@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from laggard.functions import logistic as lg
 from laggard.operators import corrupt, marginals
-from laggard.operators.learner import (FtrlParams, drift_levels, fill_labels, hedge_ensemble,
+from laggard.operators.learner import (FtrlParams, delayed_learner, drift_levels, fill_labels, hedge_ensemble,
                                        online_learner)
 from laggard.operators.metrics import running_mse
 from laggard.operators.seq import shift
@@ -46,6 +46,13 @@ def st03_weighted_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
                     r6("decay").alias("decay"))
 
 
+def st03_delay_compensation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST03 on late labels: their gradients count one and a half times."""
+    d = _rows(spark, sf_dir)
+    o = delayed_learner(d, corrupt.delayed_labels(d, 5), max_delay=5, delay_compensation=1.5)
+    return o.select("stream_id", "t", r6("prob").alias("prob"))
+
+
 def st04_st09_hidden_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corrupt.missing_labels(_rows(spark, sf_dir), 0.3, seed=2000)
     return _learn(d, y="y_obs")

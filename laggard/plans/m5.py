@@ -119,6 +119,13 @@ def _two_views(spark, sf_dir) -> DataFrame:
     return _windows(spark, sf_dir).withColumns({"x1": F.slice("x", 1, 32), "x2": F.slice("x", 33, 32)})
 
 
+def u03_nodes_of_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per window, every node that is a parent in the graph of either view."""
+    w = _two_views(spark, sf_dir)
+    nodes = [window_graph(w, x=x, y=None, pct=PCT).select("stream_id", "win", F.col("parent_t").alias("node")) for x in ("x1", "x2")]
+    return nodes[0].unionByName(nodes[1]).distinct()
+
+
 def b11_b12_two_view_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B11 per view and B12 fusion on the F3 windows, class matrices carried over windows (ST22)."""
     r = two_view_propagation(_two_views(spark, sf_dir))
