@@ -30,7 +30,10 @@ from laggard.llm.common import table
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>?",
                  re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-RAW = frozenset("script style noscript template textarea title svg math iframe xmp object select button canvas audio video".split())
+#: Elements without text of the page; those of the first kind run to the end of the page if never closed.
+RAW = frozenset("script style textarea title iframe xmp".split())
+SKIPPED = RAW | frozenset("noscript template svg math object select button canvas audio video".split())
+CLOSING = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in SKIPPED}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table caption tbody
@@ -130,11 +133,11 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int]]:
                     if tag in ("p", "a", "span", "li", "td") and stack[i][0] in ("article", "main", "section", "div", "body", "nav"):
                         break
             continue
-        if tag in RAW:
+        if tag in SKIPPED:
             if m[0].endswith("/>"):
                 continue
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else end
+            close = CLOSING[tag].search(page, at)
+            at = close.end() if close else end if tag in RAW else at
             parts.append(" ")
             continue
         if tag in BLOCK:
@@ -176,7 +179,7 @@ def features_of(blocks: list[tuple[str, int, int, int, int]]) -> np.ndarray:
     return x
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
     """A decision tree by Gini impurity: a share of kept blocks, or (feature, cut, low, high)."""
     share = float(y.mean())
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
@@ -244,6 +247,10 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
          f"<p>{PROSE}</p><div><p><a href=/z>More</a></p><p>Terms</p></div>", [0] * 4 + [1] * 4 + [0, 0]),
         (f"<p>Menu</p><p><a href=/q>Search here</a></p><p>{PROSE} {PROSE}</p><p>{PROSE}</p><p><a href=/b>{PROSE}</a></p>"
          f"<p><a href=/c>{PROSE}</a></p><p>Imprint</p>", [0, 0, 1, 1, 0, 0, 0]),
+        (f"<p><a href=/>Home</a></p><p>{PROSE}</p><p>Rain.</p><p>{PROSE}</p><p>{PROSE} {PROSE}</p><p>More rain.</p><p>{PROSE}</p>"
+         f"<p>{SHORT}</p><p>Rain.</p><p>{PROSE}</p><p><a href=/n>Next</a></p><p>Terms</p>", [0] + [1] * 9 + [0, 0]),
+        (f"<p>Contact</p><p>Help</p><p><a href=/s>Shop</a></p><p>{PROSE}</p><p>No more.</p><p>{PROSE}</p><p><a href=/t>Top</a></p>"
+         f"<p>Privacy notes</p><p>Imprint</p>", [0, 0, 0, 1, 1, 1, 0, 0, 0]),
     ]
     return pages
 
