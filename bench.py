@@ -31,6 +31,10 @@ HEADLINE = [
     "b06_propagation_rounds",
     "f10_f19_fusion",
     "a03_a07_imputation_errors",
+    # the costly part: streaming, mini-batches, window propagation
+    "st07_live_replay",
+    "st21_minibatch_ftrl",
+    "b11_b12_two_view_propagation",
 ]
 
 
