@@ -32,7 +32,6 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from laggard.llm.common import hash_key, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
-FEATURE_BITS = 22
 FOLDS = 5
 LEAST_Z = 4.0
 STEPS, RATE, DECAY = 2000, 0.1, 1e-6
@@ -45,7 +44,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def feature(word: str) -> int:
-    return zlib.crc32(word.encode()) & ((1 << FEATURE_BITS) - 1)
+    """A word's 32-bit hash."""
+    return zlib.crc32(word.encode())
 
 
 class Memory(dict):
@@ -66,12 +66,13 @@ def screen(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     """Features whose share of the toxic texts differs from that of the unlabelled ones by more
     than LEAST_Z standard errors, sorted."""
     n, m = len(pos), len(unl)
-    size = 1 << FEATURE_BITS
-    a = np.bincount(np.concatenate([*pos, np.zeros(0, np.int64)]).astype(np.int64), minlength=size)
-    b = np.bincount(np.concatenate([*unl, np.zeros(0, np.int64)]).astype(np.int64), minlength=size)
-    share = (a + b + 0.5) / (n + m + 1)
+    kinds, both = np.unique(np.concatenate([*pos, *unl]), return_counts=True)
+    a = np.zeros(len(kinds))
+    mine, times = np.unique(np.concatenate(pos), return_counts=True)
+    a[np.searchsorted(kinds, mine)] = times
+    share = (both + 0.5) / (n + m + 1)
     error = np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    return np.flatnonzero(np.abs(a / n - b / m) > LEAST_Z * error)
+    return kinds[np.abs(a / n - (both - a) / m) > LEAST_Z * error]
 
 
 def rows_of(texts: list[np.ndarray], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -115,16 +116,16 @@ def fit_nnpu(pos, unl, prior: float, k: int, steps: int = STEPS, rate: float = R
 
 
 def feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and the sorted features of each text."""
+    """id and the sorted features of each text, as the bytes of 32-bit numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory()
         for b in batches:
-            got = [sorted(features(t, memory)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["id", "f"])
+            got = [np.array(sorted(features(t, memory)), np.uint32).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["id", "f"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, f array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, f binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic",
@@ -146,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     ids = spark.createDataFrame([(i,) for i in kinds if i is not None], f"id {docs.schema[id_col].dataType.simpleString()}")
     texts = docs.alias("d").join(F.broadcast(ids.alias("i")), F.expr(f"d.`{id_col}` = i.id")) \
         .select(F.col("i.id").alias(id_col), F.col(f"d.`{text_col}`").alias(text_col)).dropDuplicates([id_col])
-    got = [(r["id"], np.asarray(r["f"], np.int64)) for r in feature_rows(texts, id_col, text_col).collect()]
+    got = [(r["id"], np.frombuffer(r["f"], np.uint32)) for r in feature_rows(texts, id_col, text_col).collect()]
     got.sort(key=lambda x: x[0])
     p, u = [f for i, f in got if kinds[i][0]], [f for i, f in got if kinds[i][1]]
     if not p or not u or not 0 < prior < 1:
