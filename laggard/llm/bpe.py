@@ -27,7 +27,7 @@ from laggard.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a worker remembers; it starts anew beyond them (a speed bound, not a limit).
-MEMORY = 400_000
+MEMORY = 200_000
 SLICE = 256
 #: Longer pieces are merged one by one, each in a tree of its own size.
 WIDE_BITS = 6
@@ -243,9 +243,18 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def ids_array(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def bytes_array(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+
+
 def encode(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None = None,
-           pattern: str | None = None) -> DataFrame:
-    """id, ids (array<int>): one row for each row of ``docs``."""
+           pattern: str | None = None, decoded: bool = False) -> DataFrame:
+    """id, ids (array<int>): one row for each row of ``docs``; with ``decoded`` also what the ids decode
+    to (binary), by the same workers."""
     path, pattern = path or vocabulary_path(), pattern or _pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,16 +263,18 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None =
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 ids, offsets = codec.encode_many(part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
+                cols = {"id": part.column(0), "ids": ids_array(ids, offsets)}
+                if decoded:
+                    cols["decoded"] = bytes_array(*codec.decode_many(ids, offsets))
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+        .mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col="doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """id, ids, decoded (binary): null ids decode to no bytes."""
+    """id, ids, decoded (binary) of stored ids: null ids decode to no bytes."""
     path, pattern = path or vocabulary_path(), pattern or _pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +283,8 @@ def decode(encoded: DataFrame, id_col="doc_id", path: str | None = None, pattern
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 ids = part.column(1).fill_null([])
-                raw, ends = codec.decode_many(ids.flatten().to_numpy(zero_copy_only=False),
-                                              np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]))
-                decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+                decoded = bytes_array(*codec.decode_many(ids.flatten().to_numpy(zero_copy_only=False),
+                                                         np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), decoded], names=["id", "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
@@ -282,10 +292,10 @@ def decode(encoded: DataFrame, id_col="doc_id", path: str | None = None, pattern
         .mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, id_col, text_col), id_col).select(
-        id_col, F.size("ids").cast("long").alias("n_tokens"),
+def digests(docs: DataFrame, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns ``keep`` (ids, decoded), n_tokens, ids_sha256, decoded_sha256."""
+    return encode(docs, id_col, text_col, decoded=True).select(
+        id_col, *keep, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from laggard.llm import bpe, fertility, html_extract, license_scan, pii, simhash, toxicity, url_filter
 from tests.conftest import SF
@@ -108,6 +109,8 @@ def test_bpe_query_and_odd_rows(spark, tik, clashing, none):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == \
         Counter((r.doc_id, *want[r.doc_id, r.text]) for r in clashing.collect())
     assert bpe.digests(none).count() == 0
+    again = bpe.decode(bpe.encode(clashing).withColumn("ids", F.when(F.size("ids") > 0, F.col("ids")))).collect()
+    assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in again) == Counter((r.doc_id, r.text or "") for r in clashing.collect())
     full = {r.doc_id: r.ids_sha256 for r in bpe.query(spark, SF).collect()}
     assert full == {i: hashlib.sha256(",".join(map(str, tik.encode_ordinary(t or ""))).encode()).hexdigest() for i, t in texts_of()}
 
