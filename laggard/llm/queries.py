@@ -17,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op7_source_mixing": mixing.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
+    "op10_ngram_jaccard": jaccard_join.ORACLE,
 }

@@ -25,7 +25,8 @@ def oracle(sql, sf=SF):
     return Counter(tuple(round(v, 6) if isinstance(v, float) else v for _, v in sorted(zip(names, row, strict=True))) for row in res.fetchall())
 
 
-@pytest.mark.parametrize(("name", "sql"), [("op7_source_mixing", mixing.ORACLE), ("op8_license_scan", license_scan.ORACLE)])
+@pytest.mark.parametrize(("name", "sql"), [("op7_source_mixing", mixing.ORACLE), ("op8_license_scan", license_scan.ORACLE),
+                                           ("op10_ngram_jaccard", jaccard_join.ORACLE)])
 def test_sql(spark, name, sql):
     rows = queries.QUERIES[name](spark, SF).collect()
     got = Counter(tuple(round(v, 6) if isinstance(v, float) else v for _, v in sorted(r.asDict().items())) for r in rows)
