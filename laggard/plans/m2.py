@@ -122,19 +122,28 @@ def s09_output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- imputation errors (A03-A07) on the K01-masked F2 cells, imputed by W08 ----------
-def _imputed_vs_truth(spark, sf_dir):
-    """Every cell of the stream, built once: v_true, v (null where masked), hidden, x_imp."""
-    d = lineitem_mixed(spark, sf_dir)
-    d = corrupt.pair_mask(d.withColumns({f"true_{c}": F.col(c) for c in F2_C}), F2_C, 1, 7)
+def cells_with_truth(li: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every cell with v_true, v (null where masked) and hidden; the masked stream), from one stream."""
+    d = corrupt.pair_mask(li.withColumns({f"true_{c}": F.col(c) for c in F2_C}), F2_C, 1, 7)
     cells = d.select("stream_id", "t", F.inline(F.array(*[
         F.struct(F.lit(i).alias("col"), F.col(c).alias("v"), F.col(f"true_{c}").alias("v_true")) for i, c in enumerate(F2_C)]))) \
         .withColumn("hidden", F.col("v").isNull())
+    return cells, d.select("stream_id", "t", *F2_C)
+
+
+def _imputed_vs_truth(spark, sf_dir):
+    """Every cell: v_true, v, hidden, x_imp (W08 at hash-uniform probabilities)."""
+    cells, _ = cells_with_truth(lineitem_mixed(spark, sf_dir))
     observed = cells.where(~F.col("hidden")).select("stream_id", "t", "col", "v")
     return marginals.impute_missing(with_q(cells), observed, {0: "cont", 1: "cont", 2: "ord", 3: "ord", 4: "ord"}, "q").checkpoint()
 
 
 def a03_a07_imputation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _imputed_vs_truth(spark, sf_dir)
+    return imputation_errors(_imputed_vs_truth(spark, sf_dir))
+
+
+def imputation_errors(d: DataFrame) -> DataFrame:
+    """A03, A04, A06, A07 per column of cells with x_imp, v_true, hidden."""
     med = marginals.group_quantile(d.where(~F.col("hidden")), ["stream_id", "col"], 0.5,
                                    v="v_true", out="med")
     d = d.join(med, ["stream_id", "col"])
