@@ -24,6 +24,8 @@ MAX_EPOCHS = 2
 SEED = "mix-1"
 KEY_BITS = 60
 RANGE_ROWS = 20_000
+#: At most some 5 MB of cuts.
+BROADCAST_SOURCES = 50_000
 #: The places right after a word and before white space.
 AFTER_WORD = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
@@ -88,6 +90,12 @@ def cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
                 "f.cut_before", F.col("f.g").alias("cut_sum"))
 
 
+def beside(plan: DataFrame) -> DataFrame:
+    """The cuts as the small side of a join: one row a source, broadcast up to ``BROADCAST_SOURCES`` of
+    them, so that documents stay where they are; beyond that an ordinary join."""
+    return F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
+
+
 def with_size(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed=SEED) -> DataFrame:
     return docs.withColumns({"_size": n_words(F.col(text_col)), "_key": hash_key(seed, F.col(id_col)),
                              "_source": F.col(source_col).cast("string")})
@@ -111,7 +119,7 @@ def taken(size: str, key: str) -> Column:
 def mix(docs: DataFrame, id_col="doc_id", **kw) -> DataFrame:
     """One row per document: id, size, source_size, target, taken."""
     sized, plan = plan_mix(docs, id_col=id_col, **kw)
-    a, b = sized.alias("a"), plan.alias("b")
+    a, b = sized.alias("a"), beside(plan).alias("b")
     return a.join(b, F.expr("a.source <=> b.source")) \
         .select(f"a.{id_col}", "size", "source_size", "target", taken("size", "key").alias("taken"))
 
@@ -122,7 +130,7 @@ def mixed_copies(docs: DataFrame, id_col="doc_id", text_col="text", source_col="
     _, plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     got = with_size(own, f"_doc.{id_col}", f"_doc.{text_col}", f"_doc.{source_col}", kw.get("seed", SEED)).alias("a") \
-        .join(plan.alias("b"), F.expr("a._source <=> b.source")) \
+        .join(beside(plan).alias("b"), F.expr("a._source <=> b.source")) \
         .withColumn("_taken", taken("_size", "_key")).where("_taken > 0")
     copies = F.sequence(F.lit(0), F.expr("CAST((_taken - 1) div _size AS INT)"))
     got = got.withColumn("_copy", F.explode(copies)).withColumn("_left", F.expr("_taken - _copy * _size"))
