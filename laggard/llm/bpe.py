@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from laggard.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces that a worker remembers; it starts anew beyond them (a speed bound, not a limit).
+#: Pieces that a worker remembers; beyond them it forgets those that it met only once (for speed, not a limit).
 MEMORY = 200_000
 SLICE = 256
 #: Longer pieces are merged one by one, each in a tree of its own size.
@@ -124,6 +124,17 @@ class Codec:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # ids of piece i: ids[start[i]:start[i + 1]]
+        self.uses = np.zeros(0, np.int64)
+
+    def shrink(self, most: int) -> None:
+        """Keep the pieces met more than once, those met most if there are more than ``most``."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[:most]])
+        names, counts = list(self.place), self.start[keep + 1] - self.start[keep]
+        ids, uses = self.ids[ragged(self.start[keep], counts)], self.uses[keep] // 2
+        self.place = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.start, self.ids, self.uses = np.concatenate([[0], np.cumsum(counts)]), ids, uses
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; -1: no such token."""
@@ -184,7 +195,7 @@ class Codec:
     def learn(self, pieces: set[str]) -> None:
         """Find the ids of the pieces not met so far."""
         if len(self.place) > MEMORY:
-            self.forget()
+            self.shrink(MEMORY // 2)
         new = [p for p in pieces if p not in self.place]
         classes: dict[int, list[tuple[str, bytes]]] = {}
         for p in new:
@@ -209,6 +220,9 @@ class Codec:
         self.learn(set(chain.from_iterable(pieces)))
         n = sum(map(len, pieces))
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(pieces)), np.int64, n)
+        uses = np.bincount(at, minlength=len(self.place))
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
         counts = self.start[at + 1] - self.start[at]
         upto = np.concatenate([[0], np.cumsum(counts)])
         texts_end = np.cumsum([len(p) for p in pieces])
@@ -267,6 +281,7 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", path: str | None =
                 if decoded:
                     cols["decoded"] = bytes_array(*codec.decode_many(ids, offsets))
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+        codec.shrink(MEMORY // 4)     # a worker that waits for other work holds little
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
