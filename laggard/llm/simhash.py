@@ -32,7 +32,7 @@ BITS = 128
 RADIUS, BLOCKS = 3, 4
 ROWS_A_RANGE = 4000
 QUERY_EVERY = 100
-MEMORY = 200_000
+MEMORY = 60_000
 #: Sign of bit j (highest first) in each byte value.
 SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
 OFFSETS = (256 * np.arange(16))[None, :]

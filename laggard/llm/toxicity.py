@@ -35,7 +35,7 @@ MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 FOLDS = 5
 LEAST_Z = 4.0
 STEPS, RATE, DECAY = 2000, 0.1, 1e-6
-MEMORY = 200_000
+MEMORY = 60_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
