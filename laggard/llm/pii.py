@@ -2,7 +2,7 @@
 
 Personal data (mail addresses, phone, card and account numbers, IP and MAC addresses, secrets,
 names of persons) is replaced by keyed surrogates of the same type, script, gender and
-format.  An entity is the canonical form of what was found (digits of a number, lower-case
+format (longer, where a format has none left).  An entity is the canonical form of what was found (digits of a number, lower-case
 address, part of a name), so that one entity gets one surrogate however it is written and
 wherever in the corpus it occurs; a family name alone and the same name after a given name
 agree.  Surrogates are drawn by HMAC from key, type, entity and attempt.  Those that equal a
@@ -21,6 +21,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,9 @@ KEY_SIGNS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-
 NAME_SIGNS = re.compile("|".join(map(re.escape, (*TITLE_GENDER, *GENDER_OF))))
 NUMBERS = ("iban", "card", "mac", "ipv6", "ipv4", "ssn", "phone")
 ONLY_DIGITS = str.maketrans("", "", " .-()+")
+LEADS = ("AKIA", "ASIA", "xox", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+#: From this attempt on, surrogates grow by a character each time, so that no format runs out.
+WIDER = 8
 
 
 def luhn(digits: str) -> int:
@@ -101,6 +105,10 @@ def canonical(kind: str, surface: str) -> str:
     return surface
 
 
+def lead_of(key: str) -> str:
+    return next((p for p in LEADS if key.startswith(p)), "")
+
+
 def found(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of every entity of a text, in order, none overlapping."""
     hits = []
@@ -115,6 +123,8 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             group = 1 if kind == "secret" else 0
             surface = m[group]
+            if kind in ("secret", "key") and not any(c.isalpha() or c.isdigit() for c in surface[len(lead_of(surface)):]):
+                continue  # a mask or code, nothing to replace
             if kind == "card" and luhn(canonical("card", surface)) % 10 or kind == "iban" and iban_rest(canonical("iban", surface)) != 1:
                 continue
             hits.append((*m.span(group), kind, canonical(kind, surface)))
@@ -174,6 +184,7 @@ class Draw:
 def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
     """The surrogate of an entity at an attempt, in canonical form."""
     draw = Draw(key, kind, entity, attempt)
+    more = max(0, attempt - WIDER + 1)
     if kind == "email":
         local, _, domain = entity.partition("@")
         names, dot, top = domain.rpartition(".")
@@ -181,32 +192,33 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
             names, dot, top = names.removesuffix("example").removesuffix("."), ".", f"example.{top}"
         # addresses of one domain keep one domain
         host = Draw(key, "domain", domain).like(names)
-        return f"{draw.like(local)}{'x' * (attempt // 4)}@{host}{dot if host else ''}{top}"
+        return f"{draw.like(local)}{'x' * (attempt // 4)}{draw.like('x' * more)}@{host}{dot if host else ''}{top}"
     if kind == "phone":
         lead = 1 if entity.startswith("1") and len(entity) == 11 else min(2, len(entity) - 4)
         rest = draw.like(entity[lead:])
-        return entity[:lead] + ("0" if entity[lead] == "0" else str(1 + draw.below(9))) + rest[1:]
+        return entity[:lead] + ("0" if entity[lead] == "0" else str(1 + draw.below(9))) + rest[1:] + draw.like("0" * more)
     if kind == "card":
-        body = entity[0] + draw.like(entity[1:-1])
+        body = entity[0] + draw.like(entity[1:-1] + "0" * more)
         return body + str(-luhn(body + "0") % 10)
     if kind == "ssn":
-        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
+        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}" + draw.like("0" * more)
     if kind == "iban":
-        body = draw.like(entity[4:])
+        body = draw.like(entity[4:] + "0" * more)
         return f"{entity[:2]}{98 - iban_rest(entity[:2] + '00' + body):02d}{body}"
     if kind == "ipv4":
         spans = {1: (1, 9), 2: (10, 90), 3: (100, 155)}
-        return ".".join(str(lo + draw.below(n)) for lo, n in (spans[len(x)] if attempt < 6 else (1, 254) for x in entity.split(".")))
+        return ".".join(str(lo + draw.below(n)) for lo, n in (spans[len(x)] if attempt < 6 else (1, 254)
+                                                            for x in [*entity.split("."), *["1"] * more]))
     if kind in ("ipv6", "mac"):
-        return draw.like(entity, hexadecimal=True)
+        return draw.like(entity + "0" * more, hexadecimal=True)
     if kind in ("key", "secret"):
-        lead = next((p for p in ("AKIA", "ASIA", "xox", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_") if entity.startswith(p)), "")
-        return lead + draw.like(entity[len(lead):], all(c in "0123456789abcdef" for c in entity.lower()))
-    part, *more = kind.split("-")
+        lead = lead_of(entity)
+        return lead + draw.like(entity[len(lead):] + "0" * more, all(c in "0123456789abcdef" for c in entity.lower()))
+    part, *rest = kind.split("-")
     if part == "given":
-        names = GIVEN_LISTS.get(tuple(more)) or GIVEN_LISTS["m", "latin"]
+        names = GIVEN_LISTS.get(tuple(rest)) or GIVEN_LISTS["m", "latin"]
         return "-".join(names[draw.below(len(names))] for _ in range(attempt + 1))
-    names = SYLLABLES[more[0]].split()
+    names = SYLLABLES[rest[0]].split()
     return "".join(names[draw.below(len(names))] for _ in range(3 + attempt // 2)).capitalize()
 
 
@@ -214,7 +226,7 @@ def written(kind: str, surface: str, value: str) -> str:
     """A canonical surrogate in the format of what it replaces."""
     if kind in ("phone", "card", "ssn", "iban"):
         digits = iter(value)
-        return "".join(next(digits) if c.isalnum() else c for c in surface)
+        return "".join(next(digits) if c.isalnum() else c for c in surface) + "".join(digits)
     if kind in ("email", "ipv6", "mac"):
         value = value.replace(":", "-") if kind == "mac" and "-" in surface else value
         return value.upper() if surface.isupper() else value
@@ -260,11 +272,12 @@ def propose(entities: DataFrame, attempt: int, key: bytes) -> DataFrame:
     return entities.select("kind", "entity").mapInArrow(run, "kind string, entity string, value string")
 
 
-def assign(entities: DataFrame, key: bytes = KEY, attempts: int = 64) -> DataFrame:
-    """kind, entity, value: a surrogate for each distinct entity, none given twice, none an entity."""
+def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+    """kind, entity, value: a surrogate for each distinct entity, none given twice, none an entity.
+    It comes to an end: from the attempt WIDER on, every round has ten times as many to draw from."""
     real = entities.select("kind", F.col("entity").alias("value"))
     pending, done = entities, None
-    for attempt in range(attempts):
+    for attempt in count():
         new = propose(pending, attempt, key).join(real, ["kind", "value"], "left_anti")
         if done is not None:
             new = new.join(done.select("kind", "value"), ["kind", "value"], "left_anti")
@@ -273,7 +286,6 @@ def assign(entities: DataFrame, key: bytes = KEY, attempts: int = 64) -> DataFra
         pending = cut(pending.join(new.select("kind", "entity"), ["kind", "entity"], "left_anti"))
         if pending.isEmpty():
             return done
-    raise ValueError("the formats of some entities leave no room for surrogates of their own")
 
 
 def replacements(docs: DataFrame, id_col="doc_id", text_col="text", key: bytes = KEY) -> DataFrame:

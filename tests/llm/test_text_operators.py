@@ -204,6 +204,20 @@ def test_surrogates_stay_distinct(spark):
     assert not any((r.kind, r.value) in real for r in got)
 
 
+def test_masked_secrets_and_exhausted_formats(spark):
+    masked = ["password: ********", "Password: ______ x", "token = ()=>{};", "key ghp_" + "_" * 36]
+    new = {r.doc_id: r.text for r in pii.replace(frame(spark, [*enumerate(masked), (9, "password: ****a**")])).collect()}
+    assert [new[i] for i in range(4)] == masked and re.fullmatch(r"password: [*]{4}[a-z][*]{2}", new[9]) and new[9] != "password: ****a**"
+    # every surrogate of these formats is an entity itself
+    entities = [("phone", f"10{i:03d}") for i in range(1000)] + [("secret", f"*****{c}") for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", "******")]
+    got = pii.assign(spark.createDataFrame(entities, "kind string, entity string")).collect()
+    assert {(r.kind, r.entity) for r in got} == set(entities) and len(got) == len(entities)
+    values = {(r.kind, r.value) for r in got}
+    assert len(values) == len(entities) and not values & set(entities)
+    value = next(r.value for r in got if r.entity == "10500")
+    assert pii.written("phone", "+1 05 00", value).translate(pii.ONLY_DIGITS) == value
+
+
 def test_private_data_odd_rows(spark, clashing, none):
     out = pii.replace(clashing)
     assert out.columns == clashing.columns
