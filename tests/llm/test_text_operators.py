@@ -314,6 +314,33 @@ def test_block_tables_lose_no_pair(spark, radius, blocks):
     assert got == {f"{m:032x}": sum((m ^ x).bit_count() <= radius for x in marks) for m in marks}
 
 
+def test_edited_copies_are_near(spark):
+    rnd, texts = random.Random(8), [t.split() for _, t in texts_of() if t and 50 <= len(t.split()) <= 1500]
+    rows, words = [], [w for t in texts for w in t]
+    for i, own in enumerate(texts):
+        new = list(own)
+        for k in rnd.sample(range(len(own)), max(1, len(own) // 50)):
+            new[k] = rnd.choice(words)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(new))]
+    marks = simhash.fingerprints(frame(spark, rows)).cache()
+    by = {r.doc_id: r.fingerprint for r in marks.collect()}
+    plain = {i: int(m, 16) for i, m in by.items()}
+    found = {r.fingerprint: r.n_near for r in simhash.near(marks, marks.where("doc_id % 2 = 0")).collect()}
+    assert found == {by[i]: sum((plain[i] ^ m).bit_count() <= simhash.RADIUS for m in plain.values()) for i in by if i % 2 == 0}
+    assert np.mean([found[by[i]] > 1 for i in by if i % 2 == 0]) > 0.95
+    assert np.median(list(found.values())) == 2  # the text and its copy, no other
+
+
+@pytest.mark.parametrize(("radius", "blocks"), [(7, 3), (9, 4), (19, 10), (4, 128)])
+def test_keys_with_flipped_bits_lose_no_pair(spark, radius, blocks):
+    rnd = random.Random(5)
+    base = [rnd.getrandbits(128) for _ in range(4)]
+    marks = [b ^ sum(1 << k for k in rnd.sample(range(128), rnd.randint(0, 20))) for b in base for _ in range(12)] + base[:2] + [0, 1]
+    df = spark.createDataFrame([(f"{m:032x}",) for m in marks], "fingerprint string")
+    got = {r.fingerprint: r.n_near for r in simhash.near(df, df, radius, blocks).collect()}
+    assert got == {f"{m:032x}": sum((m ^ x).bit_count() <= radius for x in marks) for m in marks}
+
+
 def test_simhash_odd_rows(spark, clashing, none):
     rows = simhash.with_successor(clashing).collect()
     assert len(rows) == clashing.count()
