@@ -4,13 +4,14 @@ A public vocabulary with byte fallback measures each text over its words: charac
 token, the share of byte-fallback tokens, and the entropy of the tokens.  Texts that pass the
 base rules set the bands: for each language (or, where none is given, the script that most
 letters belong to) and each length class (a power of two of words) the quartiles over the
-whole table give a centre and a spread.  A text is rejected if its characters per token and
+distinct texts of the whole table give a centre and a spread, so that it is no matter how often
+any text is repeated.  A text is rejected if its characters per token and
 entropy together lie too far below what is usual (few letters a token *and* few kinds of
 tokens is what tables, markup and repeats look like), or if any of the three lies far outside.
 
 Defined results: a null or empty text has no words, fails the base rules and has null
 measures; rows that repeat are judged alike; a length class of fewer than ``MIN_SUPPORT``
-texts takes the bands of its whole language.  Only id, text and language are read.
+distinct texts takes the bands of its whole language.  Only id, text and language are read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ SYMBOLS = b"#*$%&|<>"
 #: that any measure may lie from its centre.
 JOINT, WIDE = 4.0, 8.0
 MIN_SUPPORT = 30
-#: Least spreads, so that a measure without any does not reject all that differs.
-LEAST_SPREAD = {"chars_per_token": 0.01, "byte_share": 0.02, "entropy": 0.02}
+#: Least spreads, so that a measure without any does not reject all that differs: about what a
+#: language's texts of 128 to 511 words have at sf0.1.
+LEAST_SPREAD = {"chars_per_token": 0.035, "byte_share": 0.02, "entropy": 0.1}
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF),
            ("arabic", 0x600, 0x6FF), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF),
            ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
@@ -120,7 +122,7 @@ def script_of(text: str) -> str:
     return SCRIPTS[int(np.argmax(counts))][0] if max(counts) else "other"
 
 
-MEASURED = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+MEASURED = ("h long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
             "chars_per_token double, byte_share double, entropy double, script string")
 
 
@@ -134,7 +136,7 @@ def text_row(raw: bytes, words: list[bytes], meter: Meter, with_script: bool) ->
 
 
 def measures(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", path: str | None = None) -> DataFrame:
-    """id, lang and MEASURED: one row for each row of ``docs``."""
+    """id, lang and MEASURED (h: a hash of the text): one row for each row of ``docs``."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +152,13 @@ def measures(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.string()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *map(pa.array, cols, kinds)],
+                    [part.column(0), part.column(1), part.column(3), *map(pa.array, cols, kinds)],
                     names=["id", "lang", *(x.split()[0] for x in MEASURED.split(", "))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"),
+                       F.xxhash64(text).alias("h")) \
         .mapInArrow(run, f"id {kind}, lang string, {MEASURED}")
 
 
@@ -166,7 +169,7 @@ def judge(measured: DataFrame, joint: float = JOINT, wide: float = WIDE) -> Data
     df = measured.select("*", base.alias("base_failed"), F.coalesce("lang", "script").alias("band"),
                          F.when(n > 0, F.floor(F.log2(n.cast("double")))).otherwise(F.lit(0)).cast("int").alias("length"))
     names = list(LEAST_SPREAD)
-    ok = df.where("NOT base_failed AND entropy IS NOT NULL")
+    ok = df.where("NOT base_failed AND entropy IS NOT NULL").select("band", "length", "h", *names).distinct()
     quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in names]
     fine = ok.groupBy("band", "length").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= MIN_SUPPORT)
     # quartiles of a language over all lengths

@@ -286,6 +286,16 @@ def test_fertility_verdicts(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.1
 
 
+def test_verdicts_do_not_depend_on_copies(spark):
+    texts = duckdb.sql(f"""SELECT DISTINCT text FROM '{SF.replace("0.001", "0.1")}/documents.parquet' d JOIN
+        '{SF.replace("0.001", "0.1")}/labels.parquet' l USING (doc_id) WHERE quality = 1 AND lang = 'en'
+        AND len(string_split(text, ' ')) BETWEEN 140 AND 240 ORDER BY text LIMIT 60""").fetchall()
+    rows = [(i, t, "en") for i, (t,) in enumerate(texts)]
+    copies = [(1000 + i, rows[7][1], "en") for i in range(90)]
+    alone, crowd = ({r.doc_id: r.kept for r in fertility.score(frame(spark, x)).collect() if r.doc_id < 1000} for x in (rows, rows + copies))
+    assert len(rows) == 60 and crowd == alone and np.mean(list(crowd.values())) > 0.9
+
+
 # --- op6 ---
 
 def test_successors_and_near_fingerprints(spark):
