@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from itertools import count
@@ -51,6 +52,7 @@ GENDER_OF = {n: g for (g, _), names in GIVEN.items() for n in names.split()}
 TITLE_GENDER = {t: g for g, names in TITLES.items() for t in names.split()}
 GIVEN_LISTS = {k: v.split() for k, v in GIVEN.items()}
 
+_hex = "[0-9A-Fa-f]{1,4}"
 _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")),
@@ -60,21 +62,25 @@ PATTERNS = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")),
     ("card", re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])")),
     ("mac", re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![\w:-])")),
-    ("ipv6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    ("ipv6", re.compile(rf"(?<![\w:])(?:(?:{_hex}:){{7}}{_hex}|{_hex}(?::{_hex}){{0,5}}::(?:{_hex}(?::{_hex}){{0,5}})?)(?![\w:])")),
     ("ipv4", re.compile(rf"(?<![\w.]){_octet}(?:\.{_octet}){{3}}(?!\w|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\w)"
-                         r"|(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\w)")),
+                         r"|(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(\d{1,4}\)|[ .-]\d(?=[ .-]))?(?:[ .-]?\d{2,4}){2,4}(?!\w)"
+                         # national forms: 555 123 4567, 06 12 34 56 78, 020 7946 0958
+                         r"|(?<![\w+])(?<!\d[ .-])(?:[2-9]\d\d \d{3} \d{4}|0[1-9](?P<gap>[ .-])\d\d(?:(?P=gap)\d\d){3}"
+                         r"|(?:0\d{1,4}|\(0\d{1,4}\)) \d{3,4} \d{3,4})(?!\w|[ .-]\d)")),
 )
 _titles = "|".join(sorted(map(re.escape, TITLE_GENDER), key=len, reverse=True))
 _given = "|".join(sorted(GENDER_OF, key=len, reverse=True))
 TITLED = re.compile(rf"(?<!\w)({_titles})\.?[ \t]+({NAME})(?:[ \t]+({NAME}))?")
 NAMED = re.compile(rf"(?<![\w-])({_given})[ \t]+({NAME})(?!\w)")
-#: What a text must have for the patterns to be worth a try.
-FOUR_DIGITS = re.compile(r"[0-9](?:[^0-9]{0,3}[0-9]){3}")
+#: What a text must have for the patterns to be worth a try: every match of a pattern has what its gate looks for.
+FOUR_DIGITS = re.compile(r"\d(?:\D{0,3}\d){3}")
+IBAN_START = re.compile(r"[A-Z]{2}\d\d")
 KEY_SIGNS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-")
 NAME_SIGNS = re.compile("|".join(map(re.escape, (*TITLE_GENDER, *GENDER_OF))))
-NUMBERS = ("iban", "card", "mac", "ipv6", "ipv4", "ssn", "phone")
+NUMBERS = ("card", "ipv4", "ssn", "phone")
 ONLY_DIGITS = str.maketrans("", "", " .-()+")
 LEADS = ("AKIA", "ASIA", "xox", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 #: From this attempt on, surrogates grow by a character each time, so that no format runs out.
@@ -97,10 +103,13 @@ def script(word: str) -> str:
 
 def canonical(kind: str, surface: str) -> str:
     if kind in ("phone", "card", "ssn"):
-        return surface.translate(ONLY_DIGITS)
+        digits = surface.translate(ONLY_DIGITS)
+        return digits if digits.isascii() else "".join(str(int(c)) for c in digits)
     if kind == "iban":
         return surface.replace(" ", "")
-    if kind in ("email", "mac", "ipv6"):
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(surface).exploded
+    if kind in ("email", "mac"):
         return surface.lower().replace("-", ":") if kind == "mac" else surface.lower()
     return surface
 
@@ -109,6 +118,16 @@ def lead_of(key: str) -> str:
     return next((p for p in LEADS if key.startswith(p)), "")
 
 
+def is_ipv6(surface: str) -> bool:
+    """Whether it is an address, and with '::' no bit of code or time: three groups, or a first one of four, and a digit."""
+    try:
+        ipaddress.IPv6Address(surface)
+    except ValueError:
+        return False
+    groups = [x for x in surface.split(":") if x]
+    return "::" not in surface or (len(groups) > 2 or len(groups[0]) == 4) and any(c.isdigit() for c in surface)
+
+
 def found(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of every entity of a text, in order, none overlapping."""
     hits = []
@@ -118,13 +137,16 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
         if kind == "email" and not has("@") or kind == "key" and not any(map(has, KEY_SIGNS)) \
                 or kind == "secret" and not (has("=") or has(":")):
             continue
-        if kind in NUMBERS and not numbers and not (kind in ("mac", "ipv6") and has(":")):
+        if kind in NUMBERS and not numbers or kind == "iban" and not IBAN_START.search(text) \
+                or kind == "mac" and max(text.count(":"), text.count("-")) < 5 or kind == "ipv6" and text.count(":") < 2:
             continue
         for m in pattern.finditer(text):
             group = 1 if kind == "secret" else 0
             surface = m[group]
             if kind in ("secret", "key") and not any(c.isalpha() or c.isdigit() for c in surface[len(lead_of(surface)):]):
                 continue  # a mask or code, nothing to replace
+            if kind == "ipv6" and not is_ipv6(surface):
+                continue
             if kind == "card" and luhn(canonical("card", surface)) % 10 or kind == "iban" and iban_rest(canonical("iban", surface)) != 1:
                 continue
             hits.append((*m.span(group), kind, canonical(kind, surface)))
@@ -209,8 +231,11 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
         spans = {1: (1, 9), 2: (10, 90), 3: (100, 155)}
         return ".".join(str(lo + draw.below(n)) for lo, n in (spans[len(x)] if attempt < 6 else (1, 254)
                                                             for x in [*entity.split("."), *["1"] * more]))
-    if kind in ("ipv6", "mac"):
+    if kind == "mac":
         return draw.like(entity + "0" * more, hexadecimal=True)
+    if kind == "ipv6":   # groups keep their lengths, those of 0 stay as long as there is room
+        groups = [x.lstrip("0") for x in entity.split(":")] if not more else ["ffff"] * 8
+        return ":".join((f"{1 + draw.below(15):x}" + draw.like(x[1:], hexadecimal=True) if x else "").zfill(4) for x in groups)
     if kind in ("key", "secret"):
         lead = lead_of(entity)
         return lead + draw.like(entity[len(lead):] + "0" * more, all(c in "0123456789abcdef" for c in entity.lower()))
@@ -227,6 +252,12 @@ def written(kind: str, surface: str, value: str) -> str:
     if kind in ("phone", "card", "ssn", "iban"):
         digits = iter(value)
         return "".join(next(digits) if c.isalnum() else c for c in surface) + "".join(digits)
+    if kind == "ipv6":
+        address = ipaddress.IPv6Address(value)
+        if "::" in surface:
+            value = address.compressed
+        elif any(len(x) < 4 for x in surface.split(":")):
+            value = ":".join(f"{int(x, 16):x}" for x in value.split(":"))
     if kind in ("email", "ipv6", "mac"):
         value = value.replace(":", "-") if kind == "mac" and "-" in surface else value
         return value.upper() if surface.isupper() else value

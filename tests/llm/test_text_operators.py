@@ -218,6 +218,28 @@ def test_masked_secrets_and_exhausted_formats(spark):
     assert pii.written("phone", "+1 05 00", value).translate(pii.ONLY_DIGITS) == value
 
 
+def test_gates_and_forms():
+    def kinds(t):
+        return [(k, t[a:b]) for a, b, k, _ in pii.found(t)]
+    mac = "DE-AD-BE-EF-CA-FE"
+    assert kinds(mac) == kinds(mac + " and 2024")[:1] == [("mac", mac)] and kinds("de:ad:be:ef:ca:fe") == [("mac", "de:ad:be:ef:ca:fe")]
+    for ip in ("2001:db8::1", "fe80::1", "2001:db8:0:0:0:0:0:1", "2001:0DB8:0000:0000:0000:0000:0000:0001", "2001:db8::"):
+        assert kinds(f"at {ip}, up") == [("ipv6", ip)]
+    for phone in ("06 12 34 56 78", "020 7946 0958", "555 123 4567", "+33 6 12 34 56 78", "(020) 7946 0958", "٥٥٥-١٢٣-٤٥٦٧", "+49 30 123 4567"):
+        assert kinds(f"call {phone}.") == [("phone", phone)]
+    iban = next(x for i in range(98) if pii.iban_rest(x := f"MT{i:02d}MALTABANKOFVALLETTA") == 1)
+    assert kinds(iban) == [("iban", iban)]
+    for none in ("std::vector a::b ::1 12::30", "1 2 3 4 5", "06 12 34 56 78 90 12", "in 2001, 300 100 20", "a-b-c-d-e-f-g"):
+        assert kinds(none) == []
+    # one entity in all its forms, each written in its own
+    entities = {pii.found(x)[0][3] for x in ("2001:db8::1", "2001:DB8:0:0:0:0:0:1", "2001:0db8:0000:0000:0000:0000:0000:0001")}
+    assert len(entities) == 1
+    value = pii.surrogate("ipv6", *entities, 0)
+    assert re.fullmatch(r"[1-9a-f][0-9a-f]{3}:[1-9a-f][0-9a-f]{2}::[1-9a-f]", pii.written("ipv6", "2001:db8::1", value))
+    assert {pii.canonical("ipv6", pii.written("ipv6", x, value)) for x in ("2001:db8::1", "2001:DB8:0:0:0:0:0:1")} == {value}
+    assert pii.canonical("phone", "٥٥٥-١٢٣-٤٥٦٧") == "5551234567"
+
+
 def test_private_data_odd_rows(spark, clashing, none):
     out = pii.replace(clashing)
     assert out.columns == clashing.columns
