@@ -67,6 +67,15 @@ def test_url_model_on_names_it_has_not_seen(spark):
     assert [got[i] for i in range(12)] == ["block"] * 6 + ["allow"] * 6
 
 
+def test_url_model_on_held_out_names(spark):
+    assert not {"ththing", "tiontion", "ereating", "onether", "thandor", "ention"} & set(url_filter.ALLOWED_WORDS)
+    good = ["mountain-guide", "kitchen-garden", "parliament", "bicycle-repair", "violin-lessons", "harbour-pilot", "chemistry", "tiontion", "ththing"]
+    bad = ["poker-room", "free-casino", "cheap-meds", "spam-farm", "payday-cash"]
+    pages = spark.createDataFrame([(i, f"http://{n}.example.net/en/7") for i, n in enumerate(good + bad)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.train(spark)).collect()}
+    assert [got[i] for i in range(len(got))] == ["allow"] * len(good) + ["block"] * len(bad)
+
+
 # --- op2 ---
 
 @pytest.fixture(scope="module")
