@@ -53,11 +53,11 @@ def _pair_dist(x: np.ndarray) -> np.ndarray:
     return np.sqrt(acc)
 
 
-def peaks(x: np.ndarray, pct: float, time_decay: float | None = None) -> dict[str, np.ndarray]:
+def peaks(x: np.ndarray, pct: float, time_decay: float | None = None, dist: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Density peaks of one window; rows in time order.  Returns rho, parent index,
-    delta and the cut-off distance."""
+    delta and the cut-off distance.  ``dist``: the rows' distances, if they are known already."""
     n = x.shape[0]
-    d = _pair_dist(x)
+    d = _pair_dist(x) if dist is None else dist
     if time_decay is not None:                       # F19 / B05
         beta = time_decay / n if n > 1 else 0.0
         idx = np.arange(n)
@@ -264,6 +264,13 @@ def propagate_soft(x: np.ndarray, dist: np.ndarray, parent: np.ndarray, rnd: np.
     proportional to exp(-T H)).  The classifier is refitted on true and pseudo labels after every
     round; the soft label of every row is the last classifier's probability.  Returns p1 per row (NaN
     where the guard A26 rejects the window)."""
+    delta = dist[np.arange(len(parent)), parent]
+    return soft_labels(x, delta, parent, rnd, y, class_rows, c, temperature, model)
+
+
+def soft_labels(x: np.ndarray, delta: np.ndarray, parent: np.ndarray, rnd: np.ndarray, y: np.ndarray, class_rows: np.ndarray,
+                c: float = 1.0, temperature: float = 2.0, model: str = "logistic") -> np.ndarray:
+    """``propagate_soft`` from the distances to the parents alone (``delta``), the only ones it asks for."""
     n = len(rnd)
     if not guard(np.where(rnd == 0, y, np.nan)):
         return np.full(n, np.nan)
@@ -271,13 +278,17 @@ def propagate_soft(x: np.ndarray, dist: np.ndarray, parent: np.ndarray, rnd: np.
     p1 = class_probability(x, known, y, model, c)
     soft = np.full((n, 2), np.nan)
     soft[known] = np.stack([1 - y[known], y[known]], axis=1)
+    near_of: list[list[int]] = [[] for _ in range(n)]
+    for i in np.flatnonzero(parent != np.arange(n)):
+        near_of[parent[i]].append(int(i))
+    for i in np.flatnonzero(parent != np.arange(n)):
+        near_of[i].append(int(parent[i]))
     for r in range(1, int(rnd.max()) + 1):
         for i in np.flatnonzero(rnd == r):
             vectors = [np.array([1 - p1[i], p1[i]]), class_rows[int(p1[i] > 0.5)]]
-            near = np.flatnonzero((parent == i) & (np.arange(n) != i)).tolist() + ([int(parent[i])] if parent[i] != i else [])
-            near = [j for j in near if not np.isnan(soft[j, 0])]
+            near = [j for j in near_of[i] if not np.isnan(soft[j, 0])]
             if near:
-                weight = np.exp(-dist[i, near])
+                weight = np.exp(-np.array([delta[i] if j == parent[i] else delta[j] for j in near]))
                 vectors.append(weight @ soft[near] / weight.sum())
             trust = np.exp(-temperature * np.array([_entropy_clip(v) for v in vectors]))
             fused = trust @ np.array(vectors)

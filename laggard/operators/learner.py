@@ -458,7 +458,11 @@ def speculative_learner(rows: DataFrame, arrivals: DataFrame, max_delay: int, ke
     (``spec``: array of struct(t, p), those of t - max_delay + 1 ... t - 1, nulls left out), which
     predicts t (``prob_spec``); ``prob_blend`` is by the 50/50 average of committed and speculative
     weights.  The copy never writes back; cost O(D p) per row.  Rows whose label is more than
-    ``max_delay`` late are forgotten."""
+    ``max_delay`` late are forgotten.
+
+    The ordered scan only commits: it gives every row the state at its time and the predecessors that still
+    wait for a label.  The copies need nothing of each other, so their rows are dealt out anew, whatever
+    stream they are of, and a task trains all copies of a batch of rows at once, step by step."""
     keys = list(keys)
     fe = rows.select(*keys, F.col(t).cast("bigint").alias("_time"), F.lit(FEATURE).alias("_kind"),
                      F.col(t).cast("bigint").alias("_tref"), F.col(x).cast("array<double>").alias("x"),
@@ -470,11 +474,11 @@ def speculative_learner(rows: DataFrame, arrivals: DataFrame, max_delay: int, ke
                          F.lit(None).cast("array<double>").alias("sp"))
     ev = by_key(fe.unionByName(le), keys).sortWithinPartitions(*keys, "_time", "_kind", "_tref")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, st, buf = None, None, {}
         for pdf in batches:
             out = {k: [] for k in keys}
-            out.update(t=[], prob=[], prob_spec=[], prob_blend=[])
+            out.update(t=[], x=[], state=[], counts=[], before=[], soft=[])
             kc = [pdf[k].to_numpy() for k in keys]
             for i, (tm, kind, tref, xv, yv, at, ps) in enumerate(zip(pdf["_time"], pdf["_kind"], pdf["_tref"], pdf["x"], pdf["y"],
                                                                      pdf["st"], pdf["sp"])):
@@ -489,24 +493,82 @@ def speculative_learner(rows: DataFrame, arrivals: DataFrame, max_delay: int, ke
                 xl = [float(v) for v in xv]
                 if st is None:
                     st = FtrlState(len(xl), prm)
-                copy = _copy_state(st, prm)
-                for k, q in sorted(zip(at if at is not None else [], ps if ps is not None else [])):
-                    if not pd.isna(q) and int(tm) - max_delay < k < int(tm) and int(k) in buf:
-                        copy.fit_soft(buf[int(k)], float(q), prm)
-                wc, ws = st.weights(len(xl), prm), copy.weights(len(xl), prm)
+                todo = [(buf[int(k)], float(q)) for k, q in sorted(zip(at if at is not None else [], ps if ps is not None else []))
+                        if not pd.isna(q) and int(tm) - max_delay < k < int(tm) and int(k) in buf]
                 for kk, kv in zip(keys, key):
                     out[kk].append(kv)
                 out["t"].append(int(tm))
-                out["prob"].append(sigmoid_py(sum(a * b for a, b in zip(wc, xl))))
-                out["prob_spec"].append(sigmoid_py(sum(a * b for a, b in zip(ws, xl))))
-                out["prob_blend"].append(sigmoid_py(sum((0.5 * a + 0.5 * c) * b for a, c, b in zip(wc, ws, xl))))
+                out["x"].append(xl)
+                out["state"].append([*st.v, *st.h, *st.z, st.r, st.decay, *st.best])
+                out["counts"].append([*st.counts, *st.warned])
+                out["before"].append([v for b, _ in todo for v in b])
+                out["soft"].append([q for _, q in todo])
                 buf[int(tm)] = xl
                 evict(buf, int(tm) - max_delay)
             if out["t"]:
                 yield pd.DataFrame(out)
 
-    schema = f"{schema_of(rows, keys)}, t bigint, prob double, prob_spec double, prob_blend double"
-    return ev.mapInPandas(run, schema)
+    def speculate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, same in pdf.groupby(pdf["x"].map(len)) if len(pdf) else ():
+                out = same[[*keys, "t"]].copy()
+                out["prob"], out["prob_spec"], out["prob_blend"] = speculated(same, int(p), prm)
+                yield out
+
+    kschema = schema_of(rows, keys)
+    committed = ev.mapInPandas(commit, f"{kschema}, t bigint, x array<double>, state array<double>, counts array<bigint>, "
+                                       "before array<double>, soft array<double>")
+    # dealt out by row, not by stream; by a key, so that a task that runs again gets the same rows
+    return by_key(committed, [*keys, "t"]).mapInPandas(speculate, f"{kschema}, t bigint, prob double, prob_spec double, prob_blend double")
+
+
+def speculated(pdf: pd.DataFrame, p: int, prm: FtrlParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prob, prob_spec, prob_blend) of rows with ``p`` features: soft-label steps (ST02) of all copies side by side."""
+    state, counts = np.array(pdf["state"].tolist()), np.array(pdf["counts"].tolist(), dtype=np.int64)
+    x = np.array(pdf["x"].tolist())
+    v, h, z = state[:, :p].copy(), state[:, p:2 * p].copy(), state[:, 2 * p:3 * p].copy()
+    r, best = state[:, 3 * p].copy(), state[:, 3 * p + 2:].copy()
+    seen, warned = counts[:, :2].copy(), counts[:, 2:].copy()
+
+    def weights(z, r):
+        return np.where(np.abs(z) > prm.l1, -(z - prm.l1 * np.sign(z)) / (prm.l2 + prm.lp * r)[:, None], 0.0)
+
+    def sigmoid(m):
+        return 1.0 / (1.0 + np.exp(-m))
+
+    committed = weights(z, r)
+    steps = pdf["soft"].map(len).to_numpy()
+    for k in range(int(steps.max(initial=0))):
+        at = np.flatnonzero(steps > k)
+        xs = np.array([np.asarray(b[k * p:(k + 1) * p], dtype=float) for b in pdf["before"].iloc[at]])
+        q = np.array([s[k] for s in pdf["soft"].iloc[at]])
+        w = weights(z[at], r[at])
+        prob = sigmoid((w * xs).sum(axis=1))
+        decay = state[at, 3 * p + 1]
+        if prm.adaptive:
+            wrong = ((q >= 0.5) != (prob >= 0.5)).astype(np.int64)
+            decay = np.array([decay_py(int(c) + 1, prm.decay_choice) for c in seen[at, 0]])
+            now = seen[at] + np.stack([np.ones_like(wrong), wrong], axis=1)
+            active = now[:, 0] > prm.warmup
+            rate = now[:, 1] / now[:, 0]
+            spread = np.sqrt(rate * (1 - rate) / now[:, 0])
+            share = prm.contribute_error_rate
+            decay = np.where(active, decay * (1.0 - share) + share * rate, decay)
+            lower = active & (rate + spread < best[at].sum(axis=1))
+            least = np.where(lower[:, None], np.stack([rate, spread], axis=1), best[at])
+            level = (rate + spread >= least[:, 0] + 2 * least[:, 1]).astype(int) + (rate + spread > least[:, 0] + 3 * least[:, 1])
+            warn = np.where((level > 0)[:, None], warned[at] + np.stack([np.ones_like(wrong), wrong], axis=1), 0)
+            drift = active & (level == 2)
+            seen[at] = np.where(drift[:, None], warn, now)
+            warned[at] = np.where(active[:, None], warn, warned[at])
+            best[at] = np.where(drift[:, None], NO_BEST, least)
+            state[at, 3 * p + 1] = decay
+        v[at] += (prob - q)[:, None] * xs
+        h[at] = decay[:, None] * h[at] + w
+        z[at] = v[at] - prm.lp * h[at]
+        r[at] = 1.0 + decay * r[at]
+    copy = weights(z, r)
+    return tuple(sigmoid((w * x).sum(axis=1)) for w in (committed, copy, 0.5 * committed + 0.5 * copy))
 
 
 def carried_class_matrix(s_table: DataFrame, keys: Sequence[str] = ("stream_id",), win: str = "win",

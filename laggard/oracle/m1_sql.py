@@ -268,17 +268,26 @@ SELECT stream_id, t, col,
   round(min(v) OVER w, 6) AS win_min, round(max(v) OVER w, 6) AS win_max
 FROM mc WINDOW w AS (PARTITION BY stream_id, col ORDER BY t ROWS BETWEEN {m1.WIN - 1} PRECEDING AND CURRENT ROW)"""
 
-ORACLES["w06_window_cont_latent"] = PRE + ", " + _WK.format(cond="col < 2", w1=m1.WIN - 1) + f""",
+
+
+def _w06(w: int) -> str:
+    return PRE + ", " + _WK.format(cond="col < 2", w1=w - 1) + f""",
 q AS (SELECT *, (CAST(l AS DOUBLE) / (l + 1)) * (n_le / CAST(l AS DOUBLE)) AS q0 FROM pw)
 SELECT stream_id, t, col,
   round({phi_inv_sql('(CASE WHEN q0 = 0 THEN CAST(l AS DOUBLE) / (l + 1) / 2 ELSE q0 END)')}, 6) AS z FROM q"""
 
-ORACLES["w07_window_ord_interval"] = PRE + ", " + _WK.format(cond="col >= 2", w1=m1.WIN - 1) + f"""
+
+def _w07(w: int) -> str:
+    return PRE + ", " + _WK.format(cond="col >= 2", w1=w - 1) + f"""
 SELECT stream_id, t, col,
   round(CASE WHEN nd > 1 THEN {phi_inv_sql('(n_lt / CAST(l AS DOUBLE))')} ELSE CAST('-Infinity' AS DOUBLE) END, 6) AS lo,
   round(CASE WHEN nd > 1 THEN {phi_inv_sql('(n_le / CAST(l AS DOUBLE))')} ELSE CAST('Infinity' AS DOUBLE) END, 6) AS hi
 FROM pw"""
 
+
+ORACLES["w06_window_cont_latent"], ORACLES["w06_long_window"] = _w06(m1.WIN), _w06(m1.LONG_WIN)
+ORACLES["w07_window_ord_interval"], ORACLES["w07_long_window"] = _w07(m1.WIN), _w07(m1.LONG_WIN)
+
 _MQ = f"""mq AS (SELECT *, {u(31, 'stream_id', 't', 'col')} AS q FROM wc WHERE v IS NULL)"""
 
 ORACLES["a14_quantile_lookup"] = PRE + ", " + _MQ + ", " + POS.format(src="mc WHERE col < 2") + """

@@ -56,6 +56,18 @@ ORACLES: dict[str, str] = {}
 ORACLES["b04_density_peaks"] = _graph(None) + GRAPH_OUT
 ORACLES["b05_time_weighted_peaks"] = _graph(1.0) + GRAPH_OUT
 
+
+
+def _one_window(time_decay: float | None) -> str:
+    """The graph over all points as one window."""
+    q = _graph(time_decay).replace("vec_id % 10", "vec_id % 1").replace(f"AND p.pos BETWEEN e.win - {SZ - 1} AND e.win", "")
+    a, b = q.index("ends AS ("), q.index("wm0 AS (")
+    return q[:a] + "ends AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS win FROM pts),\n" + q[b:]
+
+
+ORACLES["b04_long_window"] = _one_window(None) + GRAPH_OUT
+ORACLES["b05_long_window"] = _one_window(1.0) + GRAPH_OUT
+
 ORACLES["b06_propagation_rounds"] = _graph(None) + """,
 lab AS (SELECT stream_id, win, t FROM wm WHERE y_obs IS NOT NULL),
 fw AS (SELECT stream_id, win, t AS node, 0 AS depth FROM lab

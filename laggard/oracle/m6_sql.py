@@ -6,8 +6,8 @@ from laggard.operators.learner import FtrlParams
 from laggard.oracle.m1_sql import PRE, u
 from laggard.oracle.m2_sql import SCORE
 from laggard.oracle.m3_sql import R, _Z
-from laggard.oracle.sql import ftrl_recursive_sql, sigmoid_sql
-from laggard.plans import m2
+from laggard.oracle.sql import ftrl_recursive_sql, minibatch_recursive_sql, sigmoid_sql
+from laggard.plans import m2, m6
 
 D = 5
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,15 @@ ORACLES["st07_live_replay"] = R + f", {RIN}, " + ftrl_recursive_sql(
     "r_in", 4, FtrlParams(), D, name="sd") + """
 SELECT stream_id, t, round(prob, 6) AS prob FROM sd WHERE t >= 0"""
 
+ORACLES["st07_live_dropped_labels"] = PRE + f""",
+a AS (SELECT stream_id, t, t + 1 + CAST(floor({u(m6.SLOW_SEED, 'stream_id', 't')} * {m6.SLOWEST}) AS BIGINT) AS t_arrive,
+             max(t) OVER (PARTITION BY stream_id) AS last FROM f1)
+SELECT stream_id, t, t_arrive FROM a WHERE t_arrive <= last AND t_arrive - 1 - t > {D}"""
+
+ORACLES["st21_minibatch_ftrl"] = R + f", {RIN}, " + minibatch_recursive_sql("r_in", 4, FtrlParams(), m6.MINIBATCH) + """
+SELECT stream_id, q.t AS t, CAST(b AS INTEGER) AS batch, round(p, 6) AS prob
+FROM (SELECT stream_id, b, unnest(rs) AS q, unnest(ps) AS p FROM mb WHERE b >= 0)"""
+
 ORACLES["st03_delay_compensation"] = R + f", {RIN}, rw AS (SELECT *, 1.5 AS w FROM r_in), " + ftrl_recursive_sql(
     "rw", 4, FtrlParams(), D, name="sd", weight_col="w") + """
 SELECT stream_id, t, round(prob, 6) AS prob FROM sd WHERE t >= 0"""

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from laggard.oracle.m1_sql import PRE
+from laggard.operators.learner import FtrlParams
+from laggard.oracle.m1_sql import PRE, u
+from laggard.oracle.m3_sql import R
 from laggard.oracle.m5_sql import _graph
-from laggard.plans import m7
+from laggard.oracle.sql import ftrl_recursive_sql, sigmoid_sql, speculation_sql
+from laggard.plans import m7, pipeline
+from laggard.sources.params import FIELDS, PROFILES
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["st14_st15_speculative"] = R + ", r_in AS (SELECT stream_id, t, CAST(1 AS DOUBLE) AS x0, x0 AS x1, x1 AS x2, x2 AS x3, y, " \
+    + sigmoid_sql("(4 * x0 - 2)") + " AS soft FROM f1), " + ftrl_recursive_sql("r_in", 4, FtrlParams(), 5, name="sd") + """
+SELECT stream_id, t, round(prob, 6) AS prob, round(prob_spec, 6) AS prob_spec, round(prob_blend, 6) AS prob_blend
+FROM (""" + speculation_sql("r_in", 4, FtrlParams(), 4, "soft", "sd") + ")"
+
 ORACLES["j08_compare_maps"] = PRE + """,
 ev AS (SELECT f1.stream_id, f1.t, e.event_type, count(*) OVER (PARTITION BY f1.stream_id) AS n
        FROM f1 JOIN events e ON e.user_id = f1.stream_id AND e.ts = f1.ts),
@@ -78,3 +87,17 @@ ch AS (SELECT g.stream_id, g.win, g.parent_t AS t, sum(exp(-g.delta) * s.s1) / s
        FROM g JOIN soft s USING (stream_id, win, t) WHERE NOT g.is_root GROUP BY 1, 2, 3)
 SELECT g.stream_id, g.win, g.t, round(pa.ps1, 6) AS parent_p1, round(ch.cs1, 6) AS child_p1
 FROM g LEFT JOIN pa USING (stream_id, win, t) LEFT JOIN ch USING (stream_id, win, t)"""
+
+_DEN = dict(zip(FIELDS, PROFILES[pipeline.PROFILE], strict=True))["batch_den"]
+COHORT = PRE + """,
+co AS (SELECT stream_id % 5 AS stream_id, x0, x1, x2, y,
+              row_number() OVER (PARTITION BY stream_id % 5 ORDER BY ts, stream_id, x0, x1, x2, y) - 1 AS t FROM f1)"""
+
+ORACLES["st19_window_labels"] = COHORT + f""",
+n AS (SELECT stream_id, CAST(ceil(count(*) / {_DEN}) AS BIGINT) AS size, max(t) AS last FROM co GROUP BY stream_id),
+l AS (SELECT co.stream_id, t, CASE WHEN {u(pipeline.SEED, 'co.stream_id', 't')} > {pipeline.MISSING} AND t + {pipeline.D} <= last THEN y END AS y
+      FROM co JOIN n USING (stream_id)),
+w AS (SELECT co.stream_id, t AS win, greatest(t - size + 1, 0) AS lo FROM co JOIN n USING (stream_id))
+SELECT w.stream_id, win, lo, win - lo + 1 AS n_rows, count(l.y) AS n_known, CAST(coalesce(sum(l.y), 0) AS BIGINT) AS n_pos,
+  win - lo + 1 > 2 AND count(DISTINCT l.y) = 2 AS ok
+FROM w LEFT JOIN l ON l.stream_id = w.stream_id AND l.t BETWEEN w.lo AND w.win - {pipeline.D} GROUP BY w.stream_id, win, lo"""

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from laggard.functions.hashing import uniform
 from laggard.functions.normal import phi_inv_sql, phi_sql
-from laggard.operators import corrupt, marginals, prep
+from laggard.operators import corrupt, marginals, prep, window_ranks
 from laggard.sources.fixtures import col_cells, events_stream, lineitem_mixed
 
 F2_C = ["c0", "c1", "c2", "c3", "c4"]
 MASK_SEED = 7
 KINDS = {0: "cont", 1: "cont", 2: "ord", 3: "ord", 4: "ord"}
 WIN = 60          # marginal window (observations) for the online forms
+LONG_WIN = 300    # the same, longer than most tasks would want to hold
 
 
 def r6(c):
@@ -231,6 +232,20 @@ def w07_window_ord_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("stream_id", "t", "col", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
+def w06_long_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W06 of long windows by rank counts."""
+    c = masked_cells(f2_masked(spark, sf_dir)).where(F.col("col") < 2)
+    d = window_ranks.long_window_cont_latent(c, LONG_WIN)
+    return d.select("stream_id", "t", "col", r6("z").alias("z"))
+
+
+def w07_long_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W07 of long windows by rank counts."""
+    c = masked_cells(f2_masked(spark, sf_dir)).where(F.col("col") >= 2)
+    d = window_ranks.long_window_ord_interval(c, LONG_WIN)
+    return d.select("stream_id", "t", "col", r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
 def with_q(cells: DataFrame) -> DataFrame:
     return cells.withColumn("q", uniform("31", "stream_id", "t", "col"))
 

@@ -11,11 +11,13 @@ from laggard.operators import corrupt
 from laggard.operators.density import (arrived, linear_self_training, sliding_windows, two_view_propagation,
                                        window_class_sums, window_graph)
 from laggard.operators.learner import carried_class_matrix
+from laggard.operators.long_windows import blocked_peaks
 from laggard.operators.seq import number_rows
 from laggard.sources.fixtures import embedding_points, events_stream
 
 #: A window that ends at position e knows the labels up to e - DELAY.
 SIZE, HOP, PCT, DELAY = 20, 10, 5.0, 3
+LONG_BLOCK = 256
 
 
 def r6(c):
@@ -38,6 +40,21 @@ def b04_density_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph_out(window_graph(_windows(spark, sf_dir), y=None, pct=PCT))
 
 
+def _whole_table(spark, sf_dir) -> DataFrame:
+    """All points of F3 as one window."""
+    pts = number_rows(embedding_points(spark, sf_dir, 1), ["stream_id"], ["t"], out="pos", bucket=F.floor(F.col("t") / 65536))
+    return pts.withColumn("win", F.lit(0).cast("long"))
+
+
+def b04_long_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B04 of one window that is as long as the table, by pairs of blocks."""
+    return _graph_out(blocked_peaks(_whole_table(spark, sf_dir), pct=PCT, block=LONG_BLOCK))
+
+
+def b05_long_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph_out(blocked_peaks(_whole_table(spark, sf_dir), pct=PCT, time_decay=1.0, block=LONG_BLOCK))
+
+
 def b05_time_weighted_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph_out(window_graph(_windows(spark, sf_dir), y=None, pct=PCT, time_decay=1.0))
 

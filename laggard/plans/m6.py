@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laggard.functions.hashing import uniform
 from laggard.operators import corrupt, drift
 from laggard.operators.learner import delayed_hedge_ensemble, fill_labels, hedge_ensemble
 from laggard.operators.seq import shift
@@ -16,6 +17,9 @@ from laggard.sources.fixtures import as_array, events_stream, lineitem_mixed
 from laggard.streaming import live
 
 DELAY = 5
+MINIBATCH = 20
+#: Labels of st07_live_dropped_labels come 1 to SLOWEST steps late.
+SLOWEST, SLOW_SEED = 12, 41
 
 
 def r6(c):
@@ -77,15 +81,24 @@ def st07_live_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST07 as a Structured Streaming query over a time-ordered replay."""
     ev, rows = _f1_rows(spark, sf_dir)
     arr = corrupt.delayed_labels(ev, DELAY)
-    out = live.run_live_replay(spark, live.delayed_events(rows, arr, 10),
-                               text.scratch_path(spark, "live"), max_delay=DELAY)
+    out, _ = live.run_live_replay(spark, live.delayed_events(rows, arr, 50), text.scratch_path(spark, "live"), DELAY)
     return out.select("stream_id", "t", r6("prob").alias("prob"))
 
 
+def st07_live_dropped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST07 live with labels of uneven delay: those that came too late for their row."""
+    _, rows = _f1_rows(spark, sf_dir)
+    late = 1 + F.floor(uniform(str(SLOW_SEED), "stream_id", "t") * SLOWEST).cast("long")
+    arr = rows.select("stream_id", (F.col("t") + late).alias("t_arrive"), F.col("t").alias("t_orig"), "y")
+    arr = arr.join(rows.select("stream_id", F.col("t").alias("t_arrive")), ["stream_id", "t_arrive"], "left_semi")
+    _, dropped = live.run_live_replay(spark, live.delayed_events(rows, arr, 50), text.scratch_path(spark, "live"), DELAY)
+    return dropped
+
+
 def st21_minibatch_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST21: mini-batch FTRL (batches of 20 rows per stream); per-row batch probabilities."""
     _, rows = _f1_rows(spark, sf_dir)
-    preds, _ = live.minibatch_ftrl(spark, rows, 4, 20)
+    preds = live.minibatch_ftrl(rows, 4, MINIBATCH)
     return preds.select("stream_id", "t", F.col("batch").cast("int").alias("batch"), r6("prob").alias("prob"))
 
 

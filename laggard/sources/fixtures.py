@@ -46,6 +46,14 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _materialise(ev.select("stream_id", "t", "ts", "x0", "x1", "x2", "y"))
 
 
+def cohort_stream(spark: SparkSession, sf_dir: str, cohorts: int = 5) -> DataFrame:
+    """F1 by cohort: the users' events merged in order of time, so that a stream is thousands of rows long."""
+    ev = events_stream(spark, sf_dir).withColumn("user_id", F.col("stream_id")).withColumn("stream_id", F.col("user_id") % cohorts)
+    ev = number_rows(ev.drop("t"), ["stream_id"], ["ts", "user_id", "x0", "x1", "x2", "y"],
+                     bucket=F.floor(F.unix_date(F.to_date("ts")) / EVENT_BUCKET_DAYS))
+    return _materialise(ev.select("stream_id", "t", "x0", "x1", "x2", "y"))
+
+
 def lineitem_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem per supplier. ``stream_id, t, c0..c4, y`` (c0, c1 continuous; c2-c4 ordinal)."""
     li = table(spark, sf_dir, "lineitem").select(

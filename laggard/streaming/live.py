@@ -3,32 +3,34 @@
 * ``write_replay_files`` / ``replay_stream`` (S11): a table is written as
   time-bucketed parquet files and read back with ``readStream`` one file per
   trigger, so micro-batches arrive in time order.
-* ``live_delayed_learner`` (ST07 live): feature and label events of a stream
-  share one keyed state (``applyInPandasWithState``); the state holds the
-  learner and the pending-feature buffer (at most D rows), and the step
-  function is the batch fold's ``FtrlState`` -- the same code path (R6), so a
-  replay reproduces the batch result.
-* ``minibatch_ftrl`` (ST21): the distributed estimator for one huge stream:
-  per micro-batch the current weights are joined to the batch rows, the
-  gradient sum((p - y) x) is one aggregation, and one FTRL state update per
-  batch is applied; state lives in a small keyed table, never on the driver.
+* ``live_delayed_learner`` (ST07 live): feature and label events of a stream share one keyed state of
+  ``transformWithState``: the learner as a typed value, the rows whose label is still to come as a map
+  by their time.  A label finds its row for ``max_delay`` steps; later ones are a second kind of output,
+  not a silence.  Rows that no label may claim any more go by event-time timers, at the watermark, so
+  that a stream which falls silent leaves no state behind.  The step function is the batch fold's
+  ``FtrlState`` (R6): a replay gives the batch result, in one run or over restarts.
+* ``minibatch_ftrl`` (ST21): one FTRL step a batch from the batch's summed gradient.  The fold keeps the
+  weights and the open batch's sums (O(p) a stream), so all batches of all streams are one plan and one
+  job; ``live_minibatch_ftrl`` keeps the same in operator state.  ``minibatch_rounds`` is the form for
+  batches that are too large for a task: the gradient is one aggregation and one job a batch.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from laggard.functions.logistic import ftrl_weight_py
-from laggard.operators.learner import FEATURE, LABEL, NO_BEST, FtrlParams, FtrlState, evict, observe
+from laggard.operators.learner import FEATURE, LABEL, NO_BEST, FtrlParams, FtrlState, by_key, observe, schema_of
 from laggard.session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = ("stream_id bigint, _time bigint, _kind int, _tref bigint, x array<double>, "
@@ -73,70 +75,142 @@ def replay_stream(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA,
 
 # ---- ST07 live ---------------------------------------------------------------------------
 
-def _state_to_json(st: FtrlState | None, buf: dict) -> str:
-    if st is None:
-        return json.dumps({"buf": {str(k): v for k, v in buf.items()}})
-    d = {s: getattr(st, s) for s in FtrlState.__slots__}
-    d["buf"] = {str(k): v for k, v in buf.items()}
-    return json.dumps(d)
-
-
-def _state_from_json(s: str, prm: FtrlParams) -> tuple[FtrlState | None, dict]:
-    d = json.loads(s)
-    buf = {int(k): v for k, v in d.pop("buf").items()}
-    if not d:
-        return None, buf
-    st = FtrlState(d["p"], prm)
-    for k, v in d.items():
-        setattr(st, k, tuple(v) if k in ("counts", "warned", "best") else v)
-    return st, buf
-
-
-def live_delayed_learner(events: DataFrame, prm: FtrlParams = FtrlParams(),
-                         max_delay: int | None = None) -> DataFrame:
-    """ST07 on a streaming DataFrame of ``delayed_events``: predictions ``stream_id, t, prob``."""
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        st, buf = (_state_from_json(state.get[0], prm) if state.exists else (None, {}))
-        pdf = pd.concat(list(pdfs)).sort_values(["_time", "_kind", "_tref"])
-        out_t, out_p = [], []
-        for tm, kind, tref, x, y in zip(pdf["_time"], pdf["_kind"], pdf["_tref"], pdf["x"], pdf["y"]):
-            if kind == LABEL:
-                xb = buf.pop(int(tref), None)
-                if xb is None or y is None or (isinstance(y, float) and math.isnan(y)):
-                    continue
-                if st is None:
-                    st = FtrlState(len(xb), prm)
-                st.fit(xb, float(y), prm)
-            else:
+LEARNER_SCHEMA = ("v array<double>, h array<double>, z array<double>, r double, decay double, counts array<bigint>, "
+                  "warned array<bigint>, best array<double>, level int")
+LIVE_SCHEMA = "stream_id bigint, kind string, t bigint, prob double, t_arrive bigint"
+PREDICTION, DROPPED = "prediction", "dropped"
+
+
+def as_tuple(st: FtrlState) -> tuple:
+    return st.v, st.h, st.z, float(st.r), float(st.decay), list(st.counts), list(st.warned), [float(b) for b in st.best], int(st.level)
+
+
+def as_learner(values: tuple, prm: FtrlParams) -> FtrlState:
+    st = FtrlState(len(values[0]), prm)
+    st.v, st.h, st.z = (list(a) for a in values[:3])
+    st.r, st.decay = values[3:5]
+    st.counts, st.warned, st.best = (tuple(a) for a in values[5:8])
+    st.level = values[8]
+    return st
+
+
+class DelayedLearner(StatefulProcessor):
+    """State of one stream: the learner, the time of its last row, and the rows that wait for a label."""
+
+    def __init__(self, prm: FtrlParams, max_delay: int):
+        self.prm, self.max_delay = prm, max_delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.learner = handle.getValueState("learner", f"{LEARNER_SCHEMA}, last bigint")
+        self.pending = handle.getMapState("pending", "t bigint", "x array<double>")
+        self.timer = handle.getValueState("timer", "t bigint")
+
+    def expires(self, t: int) -> int:
+        """Event time, in ms, from which on no label of row t counts."""
+        return 1000 * (t + 1 + self.max_delay + 1)
+
+    def watch(self, t: int) -> None:
+        """One timer a stream, for its oldest waiting row."""
+        self.handle.registerTimer(self.expires(t))
+        self.timer.update((t,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["time", "kind", "ref"])  # a stream's rows of one micro-batch
+        values = self.learner.get() if self.learner.exists() else None
+        st, last = (as_learner(values[:-1], self.prm), values[-1]) if values else (None, None)
+        fresh: dict[int, list[float]] = {}  # rows of this micro-batch are written only if they still wait at its end
+        out: list[tuple] = []
+        for tm, kind, tref, x, y in zip(*(pdf[c].tolist() for c in ("time", "kind", "ref", "x", "y")), strict=True):
+            if kind == FEATURE:
                 xv = [float(v) for v in x]
-                if st is None:
-                    st = FtrlState(len(xv), prm)
-                out_t.append(int(tm))
-                out_p.append(st.predict(xv, prm))
-                buf[int(tm)] = xv
-                if max_delay is not None:
-                    evict(buf, int(tm) - max_delay)
-        state.update((_state_to_json(st, buf),))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(out_t), "t": out_t, "prob": out_p})
-
-    return events.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id bigint, t bigint, prob double", "state string", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def run_live_replay(spark: SparkSession, events: DataFrame, scratch: str,
-                    prm: FtrlParams = FtrlParams(), max_delay: int | None = None) -> DataFrame:
-    """Write the events as replay files, run the live learner to completion into a parquet
-    sink under ``scratch`` and return the sink as a batch DataFrame."""
-    src, out, ck = f"{scratch}/events", f"{scratch}/preds", f"{scratch}/ckpt"
-    write_replay_files(events, src)
-    stream = replay_stream(spark, src)
-    q = (live_delayed_learner(stream, prm, max_delay).writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", ck).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+                st = st or FtrlState(len(xv), self.prm)
+                out.append((key[0], PREDICTION, tm, st.predict(xv, self.prm), None))
+                fresh[tm], last = xv, tm
+                continue
+            xb = fresh.pop(tref, None)
+            if xb is None and self.pending.containsKey((tref,)):
+                xb = list(self.pending.getValue((tref,))[0])
+                self.pending.removeKey((tref,))
+            if y is None or math.isnan(y):
+                continue
+            if xb is None or last - tref > self.max_delay:
+                out.append((key[0], DROPPED, tref, None, tm))
+            else:
+                st.fit(xb, float(y), self.prm)
+        for t, xv in fresh.items():
+            if last - t <= self.max_delay:
+                self.pending.updateValue((t,), (xv,))
+        if fresh and not self.timer.exists():
+            self.watch(min(fresh))
+        if st is not None:
+            self.learner.update((*as_tuple(st), last))
+        yield live_rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(k[0] for k in self.pending.keys())
+        for t in waiting:
+            if self.expires(t) <= now:
+                self.pending.removeKey((t,))
+        left = [t for t in waiting if self.expires(t) > now]
+        self.timer.clear()
+        if left:
+            self.watch(left[0])
+        yield live_rows([])
+
+    def close(self) -> None:
+        pass
+
+
+def live_rows(rows: list[tuple]) -> pd.DataFrame:
+    got = pd.DataFrame(rows, columns=["stream_id", "kind", "t", "prob", "t_arrive"])
+    return got.astype({"stream_id": "Int64", "t": "Int64", "prob": "float64", "t_arrive": "Int64"})
+
+
+def live_delayed_learner(events: DataFrame, max_delay: int, prm: FtrlParams = FtrlParams(), lateness: int = 0) -> DataFrame:
+    """ST07 on a streaming DataFrame of ``delayed_events``: rows ``stream_id, kind, t, prob, t_arrive``; kind ``prediction``
+    has prob, kind ``dropped`` is a label (of row t, arrived at t_arrive) that came more than ``max_delay`` steps late or for
+    a row that is not waiting.  Event time is the step plus one, in seconds, as a
+    stream's first watermark is 0 and what is not above it is late; events of one stream come in order, and streams
+    may be ``lateness`` steps apart.  State per stream: the learner and at most max_delay + 1 rows."""
+    timed = events.select("stream_id", F.col("_time").alias("time"), F.col("_kind").alias("kind"), F.col("_tref").alias("ref"), "x", "y",
+                          F.timestamp_seconds(F.col("_time") + 1).alias("event_time")).withWatermark("event_time", f"{lateness} seconds")
+    return timed.groupBy("stream_id").transformWithStateInPandas(
+        DelayedLearner(prm, max_delay), LIVE_SCHEMA, "Append", "eventTime")
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession):
+    """transformWithState needs this state store; the setting of other queries stays as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_to_end(result: DataFrame, scratch: str, by: str | None = None) -> None:
+    """Run a streaming query over all input there is into a parquet sink under ``scratch``; run again, it goes on where it ended."""
+    w = result.writeStream.format("parquet").option("path", f"{scratch}/out").option("checkpointLocation", f"{scratch}/ckpt").outputMode("append")
+    with state_in_rocksdb(result.sparkSession):
+        (w.partitionBy(by) if by else w).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_live_replay(spark: SparkSession, events: DataFrame, scratch: str, max_delay: int, prm: FtrlParams = FtrlParams(),
+                    bucket_rows: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Write the events as replay files and run the live learner over them: (predictions, dropped labels)."""
+    write_replay_files(events, f"{scratch}/events")
+    run_to_end(live_delayed_learner(replay_stream(spark, f"{scratch}/events"), max_delay, prm, 2 * bucket_rows), scratch, "kind")
+    return live_output(spark, scratch)
+
+
+def live_output(spark: SparkSession, scratch: str) -> tuple[DataFrame, DataFrame]:
+    got = spark.read.schema(LIVE_SCHEMA).parquet(f"{scratch}/out")
+    return (got.where(F.col("kind") == PREDICTION).select("stream_id", "t", "prob"),
+            got.where(F.col("kind") == DROPPED).select("stream_id", "t", "t_arrive"))
 
 
 # ---- ST21 mini-batch FTRL ------------------------------------------------------------------
@@ -191,9 +265,106 @@ def minibatch_step(batch: DataFrame, state: DataFrame, p: int,
     return preds, untouched.unionByName(new)
 
 
-def minibatch_ftrl(spark: SparkSession, rows: DataFrame, p: int, batch_rows: int,
-                   prm: FtrlParams = FtrlParams()) -> tuple[DataFrame, DataFrame]:
-    """ST21 over a table: batches are t // batch_rows; a driver loop over batch index runs
+class MiniBatch:
+    """ST21 of one stream: the learner before the open batch, and the sums of the batch so far."""
+
+    def __init__(self, p: int, prm: FtrlParams):
+        self.prm, self.learner = prm, FtrlState(p, prm)
+        self.batch, self.g, self.n, self.errors = -1, np.zeros(p), 0, 0
+
+    def close(self) -> None:
+        """One step from the sums; a batch without labels changes nothing."""
+        st, prm = self.learner, self.prm
+        if self.n:
+            w, decay = st.weights(st.p, prm), prm.init_decay
+            if prm.adaptive:
+                decay, st.level, st.counts, st.warned, st.best = observe(self.n, self.errors, st.counts, st.warned, st.best, prm)
+            st.decay = decay
+            for i in range(st.p):
+                st.v[i] += float(self.g[i])
+                st.h[i] = decay * st.h[i] + w[i]
+                st.z[i] = st.v[i] - prm.lp * st.h[i]
+            st.r = 1.0 + decay * st.r
+        self.g, self.n, self.errors = np.zeros(st.p), 0, 0
+
+    def add(self, batch: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Probabilities of further rows of the open batch, or the first of a later one (y: NaN without a label)."""
+        if batch != self.batch:
+            self.close()
+            self.batch = batch
+        prob = 1.0 / (1.0 + np.exp(-(x @ np.array(self.learner.weights(self.learner.p, self.prm)))))
+        known = ~np.isnan(y)
+        miss = prob[known] - y[known]
+        self.g = self.g + miss @ x[known]
+        self.n += int(known.sum())
+        self.errors += int((np.abs(miss) > 0.5).sum())
+        return prob
+
+
+def runs_of(*cols: np.ndarray) -> Iterator[slice]:
+    """Slices of equal values in sorted columns."""
+    n = len(cols[0])
+    if n:
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        yield from (slice(a, b) for a, b in zip([0, *new], [*new, n], strict=True))
+
+
+def minibatch_ftrl(rows: DataFrame, p: int, batch_rows: int, prm: FtrlParams = FtrlParams()) -> DataFrame:
+    """ST21 over a table, batches t // batch_rows of each stream: ``stream_id, t, batch, prob``.  One ordered scan by stream: all
+    steps are one job, a task keeps O(p) numbers, and rows of a batch are handled together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, state = None, None
+        for pdf in batches:
+            keys, ids = pdf["stream_id"].to_numpy(), pdf["batch"].to_numpy()
+            y, prob = pdf["y"].to_numpy(dtype=float, na_value=np.nan), np.zeros(len(pdf))
+            for at in runs_of(keys, ids):
+                if state is None or keys[at.start] != stream:
+                    stream, state = keys[at.start], MiniBatch(p, prm)
+                prob[at] = state.add(int(ids[at.start]), np.array([np.asarray(v, dtype=float) for v in pdf["x"].iloc[at]]), y[at])
+            yield pd.DataFrame({"stream_id": keys, "t": pdf["t"], "batch": ids, "prob": prob})
+
+    d = rows.select("stream_id", "t", F.floor(F.col("t") / batch_rows).cast("long").alias("batch"), F.col("x").cast("array<double>").alias("x"),
+                    F.col("y").cast("double").alias("y"))
+    return by_key(d, ["stream_id"]).sortWithinPartitions("stream_id", "batch", "t").mapInPandas(
+        run, f"{schema_of(rows, ['stream_id', 't'])}, batch bigint, prob double")
+
+
+class LiveMiniBatch(StatefulProcessor):
+    """``MiniBatch`` as operator state: an epoch's rows give predictions at once, the step is taken when the next batch begins."""
+
+    def __init__(self, p: int, batch_rows: int, prm: FtrlParams):
+        self.p, self.batch_rows, self.prm = p, batch_rows, prm
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("minibatch", f"{LEARNER_SCHEMA}, batch bigint, g array<double>, n bigint, errors bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mb = MiniBatch(self.p, self.prm)
+        if self.state.exists():
+            *learner, mb.batch, g, mb.n, mb.errors = self.state.get()
+            mb.learner, mb.g = as_learner(tuple(learner), self.prm), np.array(g)
+        pdf = pd.concat(list(rows)).sort_values("t")
+        t, y, prob = pdf["t"].to_numpy(), pdf["y"].to_numpy(dtype=float, na_value=np.nan), np.zeros(len(pdf))
+        x = np.array([np.asarray(v, dtype=float) for v in pdf["x"]])
+        for at in runs_of(t // self.batch_rows):
+            prob[at] = mb.add(int(t[at.start] // self.batch_rows), x[at], y[at])
+        self.state.update((*as_tuple(mb.learner), mb.batch, mb.g.tolist(), mb.n, mb.errors))
+        yield pd.DataFrame({"stream_id": key[0], "t": t, "batch": t // self.batch_rows, "prob": prob})
+
+    def close(self) -> None:
+        pass
+
+
+def live_minibatch_ftrl(rows: DataFrame, p: int, batch_rows: int, prm: FtrlParams = FtrlParams()) -> DataFrame:
+    """ST21 on a streaming DataFrame (stream_id, t, x, y), a stream's rows in order: one streaming query, weights in its state."""
+    return rows.groupBy("stream_id").transformWithStateInPandas(
+        LiveMiniBatch(p, batch_rows, prm), "stream_id bigint, t bigint, batch bigint, prob double", "Append", "None")
+
+
+def minibatch_rounds(spark: SparkSession, rows: DataFrame, p: int, batch_rows: int,
+                     prm: FtrlParams = FtrlParams()) -> tuple[DataFrame, DataFrame]:
+    """ST21 for batches that are too large for one task: batches are t // batch_rows; a driver loop over batch index runs
     all streams in parallel per step.  Rows are written by batch once, so that a step reads its own
     only; predictions are appended to one folder, the state is written every step, all in the
     shared checkpoint folder.  Returns (predictions, final state)."""

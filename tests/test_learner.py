@@ -88,30 +88,25 @@ def test_st14_speculation_matches_python_loop(spark):
     n, d = 40, 3
     xs = rng.normal(size=(n, 2))
     ys = (xs[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(int)
-    pseudo = [None] * d + [int(v) for v in ys[:-d]]
-    rows = spark.createDataFrame([(3, i, [1.0, float(a), float(b)], None if pseudo[i] is None else float(pseudo[i]))
-                                  for i, (a, b) in enumerate(xs)],
-                                 "stream_id long, t long, x array<double>, pseudo double")
+    soft = rng.random(n)
+    guesses = [[(k, float(soft[k])) for k in range(max(0, i - d + 1), i) if k % 5] for i in range(n)]
+    rows = spark.createDataFrame([(3, i, [1.0, float(a), float(b)], guesses[i]) for i, (a, b) in enumerate(xs)],
+                                 "stream_id long, t long, x array<double>, spec array<struct<t:bigint,p:double>>")
     arr = spark.createDataFrame([(3, i + d, i, int(ys[i])) for i in range(n - d)],
                                 "stream_id long, t_arrive long, t_orig long, y int")
     got = {r.t: r for r in speculative_learner(rows, arr, max_delay=d).collect()}
     prm = FtrlParams()
     st = FtrlState(3, prm)
-    buf = {}
     for t in range(n):
-        if t >= d and (t - d) in buf:
-            st.fit(buf.pop(t - d)[0], float(ys[t - d]), prm)
+        if t >= d:
+            st.fit([1.0, *xs[t - d]], float(ys[t - d]), prm)
         x = [1.0, *xs[t]]
         spec = _copy_state(st, prm)
-        for k in sorted(buf):
-            if buf[k][1] is not None:
-                spec.fit(buf[k][0], buf[k][1], prm)
+        for k, p in guesses[t]:
+            spec.fit_soft([1.0, *xs[k]], p, prm)
         wc, ws = st.weights(3, prm), spec.weights(3, prm)
         assert abs(got[t].prob - sigmoid_py(sum(a * b for a, b in zip(wc, x)))) < 1e-12
         assert abs(got[t].prob_spec - sigmoid_py(sum(a * b for a, b in zip(ws, x)))) < 1e-12
-        buf[t] = (x, None if pseudo[t] is None else float(pseudo[t]))
-        for old in [k for k in buf if k < t - d]:
-            del buf[old]
 
 
 def test_st21_first_minibatch_step(spark):
@@ -152,3 +147,32 @@ def test_st21_with_one_row_a_batch_is_st01():
         row = pd.DataFrame([{**state, "g": [(prob - y) * v for v in x], "n": 1, "errors": int(abs(prob - y) > 0.5)}])
         state = _update_state(row, p, prm).iloc[0].to_dict()
     assert {1, 2} & set(levels)
+
+
+def _minibatch_rows(spark, n=130, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for s in (1, 2, 5):
+        for t in range(n - 7 * s):
+            x = rng.normal(size=2)
+            y = None if rng.random() < 0.1 or 20 <= t < 25 else float((x[0] > 0) != (t > 80))
+            rows.append((s, t, [1.0, float(x[0]), float(x[1])], y))
+    return spark.createDataFrame(rows, "stream_id long, t long, x array<double>, y double")
+
+
+def test_st21_scan_equals_the_rounds(spark):
+    from laggard.streaming.live import minibatch_ftrl, minibatch_rounds
+    rows = _minibatch_rows(spark, 40)
+    got = {(r.stream_id, r.t): (r.batch, r.prob) for r in minibatch_ftrl(rows.repartition(3), 3, 5).collect()}
+    preds, _ = minibatch_rounds(spark, rows, 3, 5)
+    want = {(r.stream_id, r.t): (r.batch, r.prob) for r in preds.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
+def test_st21_scan_with_one_row_a_batch_is_st01(spark):
+    from laggard.streaming.live import minibatch_ftrl
+    rows = _minibatch_rows(spark)
+    got = {(r.stream_id, r.t): r.prob for r in minibatch_ftrl(rows, 3, 1).collect()}
+    want = {(r.stream_id, r.t): r.prob for r in online_learner(rows).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -7,6 +7,7 @@ from laggard.operators.density import (arrived, class_probability, fuse_views, g
                                        propagation_rounds, sliding_windows, structure_labels, window_class_sums)
 from laggard.operators.learner import FtrlParams, FtrlState, carried_class_matrix, speculative_learner
 from laggard.plans import m5, pipeline
+from laggard.sources.params import PROFILE_SCHEMA
 from tests.conftest import SF
 
 N, CUT = 42, 26
@@ -26,7 +27,8 @@ def stream(spark, flip_from=None, move_from=None):
 
 
 def run(spark, **kw):
-    return {(r.stream_id, r.t, r.method): r.prob for r in pipeline.predictions(stream(spark, **kw)).collect()}
+    third = spark.createDataFrame([("third", 4, 0.01, 2, 3, False)], PROFILE_SCHEMA)
+    return {(r.stream_id, r.t, r.method): r.prob for r in pipeline.predictions(stream(spark, **kw), profiles=third, dataset="third").collect()}
 
 
 def test_predictions_do_not_know_the_future(spark):
