@@ -100,7 +100,7 @@ def test_subspace_distance_of_rotated_planes():
 
 
 def test_em_of_a_stream_does_not_depend_on_others(spark):
-    from laggard.operators.copula import fit_offline
+    from laggard.operators.pattern_em import fit_offline
     rng = np.random.default_rng(5)
     rows = []
     for s, rho in ((1, 0.9), (2, 0.0)):
