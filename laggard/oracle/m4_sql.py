@@ -28,11 +28,12 @@ cv AS (SELECT stream_id, """ + ", ".join(f"covar_samp(z{i}, z{j}) AS cov_{i}_{j}
     f"SELECT stream_id, {i} AS i, {j} AS j, round(cov_{i}_{j}, 6) AS cov, "
     f"round(cov_{i}_{j} / sqrt(cov_{i}_{i} * cov_{j}_{j}), 6) AS corr FROM cv" for i, j in PAIRS)
 
-ORACLES["b01_estep_p2"] = PRE + f""",
+K3 = PRE + f""",
 k3 AS (SELECT stream_id, t,
          CASE WHEN 0 IN ({h(5, 'stream_id', 't', 0)} % 5, {h(5, 'stream_id', 't', 1)} % 5) THEN NULL ELSE c0 END AS c0,
          CASE WHEN 1 IN ({h(5, 'stream_id', 't', 0)} % 5, {h(5, 'stream_id', 't', 1)} % 5) THEN NULL ELSE c1 END AS c1
-       FROM f2), """ + _latent("k3", ["c0", "c1"]) + """,
+       FROM f2), """ + _latent("k3", ["c0", "c1"])
+ORACLES["b01_estep_p2"] = K3 + """,
 rh AS (SELECT stream_id, corr(z0, z1) AS rho FROM z GROUP BY stream_id)
 SELECT z.stream_id, z.t,
   round(CASE WHEN z0 IS NOT NULL THEN z0 WHEN z1 IS NOT NULL THEN rho * z1 ELSE 0.0 END, 6) AS z_imp0,
@@ -90,3 +91,22 @@ ORACLES["a21_a22_one_round"] = MIXED + """,
 ch AS (SELECT *, (1 + rho1) / (1 + rho) - 1 AS e1, (1 - rho1) / (1 - rho) - 1 AS e2 FROM rd)
 SELECT stream_id, round(sqrt(e1 * e1 + e2 * e2), 6) + 0.0 AS frob, round(greatest(abs(e1), abs(e2)), 6) + 0.0 AS spec,
   round(abs(e1) + abs(e2), 6) + 0.0 AS nuc, CAST(0 AS DOUBLE) AS grass, round(sqrt(2.0) * abs(abs(rho1) - abs(rho)), 6) + 0.0 AS sv_dist FROM ch"""
+
+ORACLES["b15_change_statistic"] = K3 + """,
+r0 AS (SELECT stream_id, covar_samp(coalesce(z0, 0), coalesce(z1, 0)) / sqrt(var_samp(coalesce(z0, 0)) * var_samp(coalesce(z1, 0))) AS rho
+       FROM z GROUP BY stream_id),
+la AS (SELECT stream_id, max(t) AS last FROM z GROUP BY stream_id),
+en AS (SELECT stream_id, t AS win FROM z JOIN la USING (stream_id) WHERE (t + 1) % 50 = 0 OR t = last),
+im AS (SELECT e.stream_id, win, rho,
+         CASE WHEN z0 IS NOT NULL THEN z0 WHEN z1 IS NOT NULL THEN rho * z1 ELSE 0.0 END AS z0,
+         CASE WHEN z1 IS NOT NULL THEN z1 WHEN z0 IS NOT NULL THEN rho * z0 ELSE 0.0 END AS z1,
+         CASE WHEN z0 IS NOT NULL THEN 0.0 WHEN z1 IS NOT NULL THEN 1 - rho * rho ELSE 1.0 END AS c0,
+         CASE WHEN z1 IS NOT NULL THEN 0.0 WHEN z0 IS NOT NULL THEN 1 - rho * rho ELSE 1.0 END AS c1,
+         CASE WHEN z0 IS NULL AND z1 IS NULL THEN rho ELSE 0.0 END AS c01
+       FROM en e JOIN z ON z.stream_id = e.stream_id AND z.t BETWEEN e.win - 49 AND e.win JOIN r0 ON r0.stream_id = e.stream_id),
+sg AS (SELECT stream_id, win, any_value(rho) AS rho, count(*) AS n,
+         (covar_samp(z0, z1) + avg(c01)) / sqrt((var_samp(z0) + avg(c0)) * (var_samp(z1) + avg(c1))) AS rho1 FROM im GROUP BY stream_id, win),
+ch AS (SELECT *, (1 + rho1) / (1 + rho) - 1 AS e1, (1 - rho1) / (1 - rho) - 1 AS e2 FROM sg)
+SELECT stream_id, win, CASE WHEN n = 1 THEN 'NaN'::DOUBLE ELSE round(sqrt(e1 * e1 + e2 * e2), 6) + 0.0 END AS "stat_F",
+  CASE WHEN n = 1 THEN 'NaN'::DOUBLE ELSE round(greatest(abs(e1), abs(e2)), 6) + 0.0 END AS "stat_S",
+  CASE WHEN n = 1 THEN 'NaN'::DOUBLE ELSE round(abs(e1) + abs(e2), 6) + 0.0 END AS "stat_N" FROM ch"""

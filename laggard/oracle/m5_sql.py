@@ -68,7 +68,7 @@ def _one_window(time_decay: float | None) -> str:
 ORACLES["b04_long_window"] = _one_window(None) + GRAPH_OUT
 ORACLES["b05_long_window"] = _one_window(1.0) + GRAPH_OUT
 
-ORACLES["b06_propagation_rounds"] = _graph(None) + """,
+_ROUNDS = """,
 lab AS (SELECT stream_id, win, t FROM wm WHERE y_obs IS NOT NULL),
 fw AS (SELECT stream_id, win, t AS node, 0 AS depth FROM lab
        UNION ALL
@@ -92,6 +92,13 @@ SELECT g.stream_id, g.win, g.t, g.parent_t,
 FROM g LEFT JOIN fr ON fr.stream_id = g.stream_id AND fr.win = g.win AND fr.node = g.t
 LEFT JOIN bk ON bk.stream_id = g.stream_id AND bk.win = g.win AND bk.t = g.t
 LEFT JOIN rf ON rf.stream_id = g.stream_id AND rf.win = g.win"""
+ORACLES["b06_propagation_rounds"] = _graph(None) + _ROUNDS
+ORACLES["b06_long_window"] = _one_window(None).replace("> 0.6 THEN y END", f"> {m5.LONG_MISSING} THEN y END") \
+    .replace(f"CASE WHEN p.pos <= e.win - {DL} THEN y_obs END AS y_obs", "y_obs AS y_obs") + _ROUNDS
+_a, _b = _ROUNDS.rsplit("SELECT g.stream_id", 1)
+ORACLES["u01_u02_all_rounds"] = _graph(None) + _a + ", rs AS (SELECT g.stream_id" + _b + """)
+SELECT stream_id, win, round, n_frontier, CAST(sum(n_frontier) OVER (PARTITION BY stream_id, win ORDER BY round) AS BIGINT) AS n_union
+FROM (SELECT stream_id, win, round, count(*) AS n_frontier FROM rs WHERE round >= 0 GROUP BY stream_id, win, round)"""
 
 ORACLES["a26_t05_window_guard"] = _graph(None).split(",\npr AS")[0] + """
 SELECT stream_id, win, count(*) AS n, count(DISTINCT y_obs) AS n_classes,

@@ -10,6 +10,7 @@ from laggard.functions.logistic import sigmoid
 from laggard.operators import corrupt
 from laggard.operators.density import (arrived, linear_self_training, sliding_windows, two_view_propagation,
                                        window_class_sums, window_graph)
+from laggard.operators.forest import forest_rounds, round_sets
 from laggard.operators.learner import carried_class_matrix
 from laggard.operators.long_windows import blocked_peaks
 from laggard.operators.seq import number_rows
@@ -17,7 +18,7 @@ from laggard.sources.fixtures import embedding_points, events_stream
 
 #: A window that ends at position e knows the labels up to e - DELAY.
 SIZE, HOP, PCT, DELAY = 20, 10, 5.0, 3
-LONG_BLOCK = 256
+LONG_BLOCK, LONG_MISSING = 256, 0.95
 
 
 def r6(c):
@@ -64,6 +65,25 @@ def b06_propagation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("stream_id", "win", "t", "parent_t", "round")
 
 
+def _long_labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(graph of the whole table as one window, its labelled rows)."""
+    pts = _whole_table(spark, sf_dir)
+    lab = corrupt.missing_labels(pts, LONG_MISSING, seed=77).where("y_obs IS NOT NULL")
+    return blocked_peaks(pts, pct=PCT, block=LONG_BLOCK), lab
+
+
+def b06_long_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B06 of one window that is as long as the table, by pointer doubling."""
+    return forest_rounds(*_long_labels(spark, sf_dir))
+
+
+def u01_u02_all_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U01 and U02 for every round of the F3 windows."""
+    w = _windows(spark, sf_dir).checkpoint()
+    g = window_graph(w, y=None, pct=PCT)
+    return round_sets(forest_rounds(g, w.where("y_obs IS NOT NULL")))
+
+
 def b07_ssc_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = window_graph(_windows(spark, sf_dir), y="y_obs", pct=PCT)
     return g.select("stream_id", "win", "t", "round", "pseudo", r6("p1").alias("p1"))

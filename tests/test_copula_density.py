@@ -118,7 +118,7 @@ def test_em_of_a_stream_does_not_depend_on_others(spark):
 
 
 def test_change_test_replicas_differ_and_find_a_change(spark):
-    from laggard.operators.copula import change_test
+    from laggard.operators.change import change_test
     rng = np.random.default_rng(6)
     rows, ids = [], [10 ** 9 + i for i in range(6)]
     for i, s in enumerate(ids):
@@ -142,3 +142,55 @@ def test_windows_cover_every_row(spark):
         assert w.select("stream_id", "pos").distinct().count() == df.count()
         for r in w.groupBy("stream_id", "win").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n")).collect():
             assert (r.a, r.b, r.n) == (max(0, r.win - size + 1), r.win, r.b - r.a + 1)
+
+
+def _windows_without_change(spark, n_windows=120, n=40, rho=0.5, gaps=0.2):
+    rng = np.random.default_rng(11)
+    rows = []
+    for w in range(n_windows):
+        x = rng.multivariate_normal([0, 0], [[1, rho], [rho, 1]], n)
+        x[rng.random(x.shape) < gaps] = np.nan
+        rows += [(1, w, t, [None if np.isnan(v) else float(v) for v in r]) for t, r in enumerate(x)]
+    return (spark.createDataFrame(rows, "stream_id long, win long, t long, z array<double>").repartition(6),
+            spark.createDataFrame([(1, [1.0, rho, rho, 1.0])], "stream_id long, sigma array<double>"))
+
+
+def test_p_values_are_uniform_without_a_change(spark):
+    from laggard.operators.change import change_test
+    df, sig = _windows_without_change(spark)
+    p = np.array([r.p_F for r in change_test(df, sig, 2, nsample=39).collect()])
+    observed = np.histogram(p, bins=[0, 0.25, 0.5, 0.75, 1.0])[0]
+    assert ((observed - 30) ** 2 / 30).sum() < 16.3  # chi-square, 3 degrees of freedom, 0.1 %
+
+
+def test_stopped_replicas_decide_alike(spark):
+    """A decided p-value is near the full one, and takes fewer replicas; a clear change takes them all."""
+    from laggard.operators.change import change_test
+    df, sig = _windows_without_change(spark, 20)
+    full = {r.win: r for r in change_test(df, sig, 2, nsample=200).collect()}
+    short = {r.win: r for r in change_test(df.repartition(2), sig, 2, nsample=200, stop_at=10).collect()}
+    assert sum(r.replicas for r in short.values()) < 0.6 * sum(r.replicas for r in full.values())
+    assert np.mean([abs(full[w].p_F - short[w].p_F) for w in full]) < 0.15 and all(abs(full[w].stat_F - short[w].stat_F) < 1e-9 for w in full)
+    other = spark.createDataFrame([(1, [1.0, -0.9, -0.9, 1.0])], "stream_id long, sigma array<double>")
+    assert all(r.replicas == 60 and r.p_F == 0 for r in change_test(df, other, 2, nsample=60, stop_at=10).collect())
+
+
+def test_replica_is_the_estimate_of_its_rows():
+    """From the sums of chunks of patterns as from all rows at once, ordinal cells cut as the window's are."""
+    from laggard.operators import change
+    sigma = np.array([[1.0, 0.4, 0.2], [0.4, 1.0, -0.3], [0.2, -0.3, 1.0]])
+    counts, cuts = [("000", 50), ("010", 30), ("100", 20), ("111", 3)], [None, np.array([-0.3, 0.8]), None]
+    got = change.replica(np.random.default_rng(3), sigma, counts, cuts)
+    rng, blocks = np.random.default_rng(3), []
+    for pattern, n in counts:
+        z = rng.multivariate_normal(np.zeros(3), sigma, n, method="eigh")
+        z[:, [c == "1" for c in pattern]] = np.nan
+        blocks.append(z)
+    z = np.vstack(blocks)
+    k = np.digitize(z[:, 1], cuts[1], right=True)
+    ends = np.array([-np.inf, -0.3, 0.8, np.inf])
+    lo, hi = np.full_like(z, -np.inf), np.full_like(z, np.inf)
+    seen = ~np.isnan(z[:, 1])
+    lo[seen, 1], hi[seen, 1] = ends[k[seen]], ends[k[seen] + 1]
+    c, full, _, _ = expect_block(z, lo, hi, np.array([False, True, False]), sigma)
+    assert np.allclose(got, project_to_correlation(np.cov(full, rowvar=False) + c / len(z)))
