@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-10
@@ -82,6 +82,33 @@ def confidence(v1, v2, k: int = 2) -> Column:
     return F.array(*_mix(v1, v2, w1, w2, k))
 
 
+def weighted_confidence(v1, v2, k: int = 2, parts=(0.6, 0.3, 0.1), bonus=(0.2, -0.1), clip=(0.1, 0.9)) -> Column:
+    """F11 (weighted form): each view's weight is ``parts`` of its share of confidence (F11), of its share by entropy (F12) and of
+    0.5 plus or minus a bonus (view 1's when the views agree, view 2's when they do not), clipped and renormalised."""
+    v1, v2 = _c(v1), _c(v2)
+    c1, c2 = _max(_el(v1, k)), _max(_el(v2, k))
+    h1, h2 = entropy(v1, k), entropy(v2, k)
+
+    def share(a, b):
+        return F.when(a + b > 0, a / (a + b)).otherwise(F.lit(0.5))
+
+    def by_entropy(own, other):
+        return F.when(h1 + h2 > 0, share(1 - own / (h1 + h2), 1 - other / (h1 + h2))).otherwise(F.lit(0.5))
+
+    extra = F.when(argmax(v1, k) == argmax(v2, k), F.lit(bonus[0])).otherwise(F.lit(bonus[1]))
+    w1 = parts[0] * share(c1, c2) + parts[1] * by_entropy(h1, h2) + parts[2] * (0.5 + extra)
+    w2 = parts[0] * share(c2, c1) + parts[1] * by_entropy(h2, h1) + parts[2] * (0.5 - extra)
+    w1, w2 = (F.least(F.greatest(w, F.lit(clip[0])), F.lit(clip[1])) for w in (w1, w2))
+    return F.array(*_mix(v1, v2, w1 / (w1 + w2), w2 / (w1 + w2), k))
+
+
+def fuse_rows(view1: DataFrame, view2: DataFrame, keys, method=None, v: str = "v", out: str = "v") -> DataFrame:
+    """Rows of two views by their keys; those of both are fused by ``method`` (F11 if none is given), those of one stay."""
+    both = view1.select(*keys, F.col(v).alias("_v1")).join(view2.select(*keys, F.col(v).alias("_v2")), list(keys), "full")
+    fused = (method or confidence)("_v1", "_v2")
+    return both.select(*keys, F.when(F.col("_v1").isNull(), F.col("_v2")).when(F.col("_v2").isNull(), F.col("_v1")).otherwise(fused).alias(out))
+
+
 def entropy_weighted(v1, v2, k: int = 2) -> Column:
     """weights proportional to 1 - H_i / (H_1 + H_2), renormalised."""
     v1, v2 = _c(v1), _c(v2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -58,3 +59,34 @@ def kernel_summaries(df: DataFrame, keys: Sequence[str], win: str = "win", t: st
     from laggard.operators.learner import by_key, schema_of
     return by_key(df.select(*g, t, x), g).groupBy(*g).applyInPandas(
         run, f"{schema_of(df, [*g, t])}, lin_sum double, lin_max double, rbf_sum double, rbf_max double")
+
+
+def sparse_pairs(entries: DataFrame, sigma: float = 1.0, least: float = 0.0, id_col: str = "id", k: str = "k", v: str = "v") -> DataFrame:
+    """J10 for sparse maps given as entries (id, key, value): ``a, b`` (a < b), ``dot`` and ``rbf`` = exp(-|a - b|^2 / (2 sigma^2)) of every pair of
+    rows that share a key and whose rbf is at least ``least``.
+
+    Entries meet by key (an inverted index) and products are summed by pair, so that pairs that share nothing are never looked
+    at.  |a - b| is at least the difference of the norms: entries whose norms differ too much for ``least`` are not joined."""
+    e = entries.select(F.col(id_col).alias("id"), F.col(k).alias("k"), F.col(v).cast("double").alias("v")).where("v <> 0")
+    norms = e.groupBy("id").agg(F.sum(F.col("v") * F.col("v")).alias("sq"))
+    e = e.join(norms, "id").withColumn("norm", F.sqrt("sq")).checkpoint()
+    a, b = (e.select("k", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "v", "sq", "norm")]) for n in "ab")
+    near = F.col("a_id") < F.col("b_id")
+    if least > 0:
+        near = near & (F.abs(F.col("a_norm") - F.col("b_norm")) <= sigma * math.sqrt(-2 * math.log(least)) + 1e-9)
+    pairs = a.join(b, "k").where(near).groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b")).agg(
+        F.sum(F.col("a_v") * F.col("b_v")).alias("dot"), (F.first("a_sq") + F.first("b_sq")).alias("sq"))
+    rbf = F.exp(-F.greatest(F.col("sq") - 2 * F.col("dot"), F.lit(0.0)) / (2 * sigma * sigma))
+    return pairs.withColumn("rbf", rbf).drop("sq").where(F.col("rbf") >= least)
+
+
+def sparse_kernel_summaries(entries: DataFrame, sigma: float = 1.0, least: float = 0.0, id_col: str = "id", k: str = "k", v: str = "v") -> DataFrame:
+    """J10 per row of sparse maps: ``lin_sum`` (of the linear kernel with all other rows: by the sums of each key, no pairs), ``lin_max`` and, of the rows
+    that share a key and have an rbf of at least ``least``, ``n_near`` and ``rbf_near`` (sum).  Without such a row: 0 and null."""
+    e = entries.select(F.col(id_col).alias("id"), F.col(k).alias("k"), F.col(v).cast("double").alias("v"))
+    total = e.groupBy("k").agg(F.sum("v").alias("_all"))
+    sums = e.join(total, "k").groupBy("id").agg(F.sum(F.col("v") * (F.col("_all") - F.col("v"))).alias("lin_sum"))
+    pairs = sparse_pairs(entries, sigma, least, id_col, k, v)
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("id"), "dot", "rbf")
+    near = sides.groupBy("id").agg(F.max("dot").alias("lin_max"), F.count(F.lit(1)).alias("n_near"), F.sum("rbf").alias("rbf_near"))
+    return sums.join(near, "id", "left").withColumns({"n_near": F.coalesce("n_near", F.lit(0)), "rbf_near": F.coalesce("rbf_near", F.lit(0.0))})

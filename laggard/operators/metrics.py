@@ -38,6 +38,13 @@ def moving_average(df: DataFrame, keys: Sequence[str], w: int, col: str, k: str
     return d.withColumn(out, F.when(F.col(k) >= w - 1, F.col(out)))
 
 
+def moving_average_or_series(df: DataFrame, keys: Sequence[str], w: int, col: str, k: str = "k", out: str = "ma") -> DataFrame:
+    """W03 as plots use it: the full-window average, but a series of fewer than ``w`` rows stays as it is."""
+    n = df.groupBy(*keys).agg((F.max(k) + 1).alias("_n"))
+    d = moving_average(df, keys, w, col, k, out).join(n, list(keys))
+    return d.withColumn(out, F.when(F.col("_n") < w, F.col(col).cast("double")).otherwise(F.col(out))).drop("_n")
+
+
 def running_mse(df: DataFrame, keys: Sequence[str], k: str = "k", prob: str = "prob",
                 y: str = "y", out: str = "mse") -> DataFrame:
     """Mean squared error of predictions up to each row."""

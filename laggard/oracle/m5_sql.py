@@ -122,12 +122,13 @@ def _cent(p0: str, p1: str) -> str:
 
 VIEWS = PRE + f""",
 v AS (SELECT stream_id, t, x0, x1, x2, y, {A} AS a, {B} AS b FROM f1),
-vq AS (SELECT stream_id, avg(CASE WHEN (CASE WHEN a > 1 - a THEN 1 ELSE 0 END) = y THEN 1.0 ELSE 0.0 END) AS q1,
-              avg(CASE WHEN (CASE WHEN b > 1 - b THEN 1 ELSE 0 END) = y THEN 1.0 ELSE 0.0 END) AS q2
-       FROM v GROUP BY stream_id)"""
+va AS (SELECT *, CASE WHEN {u(2000, 'stream_id', 't')} > 0.3 AND t + {m5.LABEL_DELAY} <= max(t) OVER (PARTITION BY stream_id) THEN y END AS y_in FROM v),
+vq AS (SELECT stream_id, coalesce(avg(CASE WHEN y_in IS NULL THEN NULL WHEN (CASE WHEN a > 1 - a THEN 1 ELSE 0 END) = y_in THEN 1.0 ELSE 0.0 END), 0.5) AS q1,
+              coalesce(avg(CASE WHEN y_in IS NULL THEN NULL WHEN (CASE WHEN b > 1 - b THEN 1 ELSE 0 END) = y_in THEN 1.0 ELSE 0.0 END), 0.5) AS q2
+       FROM va GROUP BY stream_id)"""
 
 ORACLES["a19_view_quality"] = VIEWS + """
-SELECT stream_id, round(coalesce(q1, 0.5), 6) AS q1, round(coalesce(q2, 0.5), 6) AS q2 FROM vq"""
+SELECT stream_id, round(q1, 6) AS q1, round(q2, 6) AS q2 FROM vq"""
 
 ORACLES["f10_f19_fusion"] = VIEWS + f""",
 w AS (SELECT v.*, vq.q1, vq.q2, greatest(a, 1 - a) AS c1, greatest(b, 1 - b) AS c2,
@@ -147,11 +148,17 @@ w3 AS (SELECT *, ea + eb AS es,
          (u1 * (1 - a) + u2 * (1 - b)) + u3 * 0.3 AS f30, (u1 * a + u2 * b) + u3 * 0.7 AS f31,
          al * 0.3 + (1 - al) * (1 - a) AS k0, al * 0.7 + (1 - al) * a AS k1,
          gf * (1 - a) + (1 - gf) * (1 - b) AS g0, gf * a + (1 - gf) * b AS g1,
-         gb * (1 - a) + (1 - gb) * (1 - b) AS b0, gb * a + (1 - gb) * b AS b1 FROM w2)
+         gb * (1 - a) + (1 - gb) * (1 - b) AS b0, gb * a + (1 - gb) * b AS b1,
+         CASE WHEN (a > 1 - a) = (b > 1 - b) THEN 0.2 ELSE -0.1 END AS bonus FROM w2),
+w4 AS (SELECT *,
+         least(greatest(0.6 * c1 / (c1 + c2) + 0.3 * (CASE WHEN ht > 0 AND es > 0 THEN ea / es ELSE 0.5 END) + 0.1 * (0.5 + bonus), 0.1), 0.9) AS w1,
+         least(greatest(0.6 * c2 / (c1 + c2) + 0.3 * (CASE WHEN ht > 0 AND es > 0 THEN eb / es ELSE 0.5 END) + 0.1 * (0.5 - bonus), 0.1), 0.9) AS w2
+       FROM w3)
 SELECT stream_id, t,
   round(0.6 * a + 0.4 * b, 6) AS fixed,
   round(CASE WHEN c1 + c2 > 0 THEN c1 / (c1 + c2) ELSE 0.5 END * a
         + CASE WHEN c1 + c2 > 0 THEN c2 / (c1 + c2) ELSE 0.5 END * b, 6) AS confidence,
+  round((w1 * a + w2 * b) / (w1 + w2), 6) AS weighted,
   round(CASE WHEN ht > 0 AND es > 0 THEN ea / es ELSE 0.5 END * a
         + CASE WHEN ht > 0 AND es > 0 THEN eb / es ELSE 0.5 END * b, 6) AS entropy,
   round(CASE WHEN (CASE WHEN a > 1 - a THEN 1 ELSE 0 END) = (CASE WHEN b > 1 - b THEN 1 ELSE 0 END)
@@ -166,7 +173,7 @@ SELECT stream_id, t,
   round(least(1.0, 0.7 * c1 + 0.3 * (1.0 - h1 / {LN2})), 6) AS parent_quality,
   CASE WHEN b > 1 - b THEN 1 ELSE 0 END AS argmax2,
   round(x0 * exp((1.0 / 20) * abs(t - 5)), 6) AS time_dist
-FROM w3"""
+FROM w4"""
 
 ORACLES["a17_class_soft_matrix"] = VIEWS + """,
 ok AS (SELECT stream_id, y, sum(1 - a) AS s0, sum(a) AS s1 FROM v

@@ -56,9 +56,10 @@ rx AS (SELECT r.*, l.y_obs, l.y_fill FROM r_in r JOIN labf l USING (stream_id, t
 rz AS (SELECT r.*, l.y_obs, l.y_fill FROM r_z r JOIN labf l USING (stream_id, t))"""
 
 
-def _ens(label: str, delay: int | None) -> str:
-    sx = ftrl_recursive_sql("rx", 4, FtrlParams(), delay, label_col=label, name="sx")
-    sz = ftrl_recursive_sql("rz", 4, FtrlParams(), delay, label_col=label, name="sz")
+def ensemble_sql(head: str, p: int, label: str, delay: int | None) -> str:
+    """The hedge ensemble over the relations rx and rz of ``head`` (stream_id, t, x0..x{p-1}, labels)."""
+    sx = ftrl_recursive_sql("rx", p, FtrlParams(), delay, label_col=label, name="sx")
+    sz = ftrl_recursive_sql("rz", p, FtrlParams(), delay, label_col=label, name="sz")
     if delay is None:
         gap = ("coalesce(sum(coalesce(lz, 0)) OVER w, 0) - coalesce(sum(coalesce(lx, 0)) OVER w, 0)",
                "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
@@ -67,7 +68,7 @@ def _ens(label: str, delay: int | None) -> str:
         gap = ("sum(coalesce(lz, 0)) OVER w - sum(coalesce(lx, 0)) OVER w",
                "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
         mx, mz = "a.pm", "b.pm"
-    return (R + f", {RIN}, {_Z}, {_LAB}, {sx}, {sz}" + f""",
+    return (f"{head}, {sx}, {sz}" + f""",
 j AS (SELECT a.stream_id, a.t, {mx} AS mx, {mz} AS mz, a.floss AS lx, b.floss AS lz
       FROM sx a JOIN sz b ON a.stream_id = b.stream_id AND a.t = b.t WHERE a.t >= 0),
 c AS (SELECT *, {gap[0]} AS gap FROM j WINDOW w AS (PARTITION BY stream_id ORDER BY t {gap[1]})),
@@ -77,6 +78,10 @@ SELECT stream_id, t, round(lam, 6) AS lam, round(prob, 6) AS prob,
        CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM pp""")
 
 
+def _ens(label: str, delay: int | None) -> str:
+    return ensemble_sql(R + f", {RIN}, {_Z}, {_LAB}", 4, label, delay)
+
+
 ORACLES["st08_delayed_ensemble"] = _ens("y", D)
 ORACLES["st10_hidden_ensemble"] = _ens("y_obs", None)
 ORACLES["st12_filled_ensemble"] = _ens("y_fill", None)

@@ -97,3 +97,7 @@ def _fix_neg_zero(sql: str) -> str:
 
 
 ORACLES = {k: _fix_neg_zero(v) for k, v in ORACLES.items()}
+
+from laggard.oracle import m8_sql  # noqa: E402
+
+ORACLES.update(m8_sql.ORACLES)

@@ -19,6 +19,7 @@ from laggard.sources.fixtures import embedding_points, events_stream
 #: A window that ends at position e knows the labels up to e - DELAY.
 SIZE, HOP, PCT, DELAY = 20, 10, 5.0, 3
 LONG_BLOCK, LONG_MISSING = 256, 0.95
+LABEL_DELAY = 5
 
 
 def r6(c):
@@ -102,20 +103,22 @@ def _views(spark, sf_dir) -> DataFrame:
             .withColumn("v2", fu.binary(sigmoid((F.col("x1") - 0.5) * 6))))
 
 
-def a19_view_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quality(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(both views of F1, A19 per stream: how often a view's class is the label, of the labels that have arrived by the stream's
+    end; 0.5 where none has)."""
     v = _views(spark, sf_dir)
-    q = v.groupBy("stream_id").agg(
-        F.avg((fu.argmax("v1") == F.col("y")).cast("double")).alias("q1"),
-        F.avg((fu.argmax("v2") == F.col("y")).cast("double")).alias("q2"))
-    return q.select("stream_id", r6(F.coalesce("q1", F.lit(0.5))).alias("q1"),
-                    r6(F.coalesce("q2", F.lit(0.5))).alias("q2"))
+    arr = corrupt.delayed_labels(v, LABEL_DELAY, missing_ratio=0.3, seed=2000).select("stream_id", F.col("t_orig").alias("t"), F.col("y").alias("y_in"))
+    hit = lambda c: F.coalesce(F.avg((fu.argmax(c) == F.col("y_in")).cast("double")), F.lit(0.5))  # noqa: E731 - null without a label
+    return v, v.join(arr, ["stream_id", "t"], "left").groupBy("stream_id").agg(hit("v1").alias("q1"), hit("v2").alias("q2"))
+
+
+def a19_view_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, q = _quality(spark, sf_dir)
+    return q.select("stream_id", r6("q1").alias("q1"), r6("q2").alias("q2"))
 
 
 def f10_f19_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _views(spark, sf_dir)
-    q = v.groupBy("stream_id").agg(
-        F.avg((fu.argmax("v1") == F.col("y")).cast("double")).alias("q1"),
-        F.avg((fu.argmax("v2") == F.col("y")).cast("double")).alias("q2"))
+    v, q = _quality(spark, sf_dir)
     v = v.join(q, "stream_id")
     cls = F.array(F.lit(0.3), F.lit(0.7))
     p1 = lambda c: r6(F.element_at(c, 2))
@@ -123,6 +126,7 @@ def f10_f19_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stream_id", "t",
         p1(fu.fixed("v1", "v2", 0.6, 0.4)).alias("fixed"),
         p1(fu.confidence("v1", "v2")).alias("confidence"),
+        p1(fu.weighted_confidence("v1", "v2")).alias("weighted"),
         p1(fu.entropy_weighted("v1", "v2")).alias("entropy"),
         p1(fu.agreement("v1", "v2")).alias("agreement"),
         p1(fu.view_quality("v1", "v2", "q1", "q2")).alias("view_quality"),

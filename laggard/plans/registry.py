@@ -5,7 +5,7 @@ from __future__ import annotations
 import inspect
 import re
 
-from laggard.plans import m0, m1, m2, m3, m4, m5, m6, m7, pipeline
+from laggard.plans import m0, m1, m2, m3, m4, m5, m6, m7, m8, pipeline
 
 
 def _collect(mod) -> dict:
@@ -27,6 +27,7 @@ QUERIES = {
     **_collect(m5),
     **_collect(m6),
     **_collect(m7),
+    **_collect(m8),
     **_collect(pipeline),
 }
 
