@@ -419,28 +419,50 @@ def delayed_hedge_ensemble(rows: DataFrame, arrivals: DataFrame, keys: Sequence[
                            eta: float = 0.001, max_delay: int | None = None) -> DataFrame:
     """ST08: two delayed learners (ST07 per view); lam at time t uses the losses of all
     label updates applied up to and including t (labels are applied before the
-    prediction of t); p = sigmoid(lam m_x + (1 - lam) m_z) with the current weights."""
-    from laggard.functions.logistic import sigmoid
-    from laggard.operators.seq import running_sums
+    prediction of t); p = sigmoid(lam m_x + (1 - lam) m_z) with the current weights.  Both views, their
+    waiting rows and the two sums of losses are one ordered scan."""
     keys = list(keys)
+    cast = lambda c: F.col(c).cast("array<double>")
+    none = F.lit(None).cast("array<double>")
+    fe = rows.select(*keys, F.col(t).cast("bigint").alias("_time"), F.lit(FEATURE).alias("_kind"), F.col(t).cast("bigint").alias("_tref"),
+                     cast(x).alias("x"), cast(z).alias("z"), F.lit(None).cast("double").alias("y"))
+    le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"), F.lit(LABEL).alias("_kind"),
+                         F.col("t_orig").cast("bigint").alias("_tref"), none.alias("x"), none.alias("z"), F.col("y").cast("double").alias("y"))
+    ev = by_key(fe.unionByName(le), keys).sortWithinPartitions(*keys, "_time", "_kind", "_tref")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur, sx, sz, lx, lz, buf = None, None, None, 0.0, 0.0, {}
+        for pdf in batches:
+            out = {k: [] for k in keys}
+            out.update({t: [], "lam": [], "prob": []})
+            kc = [pdf[k].to_numpy() for k in keys]
+            for i, (tm, kind, tref, xv, zv, yv) in enumerate(zip(pdf["_time"], pdf["_kind"], pdf["_tref"], pdf["x"], pdf["z"], pdf["y"])):
+                key = tuple(c[i] for c in kc)
+                if key != cur:
+                    cur, sx, sz, lx, lz, buf = key, None, None, 0.0, 0.0, {}
+                if kind == LABEL:
+                    kept = buf.pop(int(tref), None)
+                    if kept is not None and not pd.isna(yv):
+                        lx += sx.fit(kept[0], float(yv), prm)[1]
+                        lz += sz.fit(kept[1], float(yv), prm)[1]
+                    continue
+                xl, zl = ([0.0 if v is None or math.isnan(v) else float(v) for v in vec] for vec in (xv, zv))
+                if sx is None:
+                    sx, sz = FtrlState(len(xl), prm), FtrlState(len(zl), prm)
+                lam = 1.0 / (1.0 + math.exp(-eta * (lz - lx)))
+                for k, kv in zip(keys, key):
+                    out[k].append(kv)
+                out[t].append(int(tm))
+                out["lam"].append(lam)
+                out["prob"].append(sigmoid_py(lam * sx.margin(xl, prm)[0] + (1 - lam) * sz.margin(zl, prm)[0]))
+                buf[int(tm)] = (xl, zl)
+                if max_delay is not None:
+                    evict(buf, int(tm) - max_delay)
+            if out[t]:
+                yield pd.DataFrame(out)
 
-    def view(col: str, tag: str) -> DataFrame:
-        fe = _feature_events(rows.select(*keys, t, F.col(col).alias("x")), keys, t, "x", FEATURE, None)
-        le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"),
-                             F.lit(LABEL).alias("_kind"), F.col("t_orig").cast("bigint").alias("_tref"),
-                             F.lit(None).cast("array<double>").alias("x"),
-                             F.col("y").cast("double").alias("y"))
-        out = scan_events(fe.unionByName(le), keys, prm, max_delay=max_delay, emit_updates=True)
-        upd = (out.where(F.col("kind") == LABEL).groupBy(*keys, F.col("t").alias(t))
-               .agg(F.sum("loss").alias(f"l{tag}")))
-        pred = out.where(F.col("kind") == FEATURE).select(*keys, t, F.col("margin").alias(f"m{tag}"))
-        return pred.join(upd, [*keys, t], "left").withColumn(f"l{tag}", F.coalesce(f"l{tag}", F.lit(0.0)))
-
-    d = view(x, "x").join(view(z, "z"), [*keys, t])
-    d = running_sums(d, keys, t, {"_cx": "lx", "_cz": "lz"})
-    d = d.withColumn("lam", 1.0 / (1.0 + F.exp(-eta * (F.col("_cz") - F.col("_cx")))))
-    d = d.withColumn("prob", sigmoid(F.col("lam") * F.col("mx") + (1 - F.col("lam")) * F.col("mz")))
-    return d.select(*keys, t, "lam", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"))
+    got = ev.mapInPandas(run, f"{schema_of(rows, keys)}, {t} bigint, lam double, prob double")
+    return got.withColumn("pred", (F.col("prob") > prm.threshold).cast("int"))
 
 
 def _copy_state(st: FtrlState, prm: FtrlParams) -> FtrlState:

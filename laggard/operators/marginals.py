@@ -196,14 +196,16 @@ def group_quantile(cells: DataFrame, group: Sequence[str], q: float, v: str = "v
 def latent_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str = "z_",
                    latent_sd: float = 1.0) -> DataFrame:
     """W04 on a wide table: for every column, z = Phi^-1(n/(n+1) F(v)) with the offline
-    ECDF of its stream (n = rows of the stream).  One pre-aggregated ECDF per column."""
-    keys = list(keys)
+    ECDF of its stream (n = rows of the stream).  The columns are unpivoted once: one ECDF, and one score
+    for each distinct value, which the rows then look up."""
+    keys, cols = list(keys), list(cols)
+    cells = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])))
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
-    out = df.join(n, keys)
-    for c in cols:
-        r = value_ranks(df.select(*keys, c), keys, c).select(
-            *keys, c, (F.col("n_below") + F.col("n_eq")).alias("_le"), F.col("n").alias("_no"))
-        out = out.join(r, [*keys, c], "left")
-        q = "(CAST(_nr AS DOUBLE) / (_nr + 1)) * (_le / CAST(_no AS DOUBLE))"
-        out = out.withColumn(f"{prefix}{c}", F.expr(phi_inv_sql(q)) * latent_sd).drop("_le", "_no")
-    return out.drop("_nr")
+    r = value_ranks(cells, [*keys, "_col"], "_v").join(n, keys)
+    q = "(CAST(_nr AS DOUBLE) / (_nr + 1)) * ((n_below + n_eq) / CAST(n AS DOUBLE))"
+    r = r.select(*keys, "_col", "_v", (F.expr(phi_inv_sql(q)) * latent_sd).alias("_z")).checkpoint()
+    out = df
+    for i, c in enumerate(cols):
+        z = r.where(F.col("_col") == i).select(*keys, F.col("_v").alias(f"_v{i}"), F.col("_z").alias(f"{prefix}{c}"))
+        out = out.withColumn(f"_v{i}", F.col(c).cast("double")).join(z, [*keys, f"_v{i}"], "left").drop(f"_v{i}")
+    return out
