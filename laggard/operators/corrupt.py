@@ -48,16 +48,17 @@ def mask_cells(cells: DataFrame, fraction: float, seed: int, keys=("stream_id",)
     (at most ``max_retries`` times).  Output: ``cells`` plus ``masked`` BOOLEAN and ``seed``; both are
     NULL for a stream of which no draw leaves every row a cell.
 
-    The per-stream top-k is exact without a per-stream window: hashes are
-    histogrammed on their top 16 bits per (stream, seed, bucket) and the cut bucket is
-    found on that small histogram.  Cells below or above it are decided by the bucket alone;
-    only the cut bucket is ranked.  The first pass draws one seed for all streams; each later
-    pass evaluates ``seeds_per_pass`` consecutive seeds at once for the streams still pending.
+    The per-stream top-k is exact without a per-stream window: hashes are histogrammed on their top 16
+    bits per (stream, seed, bucket), and the cells of the one bucket that holds the cut are ranked to find
+    the last hidden cell.  That cell decides all others by comparison: a draw is a row for each stream, and no
+    pass writes cells.  The first pass draws one seed for all streams; each later pass evaluates
+    ``seeds_per_pass`` consecutive seeds at once for the streams still pending.
     """
     keys = _k(keys)
     n_obs = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nobs"))
-    pending = n_obs.select(*keys, F.floor(F.col("_nobs") * fraction).cast("long").alias("_k"))
+    pending = n_obs.select(*keys, F.floor(F.col("_nobs") * fraction).cast("long").alias("_k")).checkpoint()
     g = [*keys, "_s"]
+    place = F.struct("_h", F.col(t).alias("t"), F.col(col).alias("col"))
     done = []
     # first pass: one seed for every stream; later passes: several seeds at once, but only for
     # the few streams whose draw left an empty row
@@ -66,37 +67,31 @@ def mask_cells(cells: DataFrame, fraction: float, seed: int, keys=("stream_id",)
         schedule.append(list(range(nxt, min(nxt + seeds_per_pass, seed + max_retries + 1))))
         nxt += seeds_per_pass
     for seeds in schedule:
-        c = (cells.join(pending, keys)
-             .withColumn("_s", F.explode(F.array(*[F.lit(s) for s in seeds])))
-             .withColumn("_h", hash32("_s", *keys, t, col))
-             .withColumn("_hb", F.shiftright("_h", 16))).checkpoint()
+        c = cells.select(*keys, t, col).join(pending, keys).withColumn("_s", F.explode(F.array(*[F.lit(s) for s in seeds]))) \
+            .withColumn("_h", hash32("_s", *keys, t, col)).withColumn("_hb", F.shiftright("_h", 16))
         hist = c.groupBy(*g, "_hb").agg(F.count(F.lit(1)).alias("_hn"), F.max("_k").alias("_k"))
         wc = Window.partitionBy(*g).orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("_cum", F.sum("_hn").over(wc))
         cut = (hist.where(F.col("_cum") >= F.col("_k"))
                .groupBy(*g).agg(F.min_by(F.struct("_hb", "_cum", "_hn", "_k"), "_hb").alias("_c"))
-               .select(*g, F.col("_c._hb").alias("_cb"),
+               .select(*g, F.col("_c._hb").alias("_hb"),
                        (F.col("_c._hn") - (F.col("_c._cum") - F.col("_c._k"))).alias("_need")))
-        c = c.join(cut, g)
-        sure = c.where(F.col("_hb") != F.col("_cb")).withColumn("masked", F.col("_hb") < F.col("_cb"))
         wr = Window.partitionBy(*g).orderBy("_h", t, col)
-        close = c.where(F.col("_hb") == F.col("_cb")).withColumn("masked", F.row_number().over(wr) <= F.col("_need"))
-        m = sure.unionByName(close).select(*cells.columns, "_s", "masked").checkpoint()
-        empty = (m.groupBy(*g, t).agg(F.bool_and("masked").alias("_all"))
-                 .where("_all").select(*g).distinct())
-        chosen = (m.select(*g).distinct().join(empty, g, "left_anti")
-                  .groupBy(*keys).agg(F.min("_s").alias("_s")))
-        done.append(m.join(chosen, g).withColumnRenamed("_s", "seed"))
-        pending = pending.join(chosen, keys, "left_anti").checkpoint()
+        last = c.join(cut, [*g, "_hb"]).withColumn("_r", F.row_number().over(wr)).where("_r = _need").select(*g, place.alias("_last"))
+        draws = cut.select(*g).join(last, g, "left").checkpoint()
+        empty = c.join(draws, g).groupBy(*g, t).agg(F.bool_and(F.coalesce(place <= F.col("_last"), F.lit(False))).alias("_all")) \
+            .where("_all").select(*g).distinct()
+        chosen = draws.join(empty, g, "left_anti").groupBy(*keys).agg(F.min_by(F.struct("_s", "_last"), "_s").alias("_d")).checkpoint()
+        done.append(chosen)
+        pending = pending.join(chosen.select(*keys), keys, "left_anti").checkpoint()
         if pending.isEmpty():
             break
-    else:
-        done.append(cells.join(pending.select(*keys), keys, "left_semi")
-                    .withColumn("seed", F.lit(None).cast("int")).withColumn("masked", F.lit(None).cast("boolean")))
-    result = done[0]
+    draw = done[0]
     for more in done[1:]:
-        result = result.unionByName(more)
-    return result.select(*cells.columns, "masked", F.col("seed").cast("bigint").alias("seed"))
+        draw = draw.unionByName(more)
+    d = cells.join(draw, keys, "left").withColumn("_s", F.col("_d._s")).withColumn("_h", hash32("_s", *keys, t, col))
+    masked = F.when(F.col("_d").isNotNull(), F.coalesce(place <= F.col("_d._last"), F.lit(False)))
+    return d.select(*cells.columns, masked.alias("masked"), F.col("_s").cast("bigint").alias("seed"))
 
 
 def mask_per_row(df: DataFrame, cols: Sequence[str], seed: int, size: int = 1,

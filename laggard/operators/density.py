@@ -134,27 +134,37 @@ def knn_vote(dist: np.ndarray, rnd: np.ndarray, y: np.ndarray, k: int) -> tuple[
     for r in range(1, int(rnd.max()) + 1 if n and rnd.max() > 0 else 1):
         known = np.where((rnd >= 0) & (rnd < r))[0]
         for i in np.where(rnd == r)[0]:
-            dj = dist[i, known]
-            nn = known[np.lexsort((known, dj))[:k]]
-            dn = dist[i, nn]
-            if np.any(dn == 0):
-                w = (dn == 0).astype(float)
-            else:
-                w = 1.0 / dn
-            s1 = float(np.sum(w * (lab[nn] == 1)))
-            p = s1 / float(np.sum(w))
-            p1[i] = p
-            lab[i] = 1.0 if p > 0.5 else 0.0
+            p1[i] = nearest_share(dist[i], known, lab, k)
+            lab[i] = 1.0 if p1[i] > 0.5 else 0.0
     return lab, p1
 
 
+def nearest_share(dist: np.ndarray, known: np.ndarray, lab: np.ndarray, k: int) -> float:
+    """The share of class 1 among the ``k`` nearest of the ``known`` rows, weighted by 1 / distance; rows at distance 0 alone
+    count where there are any, the earlier of equally near rows comes first."""
+    near = known[np.lexsort((known, dist[known]))[:k]]
+    d = dist[near]
+    w = (d == 0).astype(float) if np.any(d == 0) else 1.0 / d
+    return float(np.sum(w * (lab[near] == 1))) / float(np.sum(w))
+
+
+def final_vote(dist: np.ndarray, rnd: np.ndarray, lab: np.ndarray, p1: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """B07's last step: rows that no round has reached are voted on by all that are labelled by then.  NaN in a window without labels."""
+    known, final, p = np.where(rnd >= 0)[0], np.where(rnd >= 0, lab, np.nan), np.where(rnd >= 0, p1, np.nan)
+    for i in np.where(rnd < 0)[0] if len(known) else ():
+        p[i] = nearest_share(dist[i], known, lab, k)
+        final[i] = 1.0 if p[i] > 0.5 else 0.0
+    return final, p
+
+
 def window_graph(df: DataFrame, keys: Sequence[str] = ("stream_id",), win: str = "win",
                  t: str = "t", x: str = "x", y: str | None = "y_obs", pct: float = 5.0,
                  time_decay: float | None = None, knn: int = 3) -> DataFrame:
     """B04/B05 (+ B06, B07 when ``y`` is given) for every (stream, window).
 
     Output per row and window: ``rho, parent_t, delta, dc, is_root`` and, with labels,
-    ``round`` (-1 = unreachable), ``pseudo`` (label) and ``p1`` (vote share of class 1).
+    ``round`` (-1 = unreachable), ``pseudo`` (label) and ``p1`` (vote share of class 1), and of every row, reached or not,
+    ``final`` and ``p_final``.
     """
     keys = list(keys)
     g = [*keys, win]
@@ -179,12 +189,13 @@ def window_graph(df: DataFrame, keys: Sequence[str] = ("stream_id",), win: str =
             out["round"] = rnd
             out["pseudo"] = np.where(rnd >= 0, lab, np.nan)
             out["p1"] = p1
+            out["final"], out["p_final"] = final_vote(res["dist"], rnd, lab, p1, knn)
         return out
 
     schema = (f"{schema_of(df, [*g, t])}, rho double, parent_t {dict(df.dtypes)[t]}, delta double, "
               f"dc double, is_root boolean")
     if y:
-        schema += ", round int, pseudo double, p1 double"
+        schema += ", round int, pseudo double, p1 double, final double, p_final double"
     from laggard.operators.learner import by_key
     return by_key(df.select(*cols), g).groupBy(*g).applyInPandas(run, schema)
 

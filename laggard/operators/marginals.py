@@ -122,21 +122,37 @@ def impute_missing(wide_cells: DataFrame, cells: DataFrame, kinds: dict[int, str
     """Latent -> observed for *missing* cells only (continuous: A14, ordinal: A13);
     observed cells keep their value.  ``wide_cells`` = all cells incl. NULL ``v`` and a
     probability column ``q`` (= Phi(z))."""
-    miss = wide_cells.where(F.col(v).isNull())
-    obs = wide_cells.where(F.col(v).isNotNull()).withColumn(out, F.col(v))
-    cont = [c for c, k in kinds.items() if k == "cont"]
-    ords = [c for c, k in kinds.items() if k != "cont"]
-    parts = [obs]
-    if cont:
-        parts.append(quantile_lookup(miss.where(F.col("col").isin(cont)),
-                                     cells.where(F.col("col").isin(cont)), q, group, v, out))
-    if ords:
-        parts.append(inverse_ecdf(miss.where(F.col("col").isin(ords)),
-                                  cells.where(F.col("col").isin(ords)), q, group, v, out))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    return impute_with_medians(wide_cells, cells, kinds, q, group, v, out)[0]
+
+
+def impute_with_medians(wide_cells: DataFrame, cells: DataFrame, kinds: dict[int, str], q: str, group: Sequence[str] = GROUP, v: str = "v",
+                        out: str = "x_imp", median: str = "med") -> tuple[DataFrame, DataFrame]:
+    """(``impute_missing``, each group's median).  All asked for is a value at a sorted position, or a point between two: the cells
+    are ranked once, and every position, of either kind and of the medians, is looked up in that one table."""
+    group = list(group)
+    n = cells.groupBy(*group).agg(F.count(v).alias("_n")).checkpoint()
+    cont = F.col("col").isin([c for c, k in kinds.items() if k == "cont"])
+    h = F.col(q) * (F.col("_n") - 1)
+    idx = F.least(F.greatest(F.ceil(F.bround((F.col("_n") + 1) * F.col(q) - 1, 3)), F.lit(0)), F.col("_n") - 1)
+    miss = wide_cells.where(F.col(v).isNull()).join(n, group)
+    at = lambda e, other: F.when(cont, e).otherwise(other).cast("long")
+    miss = miss.withColumns({"_lo": at(F.floor(h), idx), "_hi": at(F.ceil(h), idx), "_f": F.when(cont, h - F.floor(h)).otherwise(0.0)})
+    mid = (F.col("_n") - 1) * 0.5
+    mids = n.where("_n > 0").select(*group, F.floor(mid).cast("long").alias("_lo"), F.ceil(mid).cast("long").alias("_hi"), (mid - F.floor(mid)).alias("_f"))
+    both = F.explode(F.array("_lo", "_hi")).alias("pos")
+    known = values_at(miss.select(*group, both).unionByName(mids.select(*group, both)), cells, group, v).checkpoint()
+
+    def looked_up(d: DataFrame, name: str) -> DataFrame:
+        lo = known.select(*group, F.col("pos").alias("_lo"), F.col("value").alias("_a"))
+        hi = known.select(*group, F.col("pos").alias("_hi"), F.col("value").alias("_b"))
+        d = d.join(lo, [*group, "_lo"], "left").join(hi, [*group, "_hi"], "left")
+        diff = F.col("_b") - F.col("_a")
+        value = F.when(F.col("_f") >= 0.5, F.col("_b") - diff * (1 - F.col("_f"))).otherwise(F.col("_a") + diff * F.col("_f"))
+        return d.withColumn(name, value)
+
+    found = looked_up(miss, out).drop("_n", "_lo", "_hi", "_f", "_a", "_b")
+    whole = wide_cells.where(F.col(v).isNotNull()).withColumn(out, F.col(v))
+    return whole.unionByName(found), looked_up(mids, median).select(*group, median)
 
 
 # ---------------------------------------------------------------------------

@@ -96,6 +96,26 @@ ORACLES["b06_propagation_rounds"] = _graph(None) + _ROUNDS
 ORACLES["b06_long_window"] = _one_window(None).replace("> 0.6 THEN y END", f"> {m5.LONG_MISSING} THEN y END") \
     .replace(f"CASE WHEN p.pos <= e.win - {DL} THEN y_obs END AS y_obs", "y_obs AS y_obs") + _ROUNDS
 _a, _b = _ROUNDS.rsplit("SELECT g.stream_id", 1)
+# per window and round the rows known so far, with their labels; a row of the next round is voted on by its three nearest of them
+_VOTE = """list_transform([list_transform(list_slice(list_sort(list_filter(x.dl, lambda e: list_contains(ts, e.t))), 1, 3), lambda e: {{'d': e.d, 'l': map_extract(lm, e.t)[1]}})], lambda nn:
+  CASE WHEN list_contains(list_transform(nn, lambda e: e.d = 0), true)
+    THEN list_sum(list_transform(nn, lambda e: CASE WHEN e.d = 0 THEN e.l ELSE 0.0 END)) / list_sum(list_transform(nn, lambda e: CASE WHEN e.d = 0 THEN 1.0 ELSE 0.0 END))
+    ELSE list_sum(list_transform(nn, lambda e: e.l / e.d)) / list_sum(list_transform(nn, lambda e: 1.0 / e.d)) END)[1]""".replace("{{", "{").replace("}}", "}")
+ORACLES["b07_ssc_knn"] = _graph(None) + _a + ", rs AS (SELECT g.stream_id" + _b + f"""),
+dl AS (SELECT stream_id, win, ti AS t, list({{'d': d, 't': tj}}) AS dl FROM pr GROUP BY stream_id, win, ti),
+rr AS (SELECT stream_id, win, round, list({{'t': t, 'dl': dl}} ORDER BY t) AS xs FROM rs JOIN dl USING (stream_id, win, t) GROUP BY stream_id, win, round),
+kn AS (SELECT stream_id, win, 0 AS r, list(t ORDER BY t) AS ts, list(CAST(y_obs AS DOUBLE) ORDER BY t) AS ls, list(CAST(y_obs AS DOUBLE) ORDER BY t) AS ps
+       FROM wm WHERE y_obs IS NOT NULL GROUP BY stream_id, win
+  UNION ALL SELECT stream_id, win, r, ts || list_transform(xs, lambda x: x.t), ls || list_transform(vs, lambda p: CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END), ps || vs
+  FROM (SELECT *, list_transform(xs, lambda x: {_VOTE}) AS vs
+        FROM (SELECT k.stream_id, k.win, k.r + 1 AS r, ts, ls, ps, map(ts, ls) AS lm, xs FROM kn k JOIN rr ON rr.stream_id = k.stream_id AND rr.win = k.win AND rr.round = k.r + 1))),
+la AS (SELECT stream_id, win, arg_max(ts, r) AS ts, arg_max(ls, r) AS ls, arg_max(ps, r) AS ps FROM kn GROUP BY stream_id, win),
+un AS (SELECT l.stream_id, l.win, unnest(ts) AS t, unnest(ls) AS lab, unnest(ps) AS p FROM la l),
+fi AS (SELECT stream_id, win, t, {_VOTE} AS p FROM (SELECT rs.stream_id, rs.win, rs.t, {{'t': rs.t, 'dl': dl}} AS x, ts, map(ts, ls) AS lm
+       FROM rs JOIN dl USING (stream_id, win, t) JOIN la USING (stream_id, win) WHERE rs.round < 0))
+SELECT rs.stream_id, rs.win, rs.t, rs.round, un.lab AS pseudo, round(un.p, 6) AS p1,
+  CASE WHEN rs.round >= 0 THEN un.lab WHEN fi.p > 0.5 THEN 1.0 WHEN fi.p IS NOT NULL THEN 0.0 END::DOUBLE AS final, round(coalesce(un.p, fi.p), 6) AS p_final
+FROM rs LEFT JOIN un USING (stream_id, win, t) LEFT JOIN fi USING (stream_id, win, t)"""
 ORACLES["u01_u02_all_rounds"] = _graph(None) + _a + ", rs AS (SELECT g.stream_id" + _b + """)
 SELECT stream_id, win, round, n_frontier, CAST(sum(n_frontier) OVER (PARTITION BY stream_id, win ORDER BY round) AS BIGINT) AS n_union
 FROM (SELECT stream_id, win, round, count(*) AS n_frontier FROM rs WHERE round >= 0 GROUP BY stream_id, win, round)"""

@@ -131,21 +131,25 @@ def cells_with_truth(li: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells, d.select("stream_id", "t", *F2_C)
 
 
-def _imputed_vs_truth(spark, sf_dir):
-    """Every cell: v_true, v, hidden, x_imp (W08 at hash-uniform probabilities)."""
+def _imputed_with_medians(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(every cell: v_true, v, hidden, x_imp (W08 at hash-uniform probabilities); the columns' medians of what is seen)."""
     cells, _ = cells_with_truth(lineitem_mixed(spark, sf_dir))
     observed = cells.where(~F.col("hidden")).select("stream_id", "t", "col", "v")
-    return marginals.impute_missing(with_q(cells), observed, {0: "cont", 1: "cont", 2: "ord", 3: "ord", 4: "ord"}, "q").checkpoint()
+    return marginals.impute_with_medians(with_q(cells), observed, {0: "cont", 1: "cont", 2: "ord", 3: "ord", 4: "ord"}, "q")
+
+
+def _imputed_vs_truth(spark, sf_dir):
+    return _imputed_with_medians(spark, sf_dir)[0].checkpoint()
 
 
 def a03_a07_imputation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imputation_errors(_imputed_vs_truth(spark, sf_dir))
+    return imputation_errors(*_imputed_with_medians(spark, sf_dir))
 
 
-def imputation_errors(d: DataFrame) -> DataFrame:
-    """A03, A04, A06, A07 per column of cells with x_imp, v_true, hidden."""
-    med = marginals.group_quantile(d.where(~F.col("hidden")), ["stream_id", "col"], 0.5,
-                                   v="v_true", out="med")
+def imputation_errors(d: DataFrame, med: DataFrame | None = None) -> DataFrame:
+    """A03, A04, A06, A07 per column of cells with x_imp, v_true, hidden; ``med``: the columns' medians of what is seen, if known."""
+    if med is None:
+        med = marginals.group_quantile(d.where(~F.col("hidden")), ["stream_id", "col"], 0.5, v="v_true", out="med")
     d = d.join(med, ["stream_id", "col"])
     diff = F.col("x_imp") - F.col("v_true")
     h = F.col("hidden")

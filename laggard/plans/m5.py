@@ -13,6 +13,7 @@ from laggard.operators.density import (arrived, linear_self_training, sliding_wi
 from laggard.operators.forest import forest_rounds, round_sets
 from laggard.operators.learner import carried_class_matrix
 from laggard.operators.long_windows import blocked_peaks
+from laggard.operators.online_knn import online_knn
 from laggard.operators.seq import number_rows
 from laggard.sources.fixtures import embedding_points, events_stream
 
@@ -87,7 +88,9 @@ def u01_u02_all_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b07_ssc_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = window_graph(_windows(spark, sf_dir), y="y_obs", pct=PCT)
-    return g.select("stream_id", "win", "t", "round", "pseudo", r6("p1").alias("p1"))
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    return g.select("stream_id", "win", "t", "round", known("pseudo").alias("pseudo"), r6(known("p1")).alias("p1"), known("final").alias("final"),
+                    r6(known("p_final")).alias("p_final"))
 
 
 def a26_t05_window_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,3 +221,11 @@ def b10_ssc_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_events(ev, ["stream_id", "win"], FtrlParams(threshold=0.3), self_train=0.3)
     return out.select("stream_id", "win", F.col("t_ref").alias("t"), r6("prob").alias("prob"),
                       F.when(F.col("prob") < 0.3, 0).otherwise(1).alias("pred"))
+
+
+def b10_online_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B10, online K-NN over the F3 windows of each stream."""
+    w = _windows(spark, sf_dir)
+    g = window_graph(w, y="y_obs", pct=PCT).select("stream_id", "win", "t", "round")
+    d = online_knn(w.select("stream_id", "win", "t", "x", "y_obs").join(g, ["stream_id", "win", "t"]))
+    return d.select("stream_id", "win", "t", "label", r6("p1").alias("p1"), "voted")

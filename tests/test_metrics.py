@@ -53,3 +53,24 @@ def test_c6_recovery(spark):
     assert never_drops.recovery == 0
     never_recovers = card([0] * 5 + [1] * 35)
     assert never_recovers.recovery is None
+
+
+def test_svms_of_all_c_at_once(spark):
+    """Each of the joint fits is stationary for its own C, and the table says which C is best."""
+    import numpy as np
+    from laggard.operators.baselines import fit_svms, svm_error
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2)) * [1.0, 30.0]
+    s = np.where(x[:, 0] + x[:, 1] / 40 + 0.4 * rng.normal(size=400) > 0.2, 1.0, -1.0)
+    rows = [([1.0, float(a), float(b)], float(v)) for (a, b), v in zip(x, s)]
+    grid = [0.01, 1.0, 100.0]
+    w, _, rest = fit_svms(spark.createDataFrame(rows, "a array<double>, s double").repartition(5), 3, grid)
+    a = np.hstack([np.ones((400, 1)), x])
+    for c, v, ok in zip(grid, w, rest):
+        short = np.maximum(0, 1 - s * (a @ v))
+        assert ok and np.abs(v - 2 * c * (s * short) @ a).max() < 1e-4 * c
+    df = spark.createDataFrame([(1, i, float(p), float(q), int(v > 0)) for i, ((p, q), v) in enumerate(zip(x, s))], "stream_id long, t long, f double, g double, y int")
+    got = svm_error(spark, df, ["f", "g"]).collect()
+    assert len(got) == 6 and sum(r.is_best for r in got) == 1 and all(r.converged for r in got)
+    best = next(r for r in got if r.is_best)
+    assert best.accuracy == max(r.accuracy for r in got) > 0.8 and abs(best.error - (1 - best.accuracy)) < 1e-12
