@@ -63,6 +63,12 @@ def fit_svms(train: DataFrame, q: int, grid: Sequence[float], max_iter: int = 50
     return base, steps.tolist(), rest.tolist()
 
 
+def first_best(scores: DataFrame, keys: Sequence[str], choice: str = "C", score: str = "accuracy") -> DataFrame:
+    """Per keys the choice of the highest score, the least one of equals, and its score."""
+    top = F.max(F.struct(F.col(score).alias("s"), (-F.col(choice)).alias("c")))
+    return scores.groupBy(*keys).agg(top.alias("_t")).select(*keys, (-F.col("_t.c")).alias(choice), F.col("_t.s").alias(score))
+
+
 def svm_error(spark: SparkSession, df: DataFrame, features: Sequence[str], y: str = "y",
               t: str = "t", keys: Sequence[str] = ("stream_id",), frac: float = 0.7,
               grid: Sequence[float] = C_GRID, max_iter: int = 50) -> DataFrame:
@@ -80,9 +86,10 @@ def svm_error(spark: SparkSession, df: DataFrame, features: Sequence[str], y: st
     margin = lambda w: F.aggregate(F.zip_with("a", F.array(*[F.lit(float(v)) for v in w]), lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q)
     hits = d.where("NOT _train").agg(*[F.coalesce(F.avg(((margin(w) > 0) == (F.col("s") > 0)).cast("double")), F.lit(0.0)).alias(f"c{k}")
                                        for k, w in enumerate(weights)]).first()
-    best = max(range(len(grid)), key=lambda k: (hits[k], -k))
-    rows = [(c, float(hits[k]), steps[k], bool(converged[k]), k == best, 1.0 - float(hits[k])) for k, c in enumerate(grid)]
-    return spark.createDataFrame(rows, "C double, accuracy double, iterations int, converged boolean, is_best boolean, error double")
+    rows = [(c, float(hits[k]), steps[k], bool(converged[k])) for k, c in enumerate(grid)]
+    got = spark.createDataFrame(rows, "C double, accuracy double, iterations int, converged boolean")
+    best = first_best(got, []).first()["C"]
+    return got.withColumns({"is_best": F.col("C") == F.lit(best), "error": 1 - F.col("accuracy")})
 
 
 LAMBDA_U_SCHEDULE = [0.0, 1e-6, 1e-4, 0.01, 0.1, 0.5, 1.0]   # fixed values: annealing of the unlabelled weight

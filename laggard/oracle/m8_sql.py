@@ -9,7 +9,7 @@ from laggard.oracle.m1_sql import PRE, u
 from laggard.oracle.m2_sql import _IMPV, SCORE
 from laggard.oracle.m3_sql import R, _Z
 from laggard.oracle.m6_sql import ensemble_sql
-from laggard.oracle.sql import ftrl_recursive_sql, sigmoid_sql
+from laggard.oracle.sql import F4_SQL, ftrl_recursive_sql, sigmoid_sql
 from laggard.plans import m2, m8
 
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,13 @@ t AS (SELECT a AS id, max(dot) AS lin_max, count(*) AS n_near, sum(rbf) AS rbf_n
 SELECT n.id, round(coalesce(lin_sum, 0), 6) + 0.0 AS lin_sum, round(lin_max, 6) AS lin_max, coalesce(n_near, 0) AS n_near, round(coalesce(rbf_near, 0), 6) + 0.0 AS rbf_near
 FROM n LEFT JOIN s USING (id) LEFT JOIN t USING (id)"""
 
+ORACLES["st09_document_quality"] = f"""WITH RECURSIVE f4 AS ({F4_SQL}),
+r_d AS (SELECT stream_id, t, y, CAST(1 AS DOUBLE) AS x0, x0 / CAST(10000 AS DOUBLE) AS x1, x1 / CAST(2000 AS DOUBLE) AS x2, CAST(coalesce(x2, 0) AS DOUBLE) AS x3
+        FROM f4 WHERE stream_id IS NOT NULL), """ + ftrl_recursive_sql("r_d", 4, FtrlParams(), None, name="sd") + """
+SELECT stream_id, t, round(prob, 6) AS prob, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred FROM sd WHERE t >= 0"""
+
+ORACLES["t04_first_best"] = PRE + f""",
+h AS (SELECT stream_id, x0, y, t, count(*) OVER (PARTITION BY stream_id) AS n FROM f1),
+a AS (SELECT stream_id, c.cut, avg(CASE WHEN (x0 > c.cut) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy
+      FROM h, (SELECT unnest([{", ".join(f"CAST({c!r} AS DOUBLE)" for c in m8.CUTS)}]) AS cut) c WHERE t >= floor(n * 0.7) GROUP BY stream_id, c.cut)
+SELECT stream_id, cut, round(accuracy, 6) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY accuracy DESC, cut) AS r FROM a) WHERE r = 1"""

@@ -10,7 +10,7 @@ from laggard.functions import fusion as fu
 from laggard.functions.hashing import uniform
 from laggard.functions.logistic import sigmoid
 from laggard.operators import corrupt, drift, maps, marginals, metrics
-from laggard.operators.baselines import svm_error
+from laggard.operators.baselines import first_best, svm_error
 from laggard.operators.learner import delayed_hedge_ensemble, fill_labels, hedge_ensemble, online_learner
 from laggard.operators.metrics import running_mse
 from laggard.operators.seq import shift
@@ -18,7 +18,7 @@ from laggard.plans import m2
 from laggard.plans.m1 import F2_C
 from laggard.plans.m3 import _two_views
 from laggard.sources import text
-from laggard.sources.fixtures import events_stream, lineitem_mixed, table
+from laggard.sources.fixtures import doc_quality, events_stream, lineitem_mixed, table
 
 DELAY, MISSING, SEED = 5, 0.3, 2000
 LONG_MA = 60
@@ -174,3 +174,25 @@ def j10_sparse_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum("l_quantity").cast("double").alias("v"))
     s = maps.sparse_kernel_summaries(li, SIGMA, LEAST)
     return s.select("id", r6("lin_sum").alias("lin_sum"), r6("lin_max").alias("lin_max"), "n_near", r6("rbf_near").alias("rbf_near"))
+
+
+def st09_document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST09 on F4, whose labels are missing by nature: documents of a language in order of their ids."""
+    d = doc_quality(spark, sf_dir)
+    x = F.array(F.lit(1.0), F.col("x0") / 10000.0, F.col("x1") / 2000.0, F.coalesce(F.col("x2"), F.lit(0.0)).cast("double"))
+    o = online_learner(d.where("stream_id IS NOT NULL").select("stream_id", "t", x.alias("x"), "y"))
+    return o.select("stream_id", "t", r6("prob").alias("prob"), "pred")
+
+
+CUTS = (0.1, 0.3, 0.5, 0.7, 0.9)
+
+
+def t04_first_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T04 on fixed classifiers (x0 above a cut): per stream the cut of the best accuracy on its last 30 %, the first of equals."""
+    ev = events_stream(spark, sf_dir)
+    n = ev.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"))
+    held = ev.join(n, "stream_id").where(F.col("t") >= F.floor(F.col("n") * 0.7))
+    hits = held.groupBy("stream_id").agg(*[F.avg(((F.col("x0") > c).cast("int") == F.col("y")).cast("double")).alias(str(c)) for c in CUTS])
+    scores = hits.unpivot(["stream_id"], [f"`{c}`" for c in CUTS], "cut", "accuracy").withColumn("cut", F.col("cut").cast("double"))
+    best = first_best(scores, ["stream_id"], "cut")
+    return best.select("stream_id", "cut", r6("accuracy").alias("accuracy"))

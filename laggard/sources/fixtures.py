@@ -19,14 +19,11 @@ F2_COLS = ["l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber
 EVENT_BUCKET_DAYS = 7
 
 
-MATERIALISE = True
-
-
 def _materialise(df: DataFrame) -> DataFrame:
     """Write the numbered stream once (reliable checkpoint in the shared
     ``spark.checkpoint.dir``): every operator downstream reads it instead of
     re-running the numbering, and lineage stays short for executor-loss recovery."""
-    return df.checkpoint() if MATERIALISE else df
+    return df.checkpoint()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
