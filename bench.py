@@ -35,14 +35,8 @@ HEADLINE = [
     "st07_live_replay",
     "st21_minibatch_ftrl",
     "b11_b12_two_view_propagation",
-    # fits and tests of the copula, the whole experiment
     "st08_delayed_ensemble",
     "st14_st15_speculative",
-    "st17_online_copula",
-    "b02_b03_offline_em",
-    "b15_change_test",
-    "b04_long_window",
-    "w06_long_window",
 ]
 
 
