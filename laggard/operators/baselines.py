@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,18 +99,40 @@ LAMBDA_U_SCHEDULE = [0.0, 1e-6, 1e-4, 0.01, 0.1, 0.5, 1.0]   # fixed values: ann
 TRIAL_STEPS = [4.0 ** k for k in range(2, -8, -1)]
 
 
+def transductive_sums(rows: DataFrame, points: np.ndarray, b: float, bell: float, nl: int) -> np.ndarray:
+    """For every row w of ``points``: the sums of the losses and of their gradients by w, in one pass.  ``rows``: _lab, _y (+-1), x (array)."""
+    c, q = points.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((c, 1 + q))
+        for pdf in batches:
+            x, s, lab = np.array(pdf["x"].tolist()).reshape(-1, q), pdf["_y"].to_numpy()[:, None], pdf["_lab"].to_numpy()
+            f = x @ points.T + b
+            u, hill = 20 * (1 - s[lab] * f[lab]), bell * np.exp(-3 * f[~lab] ** 2)
+            total[:, 0] += (np.logaddexp(0.0, u) / (20.0 * nl)).sum(axis=0) + hill.sum(axis=0)
+            total[:, 1:] += (-s[lab] * np.exp(-np.logaddexp(0.0, -u)) / nl).T @ x[lab] + (-6 * f[~lab] * hill).T @ x[~lab]
+        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    got = rows.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(c * (1 + q))
+    for r in got:
+        out[r["at"]] = r["v"]
+    return out.reshape(c, -1)
+
+
 def transductive_svm(df: DataFrame, features: Sequence[str], y: str = "y_obs", lam: float = 1e-3,
                      max_steps: int = 200, tol: float = 1e-4, schedule: Sequence[float] = LAMBDA_U_SCHEDULE) -> DataFrame:
     """B14 (re-aimed from the quasi-Newton S3VM solver as a distributed job): linear model
     f = w.(x - mu_u) + b, b = mean label (+-1) of the labelled rows, minimising
     (1/(20 n_l)) sum_L log(1 + e^{20 (1 - y f)}) + (lam_U / n_u) sum_U e^{-3 f^2} + lam ||w||^2
-    with lam_U annealed over ``schedule``.  A step of the descent is one aggregation over the table
-    (JVM-side): losses and gradients at all ``TRIAL_STEPS`` along the last gradient, of which the least
+    with lam_U annealed over ``schedule``.  A step of the descent is one pass over the table, whose tasks
+    return sums alone: losses and gradients at all ``TRIAL_STEPS`` along the last gradient, of which the least
     loss is taken; the driver holds only w.  A level ends when the loss falls by less than ``tol`` of
     itself; ``converged`` tells whether all levels ended so within ``max_steps``.  Probabilities by Platt
     scaling (Spark ML logistic regression on f over the labelled rows).  Output: input rows + f, prob,
     converged."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
     feats = list(features)
     d = df.withColumn("_lab", F.col(y).isNotNull()).withColumn("_y", F.when(F.col(y) == 1, 1.0).otherwise(-1.0))
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
@@ -120,22 +143,14 @@ def transductive_svm(df: DataFrame, features: Sequence[str], y: str = "y_obs", l
     nl, nu, b = max(st["nl"], 1), max(st["nu"], 1), st["b"] or 0.0
     xc = [F.col(c) - m for c, m in zip(feats, mu)]
     w = [0.0] * len(feats)
+    known = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in feats))
+    whole = d.where(known).select("_lab", "_y", F.array(*[x.cast("double") for x in xc]).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
 
     def losses(points, lam_u):
         """(loss, gradient) at every point, by one job."""
-        lab, unl = F.col("_lab"), ~F.col("_lab")
-        aggs = []
-        for k, wv in enumerate(points):
-            f = sum((wi * x for wi, x in zip(wv, xc)), F.lit(b))
-            u = 20 * (1 - F.col("_y") * f)
-            softplus = F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))
-            sig, bell = 1 / (1 + F.exp(-u)), lam_u / nu * F.exp(-3 * f * f)
-            aggs.append(F.sum(F.when(lab, softplus / (20.0 * nl)).when(unl, bell)).alias(f"L{k}"))
-            aggs += [F.sum(F.when(lab, -F.col("_y") * sig * x / nl).when(unl, bell * (-6 * f) * x)).alias(f"g{k}_{j}")
-                     for j, x in enumerate(xc)]
-        r = d.agg(*aggs).first()
-        return [((r[f"L{k}"] or 0.0) + lam * sum(wi * wi for wi in wv),
-                 [(r[f"g{k}_{j}"] or 0.0) + 2 * lam * wv[j] for j in range(len(wv))]) for k, wv in enumerate(points)]
+        sums = transductive_sums(whole, np.array(points), b, lam_u / nu, nl)
+        return [(float(r[0]) + lam * sum(wi * wi for wi in wv), [float(g) + 2 * lam * wi for g, wi in zip(r[1:], wv)])
+                for r, wv in zip(sums, points, strict=True)]
 
     converged = True
     for lam_u in schedule:
@@ -158,5 +173,6 @@ def transductive_svm(df: DataFrame, features: Sequence[str], y: str = "y_obs", l
     out = platt.transform(VectorAssembler(inputCols=["f"], outputCol="_fv").transform(scored))
     res = out.withColumn("prob", vector_to_array("probability")[1]) \
         .drop("_fv", "rawPrediction", "probability", "prediction", "_lab", "_y").withColumn("converged", F.lit(converged))
+    whole.unpersist()
     d.unpersist()
     return res

@@ -74,3 +74,15 @@ def test_svms_of_all_c_at_once(spark):
     assert len(got) == 6 and sum(r.is_best for r in got) == 1 and all(r.converged for r in got)
     best = next(r for r in got if r.is_best)
     assert best.accuracy == max(r.accuracy for r in got) > 0.8 and abs(best.error - (1 - best.accuracy)) < 1e-12
+
+
+def test_transductive_svm_separates_with_few_labels(spark):
+    from laggard.operators.baselines import transductive_svm
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 200)
+    x = rng.normal(size=(200, 2)) + 4.0 * y[:, None]
+    rows = [(i, *map(float, x[i]), int(y[i]) if i % 10 == 0 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "t long, f double, g double, y_obs int")
+    got = transductive_svm(df, ["f", "g"]).collect()
+    assert len(got) == 200 and set(got[0].asDict()) == {"t", "f", "g", "y_obs", "prob", "converged"}
+    assert np.mean([(r.prob > 0.5) == bool(y[r.t]) for r in got]) > 0.95
