@@ -194,3 +194,16 @@ def test_replica_is_the_estimate_of_its_rows():
     lo[seen, 1], hi[seen, 1] = ends[k[seen]], ends[k[seen] + 1]
     c, full, _, _ = expect_block(z, lo, hi, np.array([False, True, False]), sigma)
     assert np.allclose(got, project_to_correlation(np.cov(full, rowvar=False) + c / len(z)))
+
+
+def test_replicas_drawn_together_equal_single_ones():
+    from laggard.operators import change
+    from laggard.operators.copula import matrix_change, project_to_correlation
+    a = np.random.default_rng(1).normal(size=(3, 3))
+    sigma, counts = project_to_correlation(a @ a.T), [("000", 30), ("001", 10), ("100", 7), ("111", 3)]
+    for cuts in ([None] * 3, [None, np.array([-0.5, 0.4]), None], [np.array([0.0]), np.array([-0.5, 0.4]), np.array([])]):
+        one = np.array([change.replica(np.random.default_rng(k), sigma, counts, cuts) for k in range(20)])
+        many = change.replicas([np.random.default_rng(k) for k in range(20)], sigma, counts, cuts)
+        assert np.allclose(one, many, atol=1e-12)
+        for r, m in zip(change.matrix_changes(sigma, many), one, strict=True):
+            assert np.allclose([r[c] for c in "FSN"], [matrix_change(sigma, m)[c] for c in "FSN"], atol=1e-10)
