@@ -5,7 +5,7 @@ regression of each cell on the observed ones, the variance it leaves, the covari
 So Sigma is inverted once for each (stream, pattern), a small table, and rows are only joined to it:
 
 * ``refresh``: an observed ordinal is known to lie in [lo, hi]; it becomes the mean of its conditional normal
-  there.  Column expressions; no Python sees a row.
+  there, by blocks of rows as matrices.
 * ``sums``: per (stream, pattern) the number of rows and the sums of z, z z' and of the variances V that
   ordinals leave open, by partial aggregates.
 * ``mstep``: with T = (identity on observed cells, regression for missing ones) a pattern gives
@@ -22,11 +22,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laggard.functions.normal import POS_INF_SQL, pdf_sql, phi_sql
-from laggard.operators.copula import initial_sigma, project_to_correlation
+from laggard.operators.copula import initial_sigma, project_to_correlation, truncated_moments
 from laggard.operators.learner import by_key, schema_of
 
 
@@ -93,30 +95,62 @@ def regressions(patterns: DataFrame, sigma: DataFrame, p: int, is_ord: Sequence[
     return d.mapInPandas(run, f"{schema_of(patterns, keys)}, pattern string, gain array<double>, spread array<double>, rest array<double>")
 
 
-def _dot(j: str, p: int, cells: str) -> str:
-    """Cell j from the cells by its row of gain."""
-    return f"aggregate(zip_with(slice(gain, {j} * {p} + 1, {p}), {cells}, (a, b) -> a * coalesce(b, 0.0D)), 0.0D, (s, x) -> s + x)"
+def matrix_of(column: pa.ListArray, width: int) -> np.ndarray:
+    """A column of arrays of one width as a matrix; null cells are NaN, so are the cells of null arrays."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    out = np.full((len(column), width), np.nan)
+    out[~column.is_null().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def column_of(values: np.ndarray, gap: np.ndarray | None = None) -> pa.ListArray:
+    """The matrix as a column of arrays, null where ``gap``."""
+    n, p = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * p, p), pa.int32()), pa.array(values.ravel(), mask=None if gap is None else gap.ravel()))
+
+
+def by_blocks(rows: DataFrame, fn, columns: Sequence[tuple[str, int]], outputs: Sequence[str]) -> DataFrame:
+    """``rows`` with the array columns ``outputs`` that ``fn`` (named matrices -> dict of columns) gives a block of rows; the other columns stay."""
+    keep = [c for c in rows.columns if c not in outputs]
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in outputs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = fn(**{c: matrix_of(b.column(c), w) for c, w in columns})
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[got[c] for c in outputs]], [*keep, *outputs])
+
+    return rows.mapInArrow(run, schema)
 
 
 def refresh(rows: DataFrame, p: int, sweeps: int = 1) -> DataFrame:
     """Rows beside their regression: ``z`` with refreshed ordinals, ``v`` (the variance each cell leaves; 0 but for those).  All
     ordinals of a sweep are conditioned on the values before it."""
-    cell = let(f"transform(array({moments('((lo[j] - v.c) / v.s)', '((hi[j] - v.c) / v.s)')}), "
-               "m -> named_struct('z', coalesce(v.c + v.s * m.mean, z[j]), 'v', coalesce(v.s * v.s * m.var, 0.0D)))[0]",
-               c=_dot("j", p, "z"), s="sqrt(spread[j])")
-    got = rows
-    for _ in range(sweeps):
-        new = f"transform(sequence(0, {p - 1}), j -> CASE WHEN spread[j] IS NULL THEN named_struct('z', z[j], 'v', 0.0D) ELSE {cell} END)"
-        got = got.withColumn("_c", F.expr(new)).withColumns({"z": F.col("_c.z"), "v": F.col("_c.v")}).drop("_c")
-    return got
+    def fn(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, gain: np.ndarray, spread: np.ndarray) -> dict[str, pa.ListArray]:
+        gap, v, gain = np.isnan(z), np.zeros_like(z), gain.reshape(-1, p, p)
+        for _ in range(sweeps):
+            before = np.nan_to_num(z, nan=0.0)
+            z, v = z.copy(), np.zeros_like(z)
+            for j in range(p):
+                on = np.flatnonzero(~np.isnan(spread[:, j]))
+                c, scale = (gain[on, j] * before[on]).sum(axis=1), np.sqrt(spread[on, j])
+                mean, var = truncated_moments((lo[on, j] - c) / scale, (hi[on, j] - c) / scale)
+                z[on, j] = np.where(np.isnan(mean), z[on, j], c + scale * mean)
+                v[on, j] = np.where(np.isnan(var), 0.0, scale * scale * var)
+        return {"z": column_of(z, gap), "v": column_of(v)}
+
+    d = rows.drop("v") if "v" in rows.columns else rows
+    return by_blocks(d, fn, [("z", p), ("lo", p), ("hi", p), ("gain", p * p), ("spread", p)], ["z", "v"])
 
 
 def completed(rows: DataFrame, p: int) -> DataFrame:
     """Rows with z, v and their regression: ``z_imp`` (missing cells filled) and ``c_diag`` (what each cell leaves open, the diagonal of C)."""
-    fill = f"transform(sequence(0, {p - 1}), j -> coalesce(z[j], {_dot('j', p, 'z')}))"
-    left = (f"aggregate(zip_with(slice(gain, j * {p} + 1, {p}), v, (a, b) -> a * a * b), 0.0D, (s, x) -> s + x)")
-    diag = f"transform(sequence(0, {p - 1}), j -> CASE WHEN z[j] IS NULL THEN rest[j * {p} + j] + {left} ELSE v[j] END)"
-    return rows.withColumns({"z_imp": F.expr(fill), "c_diag": F.expr(diag)})
+    def fn(z: np.ndarray, v: np.ndarray, gain: np.ndarray, rest: np.ndarray) -> dict[str, pa.ListArray]:
+        gap, gain = np.isnan(z), gain.reshape(-1, p, p)
+        fill = (gain * np.nan_to_num(z, nan=0.0)[:, None, :]).sum(axis=2)
+        left = rest.reshape(-1, p, p)[:, range(p), range(p)] + (gain * gain * v[:, None, :]).sum(axis=2)
+        return {"z_imp": column_of(np.where(gap, fill, z)), "c_diag": column_of(np.where(gap, left, v))}
+
+    return by_blocks(rows, fn, [("z", p), ("v", p), ("gain", p * p), ("rest", p * p)], ["z_imp", "c_diag"])
 
 
 def sums(rows: DataFrame, p: int, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
@@ -131,21 +165,21 @@ def sums(rows: DataFrame, p: int, keys: Sequence[str] = ("stream_id",)) -> DataF
         F.array(*[F.sum(f"_v{j}") for j in range(p)]).alias("vs"))
 
 
-def totals(pdf: pd.DataFrame, p: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(n, sum of z, sum of z z', sum of C) of a stream's completed rows, from the sums of its patterns beside their regressions."""
+def totals(parts: Sequence, p: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(n, sum of z, sum of z z', sum of C) of a stream's completed rows, from the sums of its patterns beside their regressions, by pattern."""
     n, s, szz, c = 0.0, np.zeros(p), np.zeros((p, p)), np.zeros((p, p))
     upper = np.triu_indices(p)
-    for r in pdf.sort_values("pattern").itertuples(index=False):
-        gap = np.array([k == "1" for k in r.pattern])
+    for r in parts:
+        gap = np.array([k == "1" for k in r["pattern"]])
         t = np.diag((~gap).astype(float))
-        t[gap] = np.asarray(r.gain, dtype=float).reshape(p, p)[gap]
+        t[gap] = np.asarray(r["gain"], dtype=float).reshape(p, p)[gap]
         zz = np.zeros((p, p))
-        zz[upper] = np.asarray(r.zz, dtype=float)
+        zz[upper] = np.asarray(r["zz"], dtype=float)
         zz = zz + np.triu(zz, 1).T
-        n += r.n
-        s += t @ np.asarray(r.s, dtype=float)
+        n += r["n"]
+        s += t @ np.asarray(r["s"], dtype=float)
         szz += t @ zz @ t.T
-        c += t @ np.diag(np.asarray(r.vs, dtype=float)) @ t.T + r.n * np.asarray(r.rest, dtype=float).reshape(p, p)
+        c += t @ np.diag(np.asarray(r["vs"], dtype=float)) @ t.T + r["n"] * np.asarray(r["rest"], dtype=float).reshape(p, p)
     return n, s, szz, c
 
 
@@ -153,16 +187,23 @@ def mstep(stats: DataFrame, table: DataFrame, sigma: DataFrame, p: int, keys: Se
     """Sigma = proj(cov(Z) + C / n) of every stream: ``keys, sigma, change`` (relative Frobenius change), ``c`` (C / n)."""
     keys = list(keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, s, szz, c = totals(pdf, p)
-        cov = (szz - np.outer(s, s) / n) / max(n - 1.0, 1.0)
-        new, old = project_to_correlation(cov + c / n), np.asarray(pdf["sigma"].iloc[0], dtype=float).reshape(p, p)
-        out = pdf[keys].iloc[:1].copy()
-        out["sigma"], out["change"], out["c"] = [new.ravel().tolist()], float(np.linalg.norm(new - old) / np.linalg.norm(old)), [(c / n).ravel().tolist()]
-        return out
-
-    d = stats.join(table, [*keys, "pattern"]).join(sigma.select(*keys, "sigma"), keys)
-    return by_key(d, keys).groupBy(*keys).applyInPandas(run, f"{schema_of(stats, keys)}, sigma array<double>, change double, c array<double>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for parts, old in zip(pdf["parts"], pdf["old"], strict=True):
+                n, s, szz, c = totals(parts, p)
+                cov = (szz - np.outer(s, s) / n) / max(n - 1.0, 1.0)
+                new, old = project_to_correlation(cov + c / n), np.asarray(old, dtype=float).reshape(p, p)
+                got.append((new.ravel().tolist(), float(np.linalg.norm(new - old) / np.linalg.norm(old)), (c / n).ravel().tolist()))
+            out = pdf[keys].copy()
+            out["sigma"], out["change"], out["c"] = ([g[k] for g in got] for k in range(3))
+            yield out
+
+    # a stream's patterns are few (2^p at most): one row a stream
+    d = stats.join(table, [*keys, "pattern"]).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("pattern", "n", "s", "zz", "vs", "gain", "rest"))).alias("parts"))
+    d = d.join(sigma.select(*keys, F.col("sigma").alias("old")), keys)
+    return by_key(d, keys).mapInPandas(run, f"{schema_of(stats, keys)}, sigma array<double>, change double, c array<double>")
 
 
 def with_pattern(rows: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
@@ -183,7 +224,11 @@ def expected_covariance(rows: DataFrame, sigma: DataFrame, p: int, is_ord: Seque
     keys = list(keys)
     d = with_pattern(rows, keys, t)
     table = regressions(d.select(*keys, "pattern").distinct(), sigma, p, is_ord, keys).checkpoint()
-    return mstep(sums(refresh(d.join(table, [*keys, "pattern"]), p, sweeps), p, keys), table, sigma, p, keys)
+    if any(is_ord):
+        d = refresh(d.join(table, [*keys, "pattern"]), p, sweeps)
+    else:  # nothing to refresh: the sums need no regression beside the rows
+        d = d.withColumn("v", F.transform("z", lambda _: F.lit(0.0)))
+    return mstep(sums(d, p, keys), table, sigma, p, keys)
 
 
 def fit_offline(rows: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[str] = ("stream_id",), t: str = "t", max_iter: int = 50,
@@ -200,7 +245,7 @@ def fit_offline(rows: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[
     some = not moving.isEmpty()
     patterns = d.select(*by).distinct().checkpoint()
     constant = sums(still, p, keys).checkpoint()
-    sigma = initial_sigma(rows, p, keys).checkpoint()
+    sigma = initial_sigma(d, p, keys).checkpoint()
     done_rows, done_sigma = [], []
     for k in range(1, max_iter + 1):
         active = sigma.select(*keys)

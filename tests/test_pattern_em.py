@@ -92,3 +92,30 @@ def test_moments_in_far_intervals(spark):
     for a, b, m in df.collect():
         want = truncnorm_mv(a, b)
         assert [m["mean"], m["var"]] == [None, None] if np.isnan(want[0]) else np.allclose([m["mean"], m["var"]], want, atol=1e-9)
+
+
+def test_one_round_without_ordinals_leaves_rows_alone(spark, monkeypatch):
+    """Sums of rows that nothing refreshes are taken without a regression beside each row."""
+    df, data = rows_of(spark, [False] * 3, 60)
+    s0 = initial_sigma(df, 3).checkpoint()
+    monkeypatch.setattr(pattern_em, "refresh", None)
+    got = {r.stream_id: r for r in pattern_em.expected_covariance(df, s0, 3, [False] * 3).collect()}
+    for r in s0.collect():
+        z, lo, hi = data[r.stream_id]
+        c, full, _, _ = expect_block(z, lo, hi, np.zeros(3, dtype=bool), np.reshape(r.sigma, (3, 3)))
+        assert np.allclose(np.reshape(got[r.stream_id].c, (3, 3)), c / len(z), atol=1e-10)
+        assert np.allclose(np.reshape(got[r.stream_id].sigma, (3, 3)), project_to_correlation(np.cov(full, rowvar=False) + c / len(z)), atol=1e-10)
+
+
+def test_refresh_by_blocks_of_rows(spark):
+    """Rows are refreshed as matrices: cells stay null, other columns stay, rows without intervals keep their values."""
+    df = spark.createDataFrame([(1, [0.5, None], [None, None], [None, None], [0.0] * 4, [None, None]),
+                                (2, [0.5, 0.1], [None, -1.0], [None, 1.0], [0.0, 0.0, 0.6, 0.0], [None, 0.64]),
+                                (3, [0.5, 0.1], None, None, [0.0, 0.0, 0.6, 0.0], [None, 0.64])],
+                               "t long, z array<double>, lo array<double>, hi array<double>, gain array<double>, spread array<double>")
+    d = pattern_em.refresh(df, 2)
+    assert "ArrowMap" in d._jdf.queryExecution().toString() or "MapInArrow" in d._jdf.queryExecution().toString()
+    got = {r.t: r for r in d.collect()}
+    mean, var = truncnorm_mv((-1 - 0.3) / 0.8, (1 - 0.3) / 0.8)
+    assert got[1].z == [0.5, None] and got[1].v == [0.0, 0.0] and got[3].z == [0.5, 0.1] and got[3].v == [0.0, 0.0]
+    assert np.allclose(got[2].z, [0.5, 0.3 + 0.8 * mean]) and np.allclose(got[2].v, [0.0, 0.64 * var])
