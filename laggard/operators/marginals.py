@@ -46,17 +46,17 @@ def cont_latent(cells: DataFrame, n_rows: DataFrame, group: Sequence[str] = GROU
                 v: str = "v", latent_sd: float = 1.0) -> DataFrame:
     """z = sd * Phi^-1(n/(n+1) * F(v)), F = ECDF of observed cells, n = rows of the
     stream (``n_rows``: keys -> n_rows)."""
-    d = ecdf(cells, group, v).join(n_rows, [g for g in group if g in n_rows.columns])
+    r = value_ranks(cells, group, v).join(n_rows, [g for g in group if g in n_rows.columns])
     q = "(CAST(n_rows AS DOUBLE) / (n_rows + 1)) * ((n_below + n_eq) / CAST(n AS DOUBLE))"
-    return d.withColumn("z", F.expr(phi_inv_sql(q)) * latent_sd).drop("n_below", "n_eq", "n", "n_rows")
+    r = r.withColumn("_q", F.expr(q)).withColumn("z", F.expr(phi_inv_sql("_q")) * latent_sd)  # once a value, not a cell
+    return cells.join(r.select(*group, v, "z"), [*group, v])
 
 
 def ord_interval(cells: DataFrame, group: Sequence[str] = GROUP, v: str = "v") -> DataFrame:
     """Latent interval [Phi^-1(F(v-)), Phi^-1(F(v))] of an ordinal cell (+-inf at the ends)."""
-    d = ecdf(cells, group, v)
-    return (d.withColumn("lo", F.expr(phi_inv_sql("(n_below / CAST(n AS DOUBLE))")))
-            .withColumn("hi", F.expr(phi_inv_sql("((n_below + n_eq) / CAST(n AS DOUBLE))")))
-            .drop("n_below", "n_eq", "n"))
+    r = value_ranks(cells, group, v).withColumns({"_lo": F.expr("n_below / CAST(n AS DOUBLE)"), "_hi": F.expr("(n_below + n_eq) / CAST(n AS DOUBLE)")})
+    r = r.withColumns({"lo": F.expr(phi_inv_sql("_lo")), "hi": F.expr(phi_inv_sql("_hi"))})
+    return cells.join(r.select(*group, v, "lo", "hi"), [*group, v])
 
 
 POSITION_BLOCK = 1 << 16
