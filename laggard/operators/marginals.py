@@ -83,26 +83,55 @@ def values_at(wanted: DataFrame, cells: DataFrame, group: Sequence[str] = GROUP,
         .where("_ask = 1").select(*group, pos, "value")
 
 
+def values_between(queries: DataFrame, cells: DataFrame, lo: str, group: Sequence[str] = GROUP, v: str = "v") -> DataFrame:
+    """``queries`` with ``_a``, the observed value at 0-based sorted position ``lo``, and ``_b``, the one at ``lo`` + 1 (``_a`` at the end).
+
+    The queries themselves pass through the blocks of positions of ``values_at`` and are sent once.  A run that begins a block
+    is in the block before it too, as the next value of that block's last position.  ``_at`` is twice the position, and one more for
+    a query."""
+    group = list(group)
+    r = value_ranks(cells, group, v)
+    at = F.floor(F.greatest(F.col("n_below") - 1, F.lit(0)) / POSITION_BLOCK).cast("long")
+    end = F.floor((F.col("n_below") + F.col("n_eq") - 1) / POSITION_BLOCK).cast("long")
+    kind = queries.select(F.struct(*[c for c in queries.columns if c not in group]).alias("_row")).schema["_row"].dataType
+    starts = r.select(*group, F.col(v).alias("_v"), "n_below", F.explode(F.sequence(at, end)).alias("_blk"))
+    starts = starts.select(*group, "_blk", (2 * F.greatest("n_below", F.col("_blk") * POSITION_BLOCK)).cast("long").alias("_at"), "_v",
+                           F.lit(None).cast(kind).alias("_row"))
+    asked = queries.select(*group, F.floor(F.col(lo) / POSITION_BLOCK).cast("long").alias("_blk"), (2 * F.col(lo) + 1).cast("long").alias("_at"),
+                           F.lit(None).cast(dict(cells.dtypes)[v]).alias("_v"), F.struct(*kind.names).alias("_row"))
+    block = Window.partitionBy(*group, "_blk")
+    upto = block.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    after = block.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.when(F.col("_row").isNull(), F.struct("_at", "_v"))
+    d = starts.unionByName(asked).withColumns({"_next": F.last(begins, ignorenulls=True).over(after), "_a": F.last("_v", ignorenulls=True).over(upto)})
+    b = F.when(F.col("_next._at") == F.col("_at") + 1, F.col("_next._v")).otherwise(F.col("_a"))
+    d = d.where("_row IS NOT NULL").select(*group, "_row", "_a", b.alias("_b"))
+    return d.select(*[F.col(c) if c in group else F.col(f"_row.{c}").alias(c) for c in queries.columns], "_a", "_b")
+
+
 def quantile_lookup(queries: DataFrame, cells: DataFrame, q: str, group: Sequence[str] = GROUP,
-                    v: str = "v", out: str = "x_imp") -> DataFrame:
+                    v: str = "v", out: str = "x_imp", few: bool = False) -> DataFrame:
     """Numpy 'linear' quantile of the group's observed values at per-row probability q.
 
     Index h = q (n-1); value = lerp(x[floor h], x[ceil h], h - floor h) with numpy's
-    two-sided lerp.  Both neighbours are looked up by position (``values_at``).
+    two-sided lerp.  Both neighbours are looked up by position: ``values_between``, or ``values_at`` and joins where a
+    group has a few queries only, which are cheaper to join than all values are to sort twice.
     """
     group = list(group)
     n = cells.groupBy(*group).agg(F.count(v).alias("_n"))
     d = queries.join(n, group).withColumn("_h", F.col(q) * (F.col("_n") - 1))
-    d = d.withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
-    wanted = d.select(*group, F.explode(F.array("_lo", "_hi")).alias("pos"))
-    known = values_at(wanted, cells, group, v)
-    lo = known.select(*group, F.col("pos").alias("_lo"), F.col("value").alias("_a"))
-    hi = known.select(*group, F.col("pos").alias("_hi"), F.col("value").alias("_b"))
-    d = d.join(lo, [*group, "_lo"], "left").join(hi, [*group, "_hi"], "left")
+    d = d.withColumn("_lo", F.floor("_h"))
+    if few:
+        known = values_at(d.select(*group, F.explode(F.array(F.col("_lo"), F.ceil("_h"))).alias("pos")), cells, group, v)
+        lo = known.select(*group, F.col("pos").alias("_lo"), F.col("value").alias("_a"))
+        hi = known.select(*group, F.col("pos").alias("_hi"), F.col("value").alias("_b"))
+        d = d.withColumn("_hi", F.ceil("_h")).join(lo, [*group, "_lo"], "left").join(hi, [*group, "_hi"], "left").drop("_hi")
+    else:
+        d = values_between(d, cells, "_lo", group, v)
     tt = F.col("_h") - F.col("_lo")
     diff = F.col("_b") - F.col("_a")
-    val = F.when(tt >= 0.5, F.col("_b") - diff * (1 - tt)).otherwise(F.col("_a") + diff * tt)
-    return d.withColumn(out, val).drop("_n", "_h", "_lo", "_hi", "_a", "_b")
+    val = F.when(tt == 0, F.col("_a")).when(tt >= 0.5, F.col("_b") - diff * (1 - tt)).otherwise(F.col("_a") + diff * tt)
+    return d.withColumn(out, val).drop("_n", "_h", "_lo", "_a", "_b")
 
 
 def inverse_ecdf(queries: DataFrame, cells: DataFrame, q: str, group: Sequence[str] = GROUP,
@@ -136,23 +165,19 @@ def impute_with_medians(wide_cells: DataFrame, cells: DataFrame, kinds: dict[int
     idx = F.least(F.greatest(F.ceil(F.bround((F.col("_n") + 1) * F.col(q) - 1, 3)), F.lit(0)), F.col("_n") - 1)
     miss = wide_cells.where(F.col(v).isNull()).join(n, group)
     at = lambda e, other: F.when(cont, e).otherwise(other).cast("long")
-    miss = miss.withColumns({"_lo": at(F.floor(h), idx), "_hi": at(F.ceil(h), idx), "_f": F.when(cont, h - F.floor(h)).otherwise(0.0)})
+    miss = miss.withColumns({"_lo": at(F.floor(h), idx), "_f": F.when(cont, h - F.floor(h)).otherwise(0.0)})
     mid = (F.col("_n") - 1) * 0.5
-    mids = n.where("_n > 0").select(*group, F.floor(mid).cast("long").alias("_lo"), F.ceil(mid).cast("long").alias("_hi"), (mid - F.floor(mid)).alias("_f"))
-    both = F.explode(F.array("_lo", "_hi")).alias("pos")
-    known = values_at(miss.select(*group, both).unionByName(mids.select(*group, both)), cells, group, v).checkpoint()
-
-    def looked_up(d: DataFrame, name: str) -> DataFrame:
-        lo = known.select(*group, F.col("pos").alias("_lo"), F.col("value").alias("_a"))
-        hi = known.select(*group, F.col("pos").alias("_hi"), F.col("value").alias("_b"))
-        d = d.join(lo, [*group, "_lo"], "left").join(hi, [*group, "_hi"], "left")
-        diff = F.col("_b") - F.col("_a")
-        value = F.when(F.col("_f") >= 0.5, F.col("_b") - diff * (1 - F.col("_f"))).otherwise(F.col("_a") + diff * F.col("_f"))
-        return d.withColumn(name, value)
-
-    found = looked_up(miss, out).drop("_n", "_lo", "_hi", "_f", "_a", "_b")
+    mids = n.where("_n > 0").select(*group, F.floor(mid).cast("long").alias("_lo"), (mid - F.floor(mid)).alias("_f"))
+    rest = [c for c in wide_cells.columns if c not in group]
+    asked = miss.select(*group, "_lo", "_f", F.struct(*rest).alias("_cell"))
+    asked = asked.unionByName(mids.withColumn("_cell", F.lit(None).cast(asked.schema["_cell"].dataType)))
+    diff = F.col("_b") - F.col("_a")
+    value = F.when(F.col("_f") == 0, F.col("_a")).when(F.col("_f") >= 0.5, F.col("_b") - diff * (1 - F.col("_f"))).otherwise(F.col("_a") + diff * F.col("_f"))
+    found = values_between(asked, cells, "_lo", group, v).select(*group, "_cell", value.alias("_value")).checkpoint()
+    filled = found.where("_cell IS NOT NULL").select(*[F.col(c) if c in group else F.col(f"_cell.{c}").alias(c) for c in wide_cells.columns],
+                                                     F.col("_value").alias(out))
     whole = wide_cells.where(F.col(v).isNotNull()).withColumn(out, F.col(v))
-    return whole.unionByName(found), looked_up(mids, median).select(*group, median)
+    return whole.unionByName(filled), found.where("_cell IS NULL").select(*group, F.col("_value").alias(median))
 
 
 # ---------------------------------------------------------------------------
@@ -206,7 +231,7 @@ def group_quantile(cells: DataFrame, group: Sequence[str], q: float, v: str = "v
     unlike an exact percentile aggregate it never holds a group in one buffer."""
     group = list(group)
     qs = cells.select(*group).distinct().withColumn("_q", F.lit(float(q)))
-    return quantile_lookup(qs, cells.select(*group, v), "_q", group, v, out).drop("_q")
+    return quantile_lookup(qs, cells.select(*group, v), "_q", group, v, out, few=True).drop("_q")
 
 
 def latent_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str = "z_",

@@ -132,7 +132,7 @@ def quantile_cutoffs(cells: DataFrame, seed: int, k: int = 2,
     st = cells.groupBy(*group).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"),
                                    F.stddev_pop(v).alias("_sd"))
     qs = st.select(*group).withColumn("_qq", F.explode(F.array(F.lit(0.05), F.lit(0.95))))
-    qv = quantile_lookup(qs, cells, "_qq", group, v, out="_qv")
+    qv = quantile_lookup(qs, cells, "_qq", group, v, out="_qv", few=True)
     q = (qv.groupBy(*group).agg(F.min(F.when(F.col("_qq") == 0.05, F.col("_qv"))).alias("_q05"),
                                 F.min(F.when(F.col("_qq") == 0.95, F.col("_qv"))).alias("_q95"))
          .join(st, group))

@@ -169,13 +169,11 @@ def imputation_errors(d: DataFrame, med: DataFrame | None = None) -> DataFrame:
 
 
 def a05_smae_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _imputed_vs_truth(spark, sf_dir)
-    med = marginals.group_quantile(d.where(~F.col("hidden")), ["stream_id", "col"], 0.5,
-                                   v="v_true", out="med")
-    d = d.join(med, ["stream_id", "col"]).withColumn(
-        "kind", F.when(F.col("col") < 2, "cont").otherwise("ord"))
-    h = F.col("hidden")
-    g = d.groupBy("stream_id", "kind").agg(
-        (F.sum(F.when(h, F.abs(F.col("x_imp") - F.col("v_true"))))
-         / F.nullif(F.sum(F.when(h, F.abs(F.col("med") - F.col("v_true")))), F.lit(0.0))).alias("smae"))
+    d, med = _imputed_with_medians(spark, sf_dir)
+    med = med.withColumn("kind", F.when(F.col("col") < 2, "cont").otherwise("ord"))
+    # only hidden cells have an error to add up; a kind without any stays, without a ratio
+    g = d.where("hidden").join(med, ["stream_id", "col"]).groupBy("stream_id", "kind").agg(
+        (F.sum(F.abs(F.col("x_imp") - F.col("v_true")))
+         / F.nullif(F.sum(F.abs(F.col("med") - F.col("v_true"))), F.lit(0.0))).alias("smae"))
+    g = med.select("stream_id", "kind").distinct().join(g, ["stream_id", "kind"], "left")
     return g.select("stream_id", "kind", r6("smae").alias("smae"))
