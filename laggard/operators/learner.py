@@ -47,6 +47,13 @@ def by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(keyed_partitions(df), *keys)
 
 
+def for_scan(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """Every key whole in one partition, in order, for a scan by ``mapInPandas``.  Rows that a join or an aggregation has left
+    partitioned by the keys would not be sent again, and as a scan asks for no partitioning, adaptive execution may then read the
+    join's input in other pieces; partitioning by the keys and a constant is never taken for the former."""
+    return df.repartition(keyed_partitions(df), *keys, F.lit(0)).sortWithinPartitions(*keys, *order)
+
+
 def schema_of(df: DataFrame, names: Sequence[str]) -> str:
     """DDL fragment for the named columns of ``df``, in the given order."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -273,7 +280,7 @@ def scan_events(events: DataFrame, keys: Sequence[str], prm: FtrlParams = FtrlPa
     schema = (f"{kschema}, kind int, t bigint, t_ref bigint, prob double, margin double, "
               f"loss double, decay double, level int")
     cols = [*keys, "_time", "_kind", "_tref", "x", "y"] + (["w"] if "w" in events.columns else [])
-    ev = by_key(events.select(*cols), keys).sortWithinPartitions(*keys, "_time", "_kind", "_tref")
+    ev = for_scan(events.select(*cols), keys, "_time", "_kind", "_tref")
     return ev.mapInPandas(_scan_partition(keys, prm, max_delay, soft, emit_updates, self_train), schema)
 
 
@@ -345,8 +352,7 @@ def drift_levels(errs: DataFrame, keys: Sequence[str] = ("stream_id",), t: str =
             yield res
 
     kschema = schema_of(errs, [*keys, t])
-    return (by_key(errs.select(*keys, t, F.col(err).cast("int").alias(err)), keys)
-            .sortWithinPartitions(*keys, t)
+    return (for_scan(errs.select(*keys, t, F.col(err).cast("int").alias(err)), keys, t)
             .mapInPandas(run, f"{kschema}, level int, p_min double, s_min double"))
 
 
@@ -399,7 +405,7 @@ def hedge_ensemble(rows: DataFrame, keys: Sequence[str] = ("stream_id",), t: str
     ev = (rows.select(*keys, F.col(t).cast("bigint").alias(t), F.col(x).cast("array<double>").alias("_x"),
                       F.col(z).cast("array<double>").alias("_z"), F.col(y).cast("double").alias("_y"))
           )
-    ev = by_key(ev, keys).sortWithinPartitions(*keys, t)
+    ev = for_scan(ev, keys, t)
     out = ev.mapInPandas(run, f"{schema_of(rows, keys)}, {t} bigint, lam double, prob double, "
                               f"loss_x double, loss_z double")
     return out.select(*keys, t, "lam", "prob", (F.col("prob") > prm.threshold).cast("int").alias("pred"),
@@ -428,7 +434,7 @@ def delayed_hedge_ensemble(rows: DataFrame, arrivals: DataFrame, keys: Sequence[
                      cast(x).alias("x"), cast(z).alias("z"), F.lit(None).cast("double").alias("y"))
     le = arrivals.select(*keys, F.col("t_arrive").cast("bigint").alias("_time"), F.lit(LABEL).alias("_kind"),
                          F.col("t_orig").cast("bigint").alias("_tref"), none.alias("x"), none.alias("z"), F.col("y").cast("double").alias("y"))
-    ev = by_key(fe.unionByName(le), keys).sortWithinPartitions(*keys, "_time", "_kind", "_tref")
+    ev = for_scan(fe.unionByName(le), keys, "_time", "_kind", "_tref")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, sx, sz, lx, lz, buf = None, None, None, 0.0, 0.0, {}
@@ -494,7 +500,7 @@ def speculative_learner(rows: DataFrame, arrivals: DataFrame, max_delay: int, ke
                          F.col("t_orig").cast("bigint").alias("_tref"), F.lit(None).cast("array<double>").alias("x"),
                          F.col("y").cast("double").alias("y"), F.lit(None).cast("array<bigint>").alias("st"),
                          F.lit(None).cast("array<double>").alias("sp"))
-    ev = by_key(fe.unionByName(le), keys).sortWithinPartitions(*keys, "_time", "_kind", "_tref")
+    ev = for_scan(fe.unionByName(le), keys, "_time", "_kind", "_tref")
 
     def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, st, buf = None, None, {}
@@ -614,5 +620,5 @@ def carried_class_matrix(s_table: DataFrame, keys: Sequence[str] = ("stream_id",
                 res.append((*key, getattr(r, win), m.ravel().tolist()))
             yield pd.DataFrame(res, columns=[*keys, win, "m"])
 
-    return (by_key(s_table, keys).sortWithinPartitions(*keys, win)
+    return (for_scan(s_table, keys, win)
             .mapInPandas(run, f"{schema_of(s_table, [*keys, win])}, m array<double>"))

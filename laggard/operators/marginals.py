@@ -234,19 +234,30 @@ def group_quantile(cells: DataFrame, group: Sequence[str], q: float, v: str = "v
     return quantile_lookup(qs, cells.select(*group, v), "_q", group, v, out, few=True).drop("_q")
 
 
+#: Values of a column in any one stream up to which its scores are looked up in a map.
+FEW_VALUES = 64
+
+
 def latent_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str = "z_",
                    latent_sd: float = 1.0) -> DataFrame:
     """W04 on a wide table: for every column, z = Phi^-1(n/(n+1) F(v)) with the offline
     ECDF of its stream (n = rows of the stream).  The columns are unpivoted once: one ECDF, and one score
-    for each distinct value, which the rows then look up."""
+    for each distinct value, which the rows then look up: columns that have few values in every stream all at once, in maps that are
+    a row a stream; each of the others by a join on its values."""
     keys, cols = list(keys), list(cols)
     cells = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])))
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
     r = value_ranks(cells, [*keys, "_col"], "_v").join(n, keys)
     q = "(CAST(_nr AS DOUBLE) / (_nr + 1)) * ((n_below + n_eq) / CAST(n AS DOUBLE))"
     r = r.select(*keys, "_col", "_v", (F.expr(phi_inv_sql(q)) * latent_sd).alias("_z")).checkpoint()
+    most = r.groupBy(*keys, "_col").agg(F.count(F.lit(1)).alias("_n")).groupBy("_col").agg(F.max("_n").alias("_n")).collect()
+    few = [m["_col"] for m in most if m["_n"] <= FEW_VALUES]
     out = df
-    for i, c in enumerate(cols):
-        z = r.where(F.col("_col") == i).select(*keys, F.col("_v").alias(f"_v{i}"), F.col("_z").alias(f"{prefix}{c}"))
-        out = out.withColumn(f"_v{i}", F.col(c).cast("double")).join(z, [*keys, f"_v{i}"], "left").drop(f"_v{i}")
-    return out
+    for i in (i for i in range(len(cols)) if i not in few):
+        z = r.where(F.col("_col") == i).select(*keys, F.col("_v").alias(f"_v{i}"), F.col("_z").alias(f"_z{i}"))
+        out = out.withColumn(f"_v{i}", F.col(cols[i]).cast("double")).join(z, [*keys, f"_v{i}"], "left").drop(f"_v{i}")
+    if few:
+        scores = lambda i: F.map_from_entries(F.collect_list(F.when(F.col("_col") == i, F.struct("_v", "_z")))).alias(f"_m{i}")
+        maps = r.where(F.col("_col").isin(few)).groupBy(*keys).agg(*[scores(i) for i in few])
+        out = out.join(maps, keys, "left").withColumns({f"_z{i}": F.try_element_at(f"_m{i}", F.col(cols[i]).cast("double")) for i in few})
+    return out.select(*df.columns, *[F.col(f"_z{i}").alias(f"{prefix}{c}") for i, c in enumerate(cols)])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from laggard.functions.logistic import ftrl_weight_py
-from laggard.operators.learner import FEATURE, LABEL, NO_BEST, FtrlParams, FtrlState, by_key, observe, schema_of
+from laggard.operators.learner import FEATURE, LABEL, NO_BEST, FtrlParams, FtrlState, for_scan, observe, schema_of
 from laggard.session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = ("stream_id bigint, _time bigint, _kind int, _tref bigint, x array<double>, "
@@ -326,7 +326,7 @@ def minibatch_ftrl(rows: DataFrame, p: int, batch_rows: int, prm: FtrlParams = F
 
     d = rows.select("stream_id", "t", F.floor(F.col("t") / batch_rows).cast("long").alias("batch"), F.col("x").cast("array<double>").alias("x"),
                     F.col("y").cast("double").alias("y"))
-    return by_key(d, ["stream_id"]).sortWithinPartitions("stream_id", "batch", "t").mapInPandas(
+    return for_scan(d, ["stream_id"], "batch", "t").mapInPandas(
         run, f"{schema_of(rows, ['stream_id', 't'])}, batch bigint, prob double")
 
 
