@@ -106,6 +106,13 @@ def apply_bins(wide_cells: DataFrame, plan: DataFrame | dict[int, int],
     return d.withColumn(out, F.when(vv.isNull(), None).otherwise(res.cast("double"))).drop("_mn", "_mx")
 
 
+def _draw(h: str, t: str):
+    """One number in the order of (h, t), for a 32-bit hash and a position: minima by numbers are kept in a hash table, those by a
+    struct need all rows sorted."""
+    fits = F.col(t).cast("long").between(0, (1 << 31) - 1)
+    return F.when(fits, F.shiftleft(h, 31) + F.col(t)).otherwise(F.raise_error(F.lit("a stream of more than 2^31 rows")).cast("long"))
+
+
 def binarise_random(cells: DataFrame, seed: int, group: Sequence[str] = ("stream_id", "col"),
                     v: str = "v", t: str = "t") -> DataFrame:
     """Cut-off = an observed value with 10-90 % of the values strictly below it, the
@@ -116,7 +123,7 @@ def binarise_random(cells: DataFrame, seed: int, group: Sequence[str] = ("stream
     d = cells.join(r, [*group, v])
     elig = d.where((F.col("n_below") > 0.1 * F.col("n")) & (F.col("n_below") < 0.9 * F.col("n")))
     elig = elig.withColumn("_h", hash32(str(seed), *group, t))
-    cut = elig.groupBy(*group).agg(F.min_by(v, F.struct("_h", t)).alias("cutoff"))
+    cut = elig.groupBy(*group).agg(F.min_by(v, _draw("_h", t)).alias("cutoff"))
     return (cells.join(cut, group, "left")
             .withColumn("v_bin", (F.col(v) > F.col("cutoff")).cast("int")))
 
@@ -140,7 +147,7 @@ def quantile_cutoffs(cells: DataFrame, seed: int, k: int = 2,
     cand = d.where((F.col(v) > F.col("_q05")) & (F.col(v) < F.col("_q95")))
     cand = cand.withColumn("_h", hash32(str(seed), *group, t))
     if k == 2:
-        cut = cand.groupBy(*group).agg(F.min_by(v, F.struct("_h", t)).alias("cutoff"))
+        cut = cand.groupBy(*group).agg(F.min_by(v, _draw("_h", t)).alias("cutoff"))
         return (cells.join(cut, group, "left")
                 .withColumn("v_bin", (F.col(v) >= F.col("cutoff")).cast("int")))
     # distinct candidates ranked by their smallest hash; k-1 lowest kept
