@@ -12,20 +12,24 @@ The plane of places and ranks is cut into squares of side S.  C(k, q) is the sum
 S is at least ``SIDE`` and grows with the root of the column's length, so that a block's cells and the
 squares beside it stay in proportion, and a column that holds a third of all cells is as many tasks
 as it has blocks.
+
+A column of up to ``WHOLE`` cells needs no squares: it is one sorted scan, and its windows are slices of its ranks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laggard.functions.normal import phi_inv_sql
-from laggard.operators.learner import by_key, schema_of
+from laggard.operators.learner import by_key, for_scan, schema_of
 from laggard.operators.seq import number_rows, value_ranks
+from laggard.operators.whole import WHOLE, added, by_length, dense, starts_of, whole_keys
 
 SIDE = 4096
 PLACE_BUCKET = 1 << 16
@@ -115,10 +119,40 @@ def dominance(points: DataFrame, queries: DataFrame, group: Sequence[str], side:
     return first.unionByName(second).groupBy(*group, "id").agg(F.sum("c").alias("c"))
 
 
+def counts_in_whole(cells: DataFrame, w: int, group: Sequence[str], v: str, t: str, strict: bool) -> DataFrame:
+    """``window_counts`` of columns that fit a task: one scan of the cells in order of time."""
+    group, keep = list(group), cells.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, group):
+            first = starts_of(table, group)
+            at = np.arange(len(first))
+            start = np.maximum.accumulate(np.where(first, at, 0))
+            known = table.column(v).is_valid().to_numpy()
+            before = np.concatenate([[0], np.cumsum(known)])
+            at, start = at[known], start[known]
+            table = table.filter(pa.array(known))
+            r = dense(table.column(v))
+            hi, lo = before[at + 1], before[np.maximum(start, at + 1 - w)]
+            inside = lambda below: count_below(r, hi, below) - count_below(r, lo, below)  # noqa: E731, B023
+            out = {"win_n": np.minimum(at - start + 1, w), "win_le": inside(r + 1), **({"win_lt": inside(r)} if strict else {})}
+            yield from added(table, keep, **out)
+
+    kinds = "win_n bigint, win_le bigint" + (", win_lt bigint" if strict else "")
+    return for_scan(cells, group, t).mapInArrow(run, f"{schema_of(cells, keep)}, {kinds}")
+
+
 def window_counts(cells: DataFrame, w: int, group: Sequence[str] = ("stream_id", "col"), v: str = "v", t: str = "t",
-                  strict: bool = True, side: int = SIDE) -> DataFrame:
+                  strict: bool = True, side: int = SIDE, whole: int = WHOLE) -> DataFrame:
     """For each observed cell and the last ``w`` observed values of its column up to and including it: ``win_n``, ``win_le``
-    (values <= v) and, if ``strict``, ``win_lt`` (values < v)."""
+    (values <= v) and, if ``strict``, ``win_lt`` (values < v).  Columns of more than ``whole`` cells are counted by squares."""
+    short, long, _ = by_length(cells, group, whole)
+    got = counts_in_whole(short, w, group, v, t, strict)
+    return got if long is None else got.unionByName(counts_by_squares(long, w, group, v, t, strict, side))
+
+
+def counts_by_squares(cells: DataFrame, w: int, group: Sequence[str], v: str, t: str, strict: bool, side: int) -> DataFrame:
+    """``window_counts`` of columns of any length."""
     group = list(group)
     d = ranked(cells, group, v, t).checkpoint()
     asks = [(0, F.col("k"), "n_le"), (1, F.col("k") - w, "n_le")] + ([(2, F.col("k"), "n_lt"), (3, F.col("k") - w, "n_lt")] if strict else [])
@@ -126,7 +160,7 @@ def window_counts(cells: DataFrame, w: int, group: Sequence[str] = ("stream_id",
     c = dominance(d, d.select(*group, F.inline(ask)), group, side)
     part = lambda i: F.coalesce(F.sum(F.when(F.col("id") % 4 == i, F.col("c"))), F.lit(0))
     c = c.groupBy(*group, F.floor(F.col("id") / 4).alias("k")).agg((part(0) - part(1)).alias("win_le"), (part(2) - part(3)).alias("win_lt"))
-    got = d.drop("r", "n", "n_lt", "n_le").join(c, [*group, "k"]).withColumn("win_n", F.least(F.col("k") + 1, F.lit(w)))
+    got = d.drop("r", "n", "n_lt", "n_le").join(c, [*group, "k"]).withColumn("win_n", F.least(F.col("k") + 1, F.lit(w)).cast("long"))
     got = got.drop("k") if strict else got.drop("k", "win_lt")
     return got.checkpoint()  # what reads the counts is long expressions, which must not share generated code with the sums
 
