@@ -9,13 +9,18 @@ distributed job); the *distributional* semantics are the reference's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laggard.functions.hashing import hash32, uniform
+from laggard.operators.learner import for_scan, schema_of
 from laggard.operators.seq import number_rows
+from laggard.operators.whole import WHOLE, added, by_length, dense, starts_of, whole_keys
 
 
 def _k(keys) -> list[str]:
@@ -42,19 +47,79 @@ def pair_mask(df: DataFrame, cols: Sequence[str], mask_num: int, seed: int,
 
 
 def mask_cells(cells: DataFrame, fraction: float, seed: int, keys=("stream_id",), t: str = "t",
-               col: str = "col", max_retries: int = 50, seeds_per_pass: int = 4) -> DataFrame:
+               col: str = "col", max_retries: int = 50, seeds_per_pass: int = 4, whole: int = WHOLE) -> DataFrame:
     """Per stream hide exactly ``int(fraction * observed cells)`` cells, chosen by the
     smallest hash; if a row would lose all its cells the stream is redrawn with seed+1
     (at most ``max_retries`` times).  Output: ``cells`` plus ``masked`` BOOLEAN and ``seed``; both are
     NULL for a stream of which no draw leaves every row a cell.
 
+    Streams of up to ``whole`` cells are drawn, and drawn again, where one scan finds them whole; longer ones
+    by histograms of their hashes."""
+    keys = _k(keys)
+    short, long, lost = by_length(cells, keys, whole)
+    out = _mask_whole(short, fraction, seed, keys, t, col, max_retries)
+    if long is not None:
+        out = out.unionByName(_mask_by_histogram(long, fraction, seed, keys, t, col, max_retries, seeds_per_pass))
+    if lost is not None:
+        out = out.unionByName(lost.select(*cells.columns, F.lit(None).cast("boolean").alias("masked"), F.lit(None).cast("bigint").alias("seed")))
+    return out
+
+
+def _drawn(ids: np.ndarray, h: np.ndarray, place: np.ndarray, row: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells up to the k-th of their stream by hash and place, streams with a row that keeps no cell); ``ids`` ascend."""
+    order = np.lexsort((place, h, ids))
+    same = (np.diff(h[order]) == 0) & (np.diff(place[order]) == 0) & (np.diff(ids[order]) == 0)
+    at = np.arange(len(ids))
+    at = np.maximum.accumulate(np.where(np.concatenate([[False], same]), 0, at))  # a cell that is there twice has one place
+    hidden = np.zeros(len(ids), dtype=bool)
+    hidden[order] = at - np.searchsorted(ids, ids) < k[ids]
+    kept = np.zeros(row.max() + 1, dtype=bool)
+    kept[row[~hidden]] = True
+    return hidden, np.unique(ids[~kept[row]])
+
+
+def _mask_whole(cells: DataFrame, fraction: float, seed: int, keys: list[str], t: str, col: str, max_retries: int) -> DataFrame:
+    """``mask_cells`` of streams that fit a task.  The first draw's hashes come with the cells; those of later ones are
+    taken of the streams that need them."""
+    keep = cells.columns
+    d = cells.withColumn("_h", hash32(str(seed), *keys, t, col)).withColumn("_name", F.concat_ws("#", *[F.col(c).cast("string") for c in (*keys, t, col)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, keys):
+            ids = np.cumsum(starts_of(table, keys)) - 1
+            k = np.floor(np.bincount(ids) * fraction).astype(np.int64)
+            rows, cols = dense(table.column(t)), dense(table.column(col))
+            place = rows * (cols.max() + 1) + cols
+            row = np.unique(ids * (rows.max() + 1) + rows, return_inverse=True)[1]
+            masked, drawn, todo, h = np.zeros(len(ids), dtype=bool), np.full(len(k), -1, np.int64), np.arange(len(ids)), table.column("_h").to_numpy()
+            for s in range(seed, seed + max_retries + 1):
+                if s > seed:
+                    names = table.column("_name").take(pa.array(todo)).to_pylist()
+                    h = np.array([int.from_bytes(md5(f"{s}#{name}".encode()).digest()[:4], "big") for name in names], dtype=np.int64)
+                hidden, bad = _drawn(ids[todo], h, place[todo], row[todo], k)
+                good = ~np.isin(ids[todo], bad)
+                masked[todo[good]] = hidden[good]
+                drawn[ids[todo[good]]] = s
+                todo = todo[~good]
+                if not len(todo):
+                    break
+            none = np.zeros(len(ids), dtype=bool)
+            none[todo] = True
+            yield from added(table, keep, masked=pa.array(masked, mask=none), seed=pa.array(drawn[ids], mask=none))
+
+    return for_scan(d, keys).mapInArrow(run, f"{schema_of(cells, keep)}, masked boolean, seed bigint")
+
+
+def _mask_by_histogram(cells: DataFrame, fraction: float, seed: int, keys: list[str], t: str, col: str, max_retries: int,
+                       seeds_per_pass: int) -> DataFrame:
+    """``mask_cells`` of streams of any length.
+
     The per-stream top-k is exact without a per-stream window: hashes are histogrammed on their top 16
     bits per (stream, seed, bucket), and the cells of the one bucket that holds the cut are ranked to find
     the last hidden cell.  That cell decides all others by comparison: a draw is a row for each stream, and no
     pass writes cells.  The first pass draws one seed for all streams; each later pass evaluates
     ``seeds_per_pass`` consecutive seeds at once for the streams still pending.
     """
-    keys = _k(keys)
     n_obs = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nobs"))
     pending = n_obs.select(*keys, F.floor(F.col("_nobs") * fraction).cast("long").alias("_k")).checkpoint()
     g = [*keys, "_s"]
