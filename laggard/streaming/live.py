@@ -4,8 +4,7 @@
   time-bucketed parquet files and read back with ``readStream`` one file per
   trigger, so micro-batches arrive in time order.
 * ``live_delayed_learner`` (ST07 live): feature and label events of a stream share one keyed state of
-  ``transformWithState``: the learner as a typed value, the rows whose label is still to come as a map
-  by their time.  A label finds its row for ``max_delay`` steps; later ones are a second kind of output,
+  ``transformWithState``: the learner as a typed value, the rows whose label is still to come as another.  A label finds its row for ``max_delay`` steps; later ones are a second kind of output,
   not a silence.  Rows that no label may claim any more go by event-time timers, at the watermark, so
   that a stream which falls silent leaves no state behind.  The step function is the batch fold's
   ``FtrlState`` (R6): a replay gives the batch result, in one run or over restarts.
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from laggard.functions.logistic import ftrl_weight_py
-from laggard.operators.learner import FEATURE, LABEL, NO_BEST, FtrlParams, FtrlState, for_scan, observe, schema_of
+from laggard.operators.learner import FEATURE, LABEL, NO_BEST, FtrlParams, FtrlState, for_scan, keyed_partitions, observe, schema_of
 from laggard.session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = ("stream_id bigint, _time bigint, _kind int, _tref bigint, x array<double>, "
@@ -95,7 +94,8 @@ def as_learner(values: tuple, prm: FtrlParams) -> FtrlState:
 
 
 class DelayedLearner(StatefulProcessor):
-    """State of one stream: the learner, the time of its last row, and the rows that wait for a label."""
+    """State of one stream: the learner and the time of its last row; the rows that wait for a label, at most max_delay + 1, and the row
+    its timer is for.  Both are read once and written once a micro-batch, whatever it holds: each call goes through a socket."""
 
     def __init__(self, prm: FtrlParams, max_delay: int):
         self.prm, self.max_delay = prm, max_delay
@@ -103,23 +103,29 @@ class DelayedLearner(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.learner = handle.getValueState("learner", f"{LEARNER_SCHEMA}, last bigint")
-        self.pending = handle.getMapState("pending", "t bigint", "x array<double>")
-        self.timer = handle.getValueState("timer", "t bigint")
+        self.pending = handle.getValueState("pending", "t array<bigint>, x array<array<double>>, timer bigint")
 
     def expires(self, t: int) -> int:
         """Event time, in ms, from which on no label of row t counts."""
         return 1000 * (t + 1 + self.max_delay + 1)
 
-    def watch(self, t: int) -> None:
+    def watch(self, t: int) -> int:
         """One timer a stream, for its oldest waiting row."""
         self.handle.registerTimer(self.expires(t))
-        self.timer.update((t,))
+        return t
+
+    def keep(self, waiting: dict[int, list[float]], timer: int | None, there: bool) -> None:
+        if waiting or timer is not None:
+            self.pending.update((list(waiting), list(waiting.values()), timer))
+        elif there:
+            self.pending.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["time", "kind", "ref"])  # a stream's rows of one micro-batch
-        values = self.learner.get() if self.learner.exists() else None
+        values, held = self.learner.get(), self.pending.get()
         st, last = (as_learner(values[:-1], self.prm), values[-1]) if values else (None, None)
-        fresh: dict[int, list[float]] = {}  # rows of this micro-batch are written only if they still wait at its end
+        waiting, timer = ({t: list(x) for t, x in zip(held[0], held[1], strict=True)}, held[2]) if held else ({}, None)
+        fresh: dict[int, list[float]] = {}
         out: list[tuple] = []
         for tm, kind, tref, x, y in zip(*(pdf[c].tolist() for c in ("time", "kind", "ref", "x", "y")), strict=True):
             if kind == FEATURE:
@@ -129,34 +135,26 @@ class DelayedLearner(StatefulProcessor):
                 fresh[tm], last = xv, tm
                 continue
             xb = fresh.pop(tref, None)
-            if xb is None and self.pending.containsKey((tref,)):
-                xb = list(self.pending.getValue((tref,))[0])
-                self.pending.removeKey((tref,))
+            if xb is None:
+                xb = waiting.pop(tref, None)
             if y is None or math.isnan(y):
                 continue
             if xb is None or last - tref > self.max_delay:
                 out.append((key[0], DROPPED, tref, None, tm))
             else:
                 st.fit(xb, float(y), self.prm)
-        for t, xv in fresh.items():
-            if last - t <= self.max_delay:
-                self.pending.updateValue((t,), (xv,))
-        if fresh and not self.timer.exists():
-            self.watch(min(fresh))
+        if fresh and timer is None:
+            timer = self.watch(min(fresh))
+        waiting = {t: xv for t, xv in {**waiting, **fresh}.items() if last - t <= self.max_delay}
+        self.keep(waiting, timer, held is not None)
         if st is not None:
             self.learner.update((*as_tuple(st), last))
         yield live_rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(k[0] for k in self.pending.keys())
-        for t in waiting:
-            if self.expires(t) <= now:
-                self.pending.removeKey((t,))
-        left = [t for t in waiting if self.expires(t) > now]
-        self.timer.clear()
-        if left:
-            self.watch(left[0])
+        now, held = timerValues.getCurrentWatermarkInMs(), self.pending.get()
+        waiting = {t: list(x) for t, x in sorted(zip(held[0], held[1], strict=True)) if self.expires(t) > now} if held else {}
+        self.keep(waiting, self.watch(min(waiting)) if waiting else None, held is not None)
         yield live_rows([])
 
     def close(self) -> None:
@@ -202,8 +200,10 @@ def run_to_end(result: DataFrame, scratch: str, by: str | None = None) -> None:
 def run_live_replay(spark: SparkSession, events: DataFrame, scratch: str, max_delay: int, prm: FtrlParams = FtrlParams(),
                     bucket_rows: int = 50) -> tuple[DataFrame, DataFrame]:
     """Write the events as replay files and run the live learner over them: (predictions, dropped labels)."""
-    write_replay_files(events, f"{scratch}/events")
-    run_to_end(live_delayed_learner(replay_stream(spark, f"{scratch}/events"), max_delay, prm, 2 * bucket_rows), scratch, "kind")
+    files = keyed_partitions(events)  # a bucket is as many files, and a micro-batch as many tasks, as the cluster runs at once
+    write_replay_files(events, f"{scratch}/events", files)
+    stream = replay_stream(spark, f"{scratch}/events", max_files_per_trigger=files)
+    run_to_end(live_delayed_learner(stream, max_delay, prm, 2 * bucket_rows), scratch, "kind")
     return live_output(spark, scratch)
 
 
