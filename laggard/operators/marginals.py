@@ -154,6 +154,12 @@ def impute_missing(wide_cells: DataFrame, cells: DataFrame, kinds: dict[int, str
     return impute_with_medians(wide_cells, cells, kinds, q, group, v, out)[0]
 
 
+def impute_rows(rows: DataFrame, cols: Sequence[str], is_ord: Sequence[bool], z: str = "z_imp", keys: Sequence[str] = ("stream_id",)) -> DataFrame:
+    """``impute_with_medians`` of wide rows whose streams stand whole and in order (``whole_em.latent_scan``): arrays ``x_imp`` and ``med``."""
+    from laggard.operators.whole_em import impute_scan
+    return impute_scan(rows, cols, is_ord, z, keys)
+
+
 def impute_with_medians(wide_cells: DataFrame, cells: DataFrame, kinds: dict[int, str], q: str, group: Sequence[str] = GROUP, v: str = "v",
                         out: str = "x_imp", median: str = "med") -> tuple[DataFrame, DataFrame]:
     """(``impute_missing``, each group's median).  All asked for is a value at a sorted position, or a point between two: the cells

@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 
 from laggard.functions.normal import POS_INF_SQL, pdf_sql, phi_sql
 from laggard.operators.copula import initial_sigma, project_to_correlation, truncated_moments
-from laggard.operators.learner import by_key, schema_of
+from laggard.operators.learner import by_key, for_scan, schema_of
+from laggard.operators.whole import WHOLE, by_length, column_of, matrix_of
+from laggard.operators.whole_em import fit_scan
 
 
 def let(body: str, **values: str) -> str:
@@ -95,20 +97,6 @@ def regressions(patterns: DataFrame, sigma: DataFrame, p: int, is_ord: Sequence[
     return d.mapInPandas(run, f"{schema_of(patterns, keys)}, pattern string, gain array<double>, spread array<double>, rest array<double>")
 
 
-def matrix_of(column: pa.ListArray, width: int) -> np.ndarray:
-    """A column of arrays of one width as a matrix; null cells are NaN, so are the cells of null arrays."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    out = np.full((len(column), width), np.nan)
-    out[~column.is_null().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    return out
-
-
-def column_of(values: np.ndarray, gap: np.ndarray | None = None) -> pa.ListArray:
-    """The matrix as a column of arrays, null where ``gap``."""
-    n, p = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * p, p), pa.int32()), pa.array(values.ravel(), mask=None if gap is None else gap.ravel()))
-
-
 def by_blocks(rows: DataFrame, fn, columns: Sequence[tuple[str, int]], outputs: Sequence[str]) -> DataFrame:
     """``rows`` with the array columns ``outputs`` that ``fn`` (named matrices -> dict of columns) gives a block of rows; the other columns stay."""
     keep = [c for c in rows.columns if c not in outputs]
@@ -232,10 +220,35 @@ def expected_covariance(rows: DataFrame, sigma: DataFrame, p: int, is_ord: Seque
 
 
 def fit_offline(rows: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[str] = ("stream_id",), t: str = "t", max_iter: int = 50,
-                tol: float = 0.01, num_ord_updates: int = 1) -> tuple[DataFrame, DataFrame]:
+                tol: float = 0.01, num_ord_updates: int = 1, whole: int = WHOLE, dealt: bool = False, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """EM, each stream until its own relative Sigma change is below ``tol`` or for ``max_iter`` rounds, so that no
-    stream's result depends on the others in the table.  Returns (rows with ``z_imp``, per stream ``sigma, change, rounds``; a change of
-    ``tol`` or more tells that the stream did not converge).  Rows are split once: those with an ordinal to refresh are rewritten every
+    stream's result depends on the others in the table.  Returns (rows with ``z_imp`` and the columns ``keep``, per stream ``sigma, change,
+    rounds``; a change of ``tol`` or more tells that the stream did not converge).  Streams of up to ``whole`` rows are fitted whole where one
+    scan finds them, longer ones over tables; rows without a stream have no Sigma.  ``dealt``: all streams fit a task and stand as
+    ``whole_em.latent_scan`` leaves them; their rows are not sent again and stay in order.  Else rows without ordinals go over tables at any
+    length, as their rounds never see a row."""
+    if dealt:
+        return fit_scan(rows, p, is_ord, keys, t, max_iter, tol, num_ord_updates, keep)
+    rows = rows.select(*keys, t, *keep, "z", "lo", "hi")
+    if not any(is_ord):
+        return _fit_tables(rows, p, is_ord, keys, t, max_iter, tol, num_ord_updates, keep)
+    rows = rows.checkpoint()
+    short, long, _ = by_length(rows, keys, whole)
+    got = fit_scan(for_scan(short, keys, t), p, is_ord, keys, t, max_iter, tol, num_ord_updates, keep)
+    if long is None:
+        return got
+    return tuple(a.unionByName(b) for a, b in zip(got, _fit_tables(long, p, is_ord, keys, t, max_iter, tol, num_ord_updates, keep), strict=True))
+
+
+def _fit_tables(rows: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[str], t: str, max_iter: int, tol: float, num_ord_updates: int,
+                keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    z_imp, sigma = fit_long(rows, p, is_ord, keys, t, max_iter, tol, num_ord_updates)
+    return rows.select(*keys, t, *keep).join(z_imp, [*keys, t]) if keep else z_imp, sigma
+
+
+def fit_long(rows: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[str] = ("stream_id",), t: str = "t", max_iter: int = 50,
+             tol: float = 0.01, num_ord_updates: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``fit_offline`` of streams of any length.  Rows are split once: those with an ordinal to refresh are rewritten every
     round, the others are read for their sums and at the end.  The driver sees whether streams are left."""
     keys, by = list(keys), [*keys, "pattern"]
     d = with_pattern(rows, keys, t).withColumn("_moves", refreshed("pattern", is_ord)).checkpoint()
