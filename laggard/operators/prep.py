@@ -8,13 +8,20 @@ resulting column metadata is one row per (stream, column) and is joined back
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laggard.functions.hashing import hash32
+from laggard.operators.learner import for_scan
 from laggard.operators.seq import value_ranks
+from laggard.operators.whole import added, by_length, starts_of, whole_keys
+from laggard.operators.whole_em import Ranks, scan
 
 REF_MAX_ORD = 14        # fixed value: > 14 distinct values => continuous (helpers); EM default is 5
 
@@ -119,13 +126,43 @@ def binarise_random(cells: DataFrame, seed: int, group: Sequence[str] = ("stream
     row picked by smallest hash (the reference draws rows uniformly until one
     qualifies); output ``v > cutoff``.  NULL cut-off if no value qualifies."""
     group = list(group)
-    r = value_ranks(cells, group, v)
-    d = cells.join(r, [*group, v])
-    elig = d.where((F.col("n_below") > 0.1 * F.col("n")) & (F.col("n_below") < 0.9 * F.col("n")))
-    elig = elig.withColumn("_h", hash32(str(seed), *group, t))
-    cut = elig.groupBy(*group).agg(F.min_by(v, _draw("_h", t)).alias("cutoff"))
-    return (cells.join(cut, group, "left")
-            .withColumn("v_bin", (F.col(v) > F.col("cutoff")).cast("int")))
+    short, long, rest = by_length(cells, group)
+    kind = cells.schema[v].dataType
+    if not isinstance(kind, (T.DoubleType, T.FloatType, T.IntegralType)):  # the scan ranks numbers
+        short, long, rest = None, cells, None
+    parts = [] if short is None else [_cutoffs_in_scan(short, seed, group, v, t)]
+    if long is not None:
+        r = value_ranks(long, group, v)
+        d = long.join(r, [*group, v])
+        elig = d.where((F.col("n_below") > 0.1 * F.col("n")) & (F.col("n_below") < 0.9 * F.col("n")))
+        elig = elig.withColumn("_h", hash32(str(seed), *group, t))
+        parts.append(long.join(elig.groupBy(*group).agg(F.min_by(v, _draw("_h", t)).alias("cutoff")), group, "left").select(*cells.columns, "cutoff"))
+    if rest is not None:
+        parts.append(rest.withColumn("cutoff", F.lit(None).cast(kind)))
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("v_bin", (F.col(v) > F.col("cutoff")).cast("int"))
+
+
+def _cutoffs_in_scan(cells: DataFrame, seed: int, group: Sequence[str], v: str, t: str) -> DataFrame:
+    """``cells`` with ``cutoff``: of the values with 10-90 % of their column's strictly below, the one of the row of the smallest hash."""
+    head = cells.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, group):
+            first = starts_of(table, group)
+            owner, drawn = np.cumsum(first) - 1, table.column("_d").to_numpy()
+            values, seen = table.column(v), table.column(v).is_valid().to_numpy()
+            r = Ranks(values.fill_null(0).to_numpy(), seen, owner, int(first.sum()))
+            below, n = r.below, r.n[r.run_owner]
+            at = r.order[np.repeat((below > 0.1 * n) & (below < 0.9 * n), r.length)]
+            at = at[np.lexsort((drawn[at], owner[at]))]
+            of, least = np.unique(owner[at], return_index=True)
+            row = np.full(r.streams, -1)
+            row[of] = at[least]
+            row = row[owner]
+            yield from added(table, head, cutoff=values.take(pa.array(row, mask=row < 0)))
+
+    d = for_scan(cells, group, t).withColumn("_d", _draw(hash32(str(seed), *group, t), t))
+    return scan(d, run, f"cutoff {cells.schema[v].dataType.simpleString()}", head)
 
 
 def quantile_cutoffs(cells: DataFrame, seed: int, k: int = 2,

@@ -30,7 +30,7 @@ class Ranks:
     """The observed cells of one column, sorted by stream and value (NaN last), and the runs of equal values among them."""
 
     def __init__(self, v: np.ndarray, seen: np.ndarray, owner: np.ndarray, streams: int):
-        at = np.flatnonzero(seen)
+        at, self.streams = np.flatnonzero(seen), streams
         order = at[np.lexsort((v[at], owner[at]))]
         self.order, self.owner, self.value = order, owner[order], v[order]
         self.n = np.bincount(self.owner, minlength=streams)
@@ -104,12 +104,13 @@ def scan(df: DataFrame, run, schema: str, keep: Sequence[str] = ()) -> DataFrame
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in keep] + T._parse_datatype_string(schema).fields))
 
 
-def latent_scan(df: DataFrame, cols: Sequence[str], is_ord: Sequence[bool], keys: Sequence[str] = ("stream_id",), t: str = "t",
+def latent_scan(df: DataFrame, cols: Sequence[str], is_ord: Sequence[bool], keys: Sequence[str] = ("stream_id",), t: str | None = "t",
                 keep: Sequence[str] = ()) -> DataFrame:
     """``keys, t, keep`` and for the i-th column ``z{i}`` (W04) or, if ordinal, ``lo{i}, hi{i}`` (W05); null where the cell is missing.  Every
-    stream is whole in one partition, in order."""
+    stream is whole in one partition, in order of ``t``."""
     keys, cols = list(keys), list(cols)
-    head = [*keys, t, *keep]
+    order = [] if t is None else [t]
+    head = [*keys, *order, *keep]
     names = [n for i, o in enumerate(is_ord) for n in ((f"lo{i}", f"hi{i}") if o else (f"z{i}",))]
     own = [f"_c{i}" for i in range(len(cols))]
 
@@ -122,7 +123,7 @@ def latent_scan(df: DataFrame, cols: Sequence[str], is_ord: Sequence[bool], keys
                 got += [pa.array(x, mask=~seen[:, i]) for x in (r.interval(len(owner)) if o else (r.cont(n_rows, len(owner)),))]
             yield from pa.table([*[table.column(c) for c in head], *got], [*head, *names]).to_batches()
 
-    d = for_scan(df.select(*head, *[F.col(c).cast("double").alias(n) for c, n in zip(cols, own, strict=True)]), keys, t)
+    d = for_scan(df.select(*head, *[F.col(c).cast("double").alias(n) for c, n in zip(cols, own, strict=True)]), keys, *order)
     return scan(d, run, ", ".join(f"{n} double" for n in names), head)
 
 
