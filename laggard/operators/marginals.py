@@ -10,12 +10,15 @@ column is ever collected into one array.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laggard.functions.normal import phi_inv_sql, phi_sql
 from laggard.operators.seq import framed, number_rows, value_ranks
+from laggard.operators.whole import by_length
+from laggard.operators.whole_em import impute_scan, latent_scan
 
 GROUP = ["stream_id", "col"]
 
@@ -156,7 +159,6 @@ def impute_missing(wide_cells: DataFrame, cells: DataFrame, kinds: dict[int, str
 
 def impute_rows(rows: DataFrame, cols: Sequence[str], is_ord: Sequence[bool], z: str = "z_imp", keys: Sequence[str] = ("stream_id",)) -> DataFrame:
     """``impute_with_medians`` of wide rows whose streams stand whole and in order (``whole_em.latent_scan``): arrays ``x_imp`` and ``med``."""
-    from laggard.operators.whole_em import impute_scan
     return impute_scan(rows, cols, is_ord, z, keys)
 
 
@@ -217,14 +219,13 @@ def window_ord_interval(cells: DataFrame, w: int, group: Sequence[str] = GROUP,
                         t: str = "t") -> DataFrame:
     """Windowed ordinal interval; a single-valued window gives (-inf, +inf)."""
     d = window_values(cells, w, group, v, t)
-    d = d.withColumn("_l", F.size("win").cast("double"))
-    d = d.withColumn("_nd", F.size(F.array_distinct("win")))
-    lo = F.expr(phi_inv_sql("(size(filter(win, a -> a < v)) / _l)"))
-    hi = F.expr(phi_inv_sql("(size(filter(win, a -> a <= v)) / _l)"))
+    # each share is counted once; the quantile's text names it many times
+    share = lambda test: F.size(F.filter("win", test)) / F.size("win").cast("double")
+    d = d.withColumns({"_nd": F.array_min("win") < F.array_max("win"), "_lo": share(lambda a: a < F.col(v)), "_hi": share(lambda a: a <= F.col(v))})
     inf = F.lit(float("inf"))
-    return (d.withColumn("lo", F.when(F.col("_nd") > 1, lo).otherwise(-inf))
-            .withColumn("hi", F.when(F.col("_nd") > 1, hi).otherwise(inf))
-            .drop("_l", "_nd"))
+    return (d.withColumn("lo", F.when(F.col("_nd"), F.expr(phi_inv_sql("_lo"))).otherwise(-inf))
+            .withColumn("hi", F.when(F.col("_nd"), F.expr(phi_inv_sql("_hi"))).otherwise(inf))
+            .drop("_nd", "_lo", "_hi"))
 
 
 def phi_col(c: str):
@@ -245,9 +246,25 @@ FEW_VALUES = 64
 
 
 def latent_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str = "z_",
-                   latent_sd: float = 1.0) -> DataFrame:
+                   latent_sd: float = 1.0, whole: int = 0) -> DataFrame:
     """W04 on a wide table: for every column, z = Phi^-1(n/(n+1) F(v)) with the offline
-    ECDF of its stream (n = rows of the stream).  The columns are unpivoted once: one ECDF, and one score
+    ECDF of its stream (n = rows of the stream).  Streams of up to ``whole`` rows are ranked whole in one scan, longer ones by
+    their distinct values."""
+    if not whole:
+        return _latent_by_value(df, keys, cols, prefix, latent_sd)
+    keys, cols, zs = list(keys), list(cols), [f"{prefix}{c}" for c in cols]
+    short, long, rest = by_length(df, keys, whole)
+    z = latent_scan(short, cols, [False] * len(cols), keys, None, [c for c in df.columns if c not in keys])
+    parts = [z.select(*df.columns, *[(F.col(f"z{i}") * latent_sd).alias(n) for i, n in enumerate(zs)])]
+    if long is not None:
+        parts.append(_latent_by_value(long, keys, cols, prefix, latent_sd))
+    if rest is not None:
+        parts.append(rest.select(*df.columns, *[F.lit(None).cast("double").alias(n) for n in zs]))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _latent_by_value(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str, latent_sd: float) -> DataFrame:
+    """``latent_columns`` by values.  The columns are unpivoted once: one ECDF, and one score
     for each distinct value, which the rows then look up: columns that have few values in every stream all at once, in maps that are
     a row a stream; each of the others by a join on its values."""
     keys, cols = list(keys), list(cols)

@@ -11,6 +11,7 @@ from laggard.operators.learner import (FtrlParams, delayed_learner, drift_levels
                                        online_learner)
 from laggard.operators.metrics import running_mse
 from laggard.operators.seq import shift
+from laggard.operators.whole import WHOLE
 from laggard.sources.fixtures import as_array, events_stream
 
 FEATS = ["x0", "x1", "x2"]
@@ -72,7 +73,7 @@ def st16_drift_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _two_views(spark, sf_dir):
     ev = events_stream(spark, sf_dir)
-    ev = marginals.latent_columns(ev, ["stream_id"], FEATS)
+    ev = marginals.latent_columns(ev, ["stream_id"], FEATS, whole=WHOLE)
     ev = as_array(ev, FEATS, "x", intercept=True)
     return as_array(ev, [f"z_{c}" for c in FEATS], "z", intercept=True)
 
