@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laggard.operators.copula import expect_block, matrix_change, project_to_correlation
-from laggard.operators.learner import by_key, schema_of
+from laggard.operators.learner import schema_of, spread_keys
 from laggard.operators.pattern_em import expected_covariance, pattern_of
+from laggard.operators.whole_em import correlations
 
 CHUNK = 1 << 16
 NORMS = "FSN"
@@ -58,15 +59,11 @@ def replicas(rngs: list[np.random.Generator], sigma: np.ndarray, counts: list[tu
         o, m = np.flatnonzero(~gap), np.flatnonzero(gap)
         z = drawn[:, at:at + count].reshape(-1, p).copy()
         at += count
-        lo, hi = np.full_like(z, -np.inf), np.full_like(z, np.inf)
+        lo, hi = (np.full_like(z, -np.inf), np.full_like(z, np.inf)) if ordinal.any() else (None, None)
         for j in np.flatnonzero(ordinal & ~gap):
             ends = np.concatenate([[-np.inf], cuts[j], [np.inf]])
             i = np.searchsorted(cuts[j], z[:, j])
             lo[:, j], hi[:, j] = ends[i], ends[i + 1]
-        z[:, gap] = np.nan
-        _, full, _, diagonal = expect_block(z, lo, hi, ordinal, sigma)
-        full = full.reshape(k, count, p)
-        s, szz = s + full.sum(axis=1), szz + full.transpose(0, 2, 1) @ full
         t, rest = np.diag((~gap).astype(float)), np.zeros((p, p))
         if len(o) and len(m):
             slope = np.linalg.inv(sigma[np.ix_(o, o)]) @ sigma[np.ix_(o, m)]
@@ -74,10 +71,20 @@ def replicas(rngs: list[np.random.Generator], sigma: np.ndarray, counts: list[tu
             rest[np.ix_(m, m)] = sigma[np.ix_(m, m)] - sigma[np.ix_(m, o)] @ slope
         elif len(m):
             rest = sigma
-        left = np.where(gap, 0.0, diagonal).reshape(k, count, p).sum(axis=1)  # the variances that ordinals leave open
-        total += (t * left[:, None, :]) @ t.T + count * rest
+        if (ordinal & ~gap).any():
+            z[:, gap] = np.nan
+            _, full, _, diagonal = expect_block(z, lo, hi, ordinal, sigma)
+            left = np.where(gap, 0.0, diagonal).reshape(k, count, p).sum(axis=1)  # the variances that ordinals leave open
+            total += (t * left[:, None, :]) @ t.T
+        else:  # nothing to refresh: missing cells follow from the others
+            z[:, gap] = 0.0
+            full = z
+            full[:, m] = z[:, o] @ t[np.ix_(m, o)].T
+        full = full.reshape(k, count, p)
+        s, szz = s + full.sum(axis=1), szz + full.transpose(0, 2, 1) @ full
+        total += count * rest
     cov = (szz - s[:, :, None] * s[:, None, :] / n) / max(n - 1, 1)
-    return np.array([project_to_correlation(c) for c in cov + total / n])
+    return correlations(cov + total / n)
 
 
 def matrix_changes(old: np.ndarray, new: np.ndarray) -> list[dict[str, float]]:
@@ -149,4 +156,4 @@ def change_test(rows: DataFrame, sigma_old: DataFrame, p: int, nsample: int = 10
             yield pd.DataFrame(out, columns=[*g, *(f"stat_{c}" for c in NORMS), *(f"p_{c}" for c in NORMS), "replicas"])
 
     schema = ", ".join([schema_of(rows, g), *(f"stat_{c} double" for c in NORMS), *(f"p_{c} double" for c in NORMS), "replicas int"])
-    return by_key(one, g).mapInPandas(run, schema)
+    return spread_keys(one, g).mapInPandas(run, schema)

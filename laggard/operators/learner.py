@@ -54,6 +54,12 @@ def for_scan(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     return df.repartition(keyed_partitions(df), *keys, F.lit(0)).sortWithinPartitions(*keys, *order)
 
 
+def spread_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``by_key`` for ``mapInPandas`` after a join or an aggregation by the same keys: that would leave ``by_key`` without an exchange of its own, and
+    adaptive execution would put its few bytes into a few tasks, however long they take."""
+    return df.repartition(keyed_partitions(df), *keys, F.lit(0))
+
+
 def schema_of(df: DataFrame, names: Sequence[str]) -> str:
     """DDL fragment for the named columns of ``df``, in the given order."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 from laggard.functions.normal import POS_INF_SQL, pdf_sql, phi_sql
 from laggard.operators.copula import initial_sigma, project_to_correlation, truncated_moments
-from laggard.operators.learner import by_key, for_scan, schema_of
+from laggard.operators.learner import for_scan, schema_of, spread_keys
 from laggard.operators.whole import WHOLE, by_length, column_of, matrix_of
-from laggard.operators.whole_em import fit_scan
+from laggard.operators.whole_em import expect_scan, fit_scan
 
 
 def let(body: str, **values: str) -> str:
@@ -191,19 +191,25 @@ def mstep(stats: DataFrame, table: DataFrame, sigma: DataFrame, p: int, keys: Se
     d = stats.join(table, [*keys, "pattern"]).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("pattern", "n", "s", "zz", "vs", "gain", "rest"))).alias("parts"))
     d = d.join(sigma.select(*keys, F.col("sigma").alias("old")), keys)
-    return by_key(d, keys).mapInPandas(run, f"{schema_of(stats, keys)}, sigma array<double>, change double, c array<double>")
+    return spread_keys(d, keys).mapInPandas(run, f"{schema_of(stats, keys)}, sigma array<double>, change double, c array<double>")
 
 
 def with_pattern(rows: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
     return rows.select(*keys, t, F.col("z").cast("array<double>").alias("z"), "lo", "hi", pattern_of().alias("pattern"))
 
 
-def expect(rows: DataFrame, sigma: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[str] = ("stream_id",), t: str = "t", sweeps: int = 1) -> DataFrame:
-    """B01 for every row: ``keys, t, z, z_imp, c_diag, v, pattern``."""
+def expect(rows: DataFrame, sigma: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[str] = ("stream_id",), t: str = "t", sweeps: int = 1,
+           whole: int = WHOLE) -> DataFrame:
+    """B01 for every row: ``keys, t, z, z_imp, c_diag, v, pattern``.  Streams of up to ``whole`` rows are sent to one scan beside their Sigma, rows of
+    longer ones are joined to their regressions."""
     keys = list(keys)
-    d = with_pattern(rows, keys, t)
+    short, long, _ = by_length(rows, keys, whole)
+    got = expect_scan(short, sigma, p, is_ord, keys, t, sweeps)
+    if long is None:
+        return got
+    d = with_pattern(long, keys, t)
     table = regressions(d.select(*keys, "pattern").distinct(), sigma, p, is_ord, keys).checkpoint()
-    return completed(refresh(d.join(table, [*keys, "pattern"]), p, sweeps), p).select(*keys, t, "z", "z_imp", "c_diag", "v", "pattern")
+    return got.unionByName(completed(refresh(d.join(table, [*keys, "pattern"]), p, sweeps), p).select(*keys, t, "z", "z_imp", "c_diag", "v", "pattern"))
 
 
 def expected_covariance(rows: DataFrame, sigma: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[str] = ("stream_id",), t: str = "t",

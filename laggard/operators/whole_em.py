@@ -199,11 +199,44 @@ class Regressions:
     def __init__(self, sigma: np.ndarray, gap: np.ndarray):
         seen = ~gap
         inside = seen[:, :, None] & seen[:, None, :]
-        self.precision = np.where(inside, inverses(np.where(inside, sigma, np.eye(sigma.shape[1]))), 0.0)
+        self.gap, self.precision = gap, np.where(inside, inverses(np.where(inside, sigma, np.eye(sigma.shape[1]))), 0.0)
         self.slope = self.precision @ (sigma * gap[:, None, :])      # from observed cells to missing ones
         self.rest = np.where(gap[:, :, None] & gap[:, None, :], sigma - sigma @ self.slope, 0.0)
         self.whole = (self.slope + np.eye(sigma.shape[1]) * seen[:, None, :]).transpose(0, 2, 1)
 
+    def refresh(self, z: np.ndarray, lo: np.ndarray, hi: np.ndarray, member: np.ndarray, ordinal: np.ndarray, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+        """``pattern_em.refresh`` of rows (missing cells 0) that belong to the patterns ``member``: (z, v)."""
+        moves = ordinal & ~self.gap & ((~self.gap).sum(axis=1) > 1)[:, None]     # the ordinals that other cells tell about
+        v = np.zeros_like(z)
+        for _ in range(sweeps):
+            before, z, v = z, z.copy(), np.zeros_like(z)
+            for j in np.flatnonzero(moves.any(axis=0)):
+                on = np.flatnonzero(moves[member, j])
+                m = member[on]
+                spread = 1.0 / self.precision[m, j, j]
+                slopes = -self.precision[:, j, :] / np.where(moves[:, j], self.precision[:, j, j], 1.0)[:, None]
+                slopes[:, j] = 0.0
+                centre, scale = (slopes[m] * before[on]).sum(axis=1), np.sqrt(spread)
+                mean, var = truncated_moments((lo[on, j] - centre) / scale, (hi[on, j] - centre) / scale)
+                z[on, j] = np.where(np.isnan(mean), z[on, j], centre + scale * mean)
+                v[on, j] = np.where(np.isnan(var), 0.0, scale * scale * var)
+        return z, v
+
+    def fill(self, z: np.ndarray, gap: np.ndarray, member: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Rows with their missing cells; ``rows``: which of them."""
+        out = z if rows is None else z[rows]
+        out, gap, member = out.copy(), gap if rows is None else gap[rows], member if rows is None else member[rows]
+        seen = out.copy()
+        for j in range(z.shape[1]):
+            on = np.flatnonzero(gap[:, j])
+            out[on, j] = (self.slope[member[on], :, j] * seen[on]).sum(axis=1)
+        return out
+
+
+def pattern_codes(gap: np.ndarray) -> np.ndarray:
+    """A number for each pattern of missing cells."""
+    return gap @ (1 << np.arange(gap.shape[1], dtype=np.int64)) if gap.shape[1] < 62 else np.unique(gap, axis=0, return_inverse=True)[1].reshape(-1)
+
 
 def fit_block(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray, is_ord: Sequence[bool], max_iter: int = 50, tol: float = 0.01,
               sweeps: int = 1, imputed: bool = True) -> dict[str, np.ndarray]:
@@ -212,7 +245,7 @@ def fit_block(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray,
     rows, p = z.shape
     streams, ordinal = int(owner[-1]) + 1, np.array(is_ord, dtype=bool)
     gap = np.isnan(z)
-    code = gap @ (1 << np.arange(p, dtype=np.int64)) if p < 62 else np.unique(gap, axis=0, return_inverse=True)[1].reshape(-1)
+    code = pattern_codes(gap)
     order = np.lexsort((code, owner))
     at, z, lo, hi, gap, code, owner = order, np.nan_to_num(z[order], nan=0.0), lo[order], hi[order], gap[order], code[order], owner[order]
     out = {"z_imp": np.zeros((rows, p)) if imputed else None, "sigma": np.zeros((streams, p, p)), "change": np.zeros(streams),
@@ -222,20 +255,7 @@ def fit_block(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray,
         g = starts(owner, code)
         size, of = np.diff(np.append(g, len(owner))), owner[g]
         member, reg = np.repeat(np.arange(len(g)), size), Regressions(sigma[of], gap[g])
-        moves = ordinal & ~gap[g] & ((~gap[g]).sum(axis=1) > 1)[:, None]     # the ordinals that other cells tell about
-        v = np.zeros_like(z)
-        for _ in range(sweeps):
-            before, z, v = z, z.copy(), np.zeros_like(z)
-            for j in np.flatnonzero(moves.any(axis=0)):
-                on = np.flatnonzero(moves[member, j])
-                m = member[on]
-                spread = 1.0 / reg.precision[m, j, j]
-                slopes = -reg.precision[:, j, :] / np.where(moves[:, j], reg.precision[:, j, j], 1.0)[:, None]
-                slopes[:, j] = 0.0
-                centre, scale = (slopes[m] * before[on]).sum(axis=1), np.sqrt(spread)
-                mean, var = truncated_moments((lo[on, j] - centre) / scale, (hi[on, j] - centre) / scale)
-                z[on, j] = np.where(np.isnan(mean), z[on, j], centre + scale * mean)
-                v[on, j] = np.where(np.isnan(var), 0.0, scale * scale * var)
+        z, v = reg.refresh(z, lo, hi, member, ordinal, sweeps)
         n, begin = np.bincount(owner, minlength=len(names)), starts(of)
         zz = np.zeros((len(g), p, p))
         for i in range(p):
@@ -255,11 +275,7 @@ def fit_block(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray,
         out["sigma"][names[over]], out["change"][names[over]], out["rounds"][names[over]] = new[over], change[over], k
         ended = over[owner]
         if imputed:
-            for j in range(p):
-                on = np.flatnonzero(ended & gap[:, j])
-                out["z_imp"][at[on], j] = (reg.slope[member[on], :, j] * z[on]).sum(axis=1)
-                on = np.flatnonzero(ended & ~gap[:, j])
-                out["z_imp"][at[on], j] = z[on, j]
+            out["z_imp"][at[ended]] = reg.fill(z, gap, member, np.flatnonzero(ended))
         if over.all():
             break
         place = np.cumsum(~over) - 1
@@ -290,3 +306,39 @@ def fit_scan(rows: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[str
             yield from added(table.take(pa.array(starts(owner))), keys, sigma=column_of(got["sigma"].reshape(-1, p * p)), change=got["change"], rounds=got["rounds"])
 
     return scan(d, imputed, "z_imp array<double>", head), scan(d, sigmas, "sigma array<double>, change double, rounds int", keys)
+
+
+def expect_scan(rows: DataFrame, sigma: DataFrame, p: int, is_ord: Sequence[bool], keys: Sequence[str], t: str, sweeps: int) -> DataFrame:
+    """``pattern_em.expect`` of streams that fit a task: a stream's Sigma is sent as one row more, before its rows."""
+    keys, ordinal = list(keys), np.array(is_ord, dtype=bool)
+    many = "array<double>"
+    d = rows.select(*keys, t, *[F.col(c).cast(many).alias(c) for c in ("z", "lo", "hi")], F.lit(None).cast(many).alias("_sigma"))
+    d = d.unionByName(sigma.where("sigma IS NOT NULL").select(*keys, F.lit(None).cast(rows.schema[t].dataType).alias(t),
+                                                             *[F.lit(None).cast(many).alias(c) for c in ("z", "lo", "hi")], F.col("sigma").alias("_sigma")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, keys):
+            owner, given = owner_of(table, keys), table.column("_sigma").is_valid().to_numpy()
+            of = np.full(int(owner[-1]) + 1, -1)
+            of[owner[given]] = np.arange(int(given.sum()))
+            on = np.flatnonzero(~given & (of[owner] >= 0))
+            if not len(on):
+                continue
+            matrices = matrix_of(table.column("_sigma").filter(pa.array(given)), p * p).reshape(-1, p, p)
+            owner, table = owner[on], table.take(pa.array(on))
+            z, lo, hi = (matrix_of(table.column(c), p) for c in ("z", "lo", "hi"))
+            gap = np.isnan(z)
+            code = pattern_codes(gap)
+            order = np.lexsort((code, owner))
+            g = starts(owner[order], code[order])
+            member = np.empty(len(order), np.int64)
+            member[order] = np.repeat(np.arange(len(g)), np.diff(np.append(g, len(order))))
+            first = order[g]
+            reg = Regressions(matrices[of[owner[first]]], gap[first])
+            z, v = reg.refresh(np.nan_to_num(z, nan=0.0), lo, hi, member, ordinal, sweeps)
+            left = reg.rest[:, range(p), range(p)][member] + ((reg.slope * reg.slope)[member] * v[:, :, None]).sum(axis=1)
+            names = np.array(["".join("1" if c else "0" for c in x) for x in gap[first]])
+            yield from added(table, [*keys, t], z=column_of(z, gap), z_imp=column_of(reg.fill(z, gap, member)), c_diag=column_of(np.where(gap, left, v)),
+                             v=column_of(v), pattern=pa.array(names[member]))
+
+    return scan(for_scan(d, keys, t), run, f"z {many}, z_imp {many}, c_diag {many}, v {many}, pattern string", [*keys, t])
